@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .language_model import held_out, score_texts, train
+from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 
 
@@ -17,8 +20,23 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose three-word shingle sets reach 0.85."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and trie scores of all documents, learnt from six sevenths of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 7, 2)
+    model = train(docs.filter(~out))
+    return score_texts(docs, model).withColumn("held_out", out)
+
+
 QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
