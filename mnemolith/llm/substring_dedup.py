@@ -166,7 +166,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 12) -> DataFram
     base = base.withColumn("key", F.xxhash64("doc_id", "text"))
     runs = base.select("key", "text").mapInArrow(_runs(width, gram), "anchor long, run long, key long, start int, size int")
 
-    seen_twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    seen_twice = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     found = written(runs.join(seen_twice, "anchor"), "repeated-anchors")
 
     distinct_runs = found.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("one"))
