@@ -14,13 +14,14 @@ Scale. Equal sets count as one class from the start, so exact copies never
 meet in a bucket. A document whose bands of either collection match nobody is
 dropped before tables are formed, without loss. Buckets do not emit all pairs:
 
-1. Each class is compared with one member of its buckets, the bucket leader it
-   shares most buckets with.
-2. Components of the confirmed links are formed. Only members of one bucket
-   that are still in different components are compared, so a bucket with one
-   large component and a few strays costs strays times members. Sizes, and the
-   triangle inequality on the distances to a common leader, rule out pairs that
-   cannot reach the threshold.
+1. Every member is compared with its buckets' leaders, the members with most
+   company, so a bucket of edited copies is led by the text most like all.
+2. Components of the confirmed links are formed. Let D be the shingles in which
+   a member differs from its leader. If a member is not linked with the leader
+   then it can only be linked with members that share part of its D, and so
+   many that a shared element lies among the ``(1 - J) / J * size + 1`` rarest of
+   both. Only pairs with such an element, in different components, are compared:
+   independent edits of one text share none, however large the bucket.
 
 All links are confirmed on full sets built from whole texts.
 
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -98,8 +99,8 @@ def _signatures(width: int, tables: int, rows: int):
     return run
 
 
-def _compare(width: int):
-    """Intersection and union size of the shingle sets of ``text_x`` and ``text_y``."""
+def _compare(width: int, differences: bool):
+    """Sizes of ``text_x``'s set, of intersection and union, and on request what differs."""
 
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         for _, _, data, offsets in text_slices(column):
@@ -110,22 +111,24 @@ def _compare(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = []
-            total = []
+            own, both, total, differ = [], [], [], []
             for a, b in zip(sets(batch.column("text_x")), sets(batch.column("text_y")), strict=True):
                 shared = len(np.intersect1d(a, b, assume_unique=True))
+                own.append(len(a))
                 both.append(shared)
                 total.append(len(a) + len(b) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(both, pa.int64()), pa.array(total, pa.int64())], names=["x", "y", "shared", "total"])
+                differ.append(np.setxor1d(a, b, assume_unique=True).view(np.int64) if differences else None)
+            numbers = [pa.array(c, pa.int64()) for c in (own, both, total)]
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *numbers, pa.array(differ, pa.list_(pa.int64()))], names=["x", "y", "size", "shared", "total", "differ"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, differences: bool = False) -> DataFrame:
     left = texts.select(F.col("node").alias("x"), F.col("text").alias("text_x"))
     right = texts.select(F.col("node").alias("y"), F.col("text").alias("text_y"))
     joined = pairs.select("x", "y").join(right, "y").join(left, "x").select("x", "y", "text_x", "text_y")
-    return joined.mapInArrow(_compare(width), "x long, y long, shared long, total long")
+    return joined.mapInArrow(_compare(width, differences), "x long, y long, size long, shared long, total long, differ array<long>")
 
 
 def _buckets(classes: DataFrame, tables: int) -> DataFrame:
@@ -140,6 +143,39 @@ def _buckets(classes: DataFrame, tables: int) -> DataFrame:
     )
 
 
+def _apart(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(x, y)`` in different components that share rare differences from a leader."""
+
+    def with_part(rows: DataFrame, node: str, name: str) -> DataFrame:
+        named = parts.select(F.col("node").alias(node), F.col("component").alias("found"))
+        return rows.join(named, node, "left").withColumn(name, F.coalesce("found", node)).drop("found")
+
+    placed = with_part(with_part(tested.drop("differ"), "x", "part"), "y", "main")
+    split = placed.groupBy("y").agg(F.min(F.least("part", "main")).alias("low"), F.max(F.greatest("part", "main")).alias("high"))
+    split = written(split.filter("low < high").select("y"), "split")
+    facts = written(placed.join(split, "y", "left_semi").select("x", "y", "part", "linked", "size", (F.col("shared") / F.col("total")).alias("alike")), "members")
+    apart = tested.join(split, "y", "left_semi").select("x", "y", F.size("differ").alias("n"), F.explode("differ").alias("shingle"))
+    twice = written(apart.groupBy("y", "shingle").agg(F.count("*").alias("times")).filter("times > 1"), "shared-differences")
+    common = apart.join(twice, ["y", "shingle"])
+    mine = Window.partitionBy("x", "y")
+    common = common.withColumn("common", F.count("*").over(mine))
+    ranked = common.withColumn("rank", F.row_number().over(mine.orderBy("times", "shingle")) + F.col("n") - F.col("common"))
+    rare = ranked.join(facts, ["x", "y"]).filter(F.col("rank") <= F.floor(F.col("size") * (100 - percent) / percent) + 1)
+    columns = ["x", "part", "size", "alike", "n", "common"]
+    rare = written(rare.select("y", "shingle", "linked", *columns), "rare")
+    stray = rare.filter("NOT linked").select("y", "shingle", *[F.col(c).alias(f"{c}_2") for c in columns])
+    # Linked sets differ in few shingles, so what each adds to the leader must mostly be common.
+    needed = (F.col("n") + F.col("n_2") - (F.col("size") + F.col("size_2")) * (100 - percent) / (100 + percent)) / 2
+    reachable = (
+        (F.col("part") != F.col("part_2"))
+        & (F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * percent)
+        & (F.abs(F.col("alike") - F.col("alike_2")) <= 1 - percent / 100 + 1e-9)
+        & (F.least("common", "common_2") >= needed - 1e-6)
+    )
+    met = rare.join(stray, ["y", "shingle"]).filter(reachable).select(F.greatest("x", "x_2").alias("x"), F.least("x", "x_2").alias("y"))
+    return met.distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
     """Return ``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -153,45 +189,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     classes = filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     buckets = _buckets(classes, tables)
-    crowded = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("leader")).filter("members > 1")
+    crowded = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     crowded = written(crowded, "crowded")  # a plain side, so that Spark can split a skewed bucket
-    members = written(buckets.join(crowded, "key").select("key", "node", "leader"), "buckets")
+    members = written(buckets.join(crowded, "key"), "buckets")
+    company = members.groupBy("node").agg(F.sum("members").alias("company"))
+    leaders = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("most"))
+    leaders = written(leaders.select("key", (-F.col("most.col2")).alias("leader")), "leaders")
+    stars = members.join(leaders, "key").filter("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct()
 
     involved = members.select("node").distinct()
     texts = base.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi")
     texts = written(texts.withColumn("hash", F.xxhash64("text")).dropDuplicates(["node", "hash"]).drop("hash"), "texts")
-
-    # Round 1: every class against the leader that it shares most buckets with.
-    votes = members.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("node").agg(F.max(F.struct("votes", -F.col("leader"))).alias("best")).select(F.col("node").alias("x"), (-F.col("best.col2")).alias("y"))
     near = F.col("shared") * 100 >= F.col("total") * percent
-    tested = written(_confirmed(chosen, texts, width), "tested")
-    links = tested.filter(near).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    tested = written(_confirmed(stars, texts, width, differences=True).withColumn("linked", near), "tested")
+    links = tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     parts = written(connected_components(links), "parts")
 
-    # Round 2: members of one bucket that are still apart.
-    hub = tested.groupBy(F.col("x").alias("node")).agg(F.max(F.struct(F.expr("shared / total").alias("to_hub"), F.col("y").alias("hub"))).alias("best")).select("node", "best.*")
-    state = (
-        involved.join(parts.withColumnRenamed("component", "part"), "node", "left")
-        .join(hub, "node", "left")
-        .join(classes.select("node", "n"), "node")
-        .select("node", "n", F.coalesce("part", "node").alias("part"), F.coalesce("hub", "node").alias("hub"), F.coalesce("to_hub", F.lit(1.0)).alias("to_hub"))
-    )
-    placed = members.select("key", "node").join(state, "node")
-    split = placed.groupBy("key", "part").agg(F.count("*").alias("members"))
-    split = split.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("members", "part")).alias("main")).filter("parts > 1").select("key", F.col("main.part").alias("main"))
-    split = written(split, "split")
-    apart = written(placed.join(split, "key"), "apart")
-    stray = apart.filter("part <> main").select("key", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "part", "hub", "to_hub")])
-    bound = percent / 100
-    reachable = (
-        (F.col("part") != F.col("part_y"))
-        & (F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * percent)
-        & ~((F.col("hub") == F.col("hub_y")) & (F.abs(F.col("to_hub") - F.col("to_hub_y")) > 1 - bound + 1e-9))
-    )
-    met = apart.join(stray, "key").filter(reachable).select(F.greatest("node", "node_y").alias("x"), F.least("node", "node_y").alias("y")).distinct()
-    met = met.join(tested.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), ["x", "y"], "left_anti")
-    more = _confirmed(met, texts, width).filter(near).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    more = _confirmed(_apart(tested, parts, percent), texts, width).filter(near).select(F.col("x").alias("u"), F.col("y").alias("v"))
     merged = connected_components(links.unionByName(more))
 
     found = classes.join(merged, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
