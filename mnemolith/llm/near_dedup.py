@@ -213,3 +213,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     alone = marks.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))
     return full.unionByName(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, and every row with an empty set.
+
+    Of rows that share the kept ``doc_id`` the one with the least text hash stays.
+    """
+    kept = near_duplicates(docs, width, percent, tables, rows).filter("kept OR n_shingles = 0").select(F.col("doc_id").alias("kept_id")).distinct()
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64(F.col("text").cast("string")).alias("order"))
+    chosen = given.join(kept, "kept_id", "left_semi")
+    first = Window.partitionBy("kept_id").orderBy("order")
+    return chosen.withColumn("number", F.row_number().over(first)).filter("number = 1").select("given.*")
