@@ -110,7 +110,7 @@ def _compare(width: int, differences: bool):
                 yield found[bounds[i] : bounds[i + 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, len(whole), 1024)):
             own, both, total, differ = [], [], [], []
             for a, b in zip(sets(batch.column("text_x")), sets(batch.column("text_y")), strict=True):
                 shared = len(np.intersect1d(a, b, assume_unique=True))

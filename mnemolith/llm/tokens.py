@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8
 WINDOW_BASE = 0xD1342543DE82EF95
