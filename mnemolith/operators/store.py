@@ -92,7 +92,8 @@ class MemoryStore:
         version = state["version"] + 1
         tables = dict(state["tables"])
         for name, rows in changes.items():
-            rows.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
+            declared = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]]
+            rows.select(*declared).write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
             tables[name] = f"v{version}/{name}"
         self._point({"version": version, "tables": tables, "before": state})
         return version

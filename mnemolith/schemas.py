@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 
 def _table(**columns) -> StructType:
@@ -27,7 +27,7 @@ CHUNKS = _table(
     chunk_id=_l, message_id=_s, chunk_index=_i, start_char=_i, end_char=_i, content=_s, hash=_s, embedding_version=_s, created_at=_t, updated_at=_t, is_embedded=_i,
 )
 VECTORS = _table(
-    id=_s, embedding=ArrayType(FloatType()), document=_s,
+    id=_s, embedding=ArrayType(DoubleType()), document=_s,
     metadata=_table(memory_unit_id=_s, raw_document_id=_s, title=_s, source=_s, source_type=_s, author=_s, created_at=_s, summary=_s),
 )
 IMPORT_LOGS = _table(import_id=_l, source=_s, file_name=_s, import_time=_t, records_count=_i, status=_s, error_message=_s, notes=_s)

@@ -33,7 +33,8 @@ def ingest_stream(messages: DataFrame, store: MemoryStore, embedder: Embedder, c
 
 def watch_exports(spark: SparkSession, folder: str, store: MemoryStore, embedder: Embedder, checkpoint: str) -> StreamingQuery:
     """Archive export files as they appear in a folder; files read before are skipped."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path")
+    form = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(form).option("pathGlobFilter", "*.json").load(folder).select("path")
 
     def store_files(batch: DataFrame, _: int) -> None:
         for row in batch.toLocalIterator():  # names of files only
