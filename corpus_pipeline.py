@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item with at most 15 % edits."""
-    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_edits=0.15)
+    """Drop documents that hold a benchmark item with at most 20 % edits."""
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_edits=0.2)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from .tokens import Words, mix, text_slices
 
 STEPS = 18
 SAMPLED = 4
-STRIDE = 3
+STRIDE = 1
 
 
 def _samples(repeats: int) -> list[np.ndarray]:
@@ -194,7 +194,7 @@ def _blocks(items: DataFrame, max_edits: float, repeats: int, least_words: int,
         yield spark.sparkContext.broadcast(_Items(rows, max_edits, repeats, least_words))
 
 
-def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.15, repeats: int = 3, least_words: int = 8, block: int = 20_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, repeats: int = 4, least_words: int = 8, block: int = 10_000) -> DataFrame:
     """Return ``doc_id, item_id, start_word, n_words, edits``: the best match of each text and item."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
@@ -204,7 +204,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.15, re
     return found
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.15, repeats: int = 3, least_words: int = 8, block: int = 20_000) -> DataFrame:
+def uncontaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, repeats: int = 4, least_words: int = 8, block: int = 10_000) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
     for model in _blocks(items, max_edits, repeats, least_words, block):
         docs = docs.mapInArrow(_clean(model), docs.schema)
