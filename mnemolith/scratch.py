@@ -1,4 +1,9 @@
-"""A shared folder for files that a query makes for itself."""
+"""Paths in the shared folder of the cluster.
+
+The session names it in ``spark.checkpoint.dir``; every executor and the driver
+can read it. Only where that setting is absent (tests on one machine) is a local
+folder made, once for a session.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_local: dict[str, str] = {}
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the session's checkpoint folder (a local one where it has none)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="mnemolith-")
+    """A new path below the shared folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="mnemolith-")
+        folder = _local[app]
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
