@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import Trie, encode, mapped, pack
+from .lookup import HashIndex
 from .storage import written
 from .tokens import Words, mix, text_slices
 
@@ -58,29 +59,6 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _counted(np.append(words, END_WORD), np.append(counts, end - row), "word")
 
 
-class _Index:
-    """Position of 64-bit hashes in a sorted array, by their leading bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.shift = np.uint64(64 - max(1, (2 * len(keys)).bit_length()))
-        slots = (keys >> self.shift).astype(np.int64)
-        self.start = np.searchsorted(slots, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
-
-    def find(self, values: np.ndarray) -> np.ndarray:
-        slot = (values >> self.shift).astype(np.int64)
-        at, end = self.start[slot].astype(np.int64), self.start[slot + 1]
-        out = np.full(len(values), -1, dtype=np.int64)
-        left = np.flatnonzero(at < end)
-        while len(left):
-            equal = self.keys[at[left]] == values[left]
-            out[left[equal]] = at[left[equal]]
-            left = left[~equal]
-            at[left] += 1
-            left = left[at[left] < end[left]]
-        return out
-
-
 def _class_stream(words: Words, ids: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Trigram ``(u, v, w)`` of each token as one number, and each token's place."""
     ends = words.first[1:] + np.arange(len(words.count))
@@ -101,7 +79,7 @@ def _class_stream(words: Words, ids: np.ndarray, classes: int) -> tuple[np.ndarr
 def _triple_counts(model, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = model.value
-        index = _Index(keys)
+        index = HashIndex(keys)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
                 words = Words(data, offsets, lower=True)
@@ -211,7 +189,7 @@ def train(docs: DataFrame, classes: int = 512, max_frequent: int = 1 << 19, max_
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = mapped(model.value)
-        trie, index = Trie(arrays), _Index(arrays["words"])
+        trie, index = Trie(arrays), HashIndex(arrays["words"])
         classes, (everything, other) = trie.classes, arrays["totals"]
         log_n = np.log10(arrays["word_n"] + 1.0)
         end_at = index.find(np.array([END_WORD], dtype=np.int64).view(np.uint64))[0]

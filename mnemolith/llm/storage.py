@@ -1,36 +1,20 @@
 """Written tables in the shared folder of the cluster.
 
-Iterative and multi-pass operators cut their lineage by writing Parquet below
-the folder that the session names in ``spark.checkpoint.dir``; every executor
-and the driver can read it, so a lost executor costs one task, not the job.
-Only where that setting is absent (tests on one machine) is a folder made.
+Iterative and multi-pass operators cut their lineage by writing Parquet there,
+so a lost executor costs one task and not the job.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-_local: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The configured checkpoint folder, or one made for a session without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="mnemolith-")
-    return _local[app]
+from ..scratch import shared_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
