@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licences import MENTIONS, RULES, SENTENCES
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SUBSTRING_DEDUP = rf"""
@@ -53,7 +55,32 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM d JOIN t USING (no_source, source_key) LEFT JOIN k USING (rid)
 """
 
+_whole = " ".join(f"WHEN '{s}' THEN '{i}'" for s, i in SENTENCES.items() if not s.endswith(" *"))
+_begun = " ".join(f"WHEN starts_with(s, '{s[:-1]}') THEN '{i}'" for s, i in SENTENCES.items() if s.endswith(" *"))
+
+
+def _identifiers(sentences: str) -> str:
+    plain = rf"list_transform({sentences}, lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+    return f"list_filter(list_transform({plain}, lambda s: coalesce(CASE s {_whole} END, CASE {_begun} END)), lambda i: i IS NOT NULL)"
+
+
+_ends = r"regexp_replace({}, '([.!?;:])\s+', '\1' || chr(10), 'g')"
+_rules = ", ".join(f"CASE WHEN contains(a, ' {' '.join(r)} ') OR contains(b, ' {' '.join(r)} ') THEN '{name}' END" for name, r in RULES)
+LICENCES = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+i AS (SELECT doc_id,
+    CASE WHEN regexp_matches(text, '{MENTIONS}') THEN {_identifiers("string_split_regex(" + _ends.format("text") + r", '\s*\n\s*')")} ELSE [] END AS one,
+    CASE WHEN regexp_matches(text, '{MENTIONS}') THEN {_identifiers("string_split_regex(" + _ends.format(r"regexp_replace(text, '\s*\n\s*', ' ', 'g')") + r", '\n')")} ELSE [] END AS other FROM t),
+l AS (SELECT *, ' ' || array_to_string(one, ' ') || ' ' AS a, ' ' || array_to_string(other, ' ') || ' ' AS b FROM i),
+r AS (SELECT *, list_filter([{_rules}], lambda x: x IS NOT NULL) AS found FROM l),
+d AS (SELECT *, list_filter(found, lambda x, k: list_position(found, x) = k) AS names FROM r)
+SELECT doc_id, CASE WHEN len(one) + len(other) = 0 THEN '' WHEN len(names) = 0 THEN 'UNMATCHED' ELSE array_to_string(names, ', ') END AS licences,
+  array_to_string(CASE WHEN len(other) > len(one) THEN other ELSE one END, ', ') AS sentence_ids
+FROM d
+"""
+
 ORACLE_SQL = {
+    "op5_licences": LICENCES,
     "op2_mixing": MIXING,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op9_near_dedup": NEAR_DEDUP,

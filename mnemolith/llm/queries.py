@@ -53,7 +53,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents by sentence rules."""
-    return scan_licences(_table(spark, sf_dir, "documents"))
+    found = scan_licences(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licences", ", ").alias("licences"), F.array_join("sentence_ids", ", ").alias("sentence_ids"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
