@@ -9,6 +9,9 @@ from ..functions.chunking import chunks_or_whole
 from ..functions.text import content_hash, filled, json_object, parsed_json, summary
 from ..settings import Settings
 
+#: Fields that a metadata form offers.
+METADATA_FIELDS = ("title", "source", "sender_type", "model")
+
 
 def messages_with_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """Messages with their conversation; those without one are dropped."""
@@ -58,6 +61,13 @@ def message_by_chunk(chunks: DataFrame, messages: DataFrame, conversations: Data
     return chosen.select("chunk_id", "message_id").join(facts, "message_id")
 
 
+def metadata_values(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Each value of the metadata fields and how many messages have it."""
+    rows = messages_with_conversations(messages, conversations)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in METADATA_FIELDS])).alias("pair")
+    return rows.select(pairs).groupBy("pair.field", "pair.value").agg(F.count("*").alias("n"))
+
+
 def edit_metadata(raw_meta: Column, source: Column, model: Column) -> Column:
     """A message's metadata for editing: the raw fields, source and model over them, and tags."""
     fields = F.from_json(F.to_json(parsed_json(raw_meta)), "map<string,string>")

@@ -129,8 +129,8 @@ ORACLE_SQL = {
     "normalize_timestamps": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS normalized FROM events",
     "format_timestamps": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS formatted FROM events",
     "count_rows_all": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("conversations", "documents", "embeddings", "events", "labels", "pages", "benchmark")),
-    "metadata_values": f"""WITH {DOCUMENTS} SELECT f.field, f.value, count(*) AS n FROM (SELECT unnest([{{'field': 'source', 'value': source}},
-        {{'field': 'source_type', 'value': 'conversation_message'}}, {{'field': 'author', 'value': sender_type}}]) AS f FROM rd) GROUP BY ALL""",
+    "metadata_values": f"""WITH {OLDER} SELECT f.field, f.value, count(*) AS n FROM (SELECT unnest([{{'field': 'title', 'value': cv.title}}, {{'field': 'source', 'value': source}},
+        {{'field': 'sender_type', 'value': sender_type}}, {{'field': 'model', 'value': 'unknown'}}]) AS f FROM m JOIN cv USING (conversation_id)) GROUP BY ALL""",
     "openai_export": f"""WITH {MESSAGES} SELECT conversation_id, title, source, message_id, sender_type, md5(content) AS content_md5, length(content) AS content_length, 'm-1' AS model,
       row_number() OVER (PARTITION BY conversation_id ORDER BY turn) - 1 AS sequence, ts AS timestamp FROM m WHERE content <> ''""",
     "grok_export": f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence FROM conversations), {MESSAGES}

@@ -288,10 +288,8 @@ def count_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct values of the metadata fields that a search page offers."""
-    documents = _documents(spark, sf_dir)
-    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("source", "source_type", "author")])).alias("f")
-    return documents.select(fields).groupBy("f.field", "f.value").agg(F.count("*").alias("n"))
+    messages, conversations, _ = _older(spark, sf_dir)
+    return legacy.metadata_values(messages, conversations)
 
 
 def _export(spark: SparkSession, sf_dir: str, name: str, form: str) -> str:

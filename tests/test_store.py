@@ -93,3 +93,10 @@ def test_watched_folder_reads_each_file_once(spark, export, tmp_path):
     for _ in range(2):
         watch_exports(spark, f"file://{tmp_path}/in", store, EMBEDDER, f"file://{tmp_path}/seen").awaitTermination()
     assert store.state()["version"] == 1 and store.count_rows("raw_documents") == 2
+
+
+def test_command_line(spark, export, tmp_path, capsys):
+    from mnemolith.__main__ import main
+
+    assert main(["--file", export, "--store", f"file://{tmp_path}/cli", "--terms", "向量"]) == {"raw_documents": 2, "memory_units": 2}
+    assert json.loads(capsys.readouterr().out) == {"raw_documents": 2, "memory_units": 2}
