@@ -114,7 +114,10 @@ Rule = tuple[Test, ...]
 
 
 def _labelled_counts(docs: DataFrame, labels: DataFrame, max_labelled: int, quantiles: int) -> tuple[list, dict[str, list[float]]]:
-    """Counts by places between thresholds, part and label; thresholds by statistic."""
+    """Counts by places between thresholds, part and label; thresholds by statistic.
+
+    A threshold lies in the middle between the values that it parts.
+    """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
     share = min(1.0, max_labelled / max(known.count(), 1))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -131,8 +134,16 @@ def _labelled_counts(docs: DataFrame, labels: DataFrame, max_labelled: int, quan
     cuts = sample.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in STATISTICS]).first()
     thresholds = {c: sorted(set(cuts[c] or [])) for c in STATISTICS}
     place = lambda c: sum(((F.col(c) > t).cast("int") for t in thresholds[c]), F.lit(0))
+    placed = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), place(c).alias("place"), F.col(c).alias("value")) for c in STATISTICS])).alias("p")
+    ranges = sample.select(placed).groupBy("p.name", "p.place").agg(F.min("p.value").alias("low"), F.max("p.value").alias("high")).collect()
+    middles = {}
+    for c, cuts_of in thresholds.items():
+        middles[c] = []
+        for k, cut in enumerate(cuts_of):
+            below, above = [r["high"] for r in ranges if r["name"] == c and r["place"] <= k], [r["low"] for r in ranges if r["name"] == c and r["place"] > k]
+            middles[c].append((max(below) + min(above)) / 2 if below and above else cut)
     cells = sample.select(*[place(c).alias(c) for c in STATISTICS], "prune", "bad").groupBy(*STATISTICS, "prune").agg(F.sum("bad").alias("bad"), F.count("*").alias("all"))
-    return [(tuple(r[c] for c in STATISTICS), r["prune"], r["bad"], r["all"] - r["bad"]) for r in cells.collect()], thresholds
+    return [(tuple(r[c] for c in STATISTICS), r["prune"], r["bad"], r["all"] - r["bad"]) for r in cells.collect()], middles
 
 
 def _holds(cell: tuple, tests: list[tuple[int, bool, int]]) -> bool:
