@@ -105,8 +105,8 @@ def _bound(counts: DataFrame, most: int) -> int:
 def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centres of 256 equal steps between the extremes, and a function's codes."""
     low, high = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
-    step = (high - low) / 256 or 1.0
-    return np.minimum(((values - low) / step).astype(np.int64), 255).astype(np.uint8), low + (np.arange(256) + 0.5) * step
+    step = (high - low) / 256  # 0 if all are equal, and then the table has nothing but them
+    return np.minimum(((values - low) / (step or 1.0)).astype(np.int64), 255).astype(np.uint8), low + (np.arange(256) + 0.5) * step
 
 
 def _trie(triples: np.ndarray, triple_n: np.ndarray, pairs: np.ndarray, pair_n: np.ndarray, context_n: np.ndarray, unigram: np.ndarray, classes: int, discount: float) -> dict[str, np.ndarray]:
