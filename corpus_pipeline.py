@@ -5,9 +5,9 @@ written as Parquet and read again as the next stage's input. All but the last
 return the columns of ``docs``; the last adds ``shard``.
 
 Null and empty texts fail the quality rules and leave at the first stage; a
-null ``doc_id`` that passes them is not kept as a representative and leaves at the
-second; equal rows leave one; extra columns go through unchanged; an empty
-table stays empty.
+null ``doc_id`` is kept at the second unless its text is a near copy of another's;
+equal rows leave one; extra columns go through unchanged; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mnemolith.llm.decontamination import uncontaminated
 from mnemolith.llm.mixing import mixed
-from mnemolith.llm.near_dedup import representatives
+from mnemolith.llm.near_dedup import distinct_documents
 from mnemolith.llm.quality_rules import accepted, learn_rules
 from mnemolith.llm.sharding import even_tree, sharded
 from mnemolith.llm.storage import written
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of five-word shingle sets that reach 0.8."""
-    return representatives(docs, width=5, percent=80)
+    return distinct_documents(docs, width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

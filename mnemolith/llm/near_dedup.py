@@ -218,10 +218,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, and every row with an empty set.
 
-    Of rows that share the kept ``doc_id`` the one with the least text hash stays.
+    Of rows that share the kept ``doc_id`` the one with the least text hash stays, and
+    rows without a ``doc_id`` leave; where ``doc_id`` is not a key of the rows, use
+    :func:`distinct_documents`.
     """
     kept = near_duplicates(docs, width, percent, tables, rows).filter("kept OR n_shingles = 0").select(F.col("doc_id").alias("kept_id")).distinct()
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64(F.col("text").cast("string")).alias("order"))
     chosen = given.join(kept, "kept_id", "left_semi")
     first = Window.partitionBy("kept_id").orderBy("order")
     return chosen.withColumn("number", F.row_number().over(first)).filter("number = 1").select("given.*")
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, and every row with an empty set.
+
+    Rows are told apart by a hash of ``doc_id`` and text, so a null ``doc_id`` or one
+    that several texts share is a row like any other. The row with the least
+    ``doc_id`` of a group stays, then that with the least hash; a null ``doc_id`` comes
+    last. Of rows equal in ``doc_id`` and text one stays.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.xxhash64(doc_id, text)
+    groups = near_duplicates(docs.select(key.alias("doc_id"), text.alias("text")), width, percent, tables, rows)
+    groups = groups.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    members = docs.select(key.alias("row_key"), doc_id.alias("own_id")).distinct().join(groups, "row_key")
+    least = members.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "row_key")).alias("least"))
+    kept = written(least.select(F.col("least.row_key").alias("row_key")), "kept-rows")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), key.alias("row_key"))
+    first = Window.partitionBy("row_key").orderBy("row_key")
+    return given.join(kept, "row_key", "left_semi").withColumn("number", F.row_number().over(first)).filter("number = 1").select("given.*")

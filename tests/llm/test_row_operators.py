@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
-from helpers import make, remainder, words
+from helpers import make, prose, remainder, words
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mnemolith.llm import language_model as lm
 from mnemolith.llm import mixing, near_dedup, quality_rules, sharding, substring_dedup
 from mnemolith.llm.licences import scan_licences
@@ -71,6 +73,23 @@ def test_near_dedup(odd, odd_rows, empty):
     assert near_dedup.near_duplicates(empty).count() == near_dedup.representatives(empty).count() == 0
 
 
+def test_near_dedup_keeps_rows_that_are_nobodys_copy(spark, odd, odd_rows, empty):
+    chance = random.Random(3)
+    texts = [prose(chance, 60) for _ in range(7)]
+    rows = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (1, ""), (2, texts[2] + " more"), (None, texts[2]), (None, texts[4]), (5, texts[4]), (None, texts[5]), (None, texts[5] + " more"), (7, texts[6]), (7, texts[6])]
+    docs = make(spark, [(i, t, None, None) for i, t in rows])
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept)
+    least = [t for i, t in found if i == -1 and t.startswith(texts[5])]
+    assert len(least) == 1
+    assert found == sorted([(-1, texts[0]), (-1, texts[1]), (-1, least[0]), (1, texts[2]), (1, texts[3]), (1, ""), (5, texts[4]), (7, texts[6])])
+    root, sets = _components(odd_rows, 5, 80)
+    found = [(r.doc_id, r.text) for r in near_dedup.distinct_documents(odd, 5, 80).collect()]
+    assert len(found) == len(set(found)) and {i for i, _ in found} == {i for i, s in sets if root(i) == i or not s} | {None}
+    assert [t for i, t in found if i is None] == ["no id here"]
+    assert near_dedup.distinct_documents(empty).count() == 0
+
+
 def test_quality_counts_and_rules(spark, odd, odd_rows, empty):
     expected = []
     for i, t, *_ in odd_rows:
