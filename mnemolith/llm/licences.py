@@ -10,8 +10,11 @@ sentences and rules are fixed and small.
 
 Defined cases: null and empty texts, and texts without a known sentence, have
 empty lists; known sentences that fit no rule give ``UNMATCHED``; a licence
-found twice is listed once, in order of its rules; repeated rows are scanned one
-by one; extra columns are ignored; an empty table gives no rows.
+found twice is listed once, in order of its rules; a rule that is part of another
+licence's longer rule counts only outside of it (BSD-2 in BSD-3). Licences named in
+``SPDX-License-Identifier`` lines follow as they are written there, whether or not
+the tables know them; repeated rows are scanned one by one; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +56,45 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2_REF",
     "this is free and unencumbered software released into the public domain": "UNLICENSE_REF",
+    "neither the name of *": "BSD_NEITHER",
+    "neither the names of *": "BSD_NEITHER",
+    "the name of the author may not be used to endorse *": "BSD_NEITHER",
+    "the names of its contributors may not be used to endorse *": "BSD_NEITHER",
+    "the contents of this file are subject to the mozilla public license version 1 1 the license": "MPL11_REF",
+    "distributed under the boost software license version 1 0": "BOOST_REF",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license *": "BOOST_GRANT",
+    "either version 2 of the license or at your option any later version": "V2_LATER",
+    "either version 2 1 of the license or at your option any later version": "V21_LATER",
+    "either version 3 of the license or at your option any later version": "V3_LATER",
 }
+# The notices of the GNU licences, which are cut at their colons and semicolons.
+_terms = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+for _name, _id in (("general public license", "GPL"), ("lesser general public license", "LGPL"), ("library general public license", "LGPL"), ("affero general public license", "AGPL")):
+    SENTENCES[_terms.format(_name)] = f"{_id}_TERMS"
+    SENTENCES[f"{_terms.format(_name)} either version 3 of the license or at your option any later version"] = f"{_id}3_LATER"
+    for _version, _short in (("2", "2"), ("2 1", "21"), ("3", "3")):
+        SENTENCES[_terms.format(f"{_name} version {_version}")] = f"{_id}{_short}_REF"
+# References by name.
+for _name, _id in (
+    ("gnu lesser general public license version 3", "LGPL3_REF"),
+    ("gnu lesser general public license version 2 1", "LGPL21_REF"),
+    ("gnu affero general public license version 3", "AGPL3_REF"),
+    ("gnu general public license version 3", "GPL3_REF"),
+    ("gnu general public license version 2", "GPL2_REF"),
+    ("bsd 3 clause license", "BSD3_REF"),
+    ("bsd 2 clause license", "BSD2_REF"),
+    ("mozilla public license version 1 1", "MPL11_REF"),
+    ("boost software license version 1 0", "BOOST_REF"),
+    ("business source license 1 1", "BUSL_REF"),
+):
+    for _start in ("", "this work is ", "this software is ", "this project is ", "this program is "):
+        SENTENCES[f"{_start}licensed under the {_name}"] = _id
+for _name, _words in (("by", "attribution"), ("by sa", "attribution sharealike"), ("by nc", "attribution noncommercial"), ("by nd", "attribution noderivatives"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives")):
+    _id = f"CC{_name.replace(' ', '').upper()}4_REF"
+    for _start in ("", "this work is "):
+        SENTENCES[f"{_start}licensed under cc {_name} 4 0"] = _id
+        for _article in ("a", "the"):
+            SENTENCES[f"{_start}licensed under {_article} creative commons {_words} 4 0 international license"] = _id
 # Licences and the sentences that must follow each other, longer rules first.
 RULES = [
     ("Apache-2.0", ["APACHE2_REF", "APACHE2_USE", "APACHE2_COPY", "APACHE2_ASIS", "APACHE2_SEE"]),
@@ -66,6 +107,8 @@ RULES = [
     ("GPL-2.0-only", ["GPL2_REF"]),
     ("MIT", ["MIT_GRANT", "MIT_NOTICE", "MIT_ASIS"]),
     ("MIT", ["MIT_REF"]),
+    ("BSD-3-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NEITHER"]),
+    ("BSD-3-Clause", ["BSD3_REF"]),
     ("BSD-2-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY"]),
     ("ISC", ["ISC_GRANT"]),
     ("MPL-2.0", ["MPL2_REF"]),
@@ -74,7 +117,29 @@ RULES = [
     ("CC-BY-4.0", ["CCBY4_REF"]),
     ("CC0-1.0", ["CC0_REF"]),
     ("Unlicense", ["UNLICENSE_REF"]),
+    ("GPL-3.0-or-later", ["GPL_TERMS", "V3_LATER"]),
+    ("GPL-2.0-or-later", ["GPL_TERMS", "V2_LATER"]),
+    ("AGPL-3.0-or-later", ["AGPL3_LATER"]),
+    ("AGPL-3.0-or-later", ["AGPL_TERMS", "V3_LATER"]),
+    ("AGPL-3.0-only", ["AGPL3_REF"]),
+    ("LGPL-3.0-or-later", ["LGPL3_LATER"]),
+    ("LGPL-3.0-or-later", ["LGPL_TERMS", "V3_LATER"]),
+    ("LGPL-3.0-only", ["LGPL3_REF"]),
+    ("LGPL-2.1-or-later", ["LGPL_TERMS", "V21_LATER"]),
+    ("LGPL-2.1-only", ["LGPL21_REF"]),
+    ("LGPL-2.0-or-later", ["LGPL_TERMS", "V2_LATER"]),
+    ("LGPL-2.0-only", ["LGPL2_REF"]),
+    ("BSD-2-Clause", ["BSD2_REF"]),
+    ("MPL-1.1", ["MPL11_REF"]),
+    ("BSL-1.0", ["BOOST_REF"]),
+    ("BSL-1.0", ["BOOST_GRANT"]),
+    ("BUSL-1.1", ["BUSL_REF"]),
+    ("CC-BY-ND-4.0", ["CCBYND4_REF"]),
+    ("CC-BY-NC-SA-4.0", ["CCBYNCSA4_REF"]),
+    ("CC-BY-NC-ND-4.0", ["CCBYNCND4_REF"]),
 ]
+_named = "[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+SPDX = f"(?i)SPDX-License-Identifier:[ \\t]*([( ]*{_named}(?:[ )]+(?:AND|OR|WITH)[ (]+{_named})*)"
 #: Every sentence of the table has one of these, so other texts need no splitting.
 MENTIONS = "(?i)licen|copyright|rights reserved|warrant|permission|redistribut|public domain|cc0"
 
@@ -96,6 +161,21 @@ def _identifier(sentence: Column) -> Column:
     return out
 
 
+def _spdx(text: Column) -> Column:
+    """Licences of SPDX lines; exceptions and operators of an expression are left out."""
+    lines = F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))
+    named = F.transform(lines, lambda x: F.regexp_replace(x, "(?i)\\bWITH\\s+[A-Za-z0-9.+-]+", " "))
+    parts = F.flatten(F.transform(named, lambda x: F.regexp_extract_all(x, F.lit(f"({_named})"), F.lit(1))))
+    return F.filter(parts, lambda x: ~F.upper(x).isin("AND", "OR", "WITH"))
+
+
+def _within(name: str, rule: list[str]) -> list[str]:
+    """Lines of the other licences' longer rules that hold ``rule``, longest first."""
+    line = f" {' '.join(rule)} "
+    longer = [f" {' '.join(r)} " for other, r in RULES if other != name and len(r) > len(rule)]
+    return sorted((x for x in longer if line in x), key=len, reverse=True)
+
+
 def scan_licences(docs: DataFrame) -> DataFrame:
     """Return ``doc_id, licences, sentence_ids`` for every row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -105,11 +185,19 @@ def scan_licences(docs: DataFrame) -> DataFrame:
         found = F.filter(F.transform(_sentences(text, wrapped), _identifier), lambda i: i.isNotNull())
         return F.when(text.rlike(MENTIONS), found).otherwise(none)
 
+    spdx = F.when(text.rlike("(?i)spdx-license"), _spdx(text)).otherwise(none)
+
     def matched(one: Column, other: Column) -> Column:
         lines = [F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" ")) for ids in (one, other)]
-        rules = [F.when(F.contains(lines[0], F.lit(f" {' '.join(rule)} ")) | F.contains(lines[1], F.lit(f" {' '.join(rule)} ")), F.lit(name)) for name, rule in RULES]
-        some = F.array_distinct(F.filter(F.array(*rules), lambda name: name.isNotNull()))
-        known = (F.size(one) > 0) | (F.size(other) > 0)
+
+        def holds(line: Column, name: str, rule: list[str]) -> Column:
+            for longer in _within(name, rule):
+                line = F.replace(line, F.lit(longer), F.lit(" "))
+            return F.contains(line, F.lit(f" {' '.join(rule)} "))
+
+        rules = [F.when(holds(lines[0], name, rule) | holds(lines[1], name, rule), F.lit(name)) for name, rule in RULES]
+        some = F.array_distinct(F.concat(F.filter(F.array(*rules), lambda name: name.isNotNull()), spdx))
+        known = (F.size(one) > 0) | (F.size(other) > 0) | (F.size(spdx) > 0)
         return F.when(~known, none).when(F.size(some) == 0, F.array(F.lit("UNMATCHED"))).otherwise(some)
 
     def result(both: Column) -> Column:

@@ -223,3 +223,33 @@ def test_licences(spark, empty):
     assert found[4] == (["UNMATCHED"], ["RESERVED"])
     assert found[5] == found[6] == found[7] == ([], [])
     assert scan_licences(empty).count() == 0
+
+
+def test_licences_of_real_texts(spark):
+    bsd2 = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation\nand/or other materials provided with the distribution.\n"
+    )
+    bsd3 = bsd2 + "3. Neither the name of the copyright holder nor the names of its contributors may be used\nto endorse or promote products derived from this software without specific prior written permission.\n"
+    one_line = bsd3.replace("\nand/or", " and/or").replace("used\nto", "used to")
+    gnu = "This {} is free software{} you can redistribute it and/or\nmodify it under the terms of the GNU {} as published by\nthe Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    texts = [
+        (bsd2, ["BSD-2-Clause"]),
+        (bsd3, ["BSD-3-Clause"]),
+        (one_line, ["BSD-3-Clause"]),
+        (bsd3 + bsd2, ["BSD-3-Clause", "BSD-2-Clause"]),
+        (gnu.format("program", ":", "General Public License", ",", "3"), ["GPL-3.0-or-later"]),
+        (gnu.format("program", ";", "General Public License", ";", "2"), ["GPL-2.0-or-later"]),
+        (gnu.format("library", ";", "Lesser General Public License", ";", "2.1"), ["LGPL-2.1-or-later"]),
+        (gnu.format("program", ":", "Affero General Public License", ",", "3"), ["AGPL-3.0-or-later"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+        ('The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License");', ["MPL-1.1"]),
+        ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause\nint x;", ["GPL-2.0-only", "BSD-3-Clause"]),
+        ("/* SPDX-License-Identifier: EPL-2.0 */", ["EPL-2.0"]),
+        ("SPDX-License-Identifier: MIT. See the file.", ["MIT"]),
+    ]
+    found = {r.doc_id: r.licences for r in scan_licences(make(spark, [(i, t, None, None) for i, (t, _) in enumerate(texts)])).collect()}
+    assert [found[i] for i in range(len(texts))] == [expected for _, expected in texts]
