@@ -18,8 +18,8 @@ labelled documents. The model is at most ``landmarks`` words and weights, and is
 broadcast. Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: null and empty texts have no sentence near a landmark and get
-the base probability; without labels of both kinds every score is 0; words over
-``LONGEST`` letters are near nothing; a null ``doc_id`` or label is not learnt from;
+the base probability; without labels of both kinds every score is 0; words and
+runs of one-letter words over ``LONGEST`` letters are read in overlapping windows; a null ``doc_id`` or label is not learnt from;
 repeated rows are scored one by one; extra columns are ignored; an empty table
 gives no rows.
 """
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -46,31 +47,6 @@ _ends[[ord(c) for c in ".!?"]] = True
 _drop = str.maketrans("", "", PUNCTUATION)
 
 
-def _pair_masks(data: np.ndarray, start: np.ndarray, end: np.ndarray, reach: int) -> np.ndarray:
-    """256-bit sets of each word's ordered byte pairs one (and, for ``reach`` 2, two) apart, as four columns."""
-    inside = np.zeros(len(data) + 1, dtype=np.int8)
-    inside[start] += 1
-    inside[end] -= 1
-    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
-    begins = np.zeros(len(data), dtype=bool)
-    begins[start] = True
-    joined = inside[:-1] & inside[1:] & ~begins[1:]  # bytes of one word
-    masks = np.zeros((len(start), 4), dtype=np.uint64)
-    edges = np.stack([start, end], axis=1).reshape(-1)
-    edges = edges[:-1] if len(edges) and edges[-1] == len(data) else edges
-    for apart in range(1, reach + 1):
-        if len(data) <= apart or not len(start):
-            continue
-        code = ((data[:-apart].astype(np.uint32) * np.uint32(2654435) + data[apart:] * np.uint32(40503)) * np.uint32(2246822519) >> np.uint32(24)).astype(np.uint8)
-        same = joined if apart == 1 else joined[:-1] & joined[1:]
-        bit = np.where(same, np.uint64(1) << (code & np.uint8(63)).astype(np.uint64), np.uint64(0))
-        bits = np.zeros(len(data), dtype=np.uint64)
-        for part in range(4):
-            bits[:-apart] = np.where(code >> np.uint8(6) == part, bit, np.uint64(0))
-            masks[:, part] |= np.bitwise_or.reduceat(bits, edges)[::2]
-    return masks
-
-
 def _codes(words: list[str]) -> np.ndarray:
     """Code points of each word in a row, padded with -1."""
     out = np.full((len(words), max([1, *map(len, words)])), -1, dtype=np.int32)
@@ -106,27 +82,86 @@ class Kernel:
     def __post_init__(self) -> None:
         self.codes = _codes(self.landmarks)
         self.own = np.maximum(subsequence_kernel(self.codes, self.codes, self.order, self.decay), 1e-12)
-        joined = [w.encode() for w in self.landmarks]
-        self.sizes = np.array([len(w) for w in joined])
-        ends = np.cumsum(self.sizes)
-        self.masks = _pair_masks(np.frombuffer(b"".join(joined), dtype=np.uint8), ends - self.sizes, ends, 1)
-        # One inserted byte keeps all neighbours within two bytes; one dropped or replaced breaks two pairs.
-        pairs = np.bitwise_count(self.masks).sum(axis=1).astype(np.int64)
-        self.needed = np.where(pairs <= 4, pairs - 1, pairs - 2)
+        least = 1 + np.log(FLOOR) / self.sharpness - 1e-9  # kernel value before it is sharpened
+        self.alphabet = np.unique(self.codes[self.codes >= 0])
+        self.bounds = [self._bound(w, least) for w in self.landmarks]
+        self.lengths = np.array([len(w) for w in self.landmarks])
         self.cache: dict[int, np.ndarray | None] = {}
 
+    def _bound(self, word: str, least: float) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The word's letters, as places in the alphabet, and which of their sets allow a value of ``least``.
+
+        By Cauchy-Schwarz a normalised value is at most the share, in norm, of
+        those triples of the landmark whose letters all are in the other word.
+        Above 12 letters only the lack of single letters is looked at.
+        """
+        codes = [ord(c) for c in word]
+        letters = sorted(set(codes))
+        weight: dict[tuple[int, int, int], float] = {}
+        for i, j, k in combinations(range(len(codes)), 3):
+            triple = codes[i], codes[j], codes[k]
+            weight[triple] = weight.get(triple, 0.0) + self.decay ** (k - i + 1)
+        at = np.searchsorted(self.alphabet, letters)
+        total = sum(x * x for x in weight.values()) * least * least
+        if len(letters) > 12:
+            return at, np.array([sum(x * x for t, x in weight.items() if c not in t) >= total for c in letters]), False
+        norm = np.zeros([2] * len(letters))
+        for triple, x in weight.items():
+            norm[tuple(int(c in triple) for c in letters)] += x * x
+        for axis in range(len(letters)):
+            norm = np.cumsum(norm, axis=axis)
+        return at, norm.reshape(-1) >= total, True
+
+    def near(self, words: list[str]) -> np.ndarray:
+        """Words and landmarks whose kernel value can reach ``FLOOR``, by the letters that they share."""
+        out = np.zeros((len(words), len(self.landmarks)), dtype=bool)
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.int32)
+        if not len(letters):
+            return out
+        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        place = np.minimum(np.searchsorted(self.alphabet, letters), len(self.alphabet) - 1)
+        known = self.alphabet[place] == letters
+        has = np.zeros((len(words), len(self.alphabet)), dtype=bool)
+        has[row[known], place[known]] = True
+        for k, (at, enough, of_sets) in enumerate(self.bounds):
+            own = has[:, at]
+            if of_sets:
+                out[:, k] = enough[own @ (1 << np.arange(len(at))[::-1])]
+            else:
+                out[:, k] = (own | enough).all(axis=1)
+        return out
+
     def values(self, words: list[str], pairs: np.ndarray) -> np.ndarray:
         """Kernel values of words and landmarks where ``pairs`` asks for them, else 0."""
         out = np.zeros(pairs.shape)
-        w, k = np.nonzero(pairs)
-        codes = _codes(words)
-        own = subsequence_kernel(codes, codes, self.order, self.decay)
-        for part in np.array_split(np.arange(len(w)), max(1, len(w) // 2048)):
-            both = subsequence_kernel(codes[w[part]], self.codes[k[part]], self.order, self.decay)
-            alike = both / np.sqrt(np.maximum(own[w[part]], 1e-12) * self.own[k[part]])
-            out[w[part], k[part]] = np.exp(self.sharpness * (alike - 1))
+        asked = np.flatnonzero(pairs.any(axis=1))
+        asked = asked[np.argsort([len(words[i]) for i in asked], kind="stable")]
+        for part in np.array_split(asked, max(1, len(asked) // 256)):  # of like length, so little is padded
+            codes = _codes([words[i] for i in part])
+            own = np.maximum(subsequence_kernel(codes, codes, self.order, self.decay), 1e-12)
+            w, k = np.nonzero(pairs[part])
+            for some in np.array_split(np.arange(len(w)), max(1, len(w) // 2048)):
+                both = subsequence_kernel(codes[w[some]], self.codes[k[some]], self.order, self.decay)
+                out[part[w[some]], k[some]] = np.exp(self.sharpness * (both / np.sqrt(own[w[some]] * self.own[k[some]]) - 1))
         return np.where(out < FLOOR, 0.0, out)
 
+    def best(self, words: list[str]) -> np.ndarray:
+        """Kernel values of words; those over ``LONGEST`` letters have the greatest of their windows'."""
+        out = np.zeros((len(words), len(self.landmarks)))
+        short = [i for i, w in enumerate(words) if 3 <= len(w) <= LONGEST]
+        some = [words[i] for i in short]
+        out[short] = self.values(some, self.near(some))
+        for i, word in enumerate(words):
+            if len(word) > LONGEST:
+                # At every place, as long as a landmark, and two letters longer for spellings with more.
+                for length, more in product(np.unique(self.lengths).tolist(), (0, 2)):
+                    width = length + more
+                    pieces = sorted({word[at : at + width] for at in range(max(len(word) - width, 0) + 1)})
+                    for part in (pieces[at : at + 8192] for at in range(0, len(pieces), 8192)):
+                        found = self.values(part, self.near(part) & (self.lengths == length))
+                        out[i] = np.maximum(out[i], found.max(axis=0))
+        return out
+
     def sentences(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Text and description of each sentence that is near a landmark."""
         none = np.zeros(0, dtype=np.int64), np.zeros((0, len(self.landmarks)))
@@ -134,27 +169,24 @@ class Kernel:
             return none
         hashes = words.hashes()
         distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        masks = _pair_masks(words.data, words.start, words.end, 2)[one]
-        size = words.end - words.start
-        near_pairs = self._near(masks, size[one])
-        near = np.flatnonzero(near_pairs.any(axis=1))
+        keys = distinct.tolist()
         if len(self.cache) > 500_000:
             self.cache.clear()
-        fresh = [i for i in near.tolist() if int(distinct[i]) not in self.cache]
+        fresh = [i for i, key in enumerate(keys) if key not in self.cache]
         if fresh:
-            texts = [bytes(words.data[words.start[one[i]] : words.end[one[i]]]).decode("utf-8", "replace").lower().translate(_drop) for i in fresh]
-            texts = [t if 3 <= len(t) <= LONGEST else "" for t in texts]
-            pairs = near_pairs[fresh] & np.array([t != "" for t in texts])[:, None]
-            for i, row in zip(fresh, self.values(texts, pairs), strict=True):
-                self.cache[int(distinct[i])] = row if row.any() else None
-        hot = np.array([i for i in near.tolist() if self.cache[int(distinct[i])] is not None], dtype=np.int64)
+            start, end = words.start[one], words.end[one]
+            texts = [words.data[start[i] : end[i]].tobytes().decode("utf-8", "replace").lower().translate(_drop) for i in fresh]
+            found = self.best(texts)
+            for i, row, some in zip(fresh, found, found.any(axis=1).tolist(), strict=True):
+                self.cache[keys[i]] = row.copy() if some else None
+        hot = np.array([i for i, key in enumerate(keys) if self.cache[key] is not None], dtype=np.int64)
         slot = np.full(len(distinct), -1)
         slot[hot] = np.arange(len(hot))
-        table = [self.cache[int(distinct[i])] for i in hot.tolist()]
+        table = [self.cache[keys[i]] for i in hot.tolist()]
         place = np.flatnonzero(slot[back] >= 0)
         rows = slot[back][place]
 
-        spelled, spelled_rows = self._spelled(words, size)
+        spelled, spelled_rows = self._spelled(words, words.end - words.start)
         if len(spelled):
             rows = np.append(rows, len(table) + np.arange(len(spelled)))
             place = np.append(place, spelled)
@@ -171,23 +203,15 @@ class Kernel:
         described = np.maximum.reduceat(np.array(table)[rows[order]], heads, axis=0)
         return text[place[order][heads]], described
 
-    def _near(self, masks: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Which words have almost all neighbouring letters of which landmarks."""
-        out = np.zeros((len(masks), len(self.landmarks)), dtype=bool)
-        for k, (mask, needed, length) in enumerate(zip(self.masks, self.needed, self.sizes, strict=True)):
-            shared = np.bitwise_count(masks & mask).sum(axis=1)
-            out[:, k] = (shared >= needed) & (size >= length - 2) & (size <= 2 * length + 4)
-        return out
-
     def _spelled(self, words: Words, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs of three or more one-letter words, read as one word."""
         single, text = np.flatnonzero(size == 1), words.text_of_word()
         broken = np.flatnonzero((np.diff(single) > 1) | (np.diff(text[single]) > 0)) + 1
-        runs = [(int(r[0]), int(r[-1]) + 1) for r in np.split(single, broken) if 3 <= len(r) <= LONGEST]
+        runs = [(int(r[0]), int(r[-1]) + 1) for r in np.split(single, broken) if len(r) >= 3]
         if not runs:
             return np.zeros(0, dtype=np.int64), np.zeros((0, len(self.landmarks)))
         joined = [bytes(words.data[words.start[s:e]]).decode("utf-8", "replace").lower() for s, e in runs]
-        values = self.values(joined, np.ones((len(joined), len(self.landmarks)), dtype=bool))
+        values = self.best(joined)
         some = np.flatnonzero(values.any(axis=1))
         return np.array([runs[i][0] for i in some], dtype=np.int64), values[some]
 

@@ -151,6 +151,37 @@ def test_subsequence_kernel():
         assert value == pytest.approx(_kernel(a, b, 3, 0.7))
 
 
+def test_words_that_reach_the_floor_are_compared():
+    """The letter bound against all kernel values, on generated spellings; marks, long words and long runs."""
+    from mnemolith.llm.tokens import Words
+
+    chance = random.Random(8)
+    insults = ["idiot", "moron", "worthless", "dummkopf", "incompréhensiblement", "abcdefghijklmn"]
+    kernel = toxicity.Kernel(insults)
+    spellings = ["id*ot".replace("*", ""), "idot", "mo*on".replace("*", "")]
+    for insult in insults:
+        for _ in range(150):
+            letters = list(insult)
+            for _ in range(chance.randrange(5)):
+                at = chance.randrange(len(letters))
+                letters[at : at + 1] = chance.choice([[], ["x"], [letters[at], "y"], [letters[at]] * 3])
+            spellings.append("".join(letters)[: toxicity.LONGEST])
+    spellings = [s for s in spellings if s]
+    full = kernel.values(spellings, np.ones((len(spellings), len(insults)), dtype=bool))
+    assert np.allclose(kernel.best([s for s in spellings if len(s) > 2]), full[[len(s) > 2 for s in spellings]], atol=1e-9) and (full > 0).sum() > 300
+
+    def greatest(text):
+        data = text.encode()
+        _, values = kernel.sentences(Words(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), lower=True))
+        return values[:, 0].max(initial=0.0)
+
+    assert greatest("you i..d..i..o..t") == greatest("i--d--i--o--t there") == pytest.approx(1.0)
+    assert greatest("an id*ot") >= toxicity.FLOOR
+    assert greatest("zqzq" * 20 + "idiot" + "zqzq" * 20) >= toxicity.FLOOR
+    assert greatest(" ".join("zqzq" * 15 + "idiot" + "zqzq" * 15)) >= toxicity.FLOOR
+    assert greatest("zqzq" * 40) == 0
+
+
 def test_toxicity(spark, odd, empty):
     chance = random.Random(2)
     insults = ["idiot", "worthless", "pathetic"]
