@@ -5,7 +5,11 @@ it counts common, possibly gapped, letter triples and discounts each by the
 length it spans, so an insult with inserted or dropped characters stays close.
 Normalised and sharpened as ``exp(sharpness * (k - 1))`` it is still a kernel.
 
-Landmarks are the words most associated with toxic labels. A sentence is
+Landmarks stand for all words that are associated with toxic labels: by falling
+association, a word is taken unless its kernel value with one taken before reaches
+``COVER``. If more than ``landmarks`` words are needed, ``COVER`` is lowered until they
+suffice, but not below ``FLOOR``, where a word would stand for none: beyond that
+training fails instead of leaving words out. A sentence is
 described by its greatest kernel value with each landmark over its words, mapped
 by the inverse square root of the landmarks' kernel matrix (Nystroem). A linear
 support vector machine is trained on sentences of labelled documents: of a
@@ -41,6 +45,7 @@ from .tokens import Words, text_slices
 
 LONGEST = 40
 FLOOR = 0.3  # kernel values below count as none
+COVER = 0.8  # words with such a kernel value stand for each other
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ends = np.zeros(256, dtype=bool)
 _ends[[ord(c) for c in ".!?"]] = True
@@ -70,6 +75,23 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float) -
     return ended.sum(axis=(1, 2))
 
 
+def cover(words: list[str], most: int) -> list[str]:
+    """Words, at most ``most`` and in the given order, that stand for all of ``words``."""
+    if not words:
+        return []
+    kernel = Kernel(words)
+    own = kernel.values(words, np.ones((len(words), len(words)), dtype=bool))
+    np.fill_diagonal(own, 1.0)
+    for level in np.linspace(COVER, FLOOR, 11):
+        chosen: list[int] = []
+        for i in range(len(words)):
+            if not (own[i, chosen] >= level).any():
+                chosen.append(i)
+        if len(chosen) <= most:
+            return [words[i] for i in chosen]
+    raise ValueError(f"{len(chosen)} landmarks are needed to stand for {len(words)} toxic words, over the bound of {most}")
+
+
 @dataclass
 class Kernel:
     """Sharpened kernel with a fixed list of landmark words."""
@@ -282,18 +304,18 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, landma
     seen = by_word.groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).filter("a >= 4")
     expected = F.col("n") * (bad / (bad + good))
     excess = F.when(F.col("a") > expected, (F.col("a") - expected) ** 2 / (expected + 1)).otherwise(0)
-    rows = seen.select("word", excess.alias("excess")).filter("excess > 12").orderBy(F.desc("excess"), "word").limit(landmarks).collect()
+    rows = seen.select("word", excess.alias("excess")).filter("excess > 12").orderBy(F.desc("excess"), "word").collect()  # of a bounded sample
     if not rows:
         return None
-    kernel = Kernel([r["word"] for r in rows])
+    kernel = Kernel(cover([r["word"] for r in rows], landmarks))
     described = sample.select("text", "toxic").mapInArrow(_described(kernel), "toxic int, values array<double>").toArrow()
-    values = np.array(described.column("values").to_pylist(), dtype=float).reshape(-1, len(rows))
+    values = np.array(described.column("values").to_pylist(), dtype=float).reshape(-1, len(kernel.landmarks))
     toxic = described.column("toxic").to_numpy()
 
     # An insult with a letter more or less has a lower kernel value, and labels seldom show one:
     # toxic sentences count a second time with their values weakened.
     values, toxic = np.concatenate([values, values[toxic == 1] * weakened]), np.append(toxic, toxic[toxic == 1])
-    own = kernel.values(kernel.landmarks, np.ones((len(rows), len(rows)), dtype=bool))
+    own = kernel.values(kernel.landmarks, np.ones((len(kernel.landmarks), len(kernel.landmarks)), dtype=bool))
     size, base = np.linalg.eigh((own + own.T) / 2)
     root = base / np.sqrt(np.maximum(size, 1e-3)) @ base.T  # Nystroem map
     weights = _fit(values @ root, np.where(toxic == 1, 1.0, -1.0), penalty)
