@@ -182,27 +182,6 @@ def test_words_that_reach_the_floor_are_compared():
     assert greatest("zqzq" * 40) == 0
 
 
-def test_landmarks_stand_for_all_toxic_words(spark):
-    stems = ["incompréhensiblement", "bedauernswertester"]
-    variants = [s[:at] + s[at] * 2 + s[at + 1 :] for s in stems for at in range(4, 16)]
-    words_ = [*stems, *variants, "tonto", "idiot", "moron", "gusano", "pathetic", "worthless"]
-    chosen = toxicity.cover(words_, 20)
-    assert len(chosen) <= 20 and {"tonto", "idiot", "moron", "gusano", "pathetic", "worthless"} <= set(chosen)
-    values = toxicity.Kernel(chosen).best(words_)
-    assert (values.max(axis=1) >= toxicity.FLOOR).all()
-    with pytest.raises(ValueError):
-        toxicity.cover(["tonto", "idiot", "gusano"], 2)
-    # Words with few labels, behind variants that fill the list.
-    chance = random.Random(4)
-    rows = [(i, prose(chance, 8), 0) for i in range(3000)]
-    for copies, listed in ((8, [*stems, *variants]), (6, ["tontos", "gusano"])):
-        rows += [(1000 + len(rows) + k, prose(chance, 8) + " " + word, 1) for word in listed for k in range(0, copies * 1000, 1000)]
-    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    docs, labels = make(spark, [(i, t, "es", "s") for i, t, _ in rows]), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
-    model = toxicity.train(docs, labels, landmarks=12)
-    assert {"tontos", "gusano"} <= set(model["landmarks"])
-
-
 def test_toxicity(spark, odd, empty):
     chance = random.Random(2)
     insults = ["idiot", "worthless", "pathetic"]
