@@ -57,7 +57,7 @@ def test_decontamination(spark, odd, empty):
             planted[i] = k
         rows.append((i, " ".join(text), "en", "s"))
     docs = make(spark, rows)
-    benchmark = spark.createDataFrame([*items, (99, items[0][1]), (98, None), (97, "too short"), (96, "")], "item_id long, text string")
+    benchmark = spark.createDataFrame([*items, (99, items[0][1]), (98, None), (97, "not here"), (96, ""), (None, "neither here")], "item_id long, text string")
     truth = set()
     for i, text, *_ in rows:
         for k, item in items:
@@ -79,6 +79,36 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.contamination(empty, benchmark).count() == 0
 
 
+def test_decontamination_recall_by_length():
+    """Items of 1 to 60 words with no edits to all allowed ones, against the edit distance of all stretches."""
+    from mnemolith.llm.tokens import Words, text_slices
+
+    chance = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    draw = lambda n: [chance.choice(vocabulary) for _ in range(n)]
+    for length in (1, 2, 4, 5, 7, 8, 9, 10, 11, 12, 15, 16, 23, 31, 50, 60):
+        most = int(0.2 * length) if length >= 8 else 0
+        for edits in sorted({0, most // 2, most}):
+            items = [" ".join(draw(length)) + f" id{i}" * (length > 1) for i in range(60)]
+            items = [" ".join(t.split()[-length:]) for t in items]
+            texts = []
+            for item in items:
+                own = item.split()
+                for _ in range(edits):
+                    at = chance.randrange(len(own))
+                    own[at : at + 1] = chance.choice([[f"n{chance.randrange(999)}"], [], [own[at], f"n{chance.randrange(999)}"]])
+                texts.append(" ".join(draw(20) + own + draw(chance.choice([0, 1, 30]))))
+            model = decontamination._Items(list(enumerate(items)), 0.2, 0.99, 8)
+            indexes, found = model.indexes(), {}
+            for row, _, data, offsets in text_slices(pa.array(texts)):
+                found |= {(row + m[0], items[model.ids[m[1]]]): m for m in model.matches(Words(data, offsets, lower=True), indexes)}
+            caught = sum((i, item) in found for i, item in enumerate(items))
+            assert caught == 60 if not edits else caught >= 56, (length, edits, caught)
+            for (i, item), (_, _, start, n, e) in found.items():
+                a, b = words(item, lower=True), words(texts[i], lower=True)
+                assert e == _edit_distance(a, b) == _edit_distance(a, b[start : start + n]) and (e or b[start : start + n] == a)
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     result = QUERIES["op7_language_id"](spark, SF)
