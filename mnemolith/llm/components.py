@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from .storage import discard, written
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _hung(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every edge ``(u, v)`` with the least node ``m`` that ``u`` sees or is, and the table of minima.
+
+    The minima are written, so that Spark can split the edges of a hub.
+    """
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+    return edges.join(least, "u"), least
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,12 +29,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hung, first = _hung(both)
+        large = written(hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         loops = edges.filter("u = v")
         moved = F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("v", "u")])
-        small = large.join(_least(large), "u").select(F.explode(moved).alias("edge")).select("edge.*").filter("u <> v")
+        hung, second = _hung(large)
+        small = hung.select(F.explode(moved).alias("edge")).select("edge.*").filter("u <> v")
         after = written(small.unionByName(loops).distinct(), "edges")
-        discard(edges)
+        discard(edges, first, large, second)
         edges = after
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen:

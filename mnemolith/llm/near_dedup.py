@@ -3,12 +3,12 @@
 Two documents are linked if the Jaccard similarity of their word-shingle sets
 reaches a threshold; groups are the connected components of all links.
 
-Method. Two small collections of ``tables`` bands each (a band hashes ``rows``
-minhashes) stand for ``tables ** 2`` tables: table (i, j) is keyed by band i of
-the first and band j of the second collection. That needs ``2 * tables * rows``
-minhashes instead of ``tables ** 2 * 2 * rows``. A pair at the threshold is missed
-only if all bands of one collection differ; for 0.85, ten bands of three rows
-miss one in about 7,000 such pairs, and far fewer above it.
+Method. Two small collections of t bands each (a band hashes ``rows`` minhashes)
+stand for t * t tables: table (i, j) is keyed by band i of the first and band j
+of the second collection. That needs 2 * t * rows minhashes instead of
+2 * t * t * rows. A pair at the threshold is missed only if all bands of one
+collection differ; t is the least number that misses at most ``miss`` of such
+pairs (10 at 0.85, 13 at 0.80), and far fewer above it.
 
 Scale. Equal sets count as one class from the start, so exact copies never
 meet in a bucket. A document whose bands of either collection match nobody is
@@ -20,29 +20,36 @@ dropped before tables are formed, without loss. Buckets do not emit all pairs:
    a member differs from its leader. If a member is not linked with the leader
    then it can only be linked with members that share part of its D, and so
    many that a shared element lies among the ``(1 - J) / J * size + 1`` rarest of
-   both. Only pairs with such an element, in different components, are compared:
-   independent edits of one text share none, however large the bucket.
+   both. Members that share such an element form a group. As long as groups
+   have many pairs across components, one member of each, its head, is compared
+   with the others and components are formed anew; then every pair of a group
+   that lies across components is compared. Pairs within a component, however
+   large it is, are never formed: they can join nothing.
 
 All links are confirmed on full sets built from whole texts.
 
 Defined cases: texts shorter than a shingle are one shingle of all their words;
 null and empty texts have an empty set and are linked with nothing; equal rows
-fall into one class; rows that share a ``doc_id`` are one node of the graph; rows
-without a ``doc_id`` are linked with nothing, have a null component and are not
-kept; extra columns are ignored; an empty table gives no rows.
+fall into one class; rows that share a ``doc_id`` are one node of the graph,
+linked with all that any of their texts is linked with; rows without a ``doc_id``
+are linked with nothing, have a null component and are not kept; there are no
+ties, since the least ``doc_id`` names a group; a text of any length is read whole,
+in one task; extra columns, whatever their names, are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import written
+from .storage import discard, written
 from .tokens import Words, mix, span_hashes, text_slices, windows
 
 
@@ -131,29 +138,33 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, differences: bool
     return joined.mapInArrow(_compare(width, differences), "x long, y long, size long, shared long, total long, differ array<long>")
 
 
-def _buckets(classes: DataFrame, tables: int) -> DataFrame:
-    """``(key, node)`` of all tables that a class may share with another class."""
+def _buckets(classes: DataFrame, tables: int) -> tuple[DataFrame, DataFrame]:
+    """``(key, node)`` of all tables that a class may share with another class, and the table of shared bands."""
     bands = classes.select("node", F.posexplode("bands").alias("band", "code")).withColumn("key", F.xxhash64("band", "code"))
     common = written(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "common-bands")
     useful = bands.join(common, "key", "left_semi").groupBy("node").agg(F.collect_list(F.struct("band", "key")).alias("own"))
     first = F.filter("own", lambda b: b["band"] < tables)
     second = F.filter("own", lambda b: b["band"] >= tables)
-    return useful.select(F.col("node"), first.alias("a"), second.alias("b")).select(
-        "node", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x["key"], y["key"]))))).alias("key")
-    )
+    keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x["key"], y["key"]))))
+    return useful.select(F.col("node"), first.alias("a"), second.alias("b")).select("node", F.explode(keys).alias("key")), common
+
 
+def _placed(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of ``node``, its own where it has no link."""
+    named = parts.select(F.col("node").alias(node), F.col("component").alias("found"))
+    return rows.join(named, node, "left").withColumn(name, F.coalesce("found", node)).drop("found")
 
-def _apart(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(x, y)`` in different components that share rare differences from a leader."""
 
-    def with_part(rows: DataFrame, node: str, name: str) -> DataFrame:
-        named = parts.select(F.col("node").alias(node), F.col("component").alias("found"))
-        return rows.join(named, node, "left").withColumn(name, F.coalesce("found", node)).drop("found")
+def _rare(tested: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Members of a leader ``y`` by the rare shingles in which they differ from it, and the tables used.
 
-    placed = with_part(with_part(tested.drop("differ"), "x", "part"), "y", "main")
+    Only leaders with members in several components count, and only shingles that
+    more than one member has.
+    """
+    placed = _placed(_placed(tested.drop("differ"), parts, "x", "part"), parts, "y", "main")
     split = placed.groupBy("y").agg(F.min(F.least("part", "main")).alias("low"), F.max(F.greatest("part", "main")).alias("high"))
     split = written(split.filter("low < high").select("y"), "split")
-    facts = written(placed.join(split, "y", "left_semi").select("x", "y", "part", "linked", "size", (F.col("shared") / F.col("total")).alias("alike")), "members")
+    facts = written(placed.join(split, "y", "left_semi").select("x", "y", "linked", "size", (F.col("shared") / F.col("total")).alias("alike")), "members")
     apart = tested.join(split, "y", "left_semi").select("x", "y", F.size("differ").alias("n"), F.explode("differ").alias("shingle"))
     twice = written(apart.groupBy("y", "shingle").agg(F.count("*").alias("times")).filter("times > 1"), "shared-differences")
     common = apart.join(twice, ["y", "shingle"])
@@ -161,34 +172,82 @@ def _apart(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     common = common.withColumn("common", F.count("*").over(mine))
     ranked = common.withColumn("rank", F.row_number().over(mine.orderBy("times", "shingle")) + F.col("n") - F.col("common"))
     rare = ranked.join(facts, ["x", "y"]).filter(F.col("rank") <= F.floor(F.col("size") * (100 - percent) / percent) + 1)
-    columns = ["x", "part", "size", "alike", "n", "common"]
-    rare = written(rare.select("y", "shingle", "linked", *columns), "rare")
-    stray = rare.filter("NOT linked").select("y", "shingle", *[F.col(c).alias(f"{c}_2") for c in columns])
+    return written(rare.select("y", "shingle", "linked", *_FACTS), "rare"), [split, facts, twice]
+
+
+_FACTS = ["x", "size", "alike", "n", "common"]
+
+
+def _reachable(percent: int) -> Column:
+    """Whether the facts of two members of a leader allow a link between them."""
     # Linked sets differ in few shingles, so what each adds to the leader must mostly be common.
     needed = (F.col("n") + F.col("n_2") - (F.col("size") + F.col("size_2")) * (100 - percent) / (100 + percent)) / 2
-    reachable = (
-        (F.col("part") != F.col("part_2"))
-        & (F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * percent)
+    return (
+        (F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * percent)
         & (F.abs(F.col("alike") - F.col("alike_2")) <= 1 - percent / 100 + 1e-9)
         & (F.least("common", "common_2") >= needed - 1e-6)
     )
-    met = rare.join(stray, ["y", "shingle"]).filter(reachable).select(F.greatest("x", "x_2").alias("x"), F.least("x", "x_2").alias("y"))
-    return met.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
+def _mixed_groups(rare: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``rare`` whose leader and shingle have members of several components, and these pairs of both."""
+    placed = _placed(rare, parts, "x", "part")
+    groups = placed.groupBy("y", "shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct("linked", "x")).alias("head"))
+    groups = written(groups.filter("low < high AND NOT head.linked").select("y", "shingle", F.col("head.x").alias("head")), "mixed-groups")
+    return written(placed.join(groups.drop("head"), ["y", "shingle"]), "mixed"), groups
+
+
+def _against_heads(mixed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each group's members with its head, a member that is not linked with the leader."""
+    heads = mixed.select("y", "shingle", "part", *_FACTS).join(groups.withColumnRenamed("head", "x"), ["y", "shingle", "x"])
+    heads = heads.select("y", "shingle", *[F.col(c).alias(f"{c}_2") for c in ("part", *_FACTS)])
+    met = mixed.join(written(heads, "heads"), ["y", "shingle"]).filter(F.col("part") != F.col("part_2")).filter(_reachable(percent))
+    return met.select(F.greatest("x", "x_2").alias("x"), F.least("x", "x_2").alias("y")).distinct()
+
+
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components; pairs of one component are never formed."""
+    of_part = written(mixed.groupBy("y", "shingle", "part").agg(F.min("linked").alias("linked")), "parts-of-groups")
+    other = of_part.filter("NOT linked").select("y", "shingle", F.col("part").alias("part_2"))
+    met = written(of_part.drop("linked").join(other, ["y", "shingle"]).filter(F.col("part") != F.col("part_2")), "meetings")
+    stray = mixed.filter("NOT linked").select("y", "shingle", *[F.col(c).alias(f"{c}_2") for c in ("part", *_FACTS)])
+    pairs = mixed.join(met, ["y", "shingle", "part"]).join(stray, ["y", "shingle", "part_2"]).filter(_reachable(percent))
+    return pairs.select(F.greatest("x", "x_2").alias("x"), F.least("x", "x_2").alias("y")).distinct()
+
+
+def _excess(mixed: DataFrame) -> bool:
+    """Whether pairs across components are more than eight times the members."""
+    sizes = mixed.groupBy("y", "shingle", "part").agg(F.count("*").cast("double").alias("n"))
+    total = sizes.groupBy("y", "shingle").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    row = total.agg(F.sum("all").alias("rows"), F.sum(F.col("all") * F.col("all") - F.col("own")).alias("pairs")).first()
+    return bool(row["rows"]) and row["pairs"] > 16 * row["rows"]
+
+
+def _links(confirmed: DataFrame, percent: int) -> DataFrame:
+    near = F.col("shared") * 100 >= F.col("total") * percent
+    return confirmed.filter(near).select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+def tables_for(percent: int, rows: int, miss: float) -> int:
+    """Bands of ``rows`` minhashes in each collection that miss at most ``miss`` of the pairs at the threshold."""
+    alike = (percent / 100) ** rows
+    return math.ceil(math.log(miss / 2) / math.log(1 - alike)) if alike < 1 else 1
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 2e-4, rows: int = 3) -> DataFrame:
     """Return ``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     ``component_id`` is the least ``doc_id`` of the group and ``kept`` marks it.
     Documents are linked if ``100 * intersection >= percent * union``.
     """
+    tables = tables_for(percent, rows, miss)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = written(base.mapInArrow(_signatures(width, tables, rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signatures")
 
     filled = marks.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
-    buckets = _buckets(classes, tables)
+    buckets, common = _buckets(classes, tables)
     crowded = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     crowded = written(crowded, "crowded")  # a plain side, so that Spark can split a skewed bucket
     members = written(buckets.join(crowded, "key"), "buckets")
@@ -202,34 +261,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     texts = written(texts.withColumn("hash", F.xxhash64("text")).dropDuplicates(["node", "hash"]).drop("hash"), "texts")
     near = F.col("shared") * 100 >= F.col("total") * percent
     tested = written(_confirmed(stars, texts, width, differences=True).withColumn("linked", near), "tested")
-    links = tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    parts = written(connected_components(links), "parts")
 
-    more = _confirmed(_apart(tested, parts, percent), texts, width).filter(near).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    # Several texts of one doc_id are one node: it joins the classes of all of them.
+    edge = ("f1", "f2")
+    several = filled.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in edge for f in (F.min, F.max)]).filter("min_f1 < max_f1 OR min_f2 < max_f2")
+    same = filled.join(several.select("doc_id"), "doc_id", "left_semi").join(classes.select("f1", "f2", "node"), ["f1", "f2"])
+    links = written(tested.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(same.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))), "links")
+    parts = written(connected_components(links), "parts")
+    rare, used = _rare(tested, parts, percent)
+
+    # Groups that hold several components get a head, with which all others are compared, as long as this
+    # joins components and the pairs across them are many; then each pair across components is compared.
+    mixed, groups = _mixed_groups(rare, parts)
+    while _excess(mixed):
+        more = written(_links(_confirmed(_against_heads(mixed, groups, percent), texts, width), percent), "links")
+        if more.isEmpty():
+            break
+        links, before = written(links.unionByName(more), "links"), links
+        discard(before, more, mixed, groups, parts)
+        parts = written(connected_components(links), "parts")
+        mixed, groups = _mixed_groups(rare, parts)
+    more = _links(_confirmed(_across(mixed, percent), texts, width), percent)
     merged = connected_components(links.unionByName(more))
 
-    found = classes.join(merged, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
+    found = written(classes.join(merged, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component")), "found")
+    discard(classes, common, crowded, members, leaders, texts, tested, links, parts, rare, mixed, groups, *used)
     full = filled.select("doc_id", "n_shingles", "f1", "f2").join(found, ["f1", "f2"]).drop("f1", "f2")
     alone = marks.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))
     return full.unionByName(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-def representatives(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates, and every row with an empty set.
-
-    Of rows that share the kept ``doc_id`` the one with the least text hash stays, and
-    rows without a ``doc_id`` leave; where ``doc_id`` is not a key of the rows, use
-    :func:`distinct_documents`.
-    """
-    kept = near_duplicates(docs, width, percent, tables, rows).filter("kept OR n_shingles = 0").select(F.col("doc_id").alias("kept_id")).distinct()
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64(F.col("text").cast("string")).alias("order"))
-    chosen = given.join(kept, "kept_id", "left_semi")
-    first = Window.partitionBy("kept_id").orderBy("order")
-    return chosen.withColumn("number", F.row_number().over(first)).filter("number = 1").select("given.*")
-
-
-def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 10, rows: int = 3) -> DataFrame:
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 2e-4, rows: int = 3) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, and every row with an empty set.
 
     Rows are told apart by a hash of ``doc_id`` and text, so a null ``doc_id`` or one
@@ -239,7 +302,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, table
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     key = F.xxhash64(doc_id, text)
-    groups = near_duplicates(docs.select(key.alias("doc_id"), text.alias("text")), width, percent, tables, rows)
+    groups = near_duplicates(docs.select(key.alias("doc_id"), text.alias("text")), width, percent, miss, rows)
     groups = groups.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
     members = docs.select(key.alias("row_key"), doc_id.alias("own_id")).distinct().join(groups, "row_key")
     least = members.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "row_key")).alias("least"))

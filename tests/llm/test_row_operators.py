@@ -66,11 +66,43 @@ def test_near_dedup(odd, odd_rows, empty):
         expected += [(None, len(_shingles(t, width)), None, False) for i, t, *_ in odd_rows if i is None]
         found = near_dedup.near_duplicates(odd, width, percent).collect()
         assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
-    kept = near_dedup.representatives(odd, 5, 80)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == {i for i, s in sets if root(i) == i or not s}
-    assert near_dedup.near_duplicates(empty).count() == near_dedup.representatives(empty).count() == 0
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_near_dedup_rows_of_one_doc_id_are_one_node(spark):
+    chance = random.Random(9)
+    a, b, c = (prose(chance, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (1, b), (8, a + " more"), (9, c), (9, c), (7, "")]
+    found = near_dedup.near_duplicates(make(spark, [(i, t, None, None) for i, t in rows]), 3, 85).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(5, 1, False), (1, 1, True), (8, 1, False), (9, 9, True), (7, 7, True)}
+
+
+def test_near_dedup_pairs_grow_linearly(spark, monkeypatch):
+    """Two families of edited copies that share buckets: groups as brute force has them, pairs in proportion."""
+    compared = []
+    confirmed = near_dedup._confirmed
+
+    def counting(pairs, *rest, **more):
+        compared.append(pairs.count())
+        return confirmed(pairs, *rest, **more)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counting)
+    totals = []
+    for n in (60, 120, 240):
+        chance = random.Random(12)
+        first = [f"w{chance.randrange(100_000)}" for _ in range(200)]
+        second = [f"v{k}" if k % 20 == 0 else w for k, w in enumerate(first)]
+        rows = []
+        for i in range(2 * n):
+            own = list((first, second)[i % 2])
+            own[chance.randrange(200)] = f"x{i}"
+            rows.append((i, " ".join(own), None, None))
+        compared.clear()
+        found = near_dedup.near_duplicates(make(spark, rows), 3, 85).collect()
+        root, _ = _components(rows, 3, 85)
+        assert {(r.doc_id, r.component_id) for r in found} == {(i, root(i)) for i, *_ in rows}
+        totals.append(sum(compared))
+    assert totals[2] <= 2.6 * totals[1] <= 6.8 * totals[0], totals
 
 
 def test_near_dedup_keeps_rows_that_are_nobodys_copy(spark, odd, odd_rows, empty):
