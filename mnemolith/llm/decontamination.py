@@ -246,6 +246,8 @@ class _Items:
 
     def _verify(self, hashes: np.ndarray, first: np.ndarray, item: np.ndarray, text: np.ndarray, start: np.ndarray, best: dict) -> None:
         """Put the edits and end of each text's best stretch for an item into ``best``."""
+        if not len(item):
+            return
         step = np.array(self.allowed)[item] + 1  # places within the allowed edits are verified as one
         proposed = np.unique(np.stack([item, text, start // step * step], axis=1), axis=0)
         numbers, heads = np.unique(proposed[:, 0], return_index=True)
