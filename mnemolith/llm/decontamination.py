@@ -97,12 +97,15 @@ def _offsets(length: int) -> np.ndarray:
 
 @lru_cache(maxsize=256)
 def repeats_for(width: int, length: int, edits: int, recall: float, trials: int = 150) -> int:
-    """Least repeats that find at least ``recall`` of drawn items of ``length`` words with ``edits`` edits."""
+    """Least repeats that find at least ``recall`` of drawn items of ``length`` words with ``edits`` edits.
+
+    Each drawn item gives the share of walks that meet, and so its chance to be missed by all.
+    """
     if not edits:
         return 1  # equal windows have equal keys
     chance = np.random.default_rng(length)
     samples = _samples(width, MOST_REPEATS)
-    first = np.full(trials, MOST_REPEATS)
+    met = np.zeros(trials)
     for trial in range(trials):
         item = chance.integers(1, 1 << 62, length)
         text = item.tolist()
@@ -113,10 +116,9 @@ def repeats_for(width: int, length: int, edits: int, recall: float, trials: int
         item, offsets, starts = item.astype(np.uint64), _offsets(length), np.arange(len(text) - length)
         own = _walk_keys(item, offsets, np.minimum(offsets + width, length), samples)
         other = _walk_keys(text, starts, np.minimum(starts + width, len(text)), samples)
-        met = [r for r in range(MOST_REPEATS) if np.isin(own[r], other[r]).any()]
-        first[trial] = met[0] if met else MOST_REPEATS
-    reached = [r for r in range(1, MOST_REPEATS) if (first < r).mean() >= recall]
-    return min(reached, default=MOST_REPEATS)
+        met[trial] = np.mean([np.isin(own[r], other[r]).any() for r in range(MOST_REPEATS)])
+    enough = [r for r in range(1, MOST_REPEATS) if np.mean((1 - met) ** r) <= 1 - recall]
+    return min(enough, default=MOST_REPEATS)
 
 
 def _edits(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -317,7 +319,7 @@ def _blocks(items: DataFrame, max_edits: float, recall: float, exact_below: int,
         yield spark.sparkContext.broadcast(_Items([(item, text) for _, item, text in rows], max_edits, recall, exact_below))
 
 
-def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.99, exact_below: int = 8, block: int = 10_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.999, exact_below: int = 8, block: int = 10_000) -> DataFrame:
     """Return ``doc_id, item_id, start_word, n_words, edits``: the best match of each text and item."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
@@ -327,7 +329,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, rec
     return found
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.99, exact_below: int = 8, block: int = 10_000) -> DataFrame:
+def uncontaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.999, exact_below: int = 8, block: int = 10_000) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
     for model in _blocks(items, max_edits, recall, exact_below, block):
         docs = docs.mapInArrow(_clean(model), docs.schema)

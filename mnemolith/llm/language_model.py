@@ -1,26 +1,34 @@
-"""Scoring texts by a trigram model held in an Elias-Fano trie.
-
-Counts. Every token of every training text is counted by Spark: word counts in
-full (one row for each distinct word), and trigram counts over ``classes`` word
-classes: the most frequent words, one class for all others, and the text's end,
-which also stands before its start. Both grow with the corpus.
-
-Model. Interpolated absolute discounting over classes, down to add-one word
-frequencies. A word of the class of others gets that class's probability times
-its own add-one share of it, so probabilities over all words and one unseen
-word sum to one. Trigrams go by ascending count until at most ``max_triples``
-remain, and their mass goes to the backoff weight; so the model has a fixed
-bound (``max_triples`` and ``classes ** 2`` entries of a few bytes, checked before the
-broadcast) however large the corpus is.
-
-Scoring is one pass. Counts of the most frequent words (a bound of
-``max_frequent`` rows) travel with the model; all others are rows of the text
-that join the full table of counts, so no vocabulary is ever gathered.
+"""Scoring texts by a word trigram model held in an Elias-Fano trie.
+
+Model. Interpolated absolute discounting: a trigram's probability backs off to
+the bigram's and that to the word's. Every trigram, bigram and word of the
+training texts counts; nothing is pruned. Words that are not among the
+``max_frequent`` most frequent, seen or not, share one unigram probability; their
+bigrams and trigrams are their own. Probabilities after any context sum to one
+over all words, the text's end and one word for all unseen ones.
+
+Trie. The n-grams are dealt into buckets by their middle word, so that a
+trigram, its context, its bigram and the context of that lie in one bucket of
+about ``bucket`` tokens. A word with more occurrences than that has several
+lower contexts, told apart by a hash of the word before it, so its contexts
+spread over buckets. Each bucket builds its part of the trie in one task:
+contexts, bigrams and trigrams are Elias-Fano sequences in which a child is
+found by a successor search relative to its context, with pointers to the first
+child, and probabilities and backoff weights are one-byte codes. The part lies in
+one memory map, scores all tokens of the bucket, and is gone with the task;
+what is gathered grows with the corpus, and no task holds more than a bucket.
+
+Texts are read once for their words' counts and once as slices. A slice sends
+each bucket the tokens that it has of it as arrays, and gets back one sum for
+each of its texts. Counts of the ``max_frequent`` most frequent words are broadcast;
+all others are rows of the text that join the full table of counts.
 
 Defined cases: null and empty texts score their end alone; a null ``doc_id``
 hashes as the empty string and so trains; rows repeated as a whole are scored
-one by one and count repeatedly; extra columns are ignored; without training
-texts all counts are zero.
+one by one and count repeatedly; frequent words tie by their hash; a text of any
+length is read whole, in one slice; extra columns, whatever their names, are
+ignored; an empty table gives no rows; without training texts all counts are
+zero and every token has the same probability.
 """
 
 from __future__ import annotations
@@ -30,17 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .elias_fano import Trie, encode, mapped, pack
+from .elias_fano import Trie, build, mapped, pack
 from .lookup import HashIndex
 from .storage import written
 from .tokens import Words, mix, text_slices
 
 END_WORD = int(mix(np.array([0x454E44], dtype=np.uint64)).view(np.int64)[0])
-OTHER, END = 0, 1  # word classes
+COMMON = 1 << 19  # codes below are ranks of frequent words
+END = (1 << 32) - 1  # code of a text's end, which also stands before its start
 SLICE = 4 << 20
+SLICE_ROWS = 1 << 14
 
 
 def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
@@ -48,46 +59,12 @@ def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=[name, "n"])
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, end, data, offsets in text_slices(batch.column("text"), SLICE):
             words, counts = np.unique(Words(data, offsets, lower=True).hashes().view(np.int64), return_counts=True)
-            yield _counted(np.append(words, END_WORD), np.append(counts, end - row), "word")
-
-
-def _class_stream(words: Words, ids: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram ``(u, v, w)`` of each token as one number, and each token's place."""
-    ends = words.first[1:] + np.arange(len(words.count))
-    stream = np.empty(len(ids) + len(ends), dtype=np.int64)
-    place = np.arange(len(ids)) + words.text_of_word()
-    stream[place], stream[ends] = ids, END
-    before = np.empty_like(stream)
-    before[0] = END
-    before[1:] = stream[:-1]  # a text's end stands before the next text's start
-    earlier = np.empty_like(stream)
-    earlier[:1] = END
-    earlier[1:] = before[:-1]
-    first = np.append(0, ends[:-1] + 1)
-    earlier[first] = END
-    return (earlier * classes + before) * classes + stream, place
-
-
-def _triple_counts(model, classes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = model.value
-        index = HashIndex(keys)
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
-                words = Words(data, offsets, lower=True)
-                at = index.find(words.hashes())
-                grams, _ = _class_stream(words, np.where(at >= 0, ids[at], OTHER), classes)
-                yield _counted(*np.unique(grams, return_counts=True), "gram")
-
-    return run
+            words, counts = np.append(words, END_WORD), np.append(counts, end - row)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
 
 def _bound(counts: DataFrame, most: int) -> int:
@@ -102,176 +79,242 @@ def _bound(counts: DataFrame, most: int) -> int:
     return 0
 
 
-def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of 256 equal steps between the extremes, and a function's codes."""
-    low, high = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
-    step = (high - low) / 256  # 0 if all are equal, and then the table has nothing but them
-    return np.minimum(((values - low) / (step or 1.0)).astype(np.int64), 255).astype(np.uint8), low + (np.arange(256) + 0.5) * step
-
-
-def _trie(triples: np.ndarray, triple_n: np.ndarray, pairs: np.ndarray, pair_n: np.ndarray, context_n: np.ndarray, unigram: np.ndarray, classes: int, discount: float) -> dict[str, np.ndarray]:
-    """Arrays of a :class:`Trie` from counts.
-
-    ``pairs`` are complete, each with its count as the last two of a trigram
-    and as the first two; ``triples`` may be pruned.
-    """
-    first, second = pairs // classes, pairs % classes
-    class_n = np.maximum(np.bincount(first, pair_n, classes), 1)
-    back1 = 1 - np.bincount(first, np.maximum(pair_n - discount, 0), classes) / class_n
-    p2 = np.maximum(pair_n - discount, 0) / class_n[first] + back1[first] * unigram[second]
-    place = np.searchsorted(pairs, triples // classes)
-    last = triples % classes
-    kept = np.bincount(place, np.maximum(triple_n - discount, 0), len(pairs))
-    back2 = 1 - kept / np.maximum(context_n, 1)
-    below = (triples // classes % classes) * classes + last
-    p3 = np.maximum(triple_n - discount, 0) / context_n[place] + back2[place] * p2[np.searchsorted(pairs, below)]
-    codes, probability = _quantised(np.log10(np.concatenate([unigram, p2, p3])))
-    weights, backoff = _quantised(np.log10(np.maximum(np.concatenate([back1, back2]), 1e-12)))
-    cut = np.cumsum([classes, len(p2)])
-    arrays = {"classes": np.array([classes]), "probability": probability, "backoff": backoff, "b1": weights[:classes], "b2": weights[classes:]}
-    arrays |= dict(zip(("p1", "p2", "p3"), np.split(codes, cut), strict=True))
-    starts = np.searchsorted(place, np.arange(len(pairs) + 1))
-    for name, values, universe in (("pairs", pairs, classes**2), ("triples", place * classes + last, max(len(pairs), 1) * classes), ("pointer", starts, len(triples) + 1)):
-        arrays |= {f"{name}.{k}": v for k, v in encode(values, universe).items()}
-    return arrays
-
-
-def train(docs: DataFrame, classes: int = 512, max_frequent: int = 1 << 19, max_triples: int = 1 << 21, discount: float = 0.75) -> dict:
-    """Count the texts of ``docs`` and return the model.
-
-    The result has the packed ``block``, the written ``counts`` (word, n) and
-    the totals ``tokens`` and ``distinct``.
-    """
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = written(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+def _vocabulary(counts: DataFrame, max_frequent: int, bucket: int) -> dict[str, np.ndarray]:
+    """Arrays of the most frequent words, and the totals of all."""
     total = counts.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     tokens, distinct = total["tokens"], total["distinct"]
-
     frequent = counts.filter(F.col("n") > _bound(counts, max_frequent)).toArrow()
-    word, n = (frequent.column(c).to_numpy() for c in ("word", "n"))
+    word, n = frequent.column("word").to_numpy(), frequent.column("n").to_numpy()
     order = np.argsort(word.view(np.uint64))
-    word, n = word[order], n[order]
-    chosen = np.lexsort((word, -n))
-    chosen = chosen[word[chosen] != END_WORD][: classes - 2]
-    ids = np.zeros(len(word), dtype=np.int16)
-    ids[chosen] = np.arange(2, len(chosen) + 2)
+    word, n = word[order].view(np.uint64), n[order]
+    rank = np.empty(len(word), dtype=np.uint32)
+    rank[np.lexsort((word, -n))] = np.arange(len(word))
+    everything = tokens + distinct + 1
+    share = np.empty(len(word))
+    share[rank] = (n + 1) / everything
+    rare = max(1 - share.sum(), 1 / everything) / (distinct - len(word) + 1)
+    kinds = np.ones(len(word), dtype=np.uint64)
+    kinds[rank] = -(-n // bucket)
+    end = np.flatnonzero(word.view(np.int64) == END_WORD)
+    end_kinds = kinds[rank[end]] if len(end) else np.ones(1, dtype=np.uint64)
+    return {"words": word, "n": n, "rank": rank, "share": share, "rare": np.array([rare]), "kinds": kinds, "end_kinds": end_kinds, "totals": np.array([tokens, distinct], dtype=np.int64)}
+
+
+def _base(model):
+    """Rows of texts with what the frequent words give, and rows of their other words."""
 
-    spark = docs.sparkSession
-    vocabulary = np.sort(chosen)
-    sent = spark.sparkContext.broadcast((word[vocabulary].view(np.uint64), ids[vocabulary]))
-    grams = texts.mapInArrow(_triple_counts(sent, classes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = written(grams, "triples")
-    pair = F.pmod("gram", F.lit(classes**2))
-    pairs = grams.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).unionByName(grams.groupBy(F.expr(f"gram div {classes}").alias("pair")).agg(F.lit(0).cast("long").alias("n")))
-    pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    contexts = grams.groupBy(F.expr(f"gram div {classes}").alias("pair")).agg(F.sum("n").alias("n")).toArrow()
-    triples = grams.filter(F.col("n") > _bound(grams, max_triples)).toArrow()
-
-    end_n = int(n[word == END_WORD][0]) if (word == END_WORD).any() else 0
-    share = np.zeros(classes)
-    share[2 : len(chosen) + 2] = n[chosen] + 1
-    share[END] = end_n + 1
-    other = max(tokens + distinct + 1 - share.sum(), 1)
-    share[OTHER] = other
-    share[len(chosen) + 2 :] = 1e-9  # classes without a word, never asked for
-    keys = pairs.column("pair").to_numpy()
-    by = np.argsort(keys)
-    keys, pair_n = keys[by], pairs.column("n").to_numpy()[by].astype(float)
-    totals = np.zeros(len(keys))
-    totals[np.searchsorted(keys, contexts.column("pair").to_numpy())] = contexts.column("n").to_numpy()
-    gram = triples.column("gram").to_numpy()
-    by = np.argsort(gram)
-    arrays = _trie(gram[by], triples.column("n").to_numpy()[by].astype(float), keys, pair_n, totals, share / (tokens + distinct + 1), classes, discount)
-    arrays |= {"words": word.view(np.uint64), "word_n": n, "word_class": ids, "totals": np.array([tokens + distinct + 1, other], dtype=float)}
-    return {"block": pack(arrays), "counts": counts, "tokens": tokens, "distinct": distinct}
-
-
-def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = mapped(model.value)
-        trie, index = Trie(arrays), HashIndex(arrays["words"])
-        classes, (everything, other) = trie.classes, arrays["totals"]
-        log_n = np.log10(arrays["word_n"] + 1.0)
+        vocabulary = model.value
+        index, n = HashIndex(vocabulary["words"]), vocabulary["n"]
+        everything = int(vocabulary["totals"].sum()) + 1
+        log_n = np.append(np.log10((n + 1.0) / everything), 0.0)  # the last for words that are not frequent
         end_at = index.find(np.array([END_WORD], dtype=np.int64).view(np.uint64))[0]
-        end_n = arrays["word_n"][end_at] if end_at >= 0 else 0
-        names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "word", "n"]
+        end_n = int(n[end_at]) if end_at >= 0 else 0
+        names = ["key", "doc_id", "n_tokens", "n_known", "base_score", "word", "n"]
         for batch in batches:
             for row, end, data, offsets in text_slices(batch.column("text"), SLICE):
                 words = Words(data, offsets, lower=True)
-                texts, of = end - row, words.text_of_word()
-                hashes = words.hashes()
+                texts, of, hashes = end - row, words.text_of_word(), words.hashes()
                 at = index.find(hashes)
-                known = at >= 0
-                log = np.where(known, log_n[at], 0.0) if len(log_n) else np.zeros(len(at))
-                kind = np.where(known, arrays["word_class"][at], OTHER) if len(log_n) else np.full(len(at), OTHER)
-                base = np.bincount(of, np.where(known, log - math.log10(everything), 0.0), texts) + math.log10((end_n + 1) / everything)
-                grams, place = _class_stream(words, kind, classes)
-                different, back = np.unique(grams, return_inverse=True)
-                value = trie.score(different // classes**2, different // classes % classes, different % classes)[back]
-                value[place] += np.where(known & (kind == OTHER), log - math.log10(other), 0.0)
-                score = np.add.reduceat(value, words.first[:-1] + np.arange(texts))
-                rows = batch.column("row").slice(row, texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows,
-                        batch.column("doc_id").slice(row, texts),
-                        pa.array(words.count.astype(np.int64) + 1),
-                        pa.array(np.bincount(of, known, texts).astype(np.int64) + int(end_n > 0)),
-                        pa.array(base),
-                        pa.array(score),
-                        pa.nulls(texts, pa.int64()),
-                        pa.nulls(texts, pa.int64()),
-                    ],
-                    names=names,
-                )
-                rare = np.flatnonzero(~known)
+                keys = batch.column("key").slice(row, texts)
+                base = np.bincount(of, log_n[at], texts) + math.log10((end_n + 1) / everything)
+                known = np.bincount(of, at >= 0, texts).astype(np.int64) + int(end_n > 0)
+                columns = [keys, batch.column("doc_id").slice(row, texts), pa.array(words.count.astype(np.int64) + 1), pa.array(known), pa.array(base)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.int64())], names=names)
+                rare = np.flatnonzero(at < 0)
                 if len(rare):
                     text, word = of[rare], hashes[rare]
                     by = np.lexsort((word, text))
                     text, word = text[by], word[by]
                     fresh = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (word[1:] != word[:-1])))
                     m = len(fresh)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            rows.take(pa.array(text[fresh])),
-                            pa.nulls(m, pa.int64()),
-                            *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())],
-                            pa.array(word[fresh].view(np.int64)),
-                            pa.array(np.diff(np.append(fresh, len(text)))),
-                        ],
-                        names=names,
-                    )
+                    empty = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+                    times = np.diff(np.append(fresh, len(text)))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(text[fresh])), *empty, pa.array(word[fresh].view(np.int64)), pa.array(times)], names=names)
+
+    return run
+
+
+def _codes(hashes: np.ndarray, index: HashIndex, rank: np.ndarray) -> np.ndarray:
+    """32-bit codes of words: ranks of the frequent ones, hashes above ``COMMON`` for others."""
+    at = index.find(hashes)
+    other = COMMON + 1 + (hashes >> np.uint64(32)) % np.uint64(END - COMMON - 1)
+    return np.where(at >= 0, rank[at] if len(rank) else 0, other).astype(np.uint32)
+
+
+def _context(v: np.ndarray, draw: np.ndarray, kinds: np.ndarray, end_kinds: int) -> np.ndarray:
+    """The lower context of each token: the word before it, told apart by ``draw`` if very frequent."""
+    count = np.ones(len(v), dtype=np.uint64)
+    common = v < len(kinds)
+    count[common] = kinds[v[common]]
+    count[v == END] = end_kinds
+    split = np.flatnonzero(count > 1)
+    if len(split):
+        v = v.copy()
+        kind = mix(draw[split]) % count[split]
+        v[split] = COMMON + 1 + mix(v[split].astype(np.uint64) << np.uint64(32) | kind) % np.uint64(END - COMMON - 1)
+    return v
+
+
+def _slice_tokens(words: Words, codes: np.ndarray, keys: np.ndarray, kinds: np.ndarray, end_kinds: int) -> tuple[np.ndarray, ...]:
+    """``(v, u, w, text)`` of every token, ends included: the word and the two before it.
+
+    The context of frequent words is told apart by the word before, and that of a
+    text's first token by the text's key.
+    """
+    ends = words.first[1:] + np.arange(len(words.count))
+    w = np.empty(len(codes) + len(ends), dtype=np.uint32)
+    w[np.arange(len(codes)) + words.text_of_word()] = codes
+    w[ends] = END
+    v = np.append(np.uint32(END), w[:-1])  # a text's end stands before the next text's start
+    u = np.append(np.uint32(END), v[:-1])
+    first = np.append(0, ends[:-1] + 1)
+    u[first] = END
+    draw = u.astype(np.uint64)
+    draw[first] = keys
+    return _context(v, draw, kinds, end_kinds), u, w, np.repeat(np.arange(len(ends)), words.count + 1)
+
+
+def _dealt(model, buckets: int):
+    """One row for each slice and bucket, the slice's tokens of that bucket, and one with the slice's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = model.value
+        index, kinds, end_kinds = HashIndex(vocabulary["words"]), vocabulary["kinds"], int(vocabulary["end_kinds"][0])
+        for batch in batches:
+            keys, learn = batch.column("key").to_numpy(), batch.column("learn").to_numpy(zero_copy_only=False)
+            for row, end, data, offsets in text_slices(batch.column("text"), SLICE, SLICE_ROWS):
+                words, own = Words(data, offsets, lower=True), keys[row:end]
+                v, u, w, text = _slice_tokens(words, _codes(words.hashes(), index, vocabulary["rank"]), own.view(np.uint64), kinds, end_kinds)
+                name = int(np.bitwise_xor.reduce(mix(own.view(np.uint64) + np.arange(1, len(own) + 1, dtype=np.uint64))).view(np.int64))
+                where = mix(v.astype(np.uint64)) % np.uint64(buckets)
+                order = np.argsort(where << np.uint64(32) | v)
+                cut = np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
+                filled = np.flatnonzero(np.diff(cut))
+                ends = np.append(np.append(cut[filled], len(order)), len(order)).astype(np.int32)  # no tokens beside the keys
+                mark = (text * 2 + learn[row:end][text]).astype(np.int16)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c[order])) for c in (v.view(np.int32), u.view(np.int32), w.view(np.int32), mark)]
+                slice_keys = pa.array([None] * len(filled) + [own], pa.list_(pa.int64()))
+                bucket = np.append(filled, name % buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), name)), slice_keys, *lists], names=_DEALT)
+
+    return run
+
+
+_DEALT = ["bucket", "slice", "keys", "v", "u", "w", "mark"]
+
+
+def _flat(rows: pa.Table, name: str) -> np.ndarray:
+    column = rows.column(name).combine_chunks()
+    return column.flatten().to_numpy()
+
+
+def _part(v: np.ndarray, u: np.ndarray, w: np.ndarray, share: np.ndarray, rare: float, discount: float) -> Trie:
+    """The trie of training tokens ``(v, u, w)`` of one bucket."""
+    wide = np.uint64(32)
+    lower, of_lower = np.unique(v, return_inverse=True)
+    of_lower = of_lower.astype(np.uint64)
+    unigram = lambda word: np.where(word < len(share), share[np.minimum(word, len(share) - 1)] if len(share) else rare, rare)
+
+    pairs, pair_n = np.unique(of_lower << wide | w, return_counts=True)
+    low = (pairs >> wide).astype(np.int64)
+    low_n, low_kinds = np.bincount(low, pair_n, len(lower)), np.bincount(low, minlength=len(lower))
+    back2 = discount * low_kinds / np.maximum(low_n, 1)
+    p2 = (pair_n - discount) / low_n[low] + back2[low] * unigram((pairs & np.uint64(END)).astype(np.int64))
+
+    contexts, of_context = np.unique(of_lower << wide | u, return_inverse=True)
+    triples, triple_n = np.unique(of_context.astype(np.uint64) << wide | w, return_counts=True)
+    high = (triples >> wide).astype(np.int64)
+    high_n, high_kinds = np.bincount(high, triple_n, len(contexts)), np.bincount(high, minlength=len(contexts))
+    back3 = discount * high_kinds / np.maximum(high_n, 1)
+    below = (contexts[high] >> wide << wide) | (triples & np.uint64(END))
+    p3 = (triple_n - discount) / high_n[high] + back3[high] * p2[np.searchsorted(pairs, below)]
+    return Trie(mapped(pack(build(lower, pairs, contexts, triples, p2, p3, back2, back3))))
+
+
+def _scored(model, discount: float):
+    """Scores of one bucket's tokens, summed by slice and text."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        vocabulary = model.value
+        share, rare = vocabulary["share"], float(vocabulary["rare"][0])
+        end = np.flatnonzero(vocabulary["words"].view(np.int64) == END_WORD)
+        # The end is a word like others, under the code after all frequent ones.
+        share = np.append(share, share[vocabulary["rank"][end[0]]] if len(end) else rare)
+        v, u, w = (_flat(rows, name).view(np.uint32) for name in ("v", "u", "w"))
+        w = np.where(w == END, len(share) - 1, w).astype(np.uint32)
+        mark = _flat(rows, "mark")
+        learn = (mark & 1) == 1
+        trie = _part(v[learn], u[learn], w[learn], share, rare, discount)
+        unigram = np.where(w < len(share), share[np.minimum(w, len(share) - 1)], rare)
+        value = trie.score(v, u, w, np.log10(unigram))
+
+        sizes = pc.list_value_length(rows.column("v")).to_numpy()
+        text = np.repeat(np.arange(len(rows)), sizes) << 16 | (mark >> 1)
+        order = np.argsort(text, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(text[order]) > 0))[: len(order)]
+        found = text[order][heads]
+        first = pa.array(np.searchsorted(found, np.arange(len(rows) + 1) << 16).astype(np.int32))
+        sums = np.add.reduceat(value[order], heads) if len(heads) else np.zeros(0)
+        numbers = (found & 0xFFFF).astype(np.int16), np.diff(np.append(heads, len(order))).astype(np.int32), sums.astype(np.float32)
+        lists = [pa.ListArray.from_arrays(first, pa.array(c)) for c in numbers]
+        return pa.table([rows.column("slice"), rows.column("keys"), *lists], names=["slice", "keys", "text", "tokens", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, model: dict) -> DataFrame:
+def _gathered(rows: pa.Table) -> pa.Table:
+    """Scores of the texts of one slice, or of equal slices, whose sums are equal as well."""
+    named = rows.filter(pc.is_valid(rows.column("keys")))
+    copies = len(named)
+    keys = named.column("keys")[0].values.to_numpy()
+    text = _flat(rows, "text").astype(np.int64)
+    score, tokens = np.bincount(text, _flat(rows, "score"), len(keys)) / copies, np.bincount(text, _flat(rows, "tokens"), len(keys)).astype(np.int64) // copies
+    return pa.table({"key": np.tile(keys, copies), "score": np.tile(score, copies), "tokens": np.tile(tokens, copies)})
+
+
+def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bucket: int = 1 << 21, discount: float = 0.75) -> DataFrame:
     """Return ``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
-    ``base_score`` sums add-one unigram logarithms, ``score`` is the trie
-    model's base-10 log probability; both are rounded to six places.
+    The rows that ``learn`` holds for are the training texts. ``base_score`` sums
+    add-one unigram logarithms, ``score`` is the trie model's base-10 log
+    probability; both are rounded to six places.
     """
+    if max_frequent > COMMON:
+        raise ValueError(f"at most {COMMON} frequent words have codes")
     spark = docs.sparkSession
-    block = spark.sparkContext.broadcast(model["block"])
-    totals = mapped(model["block"])["totals"]
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = base.mapInArrow(_scored(block), "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, word long, n long")
+    text = F.col("text").cast("string")
+    base = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
+    counts = base.filter("learn").select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "word-counts")
+    vocabulary = _vocabulary(counts, max_frequent, bucket)
+    tokens = int(vocabulary["totals"][0])
+    everything = float(vocabulary["totals"].sum() + 1)
+    model = spark.sparkContext.broadcast(vocabulary)
+
+    of_texts = base.drop("learn").mapInArrow(_base(model), "key long, doc_id long, n_tokens long, n_known long, base_score double, word long, n long")
     # Rows of texts as such take part under keys of their own, spread over all tasks.
-    rows = rows.withColumn("key", F.coalesce("word", F.xxhash64("row")))
-    counts = model["counts"].select(F.col("word").alias("key"), F.col("n").alias("c"))
-    joined = rows.join(counts, "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    rare = F.col("word").isNotNull()
-    def total(of_text: str, of_word: F.Column) -> F.Column:
-        return F.sum(F.when(rare, of_word).otherwise(F.col(of_text)))
-
-    scored = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        total("n_known", F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        total("base_score", F.col("n") * F.log10((c + 1) / F.lit(float(totals[0])))).alias("base_score"),
-        total("score", F.col("n") * F.log10((c + 1) / F.lit(float(totals[1])))).alias("score"),
+    joined = of_texts.withColumn("at", F.coalesce("word", "key")).join(counts.select(F.col("word").alias("at"), F.col("n").alias("c")), "at", "left")
+    c, rare = F.coalesce("c", F.lit(0)), F.col("word").isNotNull()
+    plain = joined.select(
+        "key",
+        "doc_id",
+        F.when(rare, 0).otherwise(1).alias("copies"),
+        "n_tokens",
+        F.when(rare & (c > 0), F.col("n")).otherwise(F.coalesce("n_known", F.lit(0))).alias("n_known"),
+        F.when(rare, F.col("n") * F.log10((c + 1) / F.lit(everything))).otherwise(F.col("base_score")).alias("base_score"),
     )
-    return scored.select(
-        "doc_id", "n_tokens", "n_known", F.lit(int(model["tokens"])).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score")
+
+    buckets = max(1, -(-tokens // bucket))
+    dealt = base.drop("doc_id").mapInArrow(_dealt(model, buckets), "bucket long, slice long, keys array<long>, v array<int>, u array<int>, w array<int>, mark array<smallint>")
+    sums = dealt.groupBy("bucket").applyInArrow(_scored(model, discount), "slice long, keys array<long>, text array<smallint>, tokens array<int>, score array<float>")
+    scores = sums.groupBy("slice").applyInArrow(_gathered, "key long, score double, tokens long")
+
+    total = plain.unionByName(scores, allowMissingColumns=True).groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base_score", "score", "tokens")]
     )
+    # Equal rows have one key and equal scores; both readings must have seen the same tokens.
+    each = [(F.col(x) / F.col("copies")).cast("long").alias(x) for x in ("n_tokens", "n_known")] + [F.round(F.col(x) / F.col("copies"), 6).alias(x) for x in ("base_score", "score")]
+    same = F.assert_true(F.col("n_tokens") == F.col("tokens"), F.lit("the table changed between two readings"))
+    rows = total.withColumn("same", same).filter("same IS NULL").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return rows.select("doc_id", *each).select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

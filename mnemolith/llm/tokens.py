@@ -58,8 +58,8 @@ class _Powers:
 _byte_powers, _word_powers = _Powers(BASE), _Powers(WINDOW_BASE)
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yield ``(first_row, end_row, bytes, offsets)``; offsets are relative to bytes."""
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yield ``(first_row, end_row, bytes, offsets)`` of at most ``rows`` rows; offsets are relative to bytes."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -72,7 +72,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     row = 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
-        end = min(max(end, row + 1), n)
+        end = min(max(end, row + 1), row + rows, n)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 

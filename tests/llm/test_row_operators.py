@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 from helpers import make, prose, remainder, words
 from pyspark.sql import functions as F
 
@@ -217,26 +218,61 @@ def test_sharding(spark, odd, odd_rows, empty):
     assert sharding.shard_rows(empty, tree).count() == 0
 
 
+def _trigram_model(texts, discount=0.75):
+    """Interpolated absolute discounting over dictionaries of counts."""
+    grams = [collections.Counter() for _ in range(3)]
+    for t in texts:
+        tokens = ["<e>", "<e>", *words(t, lower=True), "<e>"]
+        for k in range(2, len(tokens)):
+            for order in range(3):
+                grams[order][tuple(tokens[k - order : k + 1])] += 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    after = [collections.defaultdict(list) for _ in range(3)]
+    for order in (1, 2):
+        for gram, c in grams[order].items():
+            after[order][gram[:-1]].append(c)
+
+    def probability(context, word):
+        if not context:
+            return (grams[0][(word,)] + 1) / (n + v + 1)
+        seen = after[len(context)].get(context)
+        below = probability(context[1:], word)
+        return (max(grams[len(context)][(*context, word)] - discount, 0) + discount * len(seen) * below) / sum(seen) if seen else below
+
+    return probability, grams[0], n, v
+
+
 def test_language_model(odd, odd_rows, empty):
-    out = lm.held_out(F.col("doc_id"), 7, 2)
-    model = lm.train(odd.filter(~out), max_frequent=200)
-    found = lm.score_texts(odd, model).collect()
-    counts = collections.Counter()
-    for i, t, *_ in odd_rows:
-        if remainder(i, 7) != 2:
-            counts.update(words(t, lower=True) + [None])
-    n, v = sum(counts.values()), len(counts)
+    learn = ~lm.held_out(F.col("doc_id"), 7, 2)
+    probability, counts, n, v = _trigram_model([t for i, t, *_ in odd_rows if remainder(i, 7) != 2])
     expected = []
     for i, t, *_ in odd_rows:
-        tokens = words(t, lower=True) + [None]
-        expected.append((repr(i), len(tokens), sum(counts[w] > 0 for w in tokens), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), 3)))
-    got = [(repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in found]
-    assert [g[:4] for g in sorted(got)] == [e[:4] for e in sorted(expected)]
-    assert all(abs(g[4] - e[4]) < 0.01 for g, e in zip(sorted(got), sorted(expected), strict=True))
-    assert sum(r.score for r in found) > sum(r.base_score for r in found)
-    assert lm.score_texts(empty, model).count() == 0
-    blank = lm.train(empty)
-    assert blank["tokens"] == 0 and lm.score_texts(odd, blank).filter("score IS NULL OR isnan(score) OR score > 0.01").count() == 0
+        tokens = ["<e>", "<e>", *words(t, lower=True), "<e>"]
+        base = sum(math.log10((counts[(w,)] + 1) / (n + v + 1)) for w in tokens[2:])
+        score = sum(math.log10(probability(tuple(tokens[k - 2 : k]), tokens[k])) for k in range(2, len(tokens)))
+        expected.append((repr(i), len(tokens) - 2, sum(counts[(w,)] > 0 for w in tokens[2:]), n, base, score))
+    for most, bucket in ((lm.COMMON, 1 << 21), (lm.COMMON, 4_000), (200, 1_000)):
+        found = [(repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_texts(odd, learn, most, bucket).collect()]
+        assert [g[:4] for g in sorted(found)] == [e[:4] for e in sorted(expected)]
+        assert all(abs(g[4] - e[4]) < 0.01 for g, e in zip(sorted(found), sorted(expected), strict=True))
+        if bucket > 2_000:  # no word is so frequent that its contexts are told apart; a code is off by half a step
+            assert all(abs(g[5] - e[5]) <= 0.02 * e[1] for g, e in zip(sorted(found), sorted(expected), strict=True))
+            assert abs(sum(g[5] - e[5] for g, e in zip(sorted(found), sorted(expected), strict=True))) <= 0.005 * sum(e[1] for e in expected)
+        assert sum(g[5] for g in found) > sum(g[4] for g in found)
+    assert lm.score_texts(empty, learn).count() == 0
+    blank = lm.score_texts(odd, F.lit(False)).collect()
+    assert {r.train_tokens for r in blank} == {0} and all(r.score == r.base_score == 0 for r in blank)
+
+
+def test_probabilities_sum_to_one():
+    chance = random.Random(4)
+    v, u, w = (np.array([int(chance.paretovariate(0.8)) % 60 for _ in range(3_000)], dtype=np.uint32) for _ in range(3))
+    share = np.full(64, 1 / 65)
+    trie = lm._part(v, u, w, share, 1 / 65, 0.75)
+    everything = np.append(np.arange(64), lm.COMMON + 5).astype(np.uint32)
+    for context in [*zip(v[:40].tolist(), u[:40].tolist(), strict=True), (3, 9_999), (9_999, 3)]:
+        a, b = (np.full(65, x, dtype=np.uint32) for x in context)
+        assert 0.985 <= (10 ** trie.score(a, b, everything, np.full(65, math.log10(1 / 65)))).sum() <= 1.015
 
 
 def test_licences(spark, empty):
