@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from .storage import discard, written
 
 
-def _hung(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: From so many edges on, minima are written before edges are joined with them.
+MANY = 1 << 22
+
+
+def _hung(edges: DataFrame, many: bool) -> tuple[DataFrame, DataFrame]:
     """Every edge ``(u, v)`` with the least node ``m`` that ``u`` sees or is, and the table of minima.
 
-    The minima are written, so that Spark can split the edges of a hub.
+    Written minima let Spark split the edges of a hub; for few edges a job more costs more than a hub.
     """
-    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(least, "minima") if many else least
     return edges.join(least, "u"), least
 
 
@@ -26,14 +31,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component)`` with one row per node, and empty for no edges.
     """
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    many, seen = edges.count() > MANY, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hung, first = _hung(both)
-        large = written(hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        hung, first = _hung(both, many)
+        large = hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "edges") if many else large
         loops = edges.filter("u = v")
         moved = F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("v", "u")])
-        hung, second = _hung(large)
+        hung, second = _hung(large, many)
         small = hung.select(F.explode(moved).alias("edge")).select("edge.*").filter("u <> v")
         after = written(small.unionByName(loops).distinct(), "edges")
         discard(edges, first, large, second)

@@ -205,24 +205,35 @@ def _against_heads(mixed: DataFrame, groups: DataFrame, percent: int) -> DataFra
     return met.select(F.greatest("x", "x_2").alias("x"), F.least("x", "x_2").alias("y")).distinct()
 
 
-def _across(mixed: DataFrame, percent: int) -> DataFrame:
+def _meetings(mixed: DataFrame, percent: int) -> tuple[DataFrame, float]:
+    """Parts of a group of which members may be linked, and how many pairs of members these are.
+
+    A part is judged by the extremes of its members' facts, so none is lost.
+    """
+    surplus = F.col("n") - F.col("size") * (100 - percent) / (100 + percent)
+    facts = [F.min("size").alias("least"), F.max("size").alias("most"), F.min("alike").alias("far"), F.max("alike").alias("near"), F.min(surplus).alias("surplus"), F.max("common").alias("common")]
+    of_part = written(mixed.groupBy("y", "shingle", "part").agg(F.count("*").alias("all"), F.sum((~F.col("linked")).cast("int")).alias("strays"), *facts), "parts-of-groups")
+    other = of_part.filter("strays > 0").select("y", "shingle", *[F.col(c).alias(f"{c}_2") for c in of_part.columns[2:]])
+    possible = (
+        (F.col("part") != F.col("part_2"))
+        & (F.col("most") * 100 >= F.col("least_2") * percent)
+        & (F.col("most_2") * 100 >= F.col("least") * percent)
+        & (F.greatest(F.col("far") - F.col("near_2"), F.col("far_2") - F.col("near")) <= 1 - percent / 100 + 1e-9)
+        & (F.least("common", "common_2") >= (F.col("surplus") + F.col("surplus_2")) / 2 - 1e-6)
+    )
+    met = written(of_part.join(other, ["y", "shingle"]).filter(possible).select("y", "shingle", "part", "part_2", (F.col("all") * F.col("strays_2")).alias("pairs")), "meetings")
+    discard(of_part)
+    return met, float(met.agg(F.sum("pairs")).first()[0] or 0)
+
+
+def _across(mixed: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """Pairs of members in different components; pairs of one component are never formed."""
-    of_part = written(mixed.groupBy("y", "shingle", "part").agg(F.min("linked").alias("linked")), "parts-of-groups")
-    other = of_part.filter("NOT linked").select("y", "shingle", F.col("part").alias("part_2"))
-    met = written(of_part.drop("linked").join(other, ["y", "shingle"]).filter(F.col("part") != F.col("part_2")), "meetings")
     stray = mixed.filter("NOT linked").select("y", "shingle", *[F.col(c).alias(f"{c}_2") for c in ("part", *_FACTS)])
-    pairs = mixed.join(met, ["y", "shingle", "part"]).join(stray, ["y", "shingle", "part_2"]).filter(_reachable(percent))
+    # Strays meet parts before they meet members, so that only pairs which may be linked are formed.
+    pairs = mixed.join(stray.join(met, ["y", "shingle", "part_2"]), ["y", "shingle", "part"]).filter(_reachable(percent))
     return pairs.select(F.greatest("x", "x_2").alias("x"), F.least("x", "x_2").alias("y")).distinct()
 
 
-def _excess(mixed: DataFrame) -> bool:
-    """Whether pairs across components are more than eight times the members."""
-    sizes = mixed.groupBy("y", "shingle", "part").agg(F.count("*").cast("double").alias("n"))
-    total = sizes.groupBy("y", "shingle").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    row = total.agg(F.sum("all").alias("rows"), F.sum(F.col("all") * F.col("all") - F.col("own")).alias("pairs")).first()
-    return bool(row["rows"]) and row["pairs"] > 16 * row["rows"]
-
-
 def _links(confirmed: DataFrame, percent: int) -> DataFrame:
     near = F.col("shared") * 100 >= F.col("total") * percent
     return confirmed.filter(near).select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -270,22 +281,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     parts = written(connected_components(links), "parts")
     rare, used = _rare(tested, parts, percent)
 
-    # Groups that hold several components get a head, with which all others are compared, as long as this
-    # joins components and the pairs across them are many; then each pair across components is compared.
+    # Groups that hold several components get a head, with which all others are compared, as long as the
+    # pairs across components are many and grow fewer; then each pair across components is compared.
     mixed, groups = _mixed_groups(rare, parts)
-    while _excess(mixed):
+    met, pairs = _meetings(mixed, percent)
+    before = math.inf
+    while 16 * mixed.count() < pairs < 0.9 * before:
         more = written(_links(_confirmed(_against_heads(mixed, groups, percent), texts, width), percent), "links")
-        if more.isEmpty():
-            break
-        links, before = written(links.unionByName(more), "links"), links
-        discard(before, more, mixed, groups, parts)
+        links, old = written(links.unionByName(more), "links"), links
+        discard(old, more, mixed, groups, parts, met)
         parts = written(connected_components(links), "parts")
         mixed, groups = _mixed_groups(rare, parts)
-    more = _links(_confirmed(_across(mixed, percent), texts, width), percent)
+        before, (met, pairs) = pairs, _meetings(mixed, percent)
+    more = _links(_confirmed(_across(mixed, met, percent), texts, width), percent)
     merged = connected_components(links.unionByName(more))
 
     found = written(classes.join(merged, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component")), "found")
-    discard(classes, common, crowded, members, leaders, texts, tested, links, parts, rare, mixed, groups, *used)
+    discard(classes, common, crowded, members, leaders, texts, tested, links, parts, rare, mixed, groups, met, *used)
     full = filled.select("doc_id", "n_shingles", "f1", "f2").join(found, ["f1", "f2"]).drop("f1", "f2")
     alone = marks.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))
