@@ -248,7 +248,7 @@ def _scored(model, discount: float):
         trie = _part(v[learn], u[learn], w[learn], share, rare, discount)
         unigram = np.where(w < len(share), share[np.minimum(w, len(share) - 1)], rare)
         value = trie.score(v, u, w, np.log10(unigram))
-
+        del trie, unigram, learn, u, w
         sizes = pc.list_value_length(rows.column("v")).to_numpy()
         text = np.repeat(np.arange(len(rows)), sizes) << 16 | (mark >> 1)
         order = np.argsort(text, kind="stable")
@@ -273,7 +273,7 @@ def _gathered(rows: pa.Table) -> pa.Table:
     return pa.table({"key": np.tile(keys, copies), "score": np.tile(score, copies), "tokens": np.tile(tokens, copies)})
 
 
-def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bucket: int = 1 << 21, discount: float = 0.75) -> DataFrame:
+def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bucket: int = 1 << 20, discount: float = 0.75) -> DataFrame:
     """Return ``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     The rows that ``learn`` holds for are the training texts. ``base_score`` sums
