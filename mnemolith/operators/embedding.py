@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
@@ -54,7 +54,9 @@ class SentenceModelEmbedder:
         return embed(text)
 
     def embed_query(self, query: str) -> Column:
-        return self.embed_column(F.lit(query))
+        """The query's vector as a literal, so that the model runs once and not for every row searched."""
+        row = SparkSession.active().range(1).select(self.embed_column(F.lit(query)).alias("embedding")).first()
+        return F.array(*[F.lit(float(x)) for x in row["embedding"]])
 
 
 def vectors(units: DataFrame, documents: DataFrame, embedder: Embedder) -> DataFrame:

@@ -28,6 +28,11 @@ def chunks_of(chunks: DataFrame, message_id: str) -> DataFrame:
     return chunks.filter(F.col("message_id") == message_id).orderBy("chunk_index", "chunk_id")
 
 
+def in_chunk_order(chunks: DataFrame) -> DataFrame:
+    """All chunks by message and place."""
+    return chunks.orderBy("message_id", "chunk_index", "chunk_id")
+
+
 def grouped_chunks(chunks: DataFrame) -> DataFrame:
     """Each message's chunks as one ordered array (a message has few)."""
     row = F.struct("chunk_index", "chunk_id", "start_char", "end_char", "content")

@@ -10,10 +10,11 @@ from ..functions.text import content_hash, filled, json_object, memory_unit_id,
 
 
 def raw_documents(messages: DataFrame, source_type: str = "conversation_message") -> DataFrame:
-    """Archive rows of messages whose content is stripped and not blank."""
+    """Archive rows of messages whose content is stripped and not blank; ``_order``, where messages have it, stays."""
     source = filled(F.col("source"), F.lit("unknown"))
     external = F.col("message_id").cast("string")
-    message = [c for c in messages.columns if c not in ("title", "conversation_created_at", "source", "conversation_id")]
+    message = [c for c in messages.columns if c not in ("title", "conversation_created_at", "source", "conversation_id", "_order")]
+    order = ["_order"] if "_order" in messages.columns else []
     return messages.select(
         raw_document_id(source, F.lit(source_type), external).alias("raw_document_id"),
         source.alias("source"),
@@ -28,6 +29,7 @@ def raw_documents(messages: DataFrame, source_type: str = "conversation_message"
         content_hash(F.col("content")).alias("content_hash"),
         json_object(*message).alias("raw_payload"),
         json_object("model", "sequence", "sub_title").alias("metadata_json"),
+        *order,
     )
 
 

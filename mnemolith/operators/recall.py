@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,17 +55,31 @@ class Filters:
         return met
 
 
-def detail(units: DataFrame, documents: DataFrame) -> DataFrame:
-    """Units with the facts of their documents; units without one are dropped."""
+def raw_document(documents: DataFrame, raw_document_id: str) -> DataFrame:
+    """The document of that identifier; no row if there is none."""
+    return documents.filter(F.col("raw_document_id") == raw_document_id)
+
+
+def units_of(units: DataFrame, raw_document_id: str) -> DataFrame:
+    """A document's units in their order."""
+    return units.filter(F.col("raw_document_id") == raw_document_id).orderBy("unit_index")
+
+
+def detail(units: DataFrame, documents: DataFrame, few: bool = False, more: Sequence[str] = ()) -> DataFrame:
+    """Units, with ``more`` of their columns, and the facts of their documents; units without one are dropped.
+
+    ``few`` says that the units are a page of hits: they are broadcast, so that no
+    document moves.
+    """
     facts = documents.select(
         "raw_document_id", "source", "source_type", "external_id", "root_document_id", "title", "author", "created_at", "imported_at",
         F.col("content").alias("raw_content"), "content_hash", "raw_payload", F.col("metadata_json").alias("raw_metadata_json"),
     )
     own = units.select(
         "memory_unit_id", "raw_document_id", "unit_index", "unit_type", F.col("content").alias("memory_content"), "summary", "start_char", "end_char", "embedding_version",
-        F.col("metadata_json").alias("memory_metadata_json"),
+        F.col("metadata_json").alias("memory_metadata_json"), *more,
     )
-    return own.join(facts, "raw_document_id")
+    return facts.join(F.broadcast(own), "raw_document_id") if few else own.join(facts, "raw_document_id")
 
 
 def search_memory(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: str, embedder: Embedder, limit: int | None = None, settings: Settings = Settings(), distance=cosine_distance, prefilter: Column | None = None) -> DataFrame:
@@ -80,8 +94,9 @@ def search_memory(units: DataFrame, documents: DataFrame, vectors: DataFrame, qu
         searched = searched.limit(0)
     hits = nearest(searched, embedder.embed_query(query), limit or settings.default_search_k, distance)
     hits = hits.select(F.col("id").alias("memory_unit_id"), "score", F.col("document").alias("hit_document"), F.col("metadata.summary").alias("hit_summary"))
-    # The hits are k rows at most: a proven bound for the broadcast.
-    found = detail(units, documents).join(F.broadcast(hits), "memory_unit_id")
+    # The hits are k rows at most, a proven bound for both broadcasts: first their units are found, then these units' documents.
+    chosen = units.join(F.broadcast(hits), "memory_unit_id")
+    found = detail(chosen, documents, few=True, more=["score", "hit_document", "hit_summary"])
     trace = F.struct("raw_document_id", "external_id", "root_document_id", "start_char", "end_char")
     shown = found.select(
         "memory_unit_id",
@@ -128,7 +143,7 @@ def search(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: st
 
 def unit_payload(units: DataFrame, documents: DataFrame, memory_unit_id: str) -> DataFrame:
     """One unit and its document as two nested objects; no row if there is none."""
-    row = detail(units.filter(F.col("memory_unit_id") == memory_unit_id), documents)
+    row = detail(units.filter(F.col("memory_unit_id") == memory_unit_id), documents, few=True)
     unit = F.struct(
         "memory_unit_id", "raw_document_id", "unit_index", "unit_type", F.col("memory_content").alias("content"), "summary", "start_char", "end_char", "embedding_version",
         parsed_json(F.col("memory_metadata_json")).alias("metadata"),

@@ -1,21 +1,27 @@
 """Tables as versioned snapshots: upserts, replaced children, edits, rollback.
 
-Parquet has no MERGE, so a change of any number of tables writes their new
-state below ``<root>/v<N+1>`` and then one pointer file names that version. Readers
-follow the pointer; a failure before it leaves the old version in place, and
-rolling back is dropping the new one. Unchanged tables are not copied: the
-pointer keeps where each table's current state lies.
+Parquet has no MERGE, so each table is dealt into buckets by a hash of the
+identifier that its rows change by, and a change of any number of tables
+rewrites the buckets that it touches, in a new folder. One small file for each
+version then names the folder of every bucket of every table; it appears by an
+atomic rename that fails if another writer took its number. Nothing is
+overwritten or deleted: a failure at any point leaves the version before in
+place, readers of it go on, and rolling back is a new version that names the
+folders of an old one.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import TABLES
+from ..functions.text import filled
+from ..schemas import BUCKET_KEYS, TABLES
 from .embedding import Embedder, vectors
 from .legacy import bootstrap_documents, bootstrap_units, rechunked
 from .memory import memory_units
@@ -31,14 +37,19 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n", order)
 
 
+def _added(kept: DataFrame, new: DataFrame) -> DataFrame:
+    """``kept`` and the rows of ``new``, of which columns that ``kept`` lacks are dropped and missing ones are null."""
+    return kept.unionByName(new.select(*[c for c in kept.columns if c in new.columns]), allowMissingColumns=True)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with equal keys."""
-    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+    return _added(old.join(new.select(*keys), list(keys), "left_anti"), new)
 
 
 def children_replaced(old: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """``old`` without the children of ``parents``, and the children in ``new``."""
-    return old.join(parents.select(key), key, "left_anti").unionByName(new)
+    return _added(old.join(parents.select(key), key, "left_anti"), new)
 
 
 def source_clashes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -47,102 +58,182 @@ def source_clashes(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(fresh, ["source", "external_id"]).filter("raw_document_id <> new_id").select("raw_document_id", "new_id")
 
 
+class VersionTaken(RuntimeError):
+    """Another writer made the next version first; its changes must be read before trying again."""
+
+
+#: What a table's buckets become: the identifiers that change, and the new rows of their buckets from the old ones.
+Change = tuple[DataFrame, Callable[[DataFrame], DataFrame]]
+
+
 class MemoryStore:
-    """The archive below one folder that all executors reach."""
+    """The archive below one folder that all executors reach.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    ``buckets`` is fixed by a store's first version; an edit rewrites one bucket of
+    each table, so a large archive takes thousands.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
 
-    # The pointer is a small text file, written and read through Hadoop's file system.
     def _path(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def state(self) -> dict:
-        """Version number and the folder of each table; version 0 has none."""
-        path, files = self._path("CURRENT")
-        if not files.exists(path):
-            return {"version": 0, "tables": {}}
+    def _names(self, folder: str) -> list[str]:
+        path, files = self._path(folder)
+        return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+
+    def _version(self, number: int) -> dict:
+        path, files = self._path(f"versions/{number}.json")
         stream = files.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def state(self) -> dict:
+        """The latest version: its number, the one before, and the folder of each bucket; version 0 has none."""
+        numbers = [int(n[:-5]) for n in self._names("versions") if re.fullmatch(r"\d+\.json", n)]
+        return self._version(max(numbers)) if numbers else {"version": 0, "parent": 0, "buckets": self._buckets, "tables": {}}
+
     def _point(self, state: dict) -> None:
-        new, files = self._path("CURRENT.new")
-        stream = files.create(new, True)
+        """Make ``state`` the latest version, or raise if its number is taken."""
+        jvm = self.spark.sparkContext._jvm
+        new, files = self._path(f"versions/.{uuid.uuid4().hex}")
+        stream = files.create(new, False)
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        path, _ = self._path("CURRENT")
-        if files.exists(path):
-            files.delete(path, False)
-        files.rename(new, path)
+        path, _ = self._path(f"versions/{state['version']}.json")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        no_options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(new, path, no_options)
+        except Exception as error:
+            files.delete(new, False)
+            if files.exists(path):
+                raise VersionTaken(f"version {state['version']} exists") from error
+            raise
+
+    def _read(self, name: str, folders: Sequence[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{f}" for f in folders])
 
     def table(self, name: str) -> DataFrame:
-        where = self.state()["tables"].get(name)
-        if where is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.parquet(f"{self.root}/{where}")
+        return self._read(name, list(self.state()["tables"].get(name, {}).values()))
 
-    def commit(self, changes: dict[str, DataFrame]) -> int:
-        """Write the new state of some tables, then switch to it."""
+    def _bucket(self, name: str, state: dict, key: str | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.col(key or BUCKET_KEYS[name]).cast("string")), F.lit(state["buckets"]))
+
+    def _staged(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` written once below the store, for changes that read them several times."""
+        path = f"{self.root}/staging/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        staged = self.spark.read.schema(rows.schema).parquet(path)
+        staged._staged_at = path.removeprefix(f"{self.root}/")
+        return staged
+
+    def _drop_staged(self, *staged: DataFrame) -> None:
+        for rows in staged:
+            path, files = self._path(rows._staged_at)
+            files.delete(path, True)
+
+    def apply(self, changes: dict[str, Change]) -> int:
+        """Rewrite the buckets of the identifiers that change, then switch to the new version.
+
+        A change is a DataFrame with the identifiers, under the name of the table's
+        bucket key, and a function from the old rows of their buckets to the new ones.
+        """
         state = self.state()
         version = state["version"] + 1
         tables = dict(state["tables"])
-        for name, rows in changes.items():
-            declared = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]]
-            rows.select(*declared).write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-            tables[name] = f"v{version}/{name}"
-        self._point({"version": version, "tables": tables, "before": state})
+        folder = f"data/{version}-{uuid.uuid4().hex}"
+        for name, (touched, change) in changes.items():
+            key = BUCKET_KEYS[name].split(".")[-1]
+            own = touched.select(self._bucket(name, state, key).cast("int").alias("bucket")).distinct()
+            numbers = sorted(str(r["bucket"]) for r in own.collect())  # at most as many as there are buckets
+            old = tables.get(name, {})
+            new = self._write(name, change(self._read(name, [old[n] for n in numbers if n in old])), f"{folder}/{name}", state)
+            tables[name] = {n: f for n, f in old.items() if n not in numbers} | new
+        self._point({"version": version, "parent": state["version"], "buckets": state["buckets"], "tables": tables})
+        return version
+
+    def _write(self, name: str, rows: DataFrame, folder: str, state: dict) -> dict[str, str]:
+        declared = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]]
+        dealt = rows.select(*declared).withColumn("_bucket", self._bucket(name, state))
+        dealt.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        found = [n.partition("=")[2] for n in self._names(folder) if n.startswith("_bucket=")]
+        return {n: f"{folder}/_bucket={n}" for n in found}
+
+    def commit(self, changes: dict[str, DataFrame]) -> int:
+        """Write the whole new state of some tables, then switch to it."""
+        state = self.state()
+        version = state["version"] + 1
+        folder = f"data/{version}-{uuid.uuid4().hex}"
+        tables = state["tables"] | {name: self._write(name, rows, f"{folder}/{name}", state) for name, rows in changes.items()}
+        self._point({"version": version, "parent": state["version"], "buckets": state["buckets"], "tables": tables})
         return version
 
     def rollback(self) -> int:
-        """Return to the version before, with its identifiers and timestamps."""
-        before = self.state().get("before", {"version": 0, "tables": {}})
-        self._point(before)
-        return before["version"]
+        """Undo the latest version: a new one with the tables, identifiers and timestamps of that before."""
+        now = self.state()
+        if not now["version"]:
+            return 0
+        before = self._version(now["parent"]) if now["parent"] else {"parent": 0, "tables": {}}
+        self._point({"version": now["version"] + 1, "parent": before["parent"], "buckets": now["buckets"], "tables": before["tables"]})
+        return now["version"] + 1
 
     def count_rows(self, name: str) -> int:
         if name not in TABLES:
             raise ValueError(f"unknown table {name!r}")
         return self.table(name).count()
 
-    def ingest(self, documents: DataFrame, embedder: Embedder, supersede: bool = False) -> dict[str, int]:
+    def _archived(self, documents: DataFrame, units: DataFrame, found: DataFrame, gone: DataFrame | None = None) -> dict[str, Change]:
+        """Changes that put documents, their units and vectors in place of those with equal identifiers, and drop ``gone``."""
+        parents = documents.select("raw_document_id")
+        parents = (parents if gone is None else parents.unionByName(gone)).distinct()
+        # Vectors are written in the same version, so units count as embedded.
+        embedded = units.withColumn("is_embedded", F.lit(1))
+
+        def vectors_replaced(old: DataFrame) -> DataFrame:
+            of_document = old.withColumn("raw_document_id", F.col("metadata.raw_document_id"))
+            return of_document.join(parents, "raw_document_id", "left_anti").drop("raw_document_id").unionByName(found)
+
+        return {
+            "raw_documents": (parents, lambda old: children_replaced(old, documents, parents, "raw_document_id")),
+            "memory_units": (parents, lambda old: children_replaced(old, embedded, parents, "raw_document_id")),
+            "vectors": (parents, vectors_replaced),
+        }
+
+    def ingest(self, documents: DataFrame, embedder: Embedder, supersede: bool = False, records: DataFrame | None = None) -> dict[str, int]:
         """Upsert documents, replace their units and vectors, and return the counters.
 
-        ``documents`` may hold a document twice; the later row by ``_order`` (if
-        there is such a column) wins, and counters count both, as messages read.
+        ``documents`` may hold a document twice; the later row by ``_order`` (readers
+        give file and place) wins, and counters count both, as messages read.
+        ``records`` are the conversations' own JSON, stored in the same version.
         """
-        read = documents.count()
-        keyed = documents if "_order" in documents.columns else documents.withColumn("_order", F.monotonically_increasing_id())
-        fresh = last_wins(keyed, ["raw_document_id"], "_order")
-        old = self.table("raw_documents")
-        clashes = source_clashes(old, fresh)
+        ordered = documents if "_order" in documents.columns else documents.withColumn("_order", F.monotonically_increasing_id())
+        given = self._staged(ordered, "documents")
+        read = given.count()
+        fresh = self._staged(last_wins(given, ["raw_document_id"], "_order"), "fresh")
+        clashes = source_clashes(self.table("raw_documents"), fresh)
+        gone = None
         if supersede:
             gone = clashes.select("raw_document_id").distinct()
         else:
             first = clashes.first()
             if first is not None:
+                self._drop_staged(given, fresh)
                 raise SourceClash(f"{first['raw_document_id']} and {first['new_id']} share their source and external identifier")
-            gone = None
-        touched = fresh.select("raw_document_id") if gone is None else fresh.select("raw_document_id").unionByName(gone)
-        units = memory_units(fresh, embedder.version)
-        if gone is not None:
-            old = old.join(gone, "raw_document_id", "left_anti")
-        parents = touched.distinct()
-        old_units, old_vectors = self.table("memory_units"), self.table("vectors")
-        of_parents = old_vectors.withColumn("raw_document_id", F.col("metadata.raw_document_id"))
-        self.commit(
-            {
-                "raw_documents": upserted(old, fresh, ["raw_document_id"]),
-                # Vectors are written in the same version, so units count as embedded.
-                "memory_units": children_replaced(old_units, units.withColumn("is_embedded", F.lit(1)), parents, "raw_document_id"),
-                "vectors": of_parents.join(parents, "raw_document_id", "left_anti").drop("raw_document_id").unionByName(vectors(units, fresh, embedder)),
-            }
-        )
-        made = self.table("memory_units").join(fresh.select("raw_document_id"), "raw_document_id", "left_semi").count()
+        units = self._staged(memory_units(fresh, embedder.version), "units")
+        changes = self._archived(fresh, units, vectors(units, fresh, embedder), gone)
+        if records is not None:
+            latest = self._staged(last_wins(records, ["conversation_id"], "_order"), "records")
+            changes["conversation_records"] = (latest, lambda old: upserted(old, latest, ["conversation_id"]))
+        made = units.count()
+        self.apply(changes)
+        self._drop_staged(given, fresh, units, *([latest] if records is not None else []))
         return {"raw_documents": read, "memory_units": made}
 
     def changed(self, documents: DataFrame) -> DataFrame:
@@ -162,25 +253,28 @@ class MemoryStore:
 
     def save_conversations(self, conversations: DataFrame, messages: DataFrame) -> int:
         """Insert or replace conversations and messages; a replaced message loses its chunks."""
-        chunks = self.table("chunks").join(messages.select("message_id"), "message_id", "left_anti")
-        return self.commit(
+        return self.apply(
             {
-                "conversations": upserted(self.table("conversations"), conversations, ["conversation_id"]),
-                "messages": upserted(self.table("messages"), messages, ["message_id"]),
-                "chunks": chunks,
+                "conversations": (conversations, lambda old: upserted(old, conversations, ["conversation_id"])),
+                "messages": (messages, lambda old: upserted(old, messages, ["message_id"])),
+                "chunks": (messages, lambda old: old.join(messages.select("message_id"), "message_id", "left_anti")),
             }
         )
 
     def save_chunks(self, chunks: DataFrame) -> int:
-        return self.commit({"chunks": self.table("chunks").unionByName(chunks)})
+        return self.apply({"chunks": (chunks, lambda old: _added(old, chunks))})
 
     def mark_embedded(self, name: str, key: str, ids: DataFrame) -> int:
         """Set the flag of the units or chunks that ``ids`` lists."""
-        marked = ids.select(key).distinct().withColumn("_marked", F.lit(True))
-        rows = self.table(name).join(marked, key, "left")
-        now = F.current_timestamp()
-        rows = rows.withColumns({"is_embedded": F.when(F.col("_marked"), 1).otherwise(F.col("is_embedded")), "updated_at": F.when(F.col("_marked"), now).otherwise(F.col("updated_at"))})
-        return self.commit({name: rows.select(*self.table(name).columns)})
+        marked = ids.select(key).distinct()
+        touched = self.table(name).join(marked, key, "left_semi")
+
+        def change(old: DataFrame) -> DataFrame:
+            rows = old.join(marked.withColumn("_marked", F.lit(True)), key, "left")
+            flags = {"is_embedded": F.lit(1), "updated_at": F.current_timestamp()}
+            return rows.withColumns({c: F.when(F.col("_marked"), value).otherwise(F.col(c)) for c, value in flags.items()})
+
+        return self.apply({name: (touched, change)})
 
     def vectors_of(self, ids: Sequence[str]) -> DataFrame:
         return self.table("vectors").filter(F.col("id").isin(*ids)) if ids else self.table("vectors").limit(0)
@@ -188,49 +282,49 @@ class MemoryStore:
     def delete_vectors(self, ids: Sequence[str]) -> int:
         if not ids:
             return self.state()["version"]
-        return self.commit({"vectors": self.table("vectors").filter(~F.col("id").isin(*ids))})
+        touched = self.vectors_of(ids).select("metadata.raw_document_id")
+        return self.apply({"vectors": (touched, lambda old: old.filter(~F.col("id").isin(*ids)))})
 
-    def edit_message(self, message_id: str, title: str, content: str, embedder: Embedder) -> dict[str, int]:
-        """Change a message and its conversation's title in both layers, in one version.
+    def edit_message(self, message_id: str, title: str, content: str, embedder: Embedder, sender: str = "") -> dict[str, int]:
+        """Change a message, its sender and its conversation's title in both layers, in one version.
 
-        Raises ``ValueError`` for blank content and ``KeyError`` for an unknown message.
+        A blank title or sender keeps the old one. Raises ``ValueError`` for blank
+        content and ``KeyError`` for an unknown message.
         """
-        if not content.strip():
+        content = content.strip()
+        if not content:
             raise ValueError("content is empty")
         messages, conversations, chunks = (self.table(t) for t in ("messages", "conversations", "chunks"))
-        row = messages.filter(F.col("message_id") == message_id).first()
+        this = F.col("message_id") == message_id
+        row = messages.filter(this).join(conversations.select("conversation_id", "title"), "conversation_id", "left").first()
         if row is None:
             raise KeyError(message_id)
-        this = F.col("message_id") == message_id
-        edited = messages.withColumns(
-            {
-                "content": F.when(this, F.lit(content)).otherwise(F.col("content")),
-                "content_length": F.when(this, F.lit(len(content))).otherwise(F.col("content_length")),
-                "content_hash": F.when(this, F.md5(F.lit(content).cast("binary"))).otherwise(F.col("content_hash")),
-            }
-        )
-        retitled = conversations.withColumn("title", F.when(F.col("conversation_id") == row["conversation_id"], F.lit(title)).otherwise(F.col("title")))
+        title = title.strip() or (row["title"] or "").strip() or "Untitled conversation"
+        sender = sender.strip() or (row["sender_type"] or "").strip() or "unknown"
+        in_conversation = F.col("conversation_id") == row["conversation_id"]
+        text, digest = F.lit(content), F.md5(F.lit(content).cast("binary"))
+        one = messages.filter(this).withColumns({"content": text, "content_length": F.lit(len(content)), "content_hash": digest, "sender_type": F.lit(sender)})
+        retitled = conversations.filter(in_conversation).withColumn("title", F.lit(title))
         last = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-        one = edited.filter(this)
-        new_chunks = rechunked(one.select("message_id", "content"), last)
-        documents = self.table("raw_documents")
-        # The message's document, however it came into the archive.
-        stored = documents.filter((F.col("external_id") == message_id) & F.col("source_type").isin("legacy_message", "conversation_message"))
+        new_chunks = self._staged(rechunked(one.select("message_id", "content"), last), "chunks")
+        # The message's documents, however they came into the archive.
+        stored = self.table("raw_documents").filter((F.col("external_id") == message_id) & F.col("source_type").isin("legacy_message", "conversation_message"))
         if stored.isEmpty():
-            stored_new, units = bootstrap_documents(one, retitled), bootstrap_units(one, retitled, new_chunks)
+            documents, units = bootstrap_documents(one, retitled), bootstrap_units(one, retitled, new_chunks)
         else:
-            stored_new = stored.withColumns({"content": F.lit(content), "content_hash": F.md5(F.lit(content).cast("binary")), "title": F.lit(title)})
-            units = memory_units(stored_new, embedder.version)
-        parents = stored_new.select("raw_document_id")
-        old_vectors = self.table("vectors").withColumn("raw_document_id", F.col("metadata.raw_document_id"))
-        self.commit(
+            documents = stored.withColumns({"content": text, "content_hash": digest, "title": F.lit(title), "author": F.lit(sender)})
+            units = memory_units(documents, embedder.version)
+        documents, units = self._staged(documents, "documents"), self._staged(units, "units")
+        named = documents.withColumns({"title": filled(F.col("title"), F.lit("Untitled conversation")), "source": filled(F.col("source"), F.lit("Unknown source"))})
+        embedded = new_chunks.withColumn("is_embedded", F.lit(1))
+        self.apply(
             {
-                "messages": edited,
-                "conversations": retitled,
-                "chunks": children_replaced(chunks, new_chunks, one, "message_id").withColumn("is_embedded", F.when(this, 1).otherwise(F.col("is_embedded"))),
-                "raw_documents": upserted(documents, stored_new, ["raw_document_id"]),
-                "memory_units": children_replaced(self.table("memory_units"), units.withColumn("is_embedded", F.lit(1)), parents, "raw_document_id"),
-                "vectors": old_vectors.join(parents, "raw_document_id", "left_anti").drop("raw_document_id").unionByName(vectors(units, stored_new, embedder)),
+                "messages": (one, lambda old: upserted(old, one, ["message_id"])),
+                "conversations": (retitled, lambda old: upserted(old, retitled, ["conversation_id"])),
+                "chunks": (one, lambda old: children_replaced(old, embedded, one, "message_id")),
+                **self._archived(documents, units, vectors(units, named, embedder)),
             }
         )
-        return {"chunks": self.table("chunks").filter(this).count()}
+        made = new_chunks.count()
+        self._drop_staged(new_chunks, documents, units)
+        return {"chunks": made}

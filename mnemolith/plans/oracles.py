@@ -88,7 +88,7 @@ ORACLE_SQL = {
     "summary_documents": f"SELECT doc_id, {summary('text')} AS summary FROM documents",
     "preview_documents": preview("documents", "doc_id", "text"),
     "content_hash_dedupe": "SELECT md5(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "chunk_hash_exists": f"WITH {OLDER} SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(content) FROM chunk)",
+    "chunk_hash_exists": f"WITH {OLDER} SELECT message_id FROM m WHERE md5(content) IN (SELECT md5(content) FROM chunk)",
     "vector_topk_cosine": """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
       SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 10""",
     "vector_topk_l1": """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
@@ -142,4 +142,23 @@ ORACLE_SQL = {
         UNION ALL SELECT message_id, 0, md5('First line of the new text, long enough.' || chr(10) || 'And one more line of it.'), 1 FROM e)
       SELECT message_id, chunk_index::BIGINT AS chunk_index, CASE WHEN conversation_id IN (SELECT conversation_id FROM e) THEN 'Edited' ELSE cv.title END AS title, content_md5, is_embedded::BIGINT AS is_embedded
       FROM rows JOIN m USING (message_id) JOIN cv USING (conversation_id)""",
+    "raw_document_by_id": f"""WITH {DOCUMENTS} SELECT raw_document_id, source, message_id AS external_id, title, sender_type AS author, md5(body) AS content_hash
+      FROM rd WHERE raw_document_id = (SELECT min(raw_document_id) FROM rd)""",
+    "units_of_document": f"""WITH {UNITS}, most AS (SELECT raw_document_id FROM mu GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+      SELECT memory_unit_id, raw_document_id, unit_index::BIGINT AS unit_index, unit_type, start_char::BIGINT AS start_char, end_char::BIGINT AS end_char, md5(content) AS content_md5
+      FROM mu JOIN most USING (raw_document_id)""",
+    "unit_payload_by_id": f"""WITH {UNITS} SELECT memory_unit_id, unit_index::BIGINT AS unit_index, {summary("mu.content")} AS summary, raw_document_id, ts AS created_at, md5(body) AS raw_md5,
+      sender_type AS author, turn AS sequence FROM mu JOIN rd USING (raw_document_id) WHERE memory_unit_id = (SELECT min(memory_unit_id) FROM mu)""",
+    "chunks_of_message": f"""WITH {OLDER}, most AS (SELECT message_id FROM chunk GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+      SELECT chunk_id, message_id, chunk_index::BIGINT AS chunk_index, md5(content) AS content_md5 FROM chunk JOIN most USING (message_id)""",
+    "chunk_scan": f"WITH {OLDER} SELECT chunk_id, message_id, chunk_index::BIGINT AS chunk_index FROM chunk",
+    "edit_metadata_fields": f"WITH {MESSAGES} SELECT message_id, title, source, 'unknown' AS model, sender_type AS tags FROM m",
+    "rollback_state": f"WITH {UNITS} SELECT memory_unit_id, raw_document_id, md5(content) AS content_md5 FROM mu",
+    "mark_embedded": f"""WITH {OLDER} SELECT chunk_id, (sender_type IN ('assistant', 'user'))::BIGINT AS is_embedded FROM chunk JOIN m USING (message_id)""",
+    "save_conversations": f"""WITH {OLDER} SELECT message_id, chunk_id, cv.title || ' again' AS title FROM m JOIN cv USING (conversation_id)
+      LEFT JOIN (SELECT message_id, chunk_id FROM chunk JOIN m USING (message_id) WHERE sender_type <> 'user') USING (message_id)""",
+    "vectors_read_and_deleted": f"""WITH {UNITS} SELECT memory_unit_id AS id, raw_document_id, length(content)::DOUBLE AS length FROM mu ORDER BY memory_unit_id LIMIT 3 OFFSET 2""",
+    "search_response": f"""WITH {HITS} SELECT '{QUERY}' AS query, 10::BIGINT AS count, row_number() OVER (ORDER BY score, memory_unit_id) - 1 AS place, memory_unit_id, raw_document_id, score
+      FROM hits ORDER BY score, memory_unit_id LIMIT 10""",
+    "conversation_records_kept": f"""WITH {MESSAGES} SELECT conversation_id, 'ChatGPT' AS source, title, title AS own_title, count(*) AS nodes FROM m GROUP BY 1, 3""",
 }

@@ -20,7 +20,7 @@ from ..functions.vectors import l1_distance
 from ..operators import legacy, memory, recall, store
 from ..operators.embedding import TermCountEmbedder, vectors
 from ..scratch import shared_path
-from ..sources.chat_exports import blank_dropped, read_grok, read_openai
+from ..sources.chat_exports import blank_dropped, conversation_records, read_grok, read_openai
 from ..streaming.ingest import ingest_stream
 
 TERMS = ["the", "and", "ing", "tion", "de", "que", "ch"]
@@ -128,9 +128,9 @@ def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_hash_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose whole text is also a chunk of some message."""
-    hashes = _read(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"))
-    return legacy.hash_exists(_older(spark, sf_dir)[2], hashes).select("doc_id")
+    """Messages whose whole text is a chunk of some message."""
+    messages, _, pieces = _older(spark, sf_dir)
+    return legacy.hash_exists(pieces, messages.select("message_id", F.col("content_hash").alias("hash"))).select("message_id")
 
 
 def _vector_query(spark: SparkSession, sf_dir: str, distance) -> DataFrame:
@@ -365,6 +365,109 @@ def edit_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("message_id", F.col("chunk_index").cast("long").alias("chunk_index"), "title", F.md5("content").alias("content_md5"), F.col("is_embedded").cast("long").alias("is_embedded"))
 
 
+def raw_document_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    least = documents.agg(F.min("raw_document_id")).first()[0]
+    return recall.raw_document(documents, least).select("raw_document_id", "source", "external_id", "title", "author", "content_hash")
+
+
+def units_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the document that has most."""
+    _, units, _ = _layers(spark, sf_dir)
+    most = memory.unit_counts(units).orderBy(F.desc("units"), "raw_document_id").first()[0]
+    return _unit_columns(recall.units_of(units, most)).drop("summary")
+
+
+def unit_payload_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, units, _ = _layers(spark, sf_dir)
+    least = units.agg(F.min("memory_unit_id")).first()[0]
+    found = recall.unit_payload(units, documents, least)
+    return found.select(
+        "memory_unit.memory_unit_id", F.col("memory_unit.unit_index").cast("long").alias("unit_index"), "memory_unit.summary", "raw_document.raw_document_id", "raw_document.created_at",
+        F.md5("raw_document.content").alias("raw_md5"), F.variant_get("memory_unit.metadata", "$.author", "string").alias("author"),
+        F.variant_get("raw_document.metadata", "$.sequence", "long").alias("sequence"),
+    )
+
+
+def chunks_of_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the message that has most."""
+    pieces = _older(spark, sf_dir)[2]
+    most = pieces.groupBy("message_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "message_id").first()[0]
+    return legacy.chunks_of(pieces, most).select("chunk_id", "message_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("content_md5"))
+
+
+def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = legacy.in_chunk_order(_older(spark, sf_dir)[2])
+    return rows.select("chunk_id", "message_id", F.col("chunk_index").cast("long").alias("chunk_index"))
+
+
+def edit_metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata for editing of all messages, their raw metadata being a title, another source and a tag."""
+    rows = _messages(spark, sf_dir)
+    raw = F.to_json(F.struct("title", F.lit("elsewhere").alias("source"), F.array("sender_type").alias("tags")))
+    edited = rows.select("message_id", legacy.edit_metadata(raw, F.col("source"), F.col("model")).alias("edit"))
+    return edited.select("message_id", *[F.col("edit.fields")[f].alias(f) for f in ("title", "source", "model")], F.array_join("edit.tags", ",").alias("tags"))
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> store.MemoryStore:
+    archive = store.MemoryStore(spark, shared_path(spark, "archive"))
+    archive.ingest(_documents(spark, sf_dir), TermCountEmbedder(TERMS))
+    return archive
+
+
+def rollback_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive's units after all documents were changed and the change was rolled back."""
+    archive = _archive(spark, sf_dir)
+    archive.ingest(_documents(spark, sf_dir).withColumn("content", F.concat("content", F.lit(" changed"))), TermCountEmbedder(TERMS))
+    archive.rollback()
+    return archive.table("memory_units").select("memory_unit_id", "raw_document_id", F.md5("content").alias("content_md5"))
+
+
+def mark_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks after those of user turns were marked as embedded, as the assistant's are."""
+    messages, conversations, pieces = _older(spark, sf_dir)
+    archive = store.MemoryStore(spark, shared_path(spark, "archive"))
+    archive.save_conversations(conversations, messages.drop("conv_id", "turn"))
+    archive.save_chunks(pieces)
+    archive.mark_embedded("chunks", "chunk_id", pieces.join(messages.filter("sender_type = 'user'"), "message_id", "left_semi"))
+    return archive.table("chunks").select("chunk_id", F.col("is_embedded").cast("long").alias("is_embedded"))
+
+
+def save_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that stay when all user turns are saved again, and their conversations' titles."""
+    messages, conversations, pieces = _older(spark, sf_dir)
+    plain = messages.drop("conv_id", "turn")
+    archive = store.MemoryStore(spark, shared_path(spark, "archive"))
+    archive.save_conversations(conversations, plain)
+    archive.save_chunks(pieces)
+    archive.save_conversations(conversations.withColumn("title", F.concat("title", F.lit(" again"))), plain.filter("sender_type = 'user'"))
+    joined = legacy.messages_with_conversations(archive.table("messages"), archive.table("conversations"))
+    return joined.join(archive.table("chunks").select("message_id", "chunk_id"), "message_id", "left").select("message_id", "chunk_id", "title")
+
+
+def vectors_read_and_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five vectors by identifier after two of them were deleted."""
+    archive = _archive(spark, sf_dir)
+    ids = [r["id"] for r in archive.table("vectors").select("id").orderBy("id").limit(5).collect()]
+    archive.delete_vectors(ids[:2])
+    return archive.vectors_of(ids).select("id", "metadata.raw_document_id", F.element_at("embedding", -1).alias("length"))
+
+
+def search_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON body of a search, read again."""
+    documents, units, found = _layers(spark, sf_dir)
+    body = recall.as_response(QUERY, recall.search_memory(units, documents, found, QUERY, TermCountEmbedder(TERMS), limit=10))
+    read = body.select(F.from_json("body", "query string, count long, results array<struct<memory_unit_id:string,raw_document_id:string,score:double>>").alias("b"))
+    return read.select("b.query", "b.count", F.posexplode("b.results").alias("place", "hit")).select("query", "count", F.col("place").cast("long").alias("place"), "hit.memory_unit_id", "hit.raw_document_id", "hit.score")
+
+
+def conversation_records_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's own JSON of an export, by its title and messages."""
+    records = conversation_records(spark, _export(spark, sf_dir, "openai", "openai"))
+    nodes = F.size(F.json_object_keys(F.get_json_object("raw_meta", "$.mapping"))).cast("long")
+    return records.select("conversation_id", "source", "title", F.get_json_object("raw_meta", "$.title").alias("own_title"), nodes.alias("nodes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -374,5 +477,7 @@ QUERIES = {
         legacy_messages_scan, legacy_message_by_chunk, grouped_chunks, messages_needing_chunks, unprocessed_chunks,
         bootstrap_raw_documents, bootstrap_memory_units, upsert_last_wins, replace_memory_units, source_clashes, sequence_numbers,
         normalize_timestamps, format_timestamps, count_rows_all, metadata_values, openai_export, grok_export, stream_ingest, edit_replace,
+        raw_document_by_id, units_of_document, unit_payload_by_id, chunks_of_message, chunk_scan, edit_metadata_fields, rollback_state,
+        mark_embedded, save_conversations, vectors_read_and_deleted, search_response, conversation_records_kept,
     )
 }

@@ -30,6 +30,7 @@ VECTORS = _table(
     id=_s, embedding=ArrayType(DoubleType()), document=_s,
     metadata=_table(memory_unit_id=_s, raw_document_id=_s, title=_s, source=_s, source_type=_s, author=_s, created_at=_s, summary=_s),
 )
+CONVERSATION_RECORDS = _table(conversation_id=_s, source=_s, title=_s, created_at=_s, raw_meta=_s)
 IMPORT_LOGS = _table(import_id=_l, source=_s, file_name=_s, import_time=_t, records_count=_i, status=_s, error_message=_s, notes=_s)
 
 TABLES = {
@@ -39,5 +40,18 @@ TABLES = {
     "messages": MESSAGES,
     "chunks": CHUNKS,
     "vectors": VECTORS,
+    "conversation_records": CONVERSATION_RECORDS,
     "import_logs": IMPORT_LOGS,
 }
+
+#: The column by whose hash a table is dealt into buckets; rows that change together share it.
+BUCKET_KEYS = {
+    "raw_documents": "raw_document_id",
+    "memory_units": "raw_document_id",
+    "vectors": "metadata.raw_document_id",
+    "conversations": "conversation_id",
+    "messages": "message_id",
+    "chunks": "message_id",
+    "conversation_records": "conversation_id",
+    "import_logs": "import_id",
+}

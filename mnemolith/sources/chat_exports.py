@@ -1,6 +1,7 @@
 """Readers of chat exports: one row for each kept message.
 
-The columns are those of ``MESSAGE``. A conversation's own JSON is not copied
+The columns are those of ``MESSAGE``, and ``_order``: the file, and the record and
+message in it, by which a later reading of a message wins. A conversation's own JSON is not copied
 into every message; ``raw_meta`` readers give it once for each conversation.
 """
 
@@ -20,25 +21,35 @@ GROK_SCHEMA = (
     "conversations array<struct<conversation:struct<id:string,title:string,create_time:variant>,"
     "responses:array<struct<response:struct<_id:string,message:string,sender:string,model_slug:variant,create_time:variant>>>>>"
 )
+#: One export, or several of one form.
+Paths = str | list[str]
 MESSAGE = [
     "conversation_id", "title", "conversation_created_at", "source", "message_id", "sub_title", "sender_type", "content", "content_length", "model", "sequence", "timestamp",
 ]
 
 
+def _file() -> Column:
+    return F.col("_metadata.file_path")
+
+
+def _placed(records: DataFrame) -> DataFrame:
+    """``records`` with their file and number; a file is read by one task, so they are numbered as they stand in it."""
+    return records.withColumns({"file": _file(), "record": F.monotonically_increasing_id()})
+
+
 def _slug(value: Column, missing: str) -> Column:
     """A model name: absent gives ``missing``, an explicit null the text ``None``."""
     return F.when(value.isNull(), missing).when(F.is_variant_null(value), "None").otherwise(value.cast("string"))
 
 
-def read_openai(spark: SparkSession, path: str, source: str = "ChatGPT") -> DataFrame:
+def read_openai(spark: SparkSession, path: Paths, source: str = "ChatGPT") -> DataFrame:
     """Messages of an export whose root is an array of conversations.
 
     Nodes keep their order in the file. Parts that are no text are dropped, and
     nodes without text are skipped and take no sequence number.
     """
-    conversations = spark.read.schema(OPENAI_SCHEMA).option("multiLine", True).json(path)
-    conversations = conversations.withColumn("record", F.monotonically_increasing_id())
-    nodes = conversations.select("record", "id", "conversation_id", "title", "create_time", F.posexplode("mapping").alias("place", "node_id", "node"))
+    conversations = _placed(spark.read.schema(OPENAI_SCHEMA).option("multiLine", True).json(path))
+    nodes = conversations.select("record", "id", "conversation_id", "title", "create_time", "file", F.posexplode("mapping").alias("place", "node_id", "node"))
 
     def field(path: str, kind: str = "string") -> Column:
         return F.try_variant_get("node", f"$.message.{path}", kind)
@@ -60,16 +71,18 @@ def read_openai(spark: SparkSession, path: str, source: str = "ChatGPT") -> Data
         _slug(field("metadata.model_slug", "variant"), "unknown").alias("model"),
         (F.row_number().over(order) - 1).alias("sequence"),
         format_timestamp(field("create_time", "variant")).alias("timestamp"),
+        F.struct("file", "record", "place").alias("_order"),
     )
 
 
-def read_grok(spark: SparkSession, path: str, source: str = "Grok") -> DataFrame:
+def read_grok(spark: SparkSession, path: Paths, source: str = "Grok") -> DataFrame:
     """Messages of an export whose root object lists conversations and responses.
 
     The sequence is a response's place, counting those without text too.
     """
-    listed = spark.read.schema(GROK_SCHEMA).option("multiLine", True).json(path).select(F.explode("conversations").alias("c"))
-    responses = listed.select("c.conversation", F.posexplode("c.responses").alias("place", "item")).select("conversation", "place", "item.response")
+    listed = spark.read.schema(GROK_SCHEMA).option("multiLine", True).json(path).select(F.posexplode("conversations").alias("record", "c"), _file().alias("file"))
+    responses = listed.select("file", F.col("record").cast("long").alias("record"), "c.conversation", F.posexplode("c.responses").alias("place", "item"))
+    responses = responses.select("file", "record", "conversation", "place", "item.response")
     kept = responses.filter(F.coalesce(F.col("response.message"), F.lit("")) != "")
     sender = F.lower(F.coalesce(F.col("response.sender"), F.lit("")))
     return kept.select(
@@ -85,10 +98,11 @@ def read_grok(spark: SparkSession, path: str, source: str = "Grok") -> DataFrame
         _slug(F.col("response.model_slug"), "unknown").alias("model"),
         F.col("place").alias("sequence"),
         format_timestamp(F.col("response.create_time")).alias("timestamp"),
+        F.struct("file", "record", "place").alias("_order"),
     )
 
 
-def read_deepseek(spark: SparkSession, path: str, source: str = "ChatGPT") -> DataFrame:
+def read_deepseek(spark: SparkSession, path: Paths, source: str = "ChatGPT") -> DataFrame:
     """DeepSeek exports have OpenAI's form, and by default its source name."""
     return read_openai(spark, path, source)
 
@@ -99,14 +113,31 @@ def select_reader(path: str) -> Callable[[SparkSession, str], DataFrame]:
     return read_grok if "grok" in low else read_deepseek if "deepseek" in low else read_openai
 
 
-def conversation_records(spark: SparkSession, path: str) -> DataFrame:
-    """Each conversation's own JSON, once: ``conversation_id, raw_meta``."""
-    if select_reader(path) is read_grok:
-        raw = spark.read.schema("conversations array<struct<conversation:variant>>").option("multiLine", True).json(path).select(F.explode("conversations.conversation").alias("meta"))
-        return raw.select(F.coalesce(F.try_variant_get("meta", "$.id", "string"), F.lit("")).alias("conversation_id"), F.to_json("meta").alias("raw_meta"))
-    raw = spark.read.schema(OPENAI_SCHEMA).option("multiLine", True).json(path)
-    key = F.coalesce(F.nullif("id", F.lit("")), F.nullif("conversation_id", F.lit("")), F.lit("None"))
-    return raw.select(key.alias("conversation_id"), F.to_json(F.struct(*raw.columns)).alias("raw_meta"))
+def conversation_records(spark: SparkSession, path: Paths) -> DataFrame:
+    """Each conversation's own JSON whole, once: ``conversation_id, source, title, created_at, raw_meta, _order``."""
+    grok = select_reader(path if isinstance(path, str) else path[0]) is read_grok
+    if grok:
+        whole = spark.read.schema("conversations array<struct<conversation:variant>>")
+        meta = F.posexplode("conversations.conversation").alias("record", "meta")
+        raw = whole.option("multiLine", True).json(path).select(_file().alias("file"), meta).withColumn("record", F.col("record").cast("long"))
+    else:
+        listed = _placed(spark.read.option("singleVariantColumn", "value").option("multiLine", True).json(path))
+        # The root may be read as one array or as a record for each of its elements.
+        element = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
+        raw = listed.select("file", "record", F.posexplode(element).alias("at", "meta")).withColumn("record", F.col("record") + F.col("at")).drop("at")
+
+    def field(name: str) -> Column:
+        return F.nullif(F.try_variant_get("meta", f"$.{name}", "string"), F.lit(""))
+
+    key = F.coalesce(field("id"), F.lit("")) if grok else F.coalesce(field("id"), field("conversation_id"), F.lit("None"))
+    return raw.select(
+        key.alias("conversation_id"),
+        F.lit("Grok" if grok else "ChatGPT").alias("source"),
+        filled(field("title"), F.lit(UNTITLED)).alias("title"),
+        format_timestamp(F.try_variant_get("meta", "$.create_time", "variant")).alias("created_at"),
+        F.to_json("meta").alias("raw_meta"),
+        F.struct("file", "record").alias("_order"),
+    )
 
 
 def blank_dropped(messages: DataFrame) -> DataFrame:

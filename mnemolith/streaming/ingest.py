@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.embedding import Embedder
 from ..operators.memory import raw_documents
 from ..operators.store import MemoryStore
-from ..sources.chat_exports import blank_dropped, select_reader
+from ..sources.chat_exports import blank_dropped, conversation_records, select_reader
 
 
 def ingest_export(spark: SparkSession, path: str, store: MemoryStore, embedder: Embedder, supersede: bool = False) -> dict[str, int]:
     """Read one export, archive its messages and return the counters."""
     messages = blank_dropped(select_reader(path)(spark, path))
-    return store.ingest(raw_documents(messages), embedder, supersede)
+    return store.ingest(raw_documents(messages), embedder, supersede, conversation_records(spark, path))
 
 
 def ingest_stream(messages: DataFrame, store: MemoryStore, embedder: Embedder, checkpoint: str) -> StreamingQuery:
@@ -37,7 +37,10 @@ def watch_exports(spark: SparkSession, folder: str, store: MemoryStore, embedder
     files = spark.readStream.format("binaryFile").schema(form).option("pathGlobFilter", "*.json").load(folder).select("path")
 
     def store_files(batch: DataFrame, _: int) -> None:
-        for row in batch.toLocalIterator():  # names of files only
-            ingest_export(spark, row["path"], store, embedder)
+        paths = [row["path"] for row in batch.toLocalIterator()]  # names of files only
+        # All files of a form are read together; later files win, as the order of readings says.
+        for reader in dict.fromkeys(map(select_reader, paths)):
+            some = sorted(p for p in paths if select_reader(p) is reader)
+            store.ingest(raw_documents(blank_dropped(reader(spark, some))), embedder, records=conversation_records(spark, some))
 
     return files.writeStream.foreachBatch(store_files).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

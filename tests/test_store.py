@@ -7,7 +7,7 @@ from mnemolith.functions.vectors import l1_distance
 from mnemolith.operators import recall
 from mnemolith.operators.embedding import TermCountEmbedder
 from mnemolith.operators.memory import raw_documents
-from mnemolith.operators.store import MemoryStore, SourceClash
+from mnemolith.operators.store import MemoryStore, SourceClash, VersionTaken
 from mnemolith.sources.chat_exports import blank_dropped, read_openai
 from mnemolith.streaming.ingest import ingest_export, watch_exports
 
@@ -72,9 +72,12 @@ def test_edit_bootstrap_and_clash(spark, export, tmp_path):
     assert store.table("chunks").first().is_embedded == 1
     with pytest.raises(SourceClash):
         store.ingest(raw_documents(blank_dropped(rows)), EMBEDDER)
-    store.edit_message("msg-1", "New title", TWO * 2, EMBEDDER)
+    store.edit_message("msg-1", "New title", TWO * 2, EMBEDDER, sender="editor")
     document = store.table("raw_documents").filter("external_id = 'msg-1'").first()
-    assert document.content == TWO * 2 and document.title == "New title"
+    assert (document.content, document.title, document.author) == (TWO * 2, "New title", "editor")
+    message = store.table("messages").filter("message_id = 'msg-1'").first()
+    assert (message.content, message.sender_type, message.content_length) == (TWO * 2, "editor", len(TWO) * 2)
+    assert {r.title for r in store.table("vectors").select("metadata.title").collect()} == {"New title"}
     units = store.table("memory_units").filter("raw_document_id = 'legacy:message:msg-1'").collect()
     assert units and all(u.content in TWO * 2 for u in units)
     assert store.table("chunks").filter("message_id = 'msg-1'").count() == 1
@@ -82,12 +85,74 @@ def test_edit_bootstrap_and_clash(spark, export, tmp_path):
         store.edit_message("msg-1", "t", "  ", EMBEDDER)
     with pytest.raises(KeyError):
         store.edit_message("nobody", "t", "text", EMBEDDER)
-    store.rollback()
+    store.edit_message("msg-1", " ", TWO, EMBEDDER)
+    assert store.table("messages").filter("message_id = 'msg-1'").first().sender_type == "editor"
+    assert {r.title for r in store.table("conversations").collect()} == {"New title"}
+    for _ in range(2):
+        store.rollback()
     assert store.table("raw_documents").filter("external_id = 'msg-1'").first().content == ONE
     assert store.ingest(raw_documents(blank_dropped(rows)), EMBEDDER, supersede=True)["raw_documents"] == 2
     assert store.count_rows("raw_documents") == 2
 
 
+def test_a_failure_between_steps_leaves_the_version_before(spark, export, tmp_path, monkeypatch):
+    store = MemoryStore(spark, f"file://{tmp_path}/store")
+    ingest_export(spark, export, store, EMBEDDER)
+    before = store.state()
+    with monkeypatch.context() as patch:
+
+        def dies(self, state):
+            raise RuntimeError("the driver is gone")
+
+        patch.setattr(MemoryStore, "_point", dies)
+        with pytest.raises(RuntimeError):
+            store.delete_vectors(["chatgpt:conversation_message:msg-1:0"])
+    # A pointer that was begun and not renamed.
+    (tmp_path / "store" / "versions" / ".half").write_text('{"version": 2')
+    assert store.state() == before and store.count_rows("raw_documents") == store.count_rows("vectors") == 2
+    assert ingest_export(spark, export, store, EMBEDDER) == {"raw_documents": 2, "memory_units": 2}
+    assert store.state()["version"] == 2 and store.count_rows("memory_units") == 2
+    late = store.state() | {"version": 2}
+    with pytest.raises(VersionTaken):
+        store._point(late)
+    store.rollback()
+    assert store.state()["version"] == 3 and store.state()["tables"] == before["tables"]
+    store.rollback()
+    assert store.count_rows("raw_documents") == 0 and store.rollback() == 5
+
+
+def test_a_change_rewrites_the_buckets_it_touches(spark, tmp_path):
+    store = MemoryStore(spark, f"file://{tmp_path}/store", buckets=8)
+    rows = [("c", f"t{k}", "ChatGPT", f"m{k}", "user", f"Some words of message {k}, and a few more of them.", k) for k in range(60)]
+    messages = spark.createDataFrame([(c, t, s, m, a, x, k, "", "", "", "", len(x)) for c, t, s, m, a, x, k in rows], "conversation_id string, title string, source string, message_id string, sender_type string, content string, sequence int, timestamp string, conversation_created_at string, sub_title string, model string, content_length int")
+    store.ingest(raw_documents(messages), EMBEDDER)
+    before = store.state()["tables"]["raw_documents"]
+    assert len(before) == 8
+    changed = messages.filter("message_id = 'm7'").withColumn("content", F.lit("Now something else, longer than thirty characters."))
+    store.ingest(raw_documents(changed), EMBEDDER)
+    after = store.state()["tables"]["raw_documents"]
+    assert sum(before[n] != after[n] for n in before) == 1
+    assert store.count_rows("raw_documents") == store.count_rows("memory_units") == store.count_rows("vectors") == 60
+    assert store.table("raw_documents").filter("external_id = 'm7'").first().content.startswith("Now")
+
+
+def test_the_later_reading_of_a_message_wins_and_conversations_keep_their_json(spark, tmp_path):
+    def talk(text, **more):
+        return {"id": "c", "title": "T", "mapping": {"a": {"message": {"id": "m", "content": {"parts": [text]}}}}, **more}
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text(json.dumps([talk("z first of all"), talk("a second", extra={"deep": [1, 2]})]))
+    (folder / "2.json").write_text(json.dumps([talk("b third", plugin="p")]))
+    store = MemoryStore(spark, f"file://{tmp_path}/store")
+    ingest_export(spark, f"file://{folder}/1.json", store, EMBEDDER)
+    assert store.table("raw_documents").first().content == "a second"
+    assert json.loads(store.table("conversation_records").first().raw_meta)["extra"] == {"deep": [1, 2]}
+    watch_exports(spark, f"file://{folder}", store, EMBEDDER, f"file://{tmp_path}/seen").awaitTermination()
+    assert store.table("raw_documents").first().content == "b third" and store.count_rows("conversation_records") == 1
+    assert json.loads(store.table("conversation_records").first().raw_meta)["plugin"] == "p"
+
+
 def test_watched_folder_reads_each_file_once(spark, export, tmp_path):
     store = MemoryStore(spark, f"file://{tmp_path}/store")
     for _ in range(2):
