@@ -155,7 +155,7 @@ ORACLE_SQL = {
     "edit_metadata_fields": f"WITH {MESSAGES} SELECT message_id, title, source, 'unknown' AS model, sender_type AS tags FROM m",
     "rollback_state": f"WITH {UNITS} SELECT memory_unit_id, raw_document_id, md5(content) AS content_md5 FROM mu",
     "mark_embedded": f"""WITH {OLDER} SELECT chunk_id, (sender_type IN ('assistant', 'user'))::BIGINT AS is_embedded FROM chunk JOIN m USING (message_id)""",
-    "save_conversations": f"""WITH {OLDER} SELECT message_id, chunk_id, cv.title || ' again' AS title FROM m JOIN cv USING (conversation_id)
+    "save_conversations": f"""WITH {OLDER} SELECT message_id, coalesce(chunk_id, -1) AS chunk_id, cv.title || ' again' AS title FROM m JOIN cv USING (conversation_id)
       LEFT JOIN (SELECT message_id, chunk_id FROM chunk JOIN m USING (message_id) WHERE sender_type <> 'user') USING (message_id)""",
     "vectors_read_and_deleted": f"""WITH {UNITS} SELECT memory_unit_id AS id, raw_document_id, length(content)::DOUBLE AS length FROM mu ORDER BY memory_unit_id LIMIT 3 OFFSET 2""",
     "search_response": f"""WITH {HITS} SELECT '{QUERY}' AS query, 10::BIGINT AS count, row_number() OVER (ORDER BY score, memory_unit_id) - 1 AS place, memory_unit_id, raw_document_id, score

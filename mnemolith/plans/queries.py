@@ -442,7 +442,7 @@ def save_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive.save_chunks(pieces)
     archive.save_conversations(conversations.withColumn("title", F.concat("title", F.lit(" again"))), plain.filter("sender_type = 'user'"))
     joined = legacy.messages_with_conversations(archive.table("messages"), archive.table("conversations"))
-    return joined.join(archive.table("chunks").select("message_id", "chunk_id"), "message_id", "left").select("message_id", "chunk_id", "title")
+    return joined.join(archive.table("chunks").select("message_id", "chunk_id"), "message_id", "left").select("message_id", F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), "title")
 
 
 def vectors_read_and_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
