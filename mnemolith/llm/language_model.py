@@ -50,7 +50,7 @@ from .tokens import Words, mix, text_slices
 END_WORD = int(mix(np.array([0x454E44], dtype=np.uint64)).view(np.int64)[0])
 COMMON = 1 << 19  # codes below are ranks of frequent words
 END = (1 << 32) - 1  # code of a text's end, which also stands before its start
-SLICE = 4 << 20
+SLICE = 1 << 20
 SLICE_ROWS = 1 << 14
 
 
@@ -273,7 +273,7 @@ def _gathered(rows: pa.Table) -> pa.Table:
     return pa.table({"key": np.tile(keys, copies), "score": np.tile(score, copies), "tokens": np.tile(tokens, copies)})
 
 
-def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bucket: int = 1 << 20, discount: float = 0.75) -> DataFrame:
+def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bucket: int = 1 << 19, discount: float = 0.75) -> DataFrame:
     """Return ``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     The rows that ``learn`` holds for are the training texts. ``base_score`` sums
