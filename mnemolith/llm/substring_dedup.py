@@ -19,10 +19,15 @@ counted by runs, without loss:
 Repeated windows merge into maximal intervals by text. Exact copies, however
 many, give equal runs that Spark combines before the shuffle.
 
+Equal runs have two equal 64-bit hashes, of the anchor and of all words, and equal
+windows have two of all words.
+
 Defined cases: null and empty texts have no words and keep the hash of the
 empty string; texts under ``width`` words lose nothing; rows repeated as a
-whole count as two texts; a null ``doc_id`` is kept; further columns are
-ignored; an empty table gives no rows.
+whole count as two texts; all places of a repeated window are removed, so there
+are no ties; a null ``doc_id`` is kept; a text of any length is read whole, in one
+task; further columns, whatever their names, are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -102,15 +107,18 @@ def _window_rows(width: int):
                 within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 local = start[of] + within
                 place = words.first[text[of]] + local
-                hashed = span_hashes(words.hashes(), place, place + width)
+                hashes = words.hashes()
+                hashed = span_hashes(hashes, place, place + width)
+                again = span_hashes(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), place, place + width)  # tells apart windows that one hash takes for equal
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashed.view(np.int64)),
+                        pa.array(again.view(np.int64)),
                         pa.array(key[row:end][text[of]]),
                         pa.array(local.astype(np.int32)),
                         pa.array(weight[of].astype(np.int64)),
                     ],
-                    names=["window", "key", "start", "weight"],
+                    names=["window", "check", "key", "start", "weight"],
                 )
 
     return run
@@ -153,6 +161,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _of_repeated(rows: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with the keys of ``repeated``, which has their counts ``n``.
+
+    Keys with more than a ten-thousandth of all rows are at most ten thousand, so
+    they are broadcast and their rows stay where they are; the others have too few
+    rows to hold up a task.
+    """
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > max(total // 10_000, 1_000)
+    hot = F.broadcast(repeated.filter(often).select(*keys))
+    others = rows.join(hot, keys, "left_anti").join(repeated.filter(~often).select(*keys), keys)
+    return rows.join(hot, keys).unionByName(others)
+
+
 def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 12) -> DataFrame:
     """Return ``doc_id, n_words, n_removed, kept_sha256, kept_text, removed_spans``.
 
@@ -166,21 +188,23 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 12) -> DataFram
     base = base.withColumn("key", F.xxhash64("doc_id", "text"))
     runs = base.select("key", "text").mapInArrow(_runs(width, gram), "anchor long, run long, key long, start int, size int")
 
+    # Written, as the tables below are, so that Spark can split what a frequent key brings to the other side.
     seen_twice = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     found = written(runs.join(seen_twice, "anchor"), "repeated-anchors")
 
     distinct_runs = found.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("one"))
     mixed = distinct_runs.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    whole = found.join(distinct_runs.filter("n > 1").select("anchor", "run"), ["anchor", "run"])
+    distinct_runs = written(distinct_runs, "runs")
+    whole = _of_repeated(found, distinct_runs.filter("n > 1"), ["anchor", "run"])
     whole = whole.select("key", "start", (F.col("start") + F.col("size") - 1 + width).alias("end"))
 
     # A run seen once is asked for as itself; one copy of a repeated run stands for all in the counts.
     asks = distinct_runs.join(mixed, "anchor").select("one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
     asks = asks.groupBy("key").agg(F.collect_list(F.struct("start", "size", "weight")).alias("asks"))
-    rows = base.join(asks, "key").select("key", "text", "asks").mapInArrow(_window_rows(width), "window long, key long, start int, weight long")
+    rows = base.join(asks, "key").select("key", "text", "asks").mapInArrow(_window_rows(width), "window long, check long, key long, start int, weight long")
     rows = written(rows, "edge-windows")
-    again = rows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window")
-    single = rows.join(again, "window").select("key", "start", (F.col("start") + width).alias("end"))
+    again = written(rows.groupBy("window", "check").agg(F.sum("weight").alias("n")).filter("n > 1"), "repeated-windows")
+    single = _of_repeated(rows, again, ["window", "check"]).select("key", "start", (F.col("start") + width).alias("end"))
 
     cuts = whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
     return (
