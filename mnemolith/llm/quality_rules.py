@@ -14,8 +14,11 @@ pass without a shuffle or Python.
 
 Defined cases: null and empty texts have zero statistics and fail the base test
 on their number of words; documents without a label, or labelled twice, are
-scored like others; without labels there is no rule; repeated rows are scored
-one by one; extra columns are ignored; an empty table gives no rows.
+scored like others; without labels there is no rule; of tests that gain equally
+the first statistic and least threshold is taken, and of rules that hold the
+first one rejects; repeated rows are scored one by one; a text of any length is
+counted whole, in one task; extra columns are kept, and those that have the name
+of a count become ``given_`` and that name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .expressions import SPACES, let, words
+from .expressions import SPACES, let, making_room, packed, words
 from .storage import written
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts"]
 STATISTICS = ["symbol_share", "mean_word", "dup_line_share", "repeat_share", "capital_share", "shout_share", "n_words"]
 
 
@@ -61,7 +65,8 @@ def _repeated_words(items: Column) -> Column:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and two more counts."""
+    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and three more counts."""
+    docs = making_room(docs, *COUNTS, "count_words", "count_lines", "base_failed", "rule", "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     counts = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("words"), _repeated_words(w).alias("repeats")))
@@ -133,7 +138,8 @@ def _labelled_counts(docs: DataFrame, labels: DataFrame, max_labelled: int, quan
     steps = [i / quantiles for i in range(1, quantiles)]
     cuts = sample.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in STATISTICS]).first()
     thresholds = {c: sorted(set(cuts[c] or [])) for c in STATISTICS}
-    place = lambda c: sum(((F.col(c) > t).cast("int") for t in thresholds[c]), F.lit(0))
+    # One array of thresholds for each statistic: as many comparisons spelt out take longer to compile than to run.
+    place = lambda c: F.size(F.filter(F.array(*map(F.lit, thresholds[c])).cast("array<double>"), lambda t: F.col(c) > t))
     placed = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), place(c).alias("place"), F.col(c).alias("value")) for c in STATISTICS])).alias("p")
     ranges = sample.select(placed).groupBy("p.name", "p.place").agg(F.min("p.value").alias("low"), F.max("p.value").alias("high")).collect()
     middles = {}
@@ -229,5 +235,5 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that the base test and the rules keep, with their own columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col("text"))
-    return judged(packed, rules).filter("kept").select("given.*")
+    rows = docs.select(packed(docs).alias("given"), F.col("text"))
+    return judged(rows, rules).filter("kept").select("given.*")
