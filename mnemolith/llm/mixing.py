@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source has a target number of words. Its documents queue in a shuffled
-order that depends on ``doc_id`` alone, up to ``passes`` times over. A document's
+order that depends on ``doc_id`` (and text) alone, up to ``passes`` times over. A document's
 virtual finish time is the source's words up to and with it, divided by the
 target; documents of all sources are sorted by it and taken until the total
 budget is reached. Sources then stand near their targets wherever one stops.
@@ -16,8 +16,12 @@ bounded size. A source with most rows spreads over ``BUCKETS`` tasks. Only the
 table of sources itself, one row each, is ordered as a whole.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null
-source is a source; a null ``doc_id`` queues as the empty string; repeated rows
-queue one by one; extra columns are ignored; an empty table gives no rows.
+source is a source; a null ``doc_id`` queues by its text; equal virtual
+times go by source, pass, place, size and text, so reruns agree; rows
+repeated as a whole queue one by one, and :func:`mixed` shares their copies
+evenly; a text of any length counts whole and is taken whole; extra columns, whatever their
+names, are kept by :func:`mixed` and otherwise ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expressions import words
+from .expressions import packed, words
 from .storage import written
 
 BUCKETS = 4096
@@ -41,7 +45,7 @@ def _sized(docs: DataFrame) -> DataFrame:
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.md5(F.concat_ws("", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|mix")).cast("binary")).alias("shuffle"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("")), F.lit("|mix")).cast("binary")).alias("shuffle"),
     )
 
 
@@ -87,7 +91,7 @@ def _queue(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int], p
     by_bucket = queued.groupBy(*SOURCE, "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy(*SOURCE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.select(*SOURCE, "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy(*SOURCE, "bucket").orderBy("shuffle", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*SOURCE, "bucket").orderBy("shuffle", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     placed = queued.withColumn("running", F.sum("size").over(within)).join(offsets, [*SOURCE, "bucket"]).join(targets, SOURCE)
 
     passed = placed.withColumn("pass", F.explode(F.array(*map(F.lit, range(passes)))))
@@ -95,10 +99,10 @@ def _queue(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int], p
     passed = passed.withColumn("finish", finish)
     # Fine steps up to virtual time 2, then steps of a fixed ratio: at most 25,000 buckets.
     step = F.when(F.col("finish") < 2, F.floor(F.col("finish") * BUCKETS)).otherwise(2 * BUCKETS + F.floor(F.log2("finish") * 256)).cast("int")
-    timed = written(passed.select("row", *SOURCE, "size", "shuffle", "pass", "finish", "budget", step.alias("step")), "queue")
+    timed = written(passed.select("row", *SOURCE, "size", "shuffle", "text_key", "pass", "finish", "budget", step.alias("step")), "queue")
     ahead = timed.groupBy("step").agg(F.sum("size").alias("words"))
     ahead = ahead.select("step", F.coalesce(F.sum("words").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    line = Window.partitionBy("step").orderBy("finish", *SOURCE, "pass", "shuffle", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("step").orderBy("finish", *SOURCE, "pass", "shuffle", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("ahead") + F.sum("size").over(line)
     served = timed.join(F.broadcast(ahead), "step").withColumn("total", total)
     taken = served.groupBy("row").agg(F.sum(F.when(F.col("total") <= F.col("budget"), F.col("size")).otherwise(0)).alias("taken"))
@@ -126,14 +130,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tu
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), passes: int = 2) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    keys = ["mix_doc", "mix_text"]
-    share_out = mix_sources(docs, weights, share, passes).groupBy(F.col("doc_id").alias("mix_doc"), F.col("text_key").alias("mix_text"))
-    share_out = share_out.agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).filter("mix_copies > 0")
-    keyed = docs.withColumns({"mix_doc": F.col("doc_id").cast("long"), "mix_text": F.xxhash64(F.col("text").cast("string"))})
-    joined = keyed.alias("d").join(share_out.alias("m"), F.col("d.mix_doc").eqNullSafe(F.col("m.mix_doc")) & (F.col("d.mix_text") == F.col("m.mix_text")))
-    joined = joined.select("d.*", "m.mix_copies", "m.mix_rows")
-    # Equal rows share their copies evenly, the first ones getting one more.
-    number = F.when(F.col("mix_rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*keys).orderBy("mix_rows")))
-    copies = F.expr("mix_copies div mix_rows").cast("int") + (F.col("mix_number") <= F.col("mix_copies") % F.col("mix_rows")).cast("int")
-    repeated = joined.withColumn("mix_number", number).withColumn("mix_each", F.explode(F.array_repeat(F.lit(0), copies)))
-    return repeated.select(*docs.columns)
+    one = mix_sources(docs, weights, share, passes).groupBy(F.xxhash64("doc_id", "text_key").alias("key"))
+    shares = written(one.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0"), "shares")
+    keyed = docs.select(packed(docs).alias("given"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))).alias("key"))
+    single = keyed.join(shares.filter("rows = 1"), "key").select("given", F.col("copies").cast("int").alias("times"))
+    # Rows of one doc_id and text are counted by what else they hold, in each task first, so that no task numbers
+    # them one by one; the copies are shared evenly, the rest going to the first.
+    several = keyed.join(shares.filter("rows > 1"), "key").withColumn("kind", F.xxhash64(F.to_json("given")))
+    several = several.groupBy("key", "kind", "copies", "rows").agg(F.count("*").alias("n"), F.first("given").alias("given"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(F.col("n"), F.col("copies") % F.col("rows") - before))
+    several = several.select("given", (F.col("n") * F.expr("copies div rows") + rest).cast("int").alias("times"))
+    every = single.unionByName(several).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return every.select("given.*")

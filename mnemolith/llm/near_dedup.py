@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .expressions import packed
 from .storage import discard, written
 from .tokens import Words, mix, span_hashes, text_slices, windows
 
@@ -319,6 +320,6 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, miss:
     members = docs.select(key.alias("row_key"), doc_id.alias("own_id")).distinct().join(groups, "row_key")
     least = members.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "row_key")).alias("least"))
     kept = written(least.select(F.col("least.row_key").alias("row_key")), "kept-rows")
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), key.alias("row_key"))
-    first = Window.partitionBy("row_key").orderBy("row_key")
-    return given.join(kept, "row_key", "left_semi").withColumn("number", F.row_number().over(first)).filter("number = 1").select("given.*")
+    given = docs.select(packed(docs).alias("given"), key.alias("row_key")).join(kept, "row_key", "left_semi")
+    # Equal rows meet in each task before they meet in one.
+    return given.groupBy("row_key").agg(F.first("given").alias("given")).select("given.*")

@@ -12,8 +12,11 @@ hash bucket plus the counts of the buckets before it, so no shard is ordered in
 one task.
 
 Defined cases: a null text has size 8 and checksum 0; a null ``doc_id`` is placed
-as if it were the empty string; repeated rows share a shard and get slots of
-their own; extra columns are ignored; an empty table gives no rows.
+as if it were the empty string; equal draws go to the child with the least number;
+repeated rows share a shard and get slots of their own; slots of equal places go
+by ``doc_id``, checksum and size; a text of any length only counts by its bytes;
+extra columns are ignored, and :func:`sharded` keeps them; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expressions import draw
+from .expressions import draw, making_room
 from .storage import written
 
 #: (region, rack, shard, weight) of each leaf.
@@ -89,5 +92,5 @@ def shard_rows(docs: DataFrame, tree: Tree) -> DataFrame:
 
 
 def sharded(docs: DataFrame, tree: Tree) -> DataFrame:
-    """The rows of ``docs`` with their ``shard``."""
-    return docs.withColumn("shard", shard_of(_row_key(), tree))
+    """The rows of ``docs`` with their ``shard``; a column of that name becomes ``given_shard``."""
+    return making_room(docs, "shard").withColumn("shard", shard_of(_row_key(), tree))
