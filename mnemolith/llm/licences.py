@@ -13,8 +13,11 @@ empty lists; known sentences that fit no rule give ``UNMATCHED``; a licence
 found twice is listed once, in order of its rules; a rule that is part of another
 licence's longer rule counts only outside of it (BSD-2 in BSD-3). Licences named in
 ``SPDX-License-Identifier`` lines follow as they are written there, whether or not
-the tables know them; repeated rows are scanned one by one; extra columns are
-ignored; an empty table gives no rows.
+the tables know them; rules that match the same text are all listed, in their
+order; a sentence that denies a licence is another sentence and names none;
+repeated rows are scanned one by one; a text of any length is scanned whole, in
+one task; extra columns, whatever their names, are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import functions as F
 from .expressions import let
 
 # Normalised licence sentences and their identifiers. A sentence
-# that ends in " *" stands for all that begin with the words before it.
+# that ends in "*" stands for all that begin with what is before it.
 SENTENCES = {
-    "copyright *": "COPYRIGHT",
+    "copyright c *": "COPYRIGHT",
+    "copyright 19*": "COPYRIGHT",
+    "copyright 20*": "COPYRIGHT",
     "all rights reserved": "RESERVED",
     "licensed under the apache license version 2 0": "APACHE2_REF",
     "licensed under the apache license version 2 0 the license": "APACHE2_REF",
@@ -86,6 +91,11 @@ for _name, _id in (
     ("mozilla public license version 1 1", "MPL11_REF"),
     ("boost software license version 1 0", "BOOST_REF"),
     ("business source license 1 1", "BUSL_REF"),
+    ("eclipse public license version 2 0", "EPL2_REF"),
+    ("eclipse public license v 2 0", "EPL2_REF"),
+    ("eclipse public license version 1 0", "EPL1_REF"),
+    ("mozilla public license version 2 0", "MPL2_REF"),
+    ("apache license 2 0", "APACHE2_REF"),
 ):
     for _start in ("", "this work is ", "this software is ", "this project is ", "this program is "):
         SENTENCES[f"{_start}licensed under the {_name}"] = _id
@@ -134,6 +144,8 @@ RULES = [
     ("BSL-1.0", ["BOOST_REF"]),
     ("BSL-1.0", ["BOOST_GRANT"]),
     ("BUSL-1.1", ["BUSL_REF"]),
+    ("EPL-2.0", ["EPL2_REF"]),
+    ("EPL-1.0", ["EPL1_REF"]),
     ("CC-BY-ND-4.0", ["CCBYND4_REF"]),
     ("CC-BY-NC-SA-4.0", ["CCBYNCSA4_REF"]),
     ("CC-BY-NC-ND-4.0", ["CCBYNCND4_REF"]),
@@ -152,11 +164,11 @@ def _sentences(text: Column, wrapped: bool) -> Column:
 
 
 def _identifier(sentence: Column) -> Column:
-    whole = {s: i for s, i in SENTENCES.items() if not s.endswith(" *")}
+    whole = {s: i for s, i in SENTENCES.items() if not s.endswith("*")}
     known = F.create_map(*[F.lit(x) for pair in whole.items() for x in pair])
     out = F.element_at(known, sentence)
     for start, name in SENTENCES.items():
-        if start.endswith(" *"):
+        if start.endswith("*"):
             out = F.coalesce(out, F.when(F.startswith(sentence, F.lit(start[:-1])), F.lit(name)))
     return out
 

@@ -55,8 +55,8 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM d JOIN t USING (no_source, source_key) LEFT JOIN k USING (rid)
 """
 
-_whole = " ".join(f"WHEN '{s}' THEN '{i}'" for s, i in SENTENCES.items() if not s.endswith(" *"))
-_begun = " ".join(f"WHEN starts_with(s, '{s[:-1]}') THEN '{i}'" for s, i in SENTENCES.items() if s.endswith(" *"))
+_whole = " ".join(f"WHEN '{s}' THEN '{i}'" for s, i in SENTENCES.items() if not s.endswith("*"))
+_begun = " ".join(f"WHEN starts_with(s, '{s[:-1]}') THEN '{i}'" for s, i in SENTENCES.items() if s.endswith("*"))
 
 
 def _identifiers(sentences: str) -> str:

@@ -1,5 +1,6 @@
 """Learnt operators: held-out accuracy, brute force of kernels and searches."""
 
+import math
 import random
 
 import numpy as np
@@ -162,6 +163,41 @@ def test_code_lengths_follow_ppm():
                 assert bits[k, which] == pytest.approx(-np.log2(probability(lang, context, byte)), abs=1e-3)
 
 
+def test_languages_are_the_shortest_codes(spark):
+    """Predictions and scores against code lengths from dictionaries of counts."""
+    chance = random.Random(6)
+    alphabets = {"aa": "abcde ", "bb": "cdefg "}
+    draw = lambda letters, n: "".join(chance.choice(letters) for _ in range(n))
+    train = [(i, draw(alphabets[lang], 60), lang) for i, lang in enumerate(["aa", "bb"] * 15)]
+    counts = {}
+    for _, text, lang in train:
+        data = b"\0\0\0" + text.encode()
+        for k in range(3, len(data)):
+            for order in range(4):
+                table = counts.setdefault((lang, data[k - order : k]), {})
+                table[data[k]] = table.get(data[k], 0) + 1
+
+    def bits(lang, context, byte):
+        seen = counts.get((lang, context), {})
+        total, kinds = sum(seen.values()), len(seen)
+        if byte in seen:
+            return -math.log2(seen[byte] / (total + kinds))
+        below = bits(lang, context[1:], byte) if context else 8.0
+        return below - math.log2(kinds / (total + kinds)) if total else below
+
+    texts = [draw(alphabets[chance.choice(["aa", "bb"])], n) for n in (1, 2, 3, 8, 20, 40)] + [draw("abcdefg ", 12) for _ in range(10)]
+    texts = [t for t in texts if t.strip()]
+    docs = make(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    langs, tables = language_id.train(make(spark, [(i, t, lang, None) for i, t, lang in train]))
+    found = {r.doc_id: r for r in language_id.identify(docs, langs, tables).collect()}
+    for i, text in enumerate(texts):
+        data = b"\0\0\0" + text.encode()
+        cost = [sum(bits(lang, data[k - 3 : k], data[k]) for k in range(3, len(data))) for lang in ("aa", "bb")]
+        best = min(range(2), key=lambda j: cost[j])
+        assert found[i].code_bits == pytest.approx(min(cost), abs=1e-2) and found[i].lang_pred == ("aa", "bb")[best]
+        assert found[i].score == pytest.approx(1 / sum(2 ** -(c - cost[best]) for c in cost), abs=1e-2)
+
+
 def _kernel(a, b, order, decay):
     """Sum over all pairs of equal subsequences of the decay to both spans."""
     from itertools import combinations
@@ -212,6 +248,47 @@ def test_words_that_reach_the_floor_are_compared():
     assert greatest("zqzq" * 40) == 0
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Sentences, kernel values, margins and scores of whole texts against plain loops."""
+    import re
+
+    from mnemolith.llm.toxicity import FLOOR, PUNCTUATION
+
+    landmarks = ["idiot", "worthless", "moron"]
+    model = {"landmarks": landmarks, "weights": np.array([2.0, 1.5, -0.5, -1.0]), "slope": 1.7, "offset": -0.3}
+    texts = [
+        "You idxiot! A fine day, worthles.\nmoron said. nothing here",
+        "a harmless remark about worth and idioms",
+        "i d i o t you are\nWORTH-LESS moronn. idiot worthless",
+        "moron? moron moron",
+        "a worthles moron",
+        "",
+        "x",
+    ]
+
+    def value(a, b):
+        raw = _kernel(a, b, 3, 0.9) / math.sqrt(max(_kernel(a, a, 3, 0.9), 1e-12) * max(_kernel(b, b, 3, 0.9), 1e-12))
+        sharp = math.exp(3.0 * (raw - 1))
+        return sharp if sharp >= FLOOR else 0.0
+
+    expected = []
+    for text in texts:
+        margins = [-1.0]
+        for sentence in re.split(r"(?<=[.!?])\s+|\n", text.lower()):
+            parts = words(sentence)
+            runs = re.findall(r"(?:(?<=\s)|^)(?:\S\s+){2,}\S(?=\s|$)", sentence)
+            parts += ["".join(words(r)) for r in runs]
+            parts = ["".join(c for c in w if c not in PUNCTUATION) for w in parts]
+            best = [max([value(w, m) for w in parts if len(w) > 2], default=0.0) for m in landmarks]
+            if any(best):
+                margins.append(sum(w * b for w, b in zip(model["weights"], best, strict=False)) - 1.0)
+        expected.append(1 / (1 + math.exp(-(1.7 * max(margins) - 0.3))))
+    docs = make(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    found = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
+    assert [found[i] for i in range(len(texts))] == pytest.approx(expected, abs=1e-9)
+    assert len({round(x, 6) for x in expected}) >= 4
+
+
 def test_toxicity(spark, odd, empty):
     chance = random.Random(2)
     insults = ["idiot", "worthless", "pathetic"]

@@ -150,6 +150,23 @@ def test_quality_counts_and_rules(spark, odd, odd_rows, empty):
     assert quality_rules.accepted(empty, rules).count() == 0
 
 
+def test_verdicts_are_those_of_the_first_rule_that_holds(spark, odd, odd_rows):
+    """``kept``, ``rule`` and ``base_failed`` of every row against the list read rule by rule."""
+    rules = [(quality_rules.Test("mean_word", True, 6.0), quality_rules.Test("n_words", False, 100.0)), (quality_rules.Test("repeat_share", True, 0.02),), (quality_rules.Test("symbol_share", False, -1.0),)]
+    named = [" and ".join(map(str, r)) for r in rules]
+    rows = quality_rules.judged(odd, rules).collect()
+    assert len(rows) == len(odd_rows) and {"given_n_words", "given_kept"} <= set(rows[0].asDict())
+    verdicts = set()
+    for r in rows:
+        value = {"mean_word": r.word_chars / max(r.n_words, 1), "n_words": r.n_words, "repeat_share": r.n_repeat_words / max(r.n_words, 1), "symbol_share": r.n_symbols / max(r.word_chars, 1)}
+        met = [all((value[t.statistic] > t.threshold) == t.above for t in rule) for rule in rules]
+        first = named[met.index(True)] if any(met) else None
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert (r.rule, r.base_failed, r.kept) == (first, failed, not failed and first is None)
+        verdicts.add((first, failed))
+    assert len(verdicts) >= 4
+
+
 def _targets(sizes):
     """Water-filling, one capped source after another."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -218,6 +235,30 @@ def test_sharding(spark, odd, odd_rows, empty):
     assert sharding.shard_rows(empty, tree).count() == 0
 
 
+def test_shards_by_brute_force(spark):
+    """The descent of every row against draws made one by one."""
+    import xxhash
+
+    tree = [(s // 6, s // 3, s, 1.0 + s % 4) for s in range(15)]
+
+    def draw(level, child, key):
+        h = xxhash.xxh64(key.encode(), seed=xxhash.xxh64(f"{level}/{child}".encode(), seed=42).intdigest()).intdigest()
+        return ((h >> 11) + 0.5) / (1 << 53)
+
+    def descend(key):
+        leaves = tree
+        for level in range(3):
+            children = sorted({leaf[level] for leaf in leaves})
+            weight = {c: sum(leaf[3] for leaf in leaves if leaf[level] == c) for c in children}
+            best = children[0] if len(children) == 1 else min(children, key=lambda c: (-math.log(draw(level, c, key)) / weight[c], c))
+            leaves = [leaf for leaf in leaves if leaf[level] == best]
+        return leaves[0][2]
+
+    docs = make(spark, [(i, "t", None, None) for i in [*range(1500), -5, None]])
+    found = {r.doc_id: r.given_shard * 0 + r.shard for r in sharding.sharded(docs, tree).collect()}
+    assert found == {i: descend("" if i is None else str(i)) for i in found}
+
+
 def _trigram_model(texts, discount=0.75):
     """Interpolated absolute discounting over dictionaries of counts."""
     grams = [collections.Counter() for _ in range(3)]
@@ -318,6 +359,10 @@ def test_licences_of_real_texts(spark):
         ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause\nint x;", ["GPL-2.0-only", "BSD-3-Clause"]),
         ("/* SPDX-License-Identifier: EPL-2.0 */", ["EPL-2.0"]),
         ("SPDX-License-Identifier: MIT. See the file.", ["MIT"]),
+        ("This software is licensed under the Eclipse Public License, version 2.0.", ["EPL-2.0"]),
+        ("This is not licensed under the MIT license.", []),
+        ("Copyright law is a subject of its own, and so are licences.", []),
+        ("Copyright (c) 2020 Somebody. All rights reserved.", ["UNMATCHED"]),
     ]
     found = {r.doc_id: r.licences for r in scan_licences(make(spark, [(i, t, None, None) for i, (t, _) in enumerate(texts)])).collect()}
     assert [found[i] for i in range(len(texts))] == [expected for _, expected in texts]
