@@ -5,9 +5,11 @@ it counts common, possibly gapped, letter triples and discounts each by the
 length it spans, so an insult with inserted or dropped characters stays close.
 Normalised and sharpened as ``exp(sharpness * (k - 1))`` it is still a kernel.
 
-Landmarks are the words most associated with toxic labels. A sentence is
-described by its greatest kernel value with each landmark over its words, mapped
-by the inverse square root of the landmarks' kernel matrix (Nystroem). A linear
+Landmarks are the words most associated with toxic labels, of which spellings near
+a chosen one are passed over, so that those of all languages find room. A sentence is
+described by its greatest kernel value with each landmark over its words, a feature
+map made of the word kernel, and mapped by the inverse square root of the
+landmarks' kernel matrix (Nystroem). A linear
 support vector machine is trained on sentences of labelled documents: of a
 toxic document its most suspicious sentence, of others every sentence that is
 near a landmark. A document's score is the calibrated probability of its worst
@@ -19,9 +21,12 @@ broadcast. Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: null and empty texts have no sentence near a landmark and get
 the base probability; without labels of both kinds every score is 0; words and
-runs of one-letter words over ``LONGEST`` letters are read in overlapping windows; a null ``doc_id`` or label is not learnt from;
-repeated rows are scored one by one; extra columns are ignored; an empty table
-gives no rows.
+runs of one-letter words over ``LONGEST`` letters are read in overlapping windows, and a
+text of any length is read whole, in one task; kernel values below ``FLOOR`` count
+as none: one letter inserted, dropped or replaced stays above it, and two
+do in longer words; a null ``doc_id`` or label is not learnt from; words of equal
+support are landmarks in code-point order; repeated rows are scored one by one;
+extra columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -216,6 +221,20 @@ class Kernel:
         return np.array([runs[i][0] for i in some], dtype=np.int64), values[some]
 
 
+def _covering(words: list[str], most: int, alike: float = 0.7) -> list[str]:
+    """The first ``most`` words that are unlike all chosen before them, by the kernel before it is sharpened."""
+    codes = _codes(words)
+    own = np.maximum(subsequence_kernel(codes, codes, Kernel.order, Kernel.decay), 1e-12)
+    near, chosen = np.zeros(len(words)), []
+    for i in range(len(words)):
+        if near[i] < alike and len(chosen) < most:
+            chosen.append(words[i])
+            for part in np.array_split(np.arange(len(words)), -(-len(words) // 512)):
+                both = subsequence_kernel(codes[part], np.repeat(codes[i : i + 1], len(part), axis=0), Kernel.order, Kernel.decay)
+                near[part] = np.maximum(near[part], both / np.sqrt(own[part] * own[i]))
+    return chosen
+
+
 def _described(kernel: Kernel):
     """Sentences of labelled documents to learn from."""
 
@@ -266,7 +285,7 @@ def _calibrated(margin: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tupl
     return float(v[0]), float(v[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, landmarks: int = 64, penalty: float = 1e-4, weakened: float = 0.6) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, landmarks: int = 96, penalty: float = 1e-4, weakened: float = 0.6) -> dict | None:
     """Learn from ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; None without both labels."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = min(1.0, max_labelled / max(known.count(), 1))
@@ -282,10 +301,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, landma
     seen = by_word.groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).filter("a >= 4")
     expected = F.col("n") * (bad / (bad + good))
     excess = F.when(F.col("a") > expected, (F.col("a") - expected) ** 2 / (expected + 1)).otherwise(0)
-    rows = seen.select("word", excess.alias("excess")).filter("excess > 12").orderBy(F.desc("excess"), "word").limit(landmarks).collect()
+    # As many words as the sample's documents can make pass; a few thousand for ten thousand documents.
+    rows = seen.select("word", excess.alias("excess")).filter("excess > 12").orderBy(F.desc("excess"), "word").collect()
     if not rows:
         return None
-    kernel = Kernel([r["word"] for r in rows])
+    kernel = Kernel(_covering([r["word"] for r in rows], landmarks))
+    rows = kernel.landmarks
     described = sample.select("text", "toxic").mapInArrow(_described(kernel), "toxic int, values array<double>").toArrow()
     values = np.array(described.column("values").to_pylist(), dtype=float).reshape(-1, len(rows))
     toxic = described.column("toxic").to_numpy()
