@@ -193,13 +193,13 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 12) -> DataFram
     found = written(runs.join(seen_twice, "anchor"), "repeated-anchors")
 
     distinct_runs = found.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("one"))
-    mixed = distinct_runs.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
     distinct_runs = written(distinct_runs, "runs")
     whole = _of_repeated(found, distinct_runs.filter("n > 1"), ["anchor", "run"])
     whole = whole.select("key", "start", (F.col("start") + F.col("size") - 1 + width).alias("end"))
 
     # A run seen once is asked for as itself; one copy of a repeated run stands for all in the counts.
-    asks = distinct_runs.join(mixed, "anchor").select("one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
+    mixed = written(distinct_runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "mixed-anchors")
+    asks = _of_repeated(distinct_runs, mixed, ["anchor"]).select("one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
     asks = asks.groupBy("key").agg(F.collect_list(F.struct("start", "size", "weight")).alias("asks"))
     rows = base.join(asks, "key").select("key", "text", "asks").mapInArrow(_window_rows(width), "window long, check long, key long, start int, weight long")
     rows = written(rows, "edge-windows")
