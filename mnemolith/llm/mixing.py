@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .expressions import packed, words
-from .storage import written
+from .storage import discard, written
 
 BUCKETS = 4096
 SOURCE = ["no_source", "source_key"]
@@ -105,7 +105,8 @@ def _queue(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int], p
     line = Window.partitionBy("step").orderBy("finish", *SOURCE, "pass", "shuffle", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("ahead") + F.sum("size").over(line)
     served = timed.join(F.broadcast(ahead), "step").withColumn("total", total)
-    taken = served.groupBy("row").agg(F.sum(F.when(F.col("total") <= F.col("budget"), F.col("size")).otherwise(0)).alias("taken"))
+    taken = written(served.groupBy("row").agg(F.sum(F.when(F.col("total") <= F.col("budget"), F.col("size")).otherwise(0)).alias("taken")), "taken")
+    discard(timed)
     return targets, taken
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 from .tokens import Words, mix, rolling, span_hashes, text_slices, windows
 
 _POSITION = 28  # bits for a word's place in a slice
@@ -206,7 +206,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 12) -> DataFram
     again = written(rows.groupBy("window", "check").agg(F.sum("weight").alias("n")).filter("n > 1"), "repeated-windows")
     single = _of_repeated(rows, again, ["window", "check"]).select("key", "start", (F.col("start") + width).alias("end"))
 
-    cuts = whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    cuts = written(whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("cuts")), "cuts")
+    discard(seen_twice, found, distinct_runs, mixed, rows, again)
     return (
         base.join(cuts, "key", "left")
         .select("doc_id", "text", "cuts")
