@@ -7,9 +7,8 @@ import json
 
 from pyspark.sql import SparkSession
 
-from .operators.embedding import SentenceModelEmbedder, TermCountEmbedder
+from .operators.embedding import TermCountEmbedder, resolve_embedder
 from .operators.store import MemoryStore
-from .settings import Settings
 from .streaming.ingest import ingest_export
 
 
@@ -21,7 +20,7 @@ def main(arguments: list[str] | None = None) -> dict[str, int]:
     parser.add_argument("--supersede", action="store_true", help="replace documents that share a source and external identifier")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("mnemolith").getOrCreate()
-    embedder = TermCountEmbedder(given.terms) if given.terms is not None else SentenceModelEmbedder(Settings().embedding_model)
+    embedder = resolve_embedder(TermCountEmbedder(given.terms) if given.terms is not None else None)
     counters = ingest_export(spark, given.file, MemoryStore(spark, given.store), embedder, given.supersede)
     print(json.dumps(counters))
     return counters

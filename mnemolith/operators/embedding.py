@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filled
 from ..functions.vectors import term_counts
+from ..settings import Settings
 
 
 class Embedder(Protocol):
@@ -59,6 +60,17 @@ class SentenceModelEmbedder:
         return F.array(*[F.lit(float(x)) for x in row["embedding"]])
 
 
+_shared: dict[str, Embedder] = {}
+
+
+def resolve_embedder(given: Embedder | None = None, settings: Settings | None = None) -> Embedder:
+    """The embedder given, or else the session's shared one of the configured sentence model; its model loads on first use."""
+    if given is not None:
+        return given
+    model = (settings or Settings()).embedding_model
+    return _shared.setdefault(model, SentenceModelEmbedder(model))
+
+
 def vectors(units: DataFrame, documents: DataFrame, embedder: Embedder) -> DataFrame:
     """Vector rows of units: id, embedding, document text and metadata."""
     facts = documents.select("raw_document_id", "source", "source_type", "title", "author", F.col("created_at").alias("written_at"))

@@ -17,13 +17,15 @@ from .embedding import Embedder
 SORTS = ("default", "time_asc", "time_desc")
 
 
-def nearest(vectors: DataFrame, query: Column, k: int, distance: Callable[[Column, Column], Column] = cosine_distance, digits: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int, distance: Callable[[Column, Column], Column] = cosine_distance, digits: int | None = None) -> DataFrame:
     """The ``k`` rows of ``vectors(id, embedding, …)`` nearest to ``query``.
 
     Exact: every partition keeps its best ``k``, so the plan is a top-k and not a
-    sort. Equal distances, to ``digits`` places, go by ``id``.
+    sort. Equal distances go by ``id``; with ``digits`` those that are equal to so many
+    decimals count as equal, which makes the order independent of rounding.
     """
-    return vectors.withColumn("score", F.round(distance(F.col("embedding"), query), digits)).orderBy("score", "id").limit(k)
+    found = distance(F.col("embedding"), query)
+    return vectors.withColumn("score", found if digits is None else F.round(found, digits)).orderBy("score", "id").limit(k)
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,7 @@ def detail(units: DataFrame, documents: DataFrame, few: bool = False, more: Sequ
     return facts.join(F.broadcast(own), "raw_document_id") if few else own.join(facts, "raw_document_id")
 
 
-def search_memory(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: str, embedder: Embedder, limit: int | None = None, settings: Settings = Settings(), distance=cosine_distance, prefilter: Column | None = None) -> DataFrame:
+def search_memory(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: str, embedder: Embedder, limit: int | None = None, settings: Settings = Settings(), distance=cosine_distance, prefilter: Column | None = None, digits: int | None = None) -> DataFrame:
     """Hits of ``query`` in order of distance, each with summary, preview and trace.
 
     Without a limit the nearest ``default_search_k`` are searched and
@@ -92,7 +94,7 @@ def search_memory(units: DataFrame, documents: DataFrame, vectors: DataFrame, qu
     searched = vectors if prefilter is None else vectors.filter(prefilter)
     if not query.strip():
         searched = searched.limit(0)
-    hits = nearest(searched, embedder.embed_query(query), limit or settings.default_search_k, distance)
+    hits = nearest(searched, embedder.embed_query(query), limit or settings.default_search_k, distance, digits)
     hits = hits.select(F.col("id").alias("memory_unit_id"), "score", F.col("document").alias("hit_document"), F.col("metadata.summary").alias("hit_summary"))
     # The hits are k rows at most, a proven bound for both broadcasts: first their units are found, then these units' documents.
     chosen = units.join(F.broadcast(hits), "memory_unit_id")
@@ -115,7 +117,7 @@ def search_memory(units: DataFrame, documents: DataFrame, vectors: DataFrame, qu
     return shown.orderBy("score", "memory_unit_id").limit(limit or settings.max_results_display)
 
 
-def search(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: str, embedder: Embedder, filters: Filters = Filters(), settings: Settings = Settings(), distance=cosine_distance, prefilter: bool = False) -> DataFrame:
+def search(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: str, embedder: Embedder, filters: Filters = Filters(), settings: Settings = Settings(), distance=cosine_distance, prefilter: bool = False, digits: int | None = None) -> DataFrame:
     """The nearest ``default_search_k``, then filtered, sorted and cut to what is displayed.
 
     ``prefilter`` filters before the search, so that a selective filter still
@@ -124,7 +126,7 @@ def search(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: st
     before = None
     if prefilter:
         before = filters.column(normalize_timestamp(F.col("metadata.created_at")), char_count(F.col("document")))
-    hits = search_memory(units, documents, vectors, query, embedder, settings.default_search_k, settings, distance, before)
+    hits = search_memory(units, documents, vectors, query, embedder, settings.default_search_k, settings, distance, before, digits)
     page = hits.select(
         F.col("memory_unit_id").alias("chunk_id"),
         "content",

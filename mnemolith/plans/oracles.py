@@ -158,6 +158,8 @@ ORACLE_SQL = {
     "save_conversations": f"""WITH {OLDER} SELECT message_id, coalesce(chunk_id, -1) AS chunk_id, cv.title || ' again' AS title FROM m JOIN cv USING (conversation_id)
       LEFT JOIN (SELECT message_id, chunk_id FROM chunk JOIN m USING (message_id) WHERE sender_type <> 'user') USING (message_id)""",
     "vectors_read_and_deleted": f"""WITH {UNITS} SELECT memory_unit_id AS id, raw_document_id, length(content)::DOUBLE AS length FROM mu ORDER BY memory_unit_id LIMIT 3 OFFSET 2""",
+    "archive_counts": f"""WITH {UNITS} SELECT name, n FROM (SELECT 'raw_documents' AS name, count(*) AS n FROM rd UNION ALL SELECT 'memory_units', count(*) FROM mu
+      UNION ALL SELECT 'vectors', count(*) FROM mu UNION ALL SELECT 'messages', 0)""",
     "search_response": f"""WITH {HITS} SELECT '{QUERY}' AS query, 10::BIGINT AS count, row_number() OVER (ORDER BY score, memory_unit_id) - 1 AS place, memory_unit_id, raw_document_id, score
       FROM hits ORDER BY score, memory_unit_id LIMIT 10""",
     "conversation_records_kept": f"""WITH {MESSAGES} SELECT conversation_id, 'ChatGPT' AS source, title, title AS own_title, count(*) AS nodes FROM m GROUP BY 1, 3""",

@@ -26,6 +26,7 @@ from ..streaming.ingest import ingest_stream
 TERMS = ["the", "and", "ing", "tion", "de", "que", "ch"]
 QUERY = "the thing and de"
 VERSION = "term-counts"
+DIGITS = 6  # distances are compared with those of another engine
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,7 +137,7 @@ def chunk_hash_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vector_query(spark: SparkSession, sf_dir: str, distance) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     one = F.broadcast(rows.filter("id = 0").select(F.col("embedding").alias("query")))  # one vector
-    found = recall.nearest(rows.crossJoin(one), F.col("query"), 10, distance)
+    found = recall.nearest(rows.crossJoin(one), F.col("query"), 10, distance, DIGITS)
     return found.select(F.col("id").alias("vec_id"), F.col("score").alias("distance"))
 
 
@@ -151,7 +152,7 @@ def vector_topk_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_count_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: conversations archived, cut, embedded, searched and traced."""
     documents, units, found = _layers(spark, sf_dir)
-    hits = recall.search_memory(units, documents, found, QUERY, TermCountEmbedder(TERMS), limit=10)
+    hits = recall.search_memory(units, documents, found, QUERY, TermCountEmbedder(TERMS), limit=10, digits=DIGITS)
     trace = {"external_id": "trace.external_id", "root_document_id": "trace.root_document_id"}
     return hits.select(
         "memory_unit_id", "score", "summary", "preview", "source", "source_type", "title", "author", "created_at", "raw_document_id",
@@ -162,7 +163,7 @@ def term_count_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page(spark: SparkSession, sf_dir: str, filters: recall.Filters) -> DataFrame:
     documents, units, found = _layers(spark, sf_dir)
-    page = recall.search(units, documents, found, QUERY, TermCountEmbedder(TERMS), filters)
+    page = recall.search(units, documents, found, QUERY, TermCountEmbedder(TERMS), filters, digits=DIGITS)
     return page.select("chunk_id", "message_id", "timestamp", F.col("char_count").cast("long").alias("char_count"), "title", "preview", "score")
 
 
@@ -453,10 +454,16 @@ def vectors_read_and_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.vectors_of(ids).select("id", "metadata.raw_document_id", F.element_at("embedding", -1).alias("length"))
 
 
+def archive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the archive's tables after an import."""
+    archive = _archive(spark, sf_dir)
+    return spark.createDataFrame([(name, archive.count_rows(name)) for name in ("raw_documents", "memory_units", "vectors", "messages")], "name string, n long")
+
+
 def search_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON body of a search, read again."""
     documents, units, found = _layers(spark, sf_dir)
-    body = recall.as_response(QUERY, recall.search_memory(units, documents, found, QUERY, TermCountEmbedder(TERMS), limit=10))
+    body = recall.as_response(QUERY, recall.search_memory(units, documents, found, QUERY, TermCountEmbedder(TERMS), limit=10, digits=DIGITS))
     read = body.select(F.from_json("body", "query string, count long, results array<struct<memory_unit_id:string,raw_document_id:string,score:double>>").alias("b"))
     return read.select("b.query", "b.count", F.posexplode("b.results").alias("place", "hit")).select("query", "count", F.col("place").cast("long").alias("place"), "hit.memory_unit_id", "hit.raw_document_id", "hit.score")
 
@@ -478,6 +485,6 @@ QUERIES = {
         bootstrap_raw_documents, bootstrap_memory_units, upsert_last_wins, replace_memory_units, source_clashes, sequence_numbers,
         normalize_timestamps, format_timestamps, count_rows_all, metadata_values, openai_export, grok_export, stream_ingest, edit_replace,
         raw_document_by_id, units_of_document, unit_payload_by_id, chunks_of_message, chunk_scan, edit_metadata_fields, rollback_state,
-        mark_embedded, save_conversations, vectors_read_and_deleted, search_response, conversation_records_kept,
+        mark_embedded, save_conversations, vectors_read_and_deleted, archive_counts, search_response, conversation_records_kept,
     )
 }

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemolith.functions.vectors import l1_distance
-from mnemolith.operators import recall
-from mnemolith.operators.embedding import TermCountEmbedder
+from mnemolith.operators import legacy, recall
+from mnemolith.operators.embedding import TermCountEmbedder, resolve_embedder
 from mnemolith.operators.memory import raw_documents
 from mnemolith.operators.store import MemoryStore, SourceClash, VersionTaken
 from mnemolith.sources.chat_exports import blank_dropped, read_openai
@@ -57,6 +57,38 @@ def test_import_twice_and_search(spark, export, tmp_path):
         store.count_rows("users; --")
 
 
+def test_a_search_moves_no_document(spark, export, tmp_path):
+    store = MemoryStore(spark, f"file://{tmp_path}/store")
+    ingest_export(spark, export, store, EMBEDDER)
+    hits = recall.search_memory(*(store.table(t) for t in ("memory_units", "raw_documents", "vectors")), "向量", EMBEDDER)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("TakeOrderedAndProject") == 2 and len(hits.collect()) == 2
+
+
+def test_embedders(spark):
+    assert resolve_embedder(EMBEDDER) is EMBEDDER
+    shared = resolve_embedder()
+    assert shared is resolve_embedder() and shared.version == "BAAI/bge-small-zh-v1.5"
+    assert spark.range(1).select(EMBEDDER.embed_query("向量 数据库").alias("v")).first().v == [0.0, 1.0, 1.0, 0.0, 6.0]
+
+
+def test_lookups(spark, export, tmp_path):
+    store = MemoryStore(spark, f"file://{tmp_path}/store")
+    ingest_export(spark, export, store, EMBEDDER)
+    documents, units = store.table("raw_documents"), store.table("memory_units")
+    name = "chatgpt:conversation_message:msg-2"
+    assert recall.raw_document(documents, name).first().content == TWO and recall.raw_document(documents, "none").isEmpty()
+    assert [r.memory_unit_id for r in recall.units_of(units, name).collect()] == [f"{name}:0"]
+    chunks = spark.createDataFrame([(7, "msg-1", 1), (3, "msg-1", 0), (5, "msg-0", 0)], "chunk_id long, message_id string, chunk_index int")
+    assert [r.chunk_id for r in legacy.in_chunk_order(chunks).collect()] == [5, 3, 7]
+    rows = read_openai(spark, export)
+    talks = rows.select("conversation_id", "title", F.col("conversation_created_at").alias("created_at"), "source", F.lit("").alias("raw_meta")).distinct()
+    messages = rows.drop("title", "conversation_created_at", "source").withColumn("content_hash", F.md5("content"))
+    for asked, found in (("7", ["msg-1"]), ("seven", []), ("5", [])):
+        assert [r.message_id for r in legacy.message_by_chunk(chunks, messages, talks, asked).collect()] == found
+
+
 def test_edit_bootstrap_and_clash(spark, export, tmp_path):
     store = MemoryStore(spark, f"file://{tmp_path}/store")
     rows = read_openai(spark, export)
