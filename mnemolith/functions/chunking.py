@@ -8,52 +8,50 @@ from pyspark.sql import functions as F
 from .text import bind, strip
 
 CHUNK = "struct<content:string,start_char:int,end_char:int>"
+CUT = "struct<first:int,count:int,start:int,end:int>"
 LEAST_TEXT = 5
 
 
-def _tail(parts: Column, keep: int) -> Column:
-    """The last ``keep`` parts; all of them for 0, as a slice from ``-0`` has it."""
-    if keep == 0:
-        return parts
-    return F.when(F.size(parts) <= keep, parts).otherwise(F.slice(parts, -keep, keep))
-
-
 def chunks(text: Column, least: int = 30, most: int = 500, overlap: int = 1) -> Column:
     """Array of ``content, start_char, end_char`` for the stripped text.
 
     Sentences end at ``。``, ``！``, ``？`` or a line break. They gather while they fit in
     ``most`` characters; then the chunk is emitted if its stripped text has
-    ``least``, and its last ``overlap`` sentences start the next one. Spans count
-    code points of the stripped text. Null gives null, short text no chunk.
-    """
+    ``least``, and its last ``overlap`` sentences start the next one (all of them
+    for 0, as a slice from ``-0`` has it). Spans count code points of the stripped
+    text. Null gives null, short text no chunk.
 
-    def flushed(state: Column) -> Column:
-        return bind(
-            strip(F.array_join(state["parts"], "")),
-            lambda content: F.when(
-                F.length(content) >= least,
-                F.array_append(state["found"], F.struct(content.alias("content"), (state["end"] - state["size"]).alias("start_char"), state["end"].alias("end_char")).cast(CHUNK)),
-            ).otherwise(state["found"]),
-        )
+    The fold goes over the sentences' lengths and keeps numbers only; each chunk's
+    text is put together once, afterwards.
+    """
 
-    def total(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
+    def cut(state: Column) -> Column:
+        return F.array_append(state["cuts"], F.struct((state["k"] - state["count"]).alias("first"), state["count"], (state["end"] - state["size"]).alias("start"), state["end"]).cast(CUT))
 
-    def state_of(parts: Column, size: Column, end: Column, found: Column) -> Column:
-        return F.struct(parts.alias("parts"), size.alias("size"), end.alias("end"), found.alias("found"))
+    def state_of(k: Column, count: Column, size: Column, end: Column, recent: Column, cuts: Column) -> Column:
+        return F.struct(k.alias("k"), count.alias("count"), size.alias("size"), end.alias("end"), recent.alias("recent"), cuts.alias("cuts"))
 
-    def step(state: Column, sentence: Column) -> Column:
-        n = F.length(sentence)
+    def step(state: Column, n: Column) -> Column:
         fits = state["size"] + n <= most
-        grown = state_of(F.array_append(state["parts"], sentence), state["size"] + n, state["end"] + n, state["found"])
-        begun = bind(_tail(state["parts"], overlap), lambda kept: state_of(F.array_append(kept, sentence), total(kept) + n, state["end"] + n, flushed(state)))
+        if overlap:
+            kept, kept_size = F.size(state["recent"]), F.aggregate(state["recent"], F.lit(0), lambda total, x: total + x)
+            recent = bind(F.array_append(state["recent"], n), lambda r: F.slice(r, F.greatest(F.size(r) - overlap, F.lit(0)) + 1, F.lit(overlap)))
+        else:
+            kept, kept_size, recent = state["count"], state["size"], state["recent"]
+        grown = state_of(state["k"] + 1, state["count"] + 1, state["size"] + n, state["end"] + n, recent, state["cuts"])
+        begun = state_of(state["k"] + 1, kept + 1, kept_size + n, state["end"] + n, recent, cut(state))
         return F.when(fits, grown).otherwise(begun)
 
-    empty = state_of(F.array().cast("array<string>"), F.lit(0), F.lit(0), F.array().cast(f"array<{CHUNK}>"))
+    none = F.array().cast("array<int>")
+    empty = state_of(F.lit(0), F.lit(0), F.lit(0), F.lit(0), none, F.array().cast(f"array<{CUT}>"))
+
+    def of_sentences(sentences: Column) -> Column:
+        cuts = F.aggregate(F.transform(sentences, lambda x: F.length(x)), empty, step, cut)
+        found = F.transform(cuts, lambda c: F.struct(strip(F.array_join(F.slice(sentences, c["first"] + 1, c["count"]), "")).alias("content"), c["start"].alias("start_char"), c["end"].alias("end_char")).cast(CHUNK))
+        return F.filter(found, lambda c: F.length(c["content"]) >= least)
 
     def folded(stripped: Column) -> Column:
-        sentences = F.split(stripped, "(?<=[。！？\n])", -1)
-        return F.when(F.length(stripped) < LEAST_TEXT, F.array().cast(f"array<{CHUNK}>")).otherwise(F.aggregate(sentences, empty, step, flushed))
+        return F.when(F.length(stripped) < LEAST_TEXT, F.array().cast(f"array<{CHUNK}>")).otherwise(bind(F.split(stripped, "(?<=[。！？\n])", -1), of_sentences))
 
     return bind(strip(text), folded)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "[\\s\\x1c-\\x1f]"
+# The characters that Python's ``str.strip`` takes for whitespace.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SUMMARY_LENGTH = 120
 
 
@@ -15,7 +17,7 @@ def bind(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
