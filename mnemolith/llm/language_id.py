@@ -9,16 +9,19 @@ language with the shortest code wins; the score is its posterior under equal
 priors.
 
 The counts come from a bounded sample of labelled texts (an evenly hashed share
-of ``max_texts`` texts for each language in expectation), counted by Spark. The frozen
-trees of all languages share one table of bits with a row for each context and
-at most ``table_bytes`` bytes, filled by the most frequent contexts; its size is known
-before the broadcast. Scoring is one pass over whole texts without a shuffle.
+of ``max_texts`` texts for each language in expectation), counted by Spark. All
+contexts of the sample are kept: of each order there is a table of the contexts
+and a table of the context-and-byte pairs that any language has, with four bytes a
+language in each row. Their size follows from the sample (about 2 MB for four
+languages) and is broadcast. Scoring is one pass over whole texts without a
+shuffle; a slice looks up each of its distinct byte quadruples once.
 
 Defined cases: texts that are null or have no letter give ``und`` with score 0,
 and so does everything if nothing is labelled; ties go to the language first in
 code-point order; a null ``doc_id`` hashes as the empty string and a null
-language is no label; repeated rows are scored one by one; extra columns are
-ignored; an empty table gives no rows.
+language is no label; repeated rows are scored one by one; a text of any length
+is scored whole, in one task; extra columns, whatever their names, are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,19 +37,21 @@ from .storage import written
 from .tokens import text_slices
 
 ORDER = 3
+SLICE = 4 << 20
 
 
-def _contexts(codes: np.ndarray, offsets: np.ndarray, base: int) -> np.ndarray:
-    """The three codes before each byte as one number; 0 stands before a text."""
-    total = np.zeros(len(codes), dtype=np.int64)
+def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each byte after the three before it in its text, as one number; 0 stands before a text."""
+    gram = data.astype(np.uint32)
     first = offsets[:-1][np.diff(offsets) > 0]
-    for back in range(ORDER, 0, -1):
-        shifted = np.zeros(len(codes), dtype=np.int64)
-        shifted[back:] = codes[: len(codes) - back]
+    size = np.diff(offsets)[np.diff(offsets) > 0]
+    for back in range(1, ORDER + 1):
+        earlier = np.zeros(len(data), dtype=np.uint32)
+        earlier[back:] = data[: len(data) - back]
         for k in range(back):
-            shifted[np.minimum(first + k, len(codes) - 1)[first + k < np.append(first[1:], len(codes))]] = 0
-        total = total * base + shifted
-    return total
+            earlier[(first + k)[size > k]] = 0
+        gram |= earlier << np.uint32(8 * back)
+    return gram
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,68 +59,52 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("lang").to_numpy(zero_copy_only=False)
         for row, end, data, offsets in text_slices(batch.column("text")):
-            grams = _contexts(data.astype(np.int64), offsets, 256) * 256 + data
+            grams = _grams(data, offsets)
             names, which = np.unique(langs[row:end].astype(str), return_inverse=True)
             whose = np.repeat(which, np.diff(offsets))
             for k, name in enumerate(names):
                 found, n = np.unique(grams[whose == k], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["lang", "gram", "n"])
-
-
-def _tables(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, table_bytes: int) -> dict[str, np.ndarray]:
-    """Node of each three-code context and bits of each byte after each node."""
-    seen = np.unique(np.concatenate([gram >> shift & 255 for shift in (0, 8, 16, 24)]))
-    seen = seen[seen > 0]
-    size = len(seen) + 1  # code 0: no byte, or one never seen
-    code = np.zeros(256, dtype=np.int64)
-    code[seen] = np.arange(1, size)
-    parts = [code[gram >> shift & 255] for shift in (24, 16, 8, 0)]
-    rows = max(2, table_bytes // (4 * size * len(langs)))
-
-    # Contexts by frequency, a longer one only after its shorter ones.
-    context = [np.zeros(len(gram), dtype=np.int64), parts[2], parts[1] * size + parts[2], (parts[0] * size + parts[1]) * size + parts[2]]
-    kept = [np.zeros(1, dtype=np.int64)]
-    left = rows - 1
-    for order in range(1, ORDER + 1):
-        names, where = np.unique(context[order], return_inverse=True)
-        weight = np.bincount(where, n)
-        names = np.sort(names[np.argsort(-weight, kind="stable")[:left]])
-        kept.append(names)
-        left -= len(names)
-    bits, nodes, parent_rows = [], [np.zeros(1, dtype=np.int64)], None
-    at = 0
-    previous = np.full((1, size, len(langs)), 1 / 256)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+
+def _tables(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """For each order the bits of known context-and-byte pairs and the bits of the escapes of known contexts."""
+    tables, size = [], len(langs)
     for order in range(ORDER + 1):
-        names = kept[order]
-        if order == 0:
-            parent_rows = np.zeros(1, dtype=np.int64)
-        else:
-            shorter = names % size ** (order - 1)
-            parent_rows = np.searchsorted(kept[order - 1], shorter)
-            known = (parent_rows < len(kept[order - 1])) & (kept[order - 1][np.minimum(parent_rows, len(kept[order - 1]) - 1)] == shorter) if len(kept[order - 1]) else np.zeros(len(names), bool)
-            names, parent_rows = names[known], parent_rows[known]
-            kept[order] = names
-        counts = np.zeros((len(names), size, len(langs)))
-        if len(names):
-            place = np.minimum(np.searchsorted(names, context[order]), len(names) - 1)
-            hit = names[place] == context[order]
-            np.add.at(counts, (place[hit], parts[3][hit], lang[hit]), n[hit])
-        total = counts.sum(axis=1, keepdims=True)
-        kinds = (counts > 0).sum(axis=1, keepdims=True)
-        escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        previous = np.where(counts > 0, counts / np.maximum(total + kinds, 1), escape * previous[parent_rows])
-        bits.append(-np.log2(previous).astype(np.float32))
-        nodes.append(np.arange(len(names)) + at)
-        at += len(names)
-    # The node of the longest kept suffix of every context, found by doubling up from the shortest.
-    longest = np.zeros(1, dtype=np.int32)
-    for order in range(1, ORDER + 1):
-        longest = np.tile(longest, size)
-        longest[kept[order]] = nodes[order + 1]
-    return {"code": code, "size": np.array([size]), "longest": longest, "bits": np.concatenate(bits).reshape(-1, len(langs))}
-
-
-def train(labelled: DataFrame, max_texts: int = 2000, table_bytes: int = 16 << 20) -> tuple[list[str], dict[str, np.ndarray]]:
+        keys, row = np.unique(gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        counts = np.bincount(row * size + lang, n, len(keys) * size).reshape(-1, size)
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        total, kinds = np.zeros((2, len(contexts), size))
+        np.add.at(total, of, counts)
+        np.add.at(kinds, of, counts > 0)
+        escape = -np.log2(np.where(total > 0, kinds, 1) / np.where(total > 0, total + kinds, 1))  # none where a language lacks the context
+        below = tables[-1]["bits"][np.searchsorted(tables[-1]["keys"], keys & ((1 << 8 * order) - 1))] if order else 8.0
+        seen = counts > 0
+        bits = np.where(seen, -np.log2(np.where(seen, counts, 1) / np.maximum(total + kinds, 1)[of]), escape[of] + below)
+        tables.append({"keys": keys, "bits": bits, "contexts": contexts, "escape": escape})
+    return [{"keys": t["keys"].astype(np.uint32), "bits": t["bits"].astype(np.float32), "contexts": t["contexts"].astype(np.uint32), "escape": t["escape"].astype(np.float32)} for t in tables]
+
+
+def _found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted keys, and where."""
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    known = np.flatnonzero(keys[at] == values)
+    return known, at[known]
+
+
+def code_lengths(tables: list[dict[str, np.ndarray]], grams: np.ndarray) -> np.ndarray:
+    """Bits of each byte after its three predecessors, by language, in float32."""
+    bits = np.full((len(grams), tables[0]["bits"].shape[1]), 8.0, dtype=np.float32)
+    for order, table in enumerate(tables):
+        own = grams & np.uint32((1 << 8 * (order + 1)) - 1)
+        known, at = _found(table["contexts"], own >> np.uint32(8))
+        bits[known] += table["escape"][at]
+        known, at = _found(table["keys"], own)
+        bits[known] = table["bits"][at]
+    return bits
+
+
+def train(labelled: DataFrame, max_texts: int = 2000) -> tuple[list[str], list[dict[str, np.ndarray]]]:
     """Learn from ``labelled(doc_id, text, lang)``; returns the languages and their tables."""
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select(F.xxhash64("doc_id", F.lit("learn")).alias("draw"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(max_texts) / F.count("*")).alias("share"))
@@ -124,10 +113,10 @@ def train(labelled: DataFrame, max_texts: int = 2000, table_bytes: int = 16 << 2
     counts = written(counts, "byte-grams").toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     if not langs:
-        return [], {}
+        return [], []
     number = {name: k for k, name in enumerate(langs)}
     lang = np.array([number[x] for x in counts.column("lang").to_pylist()])
-    return langs, _tables(langs, lang, counts.column("gram").to_numpy(), counts.column("n").to_numpy(), table_bytes)
+    return langs, _tables(langs, lang, counts.column("gram").to_numpy(), counts.column("n").to_numpy())
 
 
 def _predicted(langs: list[str], model):
@@ -135,14 +124,14 @@ def _predicted(langs: list[str], model):
         tables = model.value
         for batch in batches:
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
-            for row, end, data, offsets in text_slices(batch.column("text"), (4 << 20) // max(4, len(langs))):
+            for row, end, data, offsets in text_slices(batch.column("text"), SLICE // max(1, len(langs) // 4)):
                 texts, filled = end - row, np.flatnonzero(np.diff(offsets))
                 cost = np.zeros((texts, max(1, len(langs))))
                 if langs and len(filled):
-                    size = int(tables["size"][0])
-                    codes = tables["code"][data]
-                    node = tables["longest"][_contexts(codes, offsets, size)]
-                    cost[filled] = np.add.reduceat(tables["bits"][node * size + codes], offsets[filled], axis=0, dtype=np.float64)
+                    grams, back = np.unique(_grams(data, offsets), return_inverse=True)
+                    bits = code_lengths(tables, grams)
+                    for k in range(len(langs)):
+                        cost[filled, k] = np.add.reduceat(bits[back, k], offsets[filled], dtype=np.float64)
                 best = cost.argmin(axis=1)
                 ahead = cost - cost.min(axis=1, keepdims=True)
                 score = 1 / np.exp2(-np.minimum(ahead, 1000)).sum(axis=1)
@@ -156,7 +145,7 @@ def _predicted(langs: list[str], model):
     return run
 
 
-def identify(docs: DataFrame, langs: list[str], tables: dict[str, np.ndarray]) -> DataFrame:
+def identify(docs: DataFrame, langs: list[str], tables: list[dict[str, np.ndarray]]) -> DataFrame:
     """Return ``doc_id, lang_pred, score, code_bits`` for every row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(tables)
     text = F.col("text").cast("string")
