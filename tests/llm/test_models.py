@@ -284,6 +284,58 @@ def test_toxicity_scores_by_brute_force(spark):
     assert len({round(x, 6) for x in expected}) >= 4
 
 
+def test_toxicity_by_kind_of_change(spark):
+    """Held-out spellings of learnt insults: the README states what short words with two changes give."""
+    chance = random.Random(21)
+    insults = ["idiot", "stupid", "moron", "worthless", "pathetic", "disgusting", "scumbag", "loathsome"]
+    rows, labels = [], []
+    for i in range(600):
+        text = prose(chance, 60).split()
+        if i % 4 == 0:
+            text.insert(chance.randrange(60), insults[i // 4 % len(insults)])
+        rows.append((i, " ".join(text), "en", "s"))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(make(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def inserted(word, n):
+        letters = list(word)
+        for at in sorted(chance.sample(range(1, len(word)), n), reverse=True):
+            letters.insert(at, chance.choice("xzqk17"))
+        return "".join(letters)
+
+    def at_one(word, change):
+        at = chance.randrange(1, len(word) - 2)
+        return word[:at] + change(word[at : at + 2]) + word[at + 2 :]
+
+    kinds = {
+        "as it is": (0, lambda w: w),
+        "capitals": (0, str.upper),
+        "spaced": (0, " ".join),
+        "marks": (0, lambda w: "".join(c + chance.choice(["", ".", "-"]) for c in w)),
+        "inserted": (0, lambda w: inserted(w, 1)),
+        "dropped": (0, lambda w: at_one(w, lambda x: x[1])),
+        "swapped": (0, lambda w: at_one(w, lambda x: x[1] + x[0])),
+        "doubled": (0, lambda w: at_one(w, lambda x: x[0] + x)),
+        "replaced": (8, lambda w: at_one(w, lambda x: chance.choice("xzqk17") + x[1])),
+        "two inserted": (8, lambda w: inserted(w, 2)),
+    }
+    texts, kind_of = [], {}
+    for kind, (least, change) in kinds.items():
+        for word in insults * 6:
+            if len(word) >= least:
+                text = prose(chance, 40).split()
+                text.insert(chance.randrange(40), change(word))
+                kind_of[len(texts)] = kind
+                texts.append(" ".join(text))
+    clean = len(texts)
+    texts += [prose(chance, 60) for _ in range(200)]
+    scores = {r.doc_id: r.score for r in toxicity.score_texts(make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), model).collect()}
+    for kind in kinds:
+        of_kind = [scores[i] >= 0.3 for i, k in kind_of.items() if k == kind]
+        assert sum(of_kind) >= 0.9 * len(of_kind), kind
+    assert not any(scores[i] >= 0.3 for i in range(clean, len(texts)))
+
+
 def test_toxicity(spark, odd, empty):
     chance = random.Random(2)
     insults = ["idiot", "worthless", "pathetic"]
