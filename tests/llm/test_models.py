@@ -22,7 +22,7 @@ def test_elias_fano_round_trip():
         values = np.sort(chance.integers(0, universe, n))
         block = elias_fano.mapped(elias_fano.pack({f"s.{k}": v for k, v in elias_fano.encode(values, universe).items()}))
         sequence = elias_fano.EliasFano(block, "s.")
-        assert (sequence[np.arange(n)] == values).all()
+        assert (sequence[np.arange(n)] == values).all() and (sequence.all() == values).all()
         asked = np.unique(np.concatenate([values, chance.integers(0, universe, 200)]))
         assert (sequence.successor(asked) == np.searchsorted(values, asked)).all()
         found = sequence.find(asked)
