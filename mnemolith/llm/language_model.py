@@ -142,26 +142,22 @@ def _codes(hashes: np.ndarray, index: HashIndex, rank: np.ndarray) -> np.ndarray
     return np.where(at >= 0, rank[at] if len(rank) else 0, other).astype(np.uint32)
 
 
-def _context(v: np.ndarray, draw: np.ndarray, kinds: np.ndarray, end_kinds: int) -> np.ndarray:
-    """The lower context of each token: the word before it, told apart by ``draw`` if very frequent."""
-    count = np.ones(len(v), dtype=np.uint64)
-    common = v < len(kinds)
-    count[common] = kinds[v[common]]
-    count[v == END] = end_kinds
-    split = np.flatnonzero(count > 1)
-    if len(split):
-        v = v.copy()
-        kind = mix(draw[split]) % count[split]
-        v[split] = COMMON + 1 + mix(v[split].astype(np.uint64) << np.uint64(32) | kind) % np.uint64(END - COMMON - 1)
+def _told_apart(v: np.ndarray, which: np.ndarray, draw: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Codes of contexts, those at ``which`` replaced by one of ``parts`` others by ``draw``."""
+    v = v.copy()
+    kind = mix(draw) % parts
+    v[which] = COMMON + 1 + mix(v[which].astype(np.uint64) << np.uint64(32) | kind) % np.uint64(END - COMMON - 1)
     return v
 
 
-def _slice_tokens(words: Words, codes: np.ndarray, keys: np.ndarray, kinds: np.ndarray, end_kinds: int) -> tuple[np.ndarray, ...]:
-    """``(v, u, w, text)`` of every token, ends included: the word and the two before it.
+def _slice_tokens(words: Words, codes: np.ndarray, keys: np.ndarray, vocabulary: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """``(v, u, w, text)`` of every token, ends included, and which ``v`` are a frequent word's.
 
-    The context of frequent words is told apart by the word before, and that of a
-    text's first token by the text's key.
+    ``v`` stands for the word before and ``u`` for the one before that. Contexts of a
+    frequent word are told apart by ``u``, and that of texts' first tokens by the
+    text's key.
     """
+    kinds = vocabulary["kinds"]
     ends = words.first[1:] + np.arange(len(words.count))
     w = np.empty(len(codes) + len(ends), dtype=np.uint32)
     w[np.arange(len(codes)) + words.text_of_word()] = codes
@@ -170,22 +166,68 @@ def _slice_tokens(words: Words, codes: np.ndarray, keys: np.ndarray, kinds: np.n
     u = np.append(np.uint32(END), v[:-1])
     first = np.append(0, ends[:-1] + 1)
     u[first] = END
-    draw = u.astype(np.uint64)
-    draw[first] = keys
-    return _context(v, draw, kinds, end_kinds), u, w, np.repeat(np.arange(len(ends)), words.count + 1)
+    parts = np.ones(len(v), dtype=np.uint64)
+    common = v < len(kinds)
+    parts[common] = kinds[v[common]]
+    parts[v == END] = vocabulary["end_kinds"][0]
+    frequent = np.flatnonzero(parts > 1)
+    if len(frequent):
+        draw = u.astype(np.uint64)
+        draw[first] = keys
+        v = _told_apart(v, frequent, draw[frequent], parts[frequent])
+    return v, u, w, np.repeat(np.arange(len(ends)), words.count + 1), frequent
+
+
+def _by_text(v: np.ndarray, text: np.ndarray, keys: np.ndarray, crowded: dict[str, np.ndarray]) -> np.ndarray:
+    """Contexts with those in ``crowded`` told apart once more, by the text."""
+    if not len(crowded["context"]):
+        return v
+    at = np.minimum(np.searchsorted(crowded["context"], v), len(crowded["context"]) - 1)
+    which = np.flatnonzero(crowded["context"][at] == v)
+    return _told_apart(v, which, keys[text[which]], crowded["parts"][at[which]])
+
+
+def _frequent_contexts(model):
+    """Counts of the contexts of frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = model.value
+        index = HashIndex(vocabulary["words"])
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for row, end, data, offsets in text_slices(batch.column("text"), SLICE, SLICE_ROWS):
+                words = Words(data, offsets, lower=True)
+                v, *_, frequent = _slice_tokens(words, _codes(words.hashes(), index, vocabulary["rank"]), keys[row:end].view(np.uint64), vocabulary)
+                context, n = np.unique(v[frequent], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(context.astype(np.int64)), pa.array(n.astype(np.int64))], names=["context", "n"])
+
+    return run
+
+
+def _crowded(texts: DataFrame, model, vocabulary: dict[str, np.ndarray], bucket: int) -> dict[str, np.ndarray]:
+    """Contexts that one pair of words fills beyond twice a bucket, and into how many parts they go.
+
+    There are at most half as many as buckets.
+    """
+    rows = []
+    if max(vocabulary["kinds"].max(initial=1), vocabulary["end_kinds"][0]) > 1:
+        counts = texts.select("key", "text").mapInArrow(_frequent_contexts(model), "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+        rows = counts.filter(F.col("n") > 2 * bucket).orderBy("context").collect()
+    return {"context": np.array([r["context"] for r in rows], dtype=np.uint32), "parts": np.array([-(-r["n"] // bucket) for r in rows], dtype=np.uint64)}
 
 
-def _dealt(model, buckets: int):
+def _dealt(model, crowded: dict[str, np.ndarray], buckets: int):
     """One row for each slice and bucket, the slice's tokens of that bucket, and one with the slice's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = model.value
-        index, kinds, end_kinds = HashIndex(vocabulary["words"]), vocabulary["kinds"], int(vocabulary["end_kinds"][0])
+        index = HashIndex(vocabulary["words"])
         for batch in batches:
             keys, learn = batch.column("key").to_numpy(), batch.column("learn").to_numpy(zero_copy_only=False)
             for row, end, data, offsets in text_slices(batch.column("text"), SLICE, SLICE_ROWS):
                 words, own = Words(data, offsets, lower=True), keys[row:end]
-                v, u, w, text = _slice_tokens(words, _codes(words.hashes(), index, vocabulary["rank"]), own.view(np.uint64), kinds, end_kinds)
+                v, u, w, text, _ = _slice_tokens(words, _codes(words.hashes(), index, vocabulary["rank"]), own.view(np.uint64), vocabulary)
+                v = _by_text(v, text, own.view(np.uint64), crowded)
                 name = int(np.bitwise_xor.reduce(mix(own.view(np.uint64) + np.arange(1, len(own) + 1, dtype=np.uint64))).view(np.int64))
                 where = mix(v.astype(np.uint64)) % np.uint64(buckets)
                 order = np.argsort(where << np.uint64(32) | v)
@@ -306,7 +348,7 @@ def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bu
     )
 
     buckets = max(1, -(-tokens // bucket))
-    dealt = base.drop("doc_id").mapInArrow(_dealt(model, buckets), "bucket long, slice long, keys array<long>, v array<int>, u array<int>, w array<int>, mark array<smallint>")
+    dealt = base.drop("doc_id").mapInArrow(_dealt(model, _crowded(base, model, vocabulary, bucket), buckets), "bucket long, slice long, keys array<long>, v array<int>, u array<int>, w array<int>, mark array<smallint>")
     sums = dealt.groupBy("bucket").applyInArrow(_scored(model, discount), "slice long, keys array<long>, text array<smallint>, tokens array<int>, score array<float>")
     scores = sums.groupBy("slice").applyInArrow(_gathered, "key long, score double, tokens long")
 

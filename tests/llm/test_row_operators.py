@@ -305,6 +305,24 @@ def test_language_model(odd, odd_rows, empty):
     assert {r.train_tokens for r in blank} == {0} and all(r.score == r.base_score == 0 for r in blank)
 
 
+def test_frequent_words_and_pairs_spread_over_buckets(spark, monkeypatch):
+    """A pair of words that is a third of all tokens: no bucket holds more than about two buckets of tokens."""
+    chance = random.Random(17)
+    docs = make(spark, [(i, " ".join(chance.choice(["hot pair", "hot pair", f"w{chance.randrange(3000)} x{chance.randrange(3000)}"]) for _ in range(60)), "en", "s") for i in range(300)])
+    seen = []
+    grouped = type(docs).groupBy
+
+    def watched(df, *columns):
+        if len(columns) == 1 and isinstance(columns[0], str) and columns[0] == "bucket":
+            seen.extend(r.n for r in grouped(df, "bucket").agg(F.sum(F.size("v")).alias("n")).collect())
+        return grouped(df, *columns)
+
+    monkeypatch.setattr(type(docs), "groupBy", watched)
+    rows = lm.score_texts(docs, F.lit(True), bucket=1_000).collect()
+    assert len(rows) == 300 and all(r.score > r.base_score for r in rows)
+    assert sum(seen) == sum(r.n_tokens for r in rows) and len(seen) > 20 and max(seen) <= 5_000
+
+
 def test_probabilities_sum_to_one():
     chance = random.Random(4)
     v, u, w = (np.array([int(chance.paretovariate(0.8)) % 60 for _ in range(3_000)], dtype=np.uint32) for _ in range(3))
