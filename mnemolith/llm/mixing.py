@@ -26,7 +26,9 @@ rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .expressions import packed, words
@@ -36,17 +38,29 @@ BUCKETS = 4096
 SOURCE = ["no_source", "source_key"]
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """One row for each document: its size, source and place in the shuffle."""
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.col("text").cast("string")).alias("text_key"),
+PLACE = ["shuffle", "size", "text_key"]  # the order of a source's documents
+
+
+def _shuffle() -> Column:
+    text = F.col("text").cast("string")
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary")), F.lit("")), F.lit("|mix")).cast("binary")).alias("shuffle")
+
+
+def _keys() -> list[Column]:
+    """Source, size and place in the shuffle of a document."""
+    text = F.col("text").cast("string")
+    return [
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("")), F.lit("|mix")).cast("binary")).alias("shuffle"),
-    )
+        F.xxhash64(text).alias("text_key"),
+        _shuffle(),
+    ]
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """One row for each document."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *_keys())
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), passes: int = 2) -> DataFrame:
@@ -83,7 +97,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def _queue(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int], passes: int) -> tuple[DataFrame, DataFrame]:
-    """``(targets, queue)``: queue has each row's taken words by ``row``."""
+    """``(targets, served)``: every row's passes through the queue, and whether the mix takes them."""
     sizes = sized.groupBy(*SOURCE).agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sizes, weights, share, passes), "targets")
 
@@ -91,7 +105,7 @@ def _queue(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int], p
     by_bucket = queued.groupBy(*SOURCE, "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy(*SOURCE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.select(*SOURCE, "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy(*SOURCE, "bucket").orderBy("shuffle", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*SOURCE, "bucket").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
     placed = queued.withColumn("running", F.sum("size").over(within)).join(offsets, [*SOURCE, "bucket"]).join(targets, SOURCE)
 
     passed = placed.withColumn("pass", F.explode(F.array(*map(F.lit, range(passes)))))
@@ -99,21 +113,22 @@ def _queue(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int], p
     passed = passed.withColumn("finish", finish)
     # Fine steps up to virtual time 2, then steps of a fixed ratio: at most 25,000 buckets.
     step = F.when(F.col("finish") < 2, F.floor(F.col("finish") * BUCKETS)).otherwise(2 * BUCKETS + F.floor(F.log2("finish") * 256)).cast("int")
-    timed = written(passed.select("row", *SOURCE, "size", "shuffle", "text_key", "pass", "finish", "budget", step.alias("step")), "queue")
+    timed = written(passed.select("row", *SOURCE, *PLACE, "pass", "finish", "budget", step.alias("step")), "queue")
     ahead = timed.groupBy("step").agg(F.sum("size").alias("words"))
     ahead = ahead.select("step", F.coalesce(F.sum("words").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    line = Window.partitionBy("step").orderBy("finish", *SOURCE, "pass", "shuffle", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("step").orderBy("finish", *SOURCE, "pass", *PLACE).rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("ahead") + F.sum("size").over(line)
-    served = timed.join(F.broadcast(ahead), "step").withColumn("total", total)
-    taken = written(served.groupBy("row").agg(F.sum(F.when(F.col("total") <= F.col("budget"), F.col("size")).otherwise(0)).alias("taken")), "taken")
+    served = timed.join(F.broadcast(ahead), "step").select("row", *SOURCE, *PLACE, "pass", (total <= F.col("budget")).alias("taken"))
+    served = written(served, "served")
     discard(timed)
-    return targets, taken
+    return targets, served
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), passes: int = 2) -> DataFrame:
     """Return ``doc_id, size, source_size, target, taken, source, copies`` for every row."""
     sized = written(_sized(docs), "sized")
-    targets, taken = _queue(sized, weights, share, passes)
+    targets, served = _queue(sized, weights, share, passes)
+    taken = served.groupBy("row").agg(F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"))
     # A row without words is not queued; it needs no match, so it keeps out of the join.
     full = sized.filter("size > 0").join(taken, "row", "left")
     rows = full.unionByName(sized.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
@@ -130,17 +145,35 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tu
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), passes: int = 2) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    one = mix_sources(docs, weights, share, passes).groupBy(F.xxhash64("doc_id", "text_key").alias("key"))
-    shares = written(one.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0"), "shares")
-    keyed = docs.select(packed(docs).alias("given"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))).alias("key"))
-    single = keyed.join(shares.filter("rows = 1"), "key").select("given", F.col("copies").cast("int").alias("times"))
-    # Rows of one doc_id and text are counted by what else they hold, in each task first, so that no task numbers
-    # them one by one; the copies are shared evenly, the rest going to the first.
-    several = keyed.join(shares.filter("rows > 1"), "key").withColumn("kind", F.xxhash64(F.to_json("given")))
-    several = several.groupBy("key", "kind", "copies", "rows").agg(F.count("*").alias("n"), F.first("given").alias("given"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.greatest(F.lit(0), F.least(F.col("n"), F.col("copies") % F.col("rows") - before))
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it.
+
+    In each pass the mix takes a source's documents up to some place of their
+    order, so a row's copies follow from its place and the last ones of its source,
+    and no text moves. Only rows at a last place itself are counted.
+    """
+    sized = written(_sized(docs), "sized")
+    _, served = _queue(sized, weights, share, passes)
+    place = F.struct(*PLACE)
+    ends = [f"end_{p}" for p in range(passes)]
+    last = served.filter("taken").groupBy(*SOURCE).agg(*[F.max(F.when(F.col("pass") == p, place)).alias(end) for p, end in enumerate(ends)])
+    last = written(last, "last-places")
+    discard(sized)
+    at_end = reduce(Column.__or__, [F.coalesce(place == F.col(end), F.lit(False)) for end in ends])
+    before = sum((F.coalesce(place < F.col(end), F.lit(False)).cast("int") for end in ends), F.lit(0))
+    keyed = docs.select(packed(docs).alias("given"), *_keys()).filter("size > 0").join(last, SOURCE)
+    plain = keyed.filter(~at_end).select("given", before.alias("times"))
+
+    # Rows at one place are equal in doc_id and text. They are counted by what else they hold, in each task first, and
+    # share their copies evenly, the rest going to the first.
+    counts = served.join(last, SOURCE).filter(at_end).groupBy(*SOURCE, *PLACE)
+    counts = counts.agg(F.sum((F.col("pass") == 0).cast("long")).alias("rows"), F.sum(F.col("taken").cast("long")).alias("copies"))
+    found = last.select(F.explode(F.array(*[F.col(f"{end}.shuffle") for end in ends])).alias("shuffle")).filter("shuffle IS NOT NULL").distinct()
+    near = docs.select(packed(docs).alias("given"), "doc_id", "text", "source", _shuffle()).join(found, "shuffle", "left_semi").select("given", *_keys())
+    several = near.filter("size > 0").join(last, SOURCE).filter(at_end).withColumn("kind", F.xxhash64(F.to_json("given")))
+    several = several.groupBy(*SOURCE, *PLACE, "kind").agg(F.count("*").alias("n"), F.first("given").alias("given")).join(written(counts, "at-last-places"), [*SOURCE, *PLACE])
+    earlier = Window.partitionBy(*SOURCE, *PLACE).orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.greatest(F.lit(0), F.least(F.col("n"), F.col("copies") % F.col("rows") - F.coalesce(F.sum("n").over(earlier), F.lit(0))))
     several = several.select("given", (F.col("n") * F.expr("copies div rows") + rest).cast("int").alias("times"))
-    every = single.unionByName(several).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    discard(served)
+    every = plain.unionByName(several).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
     return every.select("given.*")
