@@ -17,7 +17,7 @@ table of sources itself, one row each, is ordered as a whole.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null
 source is a source; a null ``doc_id`` queues by its text; equal virtual
-times go by source, pass, place, size and text, so reruns agree; rows
+times go by source, pass, place and text, so reruns agree; rows
 repeated as a whole queue one by one, and :func:`mixed` shares their copies
 evenly; a text of any length counts whole and is taken whole; extra columns, whatever their
 names, are kept by :func:`mixed` and otherwise ignored; an empty table gives no
@@ -31,14 +31,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expressions import packed, words
+from .expressions import SPACES, packed, words
 from .storage import discard, written
 
 BUCKETS = 4096
 SOURCE = ["no_source", "source_key"]
 
 
-PLACE = ["shuffle", "size", "text_key"]  # the order of a source's documents
+PLACE = ["shuffle", "text_key"]  # the order of a source's documents
 
 
 def _shuffle() -> Column:
@@ -47,12 +47,11 @@ def _shuffle() -> Column:
 
 
 def _keys() -> list[Column]:
-    """Source, size and place in the shuffle of a document."""
+    """Source and place in the shuffle of a document."""
     text = F.col("text").cast("string")
     return [
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
-        F.size(words(F.col("text"))).cast("long").alias("size"),
         F.xxhash64(text).alias("text_key"),
         _shuffle(),
     ]
@@ -60,7 +59,7 @@ def _keys() -> list[Column]:
 
 def _sized(docs: DataFrame) -> DataFrame:
     """One row for each document."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *_keys())
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text"))).cast("long").alias("size"), *_keys())
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), passes: int = 2) -> DataFrame:
@@ -113,12 +112,12 @@ def _queue(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int], p
     passed = passed.withColumn("finish", finish)
     # Fine steps up to virtual time 2, then steps of a fixed ratio: at most 25,000 buckets.
     step = F.when(F.col("finish") < 2, F.floor(F.col("finish") * BUCKETS)).otherwise(2 * BUCKETS + F.floor(F.log2("finish") * 256)).cast("int")
-    timed = written(passed.select("row", *SOURCE, *PLACE, "pass", "finish", "budget", step.alias("step")), "queue")
+    timed = written(passed.select("row", *SOURCE, "size", *PLACE, "pass", "finish", "budget", step.alias("step")), "queue")
     ahead = timed.groupBy("step").agg(F.sum("size").alias("words"))
     ahead = ahead.select("step", F.coalesce(F.sum("words").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     line = Window.partitionBy("step").orderBy("finish", *SOURCE, "pass", *PLACE).rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("ahead") + F.sum("size").over(line)
-    served = timed.join(F.broadcast(ahead), "step").select("row", *SOURCE, *PLACE, "pass", (total <= F.col("budget")).alias("taken"))
+    served = timed.join(F.broadcast(ahead), "step").select("row", *SOURCE, "size", *PLACE, "pass", (total <= F.col("budget")).alias("taken"))
     served = written(served, "served")
     discard(timed)
     return targets, served
@@ -160,7 +159,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[in
     discard(sized)
     at_end = reduce(Column.__or__, [F.coalesce(place == F.col(end), F.lit(False)) for end in ends])
     before = sum((F.coalesce(place < F.col(end), F.lit(False)).cast("int") for end in ends), F.lit(0))
-    keyed = docs.select(packed(docs).alias("given"), *_keys()).filter("size > 0").join(last, SOURCE)
+    filled = F.btrim(F.col("text").cast("string"), F.lit(SPACES)) != ""
+    keyed = docs.filter(filled).select(packed(docs).alias("given"), *_keys()).join(last, SOURCE)
     plain = keyed.filter(~at_end).select("given", before.alias("times"))
 
     # Rows at one place are equal in doc_id and text. They are counted by what else they hold, in each task first, and
@@ -168,8 +168,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[in
     counts = served.join(last, SOURCE).filter(at_end).groupBy(*SOURCE, *PLACE)
     counts = counts.agg(F.sum((F.col("pass") == 0).cast("long")).alias("rows"), F.sum(F.col("taken").cast("long")).alias("copies"))
     found = last.select(F.explode(F.array(*[F.col(f"{end}.shuffle") for end in ends])).alias("shuffle")).filter("shuffle IS NOT NULL").distinct()
-    near = docs.select(packed(docs).alias("given"), "doc_id", "text", "source", _shuffle()).join(found, "shuffle", "left_semi").select("given", *_keys())
-    several = near.filter("size > 0").join(last, SOURCE).filter(at_end).withColumn("kind", F.xxhash64(F.to_json("given")))
+    near = docs.filter(filled).select(packed(docs).alias("given"), "doc_id", "text", "source", _shuffle()).join(found, "shuffle", "left_semi").select("given", *_keys())
+    several = near.join(last, SOURCE).filter(at_end).withColumn("kind", F.xxhash64(F.to_json("given")))
     several = several.groupBy(*SOURCE, *PLACE, "kind").agg(F.count("*").alias("n"), F.first("given").alias("given")).join(written(counts, "at-last-places"), [*SOURCE, *PLACE])
     earlier = Window.partitionBy(*SOURCE, *PLACE).orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
     rest = F.greatest(F.lit(0), F.least(F.col("n"), F.col("copies") % F.col("rows") - F.coalesce(F.sum("n").over(earlier), F.lit(0))))
