@@ -55,6 +55,28 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM d JOIN t USING (no_source, source_key) LEFT JOIN k USING (rid)
 """
 
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT rid, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS kept, sum(n_lang) AS all_lang FROM k GROUP BY lang),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (coalesce(t.n, 0) + 2 * v.kept) AS p,
+    1 + (1000000000 * (k.n_lang + 2)::HUGEINT) // (v.all_lang + 2 * v.kept) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p))::BIGINT AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+b AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(a.value, 0)::BIGINT AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+e AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM b UNION ALL SELECT * FROM e))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
 _whole = " ".join(f"WHEN '{s}' THEN '{i}'" for s, i in SENTENCES.items() if not s.endswith("*"))
 _begun = " ".join(f"WHEN starts_with(s, '{s[:-1]}') THEN '{i}'" for s, i in SENTENCES.items() if s.endswith("*"))
 
@@ -84,4 +106,5 @@ ORACLE_SQL = {
     "op2_mixing": MIXING,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op9_near_dedup": NEAR_DEDUP,
+    "op13_divergence": DIVERGENCE,
 }

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import language_id, language_model, toxicity
+from . import language_id, language_model, quality_classifier, toxicity
+from .conversation_repair import damaged, repaired
 from .decontamination import contamination
+from .divergence import divergence
 from .language_model import held_out
 from .licences import scan_licences
 from .mixing import mix_sources
@@ -91,6 +93,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(docs, ~out).withColumn("held_out", out)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged, and the cheapest repair of each."""
+    return repaired(damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labels of three quarters of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = quality_classifier.train(docs, _table(spark, sf_dir, "labels").filter(~out))
+    scored = quality_classifier.score_texts(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language against each other, and each source's own terms."""
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline over documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -107,6 +128,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
 

@@ -22,6 +22,9 @@ WINDOW_BASE = 0xD1342543DE82EF95
 
 _separator = np.zeros(256, dtype=bool)
 _separator[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes outside terms of ASCII letters and characters beyond ASCII.
+NO_LETTERS = np.zeros(256, dtype=bool)
+NO_LETTERS[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -84,9 +87,9 @@ class Words:
     index of its first word (one more entry than texts), ``count`` its words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = _separator):
         self.data, self.offsets = (_lower[data] if lower else data), offsets
-        inside = ~_separator[data]
+        inside = ~separator[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty(len(data), dtype=bool)
