@@ -95,27 +95,24 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("key").slice(row, end - row),
                     batch.column("quality").slice(row, end - row),
                     pa.array([x.astype(np.int16) for x in columns], pa.list_(pa.int16())),
                     pa.array([np.minimum(c[x], 1 << 30).astype(np.int32) for c, x in zip(counts, columns, strict=True)], pa.list_(pa.int32())),
                 ],
-                names=["quality", "at", "n"],
+                names=["key", "quality", "at", "n"],
             )
 
 
-def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Each text's terms, damped and weighted, as a vector of length one (or zero)."""
-    rows = np.log1p(counts).astype(np.float32) * rarity
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-
-
-def _leading(rows: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
-    """The leading right singular vectors, by subspace iteration from a fixed start."""
+def _leading(damped: np.ndarray, rarity: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
+    """The map of damped counts to the latent space: the leading right singular vectors of weighted texts of length one, by subspace iteration from a fixed start."""
+    rows = damped * rarity
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
     basis = np.random.default_rng(5).standard_normal((rows.shape[1], min(dimensions + 16, *rows.shape))).astype(np.float32)
     for _ in range(rounds):
         basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
     _, _, turn = np.linalg.svd(rows @ basis, full_matrices=False)
-    return np.ascontiguousarray((basis @ turn.T)[:, :dimensions], dtype=np.float32)
+    return np.ascontiguousarray((basis @ turn.T)[:, :dimensions] * rarity[:, None], dtype=np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, dimensions: int = 64, neighbours: int = 40, power: float = 8.0) -> dict:
@@ -125,25 +122,27 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, dimensi
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("neighbours")), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The sample's identifiers are bounded by max_labelled; the texts stay where they are.
-    sample = written(texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(_described, "quality int, at array<smallint>, n array<int>"), "described")
-    found = sample.toArrow()
+    described = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("key"), "text", "quality").mapInArrow(_described, "key long, quality int, at array<smallint>, n array<int>")
+    sample = written(described, "described")
+    found = sample.toArrow().combine_chunks()
     discard(sample)
-    quality = (found.column("quality").to_numpy() == 1).astype(np.float32)
-    prior = float(quality.mean()) if len(quality) else 0.5
-    if not 0 < prior < 1:
+    good = found.column("quality").to_numpy() == 1
+    prior = float(good.mean()) if len(good) else 0.5
+    if prior in (0, 1) or not len(good):
         return {"prior": prior, "vectors": None}
     # A fixed order, whatever order the tasks came in.
-    at, n = found.column("at").to_pylist(), found.column("n").to_pylist()
-    order = sorted(range(len(at)), key=lambda i: (at[i], n[i], quality[i]))
-    counts = np.zeros((len(at), FEATURES), dtype=np.float32)
-    for row, i in enumerate(order):
-        counts[row, at[i]] = n[i]
-    rarity = np.log((1 + len(at)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    rows = _weighted(counts, rarity)
-    space = _leading(rows, dimensions) * rarity[:, None]
-    vectors = np.log1p(counts) @ space
+    order = np.lexsort((good, found.column("key").to_numpy()))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    at, n = found.column("at").chunk(0), found.column("n").chunk(0)
+    damped = np.zeros((len(order), FEATURES), dtype=np.float32)
+    damped[np.repeat(place, np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = np.log1p(n.flatten().to_numpy())
+    del found, at, n
+    rarity = np.log((1 + len(damped)) / (1 + np.count_nonzero(damped, axis=0))).astype(np.float32) + np.float32(0.1)
+    space = _leading(damped, rarity, dimensions)
+    vectors = damped @ space
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return {"prior": prior, "space": space, "vectors": vectors.astype(np.float32), "quality": quality[order], "neighbours": min(neighbours, len(at)), "power": power}
+    return {"prior": prior, "space": space, "vectors": vectors.astype(np.float32), "quality": good[order].astype(np.float32), "neighbours": min(neighbours, len(order)), "power": power}
 
 
 def _votes(near: np.ndarray, model: dict) -> np.ndarray:
