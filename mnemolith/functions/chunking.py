@@ -10,6 +10,7 @@ from .text import bind, strip
 CHUNK = "struct<content:string,start_char:int,end_char:int>"
 CUT = "struct<first:int,count:int,start:int,end:int>"
 LEAST_TEXT = 5
+BLOCK = 256
 
 
 def chunks(text: Column, least: int = 30, most: int = 500, overlap: int = 1) -> Column:
@@ -22,32 +23,60 @@ def chunks(text: Column, least: int = 30, most: int = 500, overlap: int = 1) ->
     text. Null gives null, short text no chunk.
 
     The fold goes over the sentences' lengths and keeps numbers only; each chunk's
-    text is put together once, afterwards.
+    text is put together once, afterwards. A fold copies its state at every step, so
+    that of a long text goes over blocks of sentences and keeps the place that
+    each begins at; the cuts are then found block by block.
     """
 
     def cut(state: Column) -> Column:
-        return F.array_append(state["cuts"], F.struct((state["k"] - state["count"]).alias("first"), state["count"], (state["end"] - state["size"]).alias("start"), state["end"]).cast(CUT))
+        return F.struct((state["k"] - state["count"]).alias("first"), state["count"], (state["end"] - state["size"]).alias("start"), state["end"]).cast(CUT)
 
-    def state_of(k: Column, count: Column, size: Column, end: Column, recent: Column, cuts: Column) -> Column:
-        return F.struct(k.alias("k"), count.alias("count"), size.alias("size"), end.alias("end"), recent.alias("recent"), cuts.alias("cuts"))
+    def state_of(k: Column, count: Column, size: Column, end: Column, recent: Column, cuts: Column | None) -> Column:
+        place = [k.alias("k"), count.alias("count"), size.alias("size"), end.alias("end"), recent.alias("recent")]
+        return F.struct(*place) if cuts is None else F.struct(*place, cuts.alias("cuts"))
 
-    def step(state: Column, n: Column) -> Column:
-        fits = state["size"] + n <= most
-        if overlap:
-            kept, kept_size = F.size(state["recent"]), F.aggregate(state["recent"], F.lit(0), lambda total, x: total + x)
-            recent = bind(F.array_append(state["recent"], n), lambda r: F.slice(r, F.greatest(F.size(r) - overlap, F.lit(0)) + 1, F.lit(overlap)))
-        else:
-            kept, kept_size, recent = state["count"], state["size"], state["recent"]
-        grown = state_of(state["k"] + 1, state["count"] + 1, state["size"] + n, state["end"] + n, recent, state["cuts"])
-        begun = state_of(state["k"] + 1, kept + 1, kept_size + n, state["end"] + n, recent, cut(state))
-        return F.when(fits, grown).otherwise(begun)
+    def stepping(keeping: bool):
+        def step(state: Column, n: Column) -> Column:
+            fits = state["size"] + n <= most
+            if overlap:
+                kept, kept_size = F.size(state["recent"]), F.aggregate(state["recent"], F.lit(0), lambda total, x: total + x)
+                recent = bind(F.array_append(state["recent"], n), lambda r: F.slice(r, F.greatest(F.size(r) - overlap, F.lit(0)) + 1, F.lit(overlap)))
+            else:
+                kept, kept_size, recent = state["count"], state["size"], state["recent"]
+            grown = state_of(state["k"] + 1, state["count"] + 1, state["size"] + n, state["end"] + n, recent, state["cuts"] if keeping else None)
+            begun = state_of(state["k"] + 1, kept + 1, kept_size + n, state["end"] + n, recent, F.array_append(state["cuts"], cut(state)) if keeping else None)
+            return F.when(fits, grown).otherwise(begun)
 
-    none = F.array().cast("array<int>")
-    empty = state_of(F.lit(0), F.lit(0), F.lit(0), F.lit(0), none, F.array().cast(f"array<{CUT}>"))
+        return step
+
+    none, no_cuts = F.array().cast("array<int>"), F.array().cast(f"array<{CUT}>")
+    start = (F.lit(0), F.lit(0), F.lit(0), F.lit(0), none)
+
+    def in_one_fold(lengths: Column) -> Column:
+        return F.aggregate(lengths, state_of(*start, no_cuts), stepping(True), lambda state: F.array_append(state["cuts"], cut(state)))
+
+    def by_blocks(lengths: Column) -> Column:
+        def block(b: Column) -> Column:
+            return F.transform(F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(lengths)) - 1), lambda i: F.get(lengths, i))
+
+        def passed(state: Column, b: Column) -> Column:
+            return F.struct(F.aggregate(block(b), state["at"], stepping(False)).alias("at"), F.array_append(state["starts"], state["at"]).alias("starts"))
+
+        def of_block(at: Column, b: Column) -> Column:
+            return F.aggregate(block(b), state_of(*[at[c] for c in ("k", "count", "size", "end", "recent")], no_cuts), stepping(True), lambda state: state["cuts"])
+
+        place = "struct<k:int,count:int,size:int,end:int,recent:array<int>>"
+        begun = F.struct(state_of(*start, None).cast(place).alias("at"), F.array().cast(f"array<{place}>").alias("starts"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+        return bind(F.aggregate(blocks, begun, passed), lambda all_: F.array_append(F.flatten(F.transform(all_["starts"], of_block)), cut(all_["at"])))
+
+    def text_of(sentences: Column, c: Column) -> Column:
+        # Sentences by their places: a slice would copy all of them for each chunk.
+        return F.array_join(F.transform(F.sequence(c["first"], c["first"] + c["count"] - 1), lambda i: F.get(sentences, i)), "")
 
     def of_sentences(sentences: Column) -> Column:
-        cuts = F.aggregate(F.transform(sentences, lambda x: F.length(x)), empty, step, cut)
-        found = F.transform(cuts, lambda c: F.struct(strip(F.array_join(F.slice(sentences, c["first"] + 1, c["count"]), "")).alias("content"), c["start"].alias("start_char"), c["end"].alias("end_char")).cast(CHUNK))
+        cuts = bind(F.transform(sentences, lambda x: F.length(x)), lambda n: F.when(F.size(n) <= BLOCK, in_one_fold(n)).otherwise(by_blocks(n)))
+        found = F.transform(cuts, lambda c: F.struct(strip(text_of(sentences, c)).alias("content"), c["start"].alias("start_char"), c["end"].alias("end_char")).cast(CHUNK))
         return F.filter(found, lambda c: F.length(c["content"]) >= least)
 
     def folded(stripped: Column) -> Column:
