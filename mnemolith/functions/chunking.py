@@ -72,7 +72,8 @@ def chunks(text: Column, least: int = 30, most: int = 500, overlap: int = 1) ->
 
     def text_of(sentences: Column, c: Column) -> Column:
         # Sentences by their places: a slice would copy all of them for each chunk.
-        return F.array_join(F.transform(F.sequence(c["first"], c["first"] + c["count"] - 1), lambda i: F.get(sentences, i)), "")
+        places = F.sequence(c["first"], c["first"] + c["count"] - 1)
+        return F.when(c["count"] == 0, "").otherwise(F.array_join(F.transform(places, lambda i: F.get(sentences, i)), ""))
 
     def of_sentences(sentences: Column) -> Column:
         cuts = bind(F.transform(sentences, lambda x: F.length(x)), lambda n: F.when(F.size(n) <= BLOCK, in_one_fold(n)).otherwise(by_blocks(n)))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,34 @@ def test_chunks(spark, text, expected):
     assert all(text.strip()[c.start_char : c.end_char].strip() == c.content for c in found)
 
 
+@pytest.mark.parametrize("overlap", [0, 1, 2])
+def test_chunks_of_many_sentences(spark, overlap):
+    """A text whose fold goes over blocks, against the rule written out."""
+    sizes = [(7 * k * k + 13) % 260 + 1 for k in range(700)]
+    parts = [chr(0x4E00 + k) * n + "。" for k, n in enumerate(sizes)]
+    expected, held, end = [], [], 0
+    for part in [*parts, ""]:
+        if sum(map(len, held)) + len(part) > 500:
+            expected.append(("".join(held), end - sum(map(len, held)), end))
+            held = held[-overlap:]
+        held, end = [*held, part], end + len(part)
+    expected.append(("".join(held), end - sum(map(len, held)), end))
+    found = one(spark, "".join(parts), lambda x: chunks(x, overlap=overlap))
+    assert [tuple(c) for c in found] == [c for c in expected if len(c[0]) >= 30]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    def seconds(n):
+        began = time.perf_counter()
+        text = F.repeat(F.concat(F.lit("x" * 400 + "。"), F.substring(F.col("id").cast("string"), 9, 1)), n)
+        assert spark.range(1).select(F.size(chunks(text))).first()[0] == n + 1
+        return time.perf_counter() - began
+
+    seconds(100)
+    # Eight times the text; a fold that copies its cuts takes sixty times as long.
+    assert seconds(80_000) < 16 * seconds(10_000) + 2
+
+
 def test_overlap_of_zero_keeps_everything(spark):
     found = one(spark, ("甲" * 300 + "。") * 4, lambda x: chunks(x, overlap=0))
     assert [(len(c.content), c.start_char, c.end_char) for c in found] == [(301, 0, 301), (602, 0, 602), (903, 0, 903), (1204, 0, 1204), (1204, 0, 1204)]
