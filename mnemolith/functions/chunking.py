@@ -38,7 +38,9 @@ def chunks(text: Column, least: int = 30, most: int = 500, overlap: int = 1) ->
     def stepping(keeping: bool):
         def step(state: Column, n: Column) -> Column:
             fits = state["size"] + n <= most
-            if overlap:
+            if overlap == 1:
+                kept, kept_size, recent = F.size(state["recent"]), F.coalesce(F.get(state["recent"], F.lit(0)), F.lit(0)), F.array(n)
+            elif overlap:
                 kept, kept_size = F.size(state["recent"]), F.aggregate(state["recent"], F.lit(0), lambda total, x: total + x)
                 recent = bind(F.array_append(state["recent"], n), lambda r: F.slice(r, F.greatest(F.size(r) - overlap, F.lit(0)) + 1, F.lit(overlap)))
             else:
@@ -52,10 +54,7 @@ def chunks(text: Column, least: int = 30, most: int = 500, overlap: int = 1) ->
     none, no_cuts = F.array().cast("array<int>"), F.array().cast(f"array<{CUT}>")
     start = (F.lit(0), F.lit(0), F.lit(0), F.lit(0), none)
 
-    def in_one_fold(lengths: Column) -> Column:
-        return F.aggregate(lengths, state_of(*start, no_cuts), stepping(True), lambda state: F.array_append(state["cuts"], cut(state)))
-
-    def by_blocks(lengths: Column) -> Column:
+    def cuts_of(lengths: Column) -> Column:
         def block(b: Column) -> Column:
             return F.transform(F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(lengths)) - 1), lambda i: F.get(lengths, i))
 
@@ -63,20 +62,24 @@ def chunks(text: Column, least: int = 30, most: int = 500, overlap: int = 1) ->
             return F.struct(F.aggregate(block(b), state["at"], stepping(False)).alias("at"), F.array_append(state["starts"], state["at"]).alias("starts"))
 
         def of_block(at: Column, b: Column) -> Column:
-            return F.aggregate(block(b), state_of(*[at[c] for c in ("k", "count", "size", "end", "recent")], no_cuts), stepping(True), lambda state: state["cuts"])
+            begun = state_of(*[at[c] for c in ("k", "count", "size", "end", "recent")], no_cuts)
+            return F.aggregate(block(b), begun, stepping(True), lambda state: F.when(state["k"] == F.size(lengths), F.array_append(state["cuts"], cut(state))).otherwise(state["cuts"]))
 
         place = "struct<k:int,count:int,size:int,end:int,recent:array<int>>"
-        begun = F.struct(state_of(*start, None).cast(place).alias("at"), F.array().cast(f"array<{place}>").alias("starts"))
+        first = state_of(*start, None).cast(place)
         blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
-        return bind(F.aggregate(blocks, begun, passed), lambda all_: F.array_append(F.flatten(F.transform(all_["starts"], of_block)), cut(all_["at"])))
+        walked = F.aggregate(blocks, F.struct(first.alias("at"), F.array().cast(f"array<{place}>").alias("starts")), passed, lambda state: state["starts"])
+        return F.flatten(F.transform(F.when(F.size(lengths) <= BLOCK, F.array(first)).otherwise(walked), of_block))
 
     def text_of(sentences: Column, c: Column) -> Column:
-        # Sentences by their places: a slice would copy all of them for each chunk.
+        # A slice copies all sentences, so that of many they are taken by their places.
         places = F.sequence(c["first"], c["first"] + c["count"] - 1)
-        return F.when(c["count"] == 0, "").otherwise(F.array_join(F.transform(places, lambda i: F.get(sentences, i)), ""))
+        few = F.slice(sentences, c["first"] + 1, c["count"])
+        own = F.when((F.size(sentences) <= BLOCK) | (c["count"] == 0), few).otherwise(F.transform(places, lambda i: F.get(sentences, i)))
+        return F.array_join(own, "")
 
     def of_sentences(sentences: Column) -> Column:
-        cuts = bind(F.transform(sentences, lambda x: F.length(x)), lambda n: F.when(F.size(n) <= BLOCK, in_one_fold(n)).otherwise(by_blocks(n)))
+        cuts = bind(F.transform(sentences, lambda x: F.length(x)), cuts_of)
         found = F.transform(cuts, lambda c: F.struct(strip(text_of(sentences, c)).alias("content"), c["start"].alias("start_char"), c["end"].alias("end_char")).cast(CHUNK))
         return F.filter(found, lambda c: F.length(c["content"]) >= least)
 

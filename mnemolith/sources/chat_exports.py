@@ -2,7 +2,8 @@
 
 The columns are those of ``MESSAGE``, and ``_order``: the file, and the record and
 message in it, by which a later reading of a message wins. A conversation's own JSON is not copied
-into every message; ``raw_meta`` readers give it once for each conversation.
+into every message; ``raw_meta`` readers give it once for each conversation. A file of
+any size is read by ranges, a conversation at a time.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filled, strip
 from ..functions.timestamps import format_timestamp
+from .json_records import json_records
 
 UNTITLED = "Untitled conversation"
 OPENAI_SCHEMA = "id string, conversation_id string, title string, create_time variant, mapping map<string,variant>"
 GROK_SCHEMA = (
-    "conversations array<struct<conversation:struct<id:string,title:string,create_time:variant>,"
-    "responses:array<struct<response:struct<_id:string,message:string,sender:string,model_slug:variant,create_time:variant>>>>>"
+    "conversation struct<id:string,title:string,create_time:variant>,"
+    "responses array<struct<response:struct<_id:string,message:string,sender:string,model_slug:variant,create_time:variant>>>"
 )
+#: Where a record stands: its file, the range of it, and its number in that.
+PLACE = ["file", "block", "number"]
 #: One export, or several of one form.
 Paths = str | list[str]
 MESSAGE = [
@@ -28,13 +32,14 @@ MESSAGE = [
 ]
 
 
-def _file() -> Column:
-    return F.col("_metadata.file_path")
+def _openai_records(spark: SparkSession, path: Paths) -> DataFrame:
+    """A record for each element of a root array, or the root object itself."""
+    return json_records(spark, path, in_array=1, in_object=0)
 
 
-def _placed(records: DataFrame) -> DataFrame:
-    """``records`` with their file and number; a file is read by one task, so they are numbered as they stand in it."""
-    return records.withColumns({"file": _file(), "record": F.monotonically_increasing_id()})
+def _grok_records(spark: SparkSession, path: Paths) -> DataFrame:
+    """A record for each element of an array that the root object holds."""
+    return json_records(spark, path, in_array=1, in_object=2)
 
 
 def _slug(value: Column, missing: str) -> Column:
@@ -48,8 +53,8 @@ def read_openai(spark: SparkSession, path: Paths, source: str = "ChatGPT") -> Da
     Nodes keep their order in the file. Parts that are no text are dropped, and
     nodes without text are skipped and take no sequence number.
     """
-    conversations = _placed(spark.read.schema(OPENAI_SCHEMA).option("multiLine", True).json(path))
-    nodes = conversations.select("record", "id", "conversation_id", "title", "create_time", "file", F.posexplode("mapping").alias("place", "node_id", "node"))
+    conversations = _openai_records(spark, path).select(*PLACE, F.from_json("value", OPENAI_SCHEMA).alias("c")).select(*PLACE, "c.*")
+    nodes = conversations.select(*PLACE, "id", "conversation_id", "title", "create_time", F.posexplode("mapping").alias("place", "node_id", "node"))
 
     def field(path: str, kind: str = "string") -> Column:
         return F.try_variant_get("node", f"$.message.{path}", kind)
@@ -57,7 +62,7 @@ def read_openai(spark: SparkSession, path: Paths, source: str = "ChatGPT") -> Da
     texts = F.filter(field("content.parts", "array<variant>"), lambda part: F.schema_of_variant(part) == "STRING")
     kept = nodes.withColumn("content", F.array_join(F.transform(texts, lambda part: part.cast("string")), "")).filter("content <> ''")
     role = field("author.role")
-    order = Window.partitionBy("record").orderBy("place")
+    order = Window.partitionBy(*PLACE).orderBy("place")
     return kept.select(
         F.coalesce(F.nullif("id", F.lit("")), F.nullif("conversation_id", F.lit("")), F.lit("None")).alias("conversation_id"),
         filled(F.col("title"), F.lit(UNTITLED)).alias("title"),
@@ -71,7 +76,7 @@ def read_openai(spark: SparkSession, path: Paths, source: str = "ChatGPT") -> Da
         _slug(field("metadata.model_slug", "variant"), "unknown").alias("model"),
         (F.row_number().over(order) - 1).alias("sequence"),
         format_timestamp(field("create_time", "variant")).alias("timestamp"),
-        F.struct("file", "record", "place").alias("_order"),
+        F.struct(*PLACE, "place").alias("_order"),
     )
 
 
@@ -80,9 +85,8 @@ def read_grok(spark: SparkSession, path: Paths, source: str = "Grok") -> DataFra
 
     The sequence is a response's place, counting those without text too.
     """
-    listed = spark.read.schema(GROK_SCHEMA).option("multiLine", True).json(path).select(F.posexplode("conversations").alias("record", "c"), _file().alias("file"))
-    responses = listed.select("file", F.col("record").cast("long").alias("record"), "c.conversation", F.posexplode("c.responses").alias("place", "item"))
-    responses = responses.select("file", "record", "conversation", "place", "item.response")
+    listed = _grok_records(spark, path).select(*PLACE, F.from_json("value", GROK_SCHEMA).alias("c"))
+    responses = listed.select(*PLACE, "c.conversation", F.posexplode("c.responses").alias("place", "item")).select(*PLACE, "conversation", "place", "item.response")
     kept = responses.filter(F.coalesce(F.col("response.message"), F.lit("")) != "")
     sender = F.lower(F.coalesce(F.col("response.sender"), F.lit("")))
     return kept.select(
@@ -98,7 +102,7 @@ def read_grok(spark: SparkSession, path: Paths, source: str = "Grok") -> DataFra
         _slug(F.col("response.model_slug"), "unknown").alias("model"),
         F.col("place").alias("sequence"),
         format_timestamp(F.col("response.create_time")).alias("timestamp"),
-        F.struct("file", "record", "place").alias("_order"),
+        F.struct(*PLACE, "place").alias("_order"),
     )
 
 
@@ -116,15 +120,11 @@ def select_reader(path: str) -> Callable[[SparkSession, str], DataFrame]:
 def conversation_records(spark: SparkSession, path: Paths) -> DataFrame:
     """Each conversation's own JSON whole, once: ``conversation_id, source, title, created_at, raw_meta, _order``."""
     grok = select_reader(path if isinstance(path, str) else path[0]) is read_grok
+    records = (_grok_records if grok else _openai_records)(spark, path).select(*PLACE, F.try_parse_json("value").alias("meta"))
     if grok:
-        whole = spark.read.schema("conversations array<struct<conversation:variant>>")
-        meta = F.posexplode("conversations.conversation").alias("record", "meta")
-        raw = whole.option("multiLine", True).json(path).select(_file().alias("file"), meta).withColumn("record", F.col("record").cast("long"))
+        raw = records.withColumn("meta", F.try_variant_get("meta", "$.conversation", "variant")).filter("meta IS NOT NULL")
     else:
-        listed = _placed(spark.read.option("singleVariantColumn", "value").option("multiLine", True).json(path))
-        # The root may be read as one array or as a record for each of its elements.
-        element = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
-        raw = listed.select("file", "record", F.posexplode(element).alias("at", "meta")).withColumn("record", F.col("record") + F.col("at")).drop("at")
+        raw = records
 
     def field(name: str) -> Column:
         return F.nullif(F.try_variant_get("meta", f"$.{name}", "string"), F.lit(""))
@@ -136,7 +136,7 @@ def conversation_records(spark: SparkSession, path: Paths) -> DataFrame:
         filled(field("title"), F.lit(UNTITLED)).alias("title"),
         format_timestamp(F.try_variant_get("meta", "$.create_time", "variant")).alias("created_at"),
         F.to_json("meta").alias("raw_meta"),
-        F.struct("file", "record").alias("_order"),
+        F.struct(*PLACE).alias("_order"),
     )
 
 

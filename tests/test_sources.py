@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 
 from mnemolith.sources.chat_exports import blank_dropped, conversation_records, read_deepseek, read_grok, read_openai, select_reader
+from mnemolith.sources.json_records import json_records
 
 
 def node(text, **more):
@@ -71,3 +73,44 @@ def test_reader_choice():
     assert select_reader("/data/GROK/deepseek.json") is read_grok
     assert select_reader("/data/DeepSeek.json") is read_deepseek
     assert select_reader("/data/chat.json") is read_openai
+
+
+def _strange(chance, deep):
+    pieces = ["a", "{", "}", "[", "]", '"', "\\", "\n", "é", "漢", " ", '\\\\"', "{{", '"}', ":,"]
+    kind = chance.random()
+    if not deep or kind < 0.4:
+        return "".join(chance.choice(pieces) for _ in range(chance.randrange(50)))
+    if kind < 0.6:
+        return chance.choice([1, 2.5, None, True])
+    if kind < 0.8:
+        return [_strange(chance, deep - 1) for _ in range(chance.randrange(4))]
+    return {f"k{k}": _strange(chance, deep - 1) for k in range(chance.randrange(4))}
+
+
+@pytest.mark.parametrize("form", ["array", "indented", "object", "nested", "empty"])
+def test_records_by_ranges(spark, tmp_path, form):
+    """Ranges that cut strings, escapes and records give what the whole document holds."""
+    chance = random.Random(form)
+    records = [{"id": i, "v": _strange(chance, 3), "long": _strange(chance, 0) * (60 if i % 7 == 0 else 1)} for i in range(40)]
+    body = {"array": records, "indented": records, "object": {"id": 9, "all": records}, "nested": {"a": 1, "conversations": records, "z": ["{"]}, "empty": []}[form]
+    expected = [body] if form == "object" else [] if form == "empty" else records
+    path = tmp_path / "an export é.json"
+    path.write_text(json.dumps(body, ensure_ascii=form == "array", indent=1 if form == "indented" else None))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for size in (900, 10**8):
+            for n, value in zip(names, (size, 1)):
+                spark.conf.set(n, value)
+            found = json_records(spark, f"file://{path}", in_object=2 if form == "nested" else 0)
+            rows = found.orderBy("file", "block", "number").collect()
+            assert [json.loads(r.value) for r in rows] == expected
+            assert form == "empty" or size > 1000 or spark.read.option("lineSep", "{").text(f"file://{path}").rdd.getNumPartitions() > 5
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+
+
+def test_deepseek(spark, openai_file):
+    rows = read_deepseek(spark, openai_file)
+    assert {r.source for r in rows.collect()} == {"ChatGPT"} and rows.exceptAll(read_openai(spark, openai_file)).isEmpty()
