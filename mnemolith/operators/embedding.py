@@ -15,7 +15,12 @@ from ..settings import Settings
 
 
 class Embedder(Protocol):
+    """``reuse`` says that a vector costs more than finding an earlier one of the same text."""
+
     version: str
+    reuse: bool
+
+    def warm_up(self) -> None: ...
 
     def embed_column(self, text: Column) -> Column: ...
 
@@ -25,9 +30,14 @@ class Embedder(Protocol):
 class TermCountEmbedder:
     """Counts of fixed terms and the text's length; deterministic and inside the JVM."""
 
+    reuse = False
+
     def __init__(self, terms: Sequence[str], version: str = "term-counts"):
         self.terms, self.version = list(terms), version
 
+    def warm_up(self) -> None:
+        """Nothing is loaded."""
+
     def embed_column(self, text: Column) -> Column:
         return term_counts(text, self.terms)
 
@@ -38,9 +48,17 @@ class TermCountEmbedder:
 class SentenceModelEmbedder:
     """L2-normalised sentence vectors; the model is loaded once in each Python worker."""
 
+    reuse = True
+
     def __init__(self, model: str, batch: int = 32):
         self.version, self.batch = model, batch
 
+    def warm_up(self) -> None:
+        """Load the model in the workers, one short text each, so that the first search does not wait for it."""
+        spark = SparkSession.active()
+        workers = spark.sparkContext.defaultParallelism
+        spark.range(0, workers, 1, workers).select(self.embed_column(F.lit("warm"))).write.format("noop").mode("overwrite").save()
+
     def embed_column(self, text: Column) -> Column:
         name, size = self.version, self.batch
 
@@ -71,18 +89,38 @@ def resolve_embedder(given: Embedder | None = None, settings: Settings | None =
     return _shared.setdefault(model, SentenceModelEmbedder(model))
 
 
-def vectors(units: DataFrame, documents: DataFrame, embedder: Embedder) -> DataFrame:
-    """Vector rows of units: id, embedding, document text and metadata."""
-    facts = documents.select("raw_document_id", "source", "source_type", "title", "author", F.col("created_at").alias("written_at"))
-    joined = units.select("memory_unit_id", "raw_document_id", "content", "summary").join(facts, "raw_document_id")
+def vectors(units: DataFrame, embedder: Embedder) -> DataFrame:
+    """Vector rows of units that have their ``document`` with them: id, embedding, text, version and metadata."""
+    return vector_rows(units.withColumn("embedding", embedder.embed_column(F.col("content"))), embedder.version)
+
+
+def vector_rows(units: DataFrame, version: str) -> DataFrame:
+    """Vector rows of units that have an ``embedding`` and their ``document``."""
     metadata = F.struct(
         "memory_unit_id",
         "raw_document_id",
-        filled(F.col("title"), F.lit("Untitled document")).alias("title"),
-        "source",
-        "source_type",
-        F.coalesce("author", F.lit("")).alias("author"),
-        F.coalesce("written_at", F.lit("")).alias("created_at"),
+        filled(F.col("document.title"), F.lit("Untitled document")).alias("title"),
+        F.col("document.source").alias("source"),
+        F.col("document.source_type").alias("source_type"),
+        F.coalesce("document.author", F.lit("")).alias("author"),
+        F.coalesce("document.created_at", F.lit("")).alias("created_at"),
         F.coalesce("summary", F.lit("")).alias("summary"),
     )
-    return joined.select(F.col("memory_unit_id").alias("id"), embedder.embed_column(F.col("content")).alias("embedding"), F.col("content").alias("document"), metadata.alias("metadata"))
+    return units.select(F.col("memory_unit_id").alias("id"), "embedding", F.col("content").alias("document"), F.lit(version).alias("embedding_version"), metadata.alias("metadata"))
+
+
+def text_hash(text: Column) -> Column:
+    """What tells texts apart where their vectors are kept."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def reused_vectors(units: DataFrame, known: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the texts that ``known`` lacks, and the known ones that count.
+
+    ``known`` holds ``text_hash, embedding_version, embedding``; only those of the embedder's
+    version count. Each text that is new is embedded once, however many units have it.
+    """
+    own = known.filter(F.col("embedding_version") == embedder.version)
+    texts = units.select(text_hash(F.col("content")).alias("text_hash"), "content")
+    unseen = texts.join(own.select("text_hash"), "text_hash", "left_anti").dropDuplicates(["text_hash"])
+    return unseen.select("text_hash", F.lit(embedder.version).alias("embedding_version"), embedder.embed_column(F.col("content")).cast("array<double>").alias("embedding")), own

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunks_or_whole
@@ -33,10 +33,16 @@ def raw_documents(messages: DataFrame, source_type: str = "conversation_message"
     )
 
 
-def memory_units(documents: DataFrame, embedding_version: str, unit_type: str = "chunk") -> DataFrame:
-    """Retrievable units of archive rows; a text too short to cut is one unit."""
+def memory_units(documents: DataFrame, embedding_version: str, unit_type: str = "chunk", with_document: bool = False) -> DataFrame:
+    """Retrievable units of archive rows; a text too short to cut is one unit.
+
+    ``with_document`` adds what vectors need of the document as a column ``document``, so
+    that these need no join.
+    """
+    facts = [document_facts().alias("document")] if with_document else []
     pieces = documents.select(
         "raw_document_id",
+        *facts,
         json_object("source", "source_type", "title", "author", "created_at").alias("metadata_json"),
         F.posexplode(chunks_or_whole(F.col("content"))).alias("unit_index", "unit"),
     )
@@ -55,9 +61,15 @@ def memory_units(documents: DataFrame, embedding_version: str, unit_type: str =
         now.alias("created_at"),
         now.alias("updated_at"),
         F.lit(0).alias("is_embedded"),
+        *(["document"] if with_document else []),
     )
 
 
+def document_facts() -> Column:
+    """What a vector's metadata hold of its document."""
+    return F.struct("source", "source_type", "title", "author", "created_at")
+
+
 def unit_counts(units: DataFrame) -> DataFrame:
     """Units and characters of each document."""
     return units.groupBy("raw_document_id").agg(F.count("*").alias("units"), F.sum(F.length("content")).alias("chars"))

@@ -22,10 +22,18 @@ def nearest(vectors: DataFrame, query: Column, k: int, distance: Callable[[Colum
 
     Exact: every partition keeps its best ``k``, so the plan is a top-k and not a
     sort. Equal distances go by ``id``; with ``digits`` those that are equal to so many
-    decimals count as equal, which makes the order independent of rounding.
+    decimals count as equal, which makes the order independent of rounding. Vectors that
+    are null, zero (by cosine), of another length or not all numbers have no distance: they
+    go last and are then dropped.
     """
     found = distance(F.col("embedding"), query)
-    return vectors.withColumn("score", found if digits is None else F.round(found, digits)).orderBy("score", "id").limit(k)
+    scored = vectors.withColumn("score", found if digits is None else F.round(found, digits))
+    return scored.orderBy(F.asc_nulls_last("score"), "id").limit(k).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+
+
+def of_version(vectors: DataFrame, version: str) -> DataFrame:
+    """The vectors that an embedder made; those of another have no meaning beside them."""
+    return vectors.filter(F.col("embedding_version") == version) if "embedding_version" in vectors.columns else vectors
 
 
 @dataclass(frozen=True)
@@ -89,12 +97,19 @@ def search_memory(units: DataFrame, documents: DataFrame, vectors: DataFrame, qu
 
     Without a limit the nearest ``default_search_k`` are searched and
     ``max_results_display`` of them shown. Hits whose unit is gone are dropped after the
-    search. ``prefilter`` restricts the vectors before it instead.
+    search. ``prefilter`` restricts the vectors before it instead. Vectors of another
+    embedder's version are no hits.
     """
-    searched = vectors if prefilter is None else vectors.filter(prefilter)
+    searched = of_version(vectors, embedder.version)
+    searched = searched if prefilter is None else searched.filter(prefilter)
     if not query.strip():
         searched = searched.limit(0)
     hits = nearest(searched, embedder.embed_query(query), limit or settings.default_search_k, distance, digits)
+    return traced(hits, units, documents, query).limit(limit or settings.max_results_display)
+
+
+def traced(hits: DataFrame, units: DataFrame, documents: DataFrame, query: str) -> DataFrame:
+    """Vector rows with their ``score``, at most a page of them, traced to units and documents, in order."""
     hits = hits.select(F.col("id").alias("memory_unit_id"), "score", F.col("document").alias("hit_document"), F.col("metadata.summary").alias("hit_summary"))
     # The hits are k rows at most, a proven bound for both broadcasts: first their units are found, then these units' documents.
     chosen = units.join(F.broadcast(hits), "memory_unit_id")
@@ -114,7 +129,7 @@ def search_memory(units: DataFrame, documents: DataFrame, vectors: DataFrame, qu
         "raw_document_id",
         trace.alias("trace"),
     )
-    return shown.orderBy("score", "memory_unit_id").limit(limit or settings.max_results_display)
+    return shown.orderBy("score", "memory_unit_id")
 
 
 def search(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: str, embedder: Embedder, filters: Filters = Filters(), settings: Settings = Settings(), distance=cosine_distance, prefilter: bool = False, digits: int | None = None) -> DataFrame:
@@ -127,6 +142,11 @@ def search(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: st
     if prefilter:
         before = filters.column(normalize_timestamp(F.col("metadata.created_at")), char_count(F.col("document")))
     hits = search_memory(units, documents, vectors, query, embedder, settings.default_search_k, settings, distance, before, digits)
+    return page_of(hits, filters, settings)
+
+
+def page_of(hits: DataFrame, filters: Filters, settings: Settings = Settings()) -> DataFrame:
+    """Traced hits, filtered, sorted and cut to what is displayed."""
     page = hits.select(
         F.col("memory_unit_id").alias("chunk_id"),
         "content",
@@ -138,9 +158,13 @@ def search(units: DataFrame, documents: DataFrame, vectors: DataFrame, query: st
         char_count(F.col("content")).alias("char_count"),
         "score",
     ).filter(filters.column(F.col("timestamp"), F.col("char_count")))
+    return in_order(page, filters.sort).limit(settings.max_results_display)
+
+
+def in_order(page: DataFrame, sort: str) -> DataFrame:
+    """A page's rows by distance, or by time and then distance."""
     rank = ["score", "chunk_id"]
-    order = {"default": rank, "time_asc": [F.asc("timestamp"), *rank], "time_desc": [F.desc("timestamp"), *rank]}[filters.sort]
-    return page.orderBy(*order).limit(settings.max_results_display)
+    return page.orderBy(*{"default": rank, "time_asc": [F.asc("timestamp"), *rank], "time_desc": [F.desc("timestamp"), *rank]}[sort])
 
 
 def unit_payload(units: DataFrame, documents: DataFrame, memory_unit_id: str) -> DataFrame:

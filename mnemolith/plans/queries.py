@@ -59,8 +59,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     documents = _documents(spark, sf_dir)
-    units = memory.memory_units(documents, VERSION)
-    return documents, units, vectors(units, documents, TermCountEmbedder(TERMS))
+    units = memory.memory_units(documents, VERSION, with_document=True)
+    return documents, units.drop("document"), vectors(units, TermCountEmbedder(TERMS))
 
 
 def _older(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
