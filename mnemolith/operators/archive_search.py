@@ -23,9 +23,9 @@ HIT = "id string, score double, document string, metadata struct<summary:string,
 
 
 class ArchiveSearch:
-    """Recall from a store by cosine; ``probes`` is the share of the index's lists that a search goes through."""
+    """Recall from a store by cosine; ``probes`` is the number of the index's lists that a search goes through, if not what the index measured."""
 
-    def __init__(self, store: MemoryStore, embedder: Embedder, settings: Settings = Settings(), probes: float = 0.1, exact: bool = False):
+    def __init__(self, store: MemoryStore, embedder: Embedder, settings: Settings = Settings(), probes: int | None = None, exact: bool = False):
         self.store, self.embedder, self.settings, self.probes, self.exact = store, embedder, settings, probes, exact
 
     def document(self, raw_document_id: str) -> DataFrame:

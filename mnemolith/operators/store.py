@@ -505,7 +505,7 @@ class MemoryStore:
         VectorIndex.build(rows, f"{self.root}/{folder}", **options)
         return self._go_on(state, state["tables"], index={"folder": folder, "version": embedder.version, "vectors": state["tables"].get("vectors", {})})
 
-    def nearest_vectors(self, query: Sequence[float], k: int, version: str, probes: float = 0.1, exact: bool = False) -> DataFrame:
+    def nearest_vectors(self, query: Sequence[float], k: int, version: str, probes: int | None = None, exact: bool = False) -> DataFrame:
         """``id, raw_document_id, score`` of the ``k`` vectors of a version that are nearest by cosine.
 
         From the index, and exactly from the buckets that changed since it was made.

@@ -5,8 +5,10 @@ rest that the centre leaves is kept as a code of ``parts`` bytes, each the neare
 pieces. A search goes through the codes of the lists nearest to the query only, takes the best
 candidates by them, reads these candidates' vectors and ranks them exactly. Centres and
 pieces are learnt from an evenly hashed sample of at most ``max_sample`` vectors in
-expectation; every vector is indexed. A list that holds very many vectors is written as several
-files.
+expectation; every vector is indexed. How many lists a search must go through for a
+``recall`` depends on the vectors (few where they stand in groups, most where they stand
+nowhere in particular), so it is measured on the sample and kept with the index. A list that holds very many
+vectors is written as several files.
 
 Vectors that are null, zero, of another length than most or not all numbers have no cosine and
 are not indexed. Fewer vectors than ``least`` make one list, which is exact.
@@ -56,16 +58,32 @@ def _centres(rows: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
     return centres.astype(np.float32)
 
 
+def _enough_lists(sample: np.ndarray, own: np.ndarray, centres: np.ndarray, recall: float, k: int = 10, queries: int = 200) -> int:
+    """The fewest nearest lists that hold this share of the ``k`` nearest neighbours of some of the sample."""
+    places = []
+    for at in range(0, len(sample), max(1, len(sample) // queries)):
+        near = np.argpartition(-(sample @ sample[at]), min(k, len(sample) - 1))[:k]
+        rank = np.empty(len(centres), dtype=np.int64)
+        rank[np.argsort(-(centres @ sample[at]))] = np.arange(len(centres))
+        places.append(rank[own[near]])
+    return int(np.quantile(np.concatenate(places), recall)) + 1
+
+
 class VectorIndex:
     """An index that :meth:`build` wrote below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.model = pickle.loads(bytes(spark.read.parquet(f"{path}/model").first()["model"]))
-        self.lists = spark.read.parquet(f"{path}/lists") if self.model["size"] else None
+
+    def lists(self, numbers: Sequence[int] | None = None) -> DataFrame:
+        """The rows of some lists, or of all; only these lists' files are listed and read."""
+        chosen = [n for n in self.model["present"] if numbers is None or n in set(numbers)]
+        reader = self.spark.read.schema(self.model["schema"]).option("basePath", f"{self.path}/lists")
+        return reader.parquet(*[f"{self.path}/lists/list={n}" for n in chosen])
 
     @staticmethod
-    def build(vectors: DataFrame, path: str, lists: int | None = None, parts: int = 16, max_sample: int = 20_000, least: int = 1_000) -> VectorIndex:
+    def build(vectors: DataFrame, path: str, lists: int | None = None, parts: int = 16, max_sample: int = 20_000, least: int = 1_000, recall: float = 0.98) -> VectorIndex:
         """Index ``vectors(id, embedding, …)``; further columns but the embedding are kept for what a search returns."""
         spark = vectors.sparkSession
         rows = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
@@ -85,13 +103,15 @@ class VectorIndex:
             lists = lists or (1 if count < least else int(min(4096, max(1, round(count**0.5)))))
             parts = min(parts, size)
             centres = _centres(sample, lists)
-            rest = sample - centres[_nearest(sample, centres)]
+            own = _nearest(sample, centres)
+            rest = sample - centres[own]
             cuts = np.linspace(0, size, parts + 1).astype(int)
-            model |= {"centres": centres, "cuts": cuts, "books": [_centres(rest[:, a:b], 256) for a, b in zip(cuts, cuts[1:])]}
+            model |= {"probes": _enough_lists(sample, own, centres, recall), "centres": centres, "cuts": cuts, "books": [_centres(rest[:, a:b], 256) for a, b in zip(cuts, cuts[1:])]}
+            VectorIndex._coded(rows, model).hint("rebalance", "list").write.partitionBy("list").parquet(f"{path}/lists")
+            back = spark.read.parquet(f"{path}/lists")
+            model |= {"schema": back.schema, "present": sorted({int(f.rpartition("list=")[2].partition("/")[0]) for f in back.inputFiles()})}
         blob = pickle.dumps(model)  # lists * size and 256 * size numbers
         spark.createDataFrame([(bytearray(blob),)], "model binary").write.parquet(f"{path}/model")
-        if count:
-            VectorIndex._coded(rows, model).hint("rebalance", "list").write.partitionBy("list").parquet(f"{path}/lists")
         return VectorIndex(spark, path)
 
     @staticmethod
@@ -113,24 +133,25 @@ class VectorIndex:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         return rows.mapInArrow(run, f"list int, code binary, {kinds}")
 
-    def probed(self, query: Sequence[float], probes: float) -> list[int]:
-        """The lists nearest to the query: this share of them, eight at least."""
+    def probed(self, query: Sequence[float], probes: int | None = None) -> list[int]:
+        """The lists nearest to the query, as many as the sample showed to be enough if no number is given."""
         unit = np.asarray(query, dtype=np.float32)
         near = self.model["centres"] @ (unit / np.linalg.norm(unit))
-        return sorted(np.argsort(-near)[: max(8, round(probes * len(near)))].tolist())
+        present = np.array(self.model["present"])
+        return sorted(present[np.argsort(-near[present])[: probes or self.model["probes"]]].tolist())
 
-    def nearest(self, query: Sequence[float], k: int, probes: float = 0.1, candidates: int | None = None, without: Sequence[int] = ()) -> DataFrame:
+    def nearest(self, query: Sequence[float], k: int, probes: int | None = None, candidates: int | None = None, without: Sequence[int] = ()) -> DataFrame:
         """The ``k`` nearest rows that the probed lists hold, with their ``score``; rows of the buckets ``without`` are left out."""
         unit = np.asarray(query, dtype=np.float32)
-        if self.lists is None:
+        if not self.model["size"]:
             return self.spark.createDataFrame([], "id string, raw_document_id string, score double")
-        kept = [c for c in self.lists.columns if c not in ("list", "code", "embedding", "bucket")]
+        kept = [c for c in self.model["schema"].names if c not in ("list", "code", "embedding", "bucket")]
         size = np.linalg.norm(unit)
         if len(unit) != self.model["size"] or not np.isfinite(size) or not size:
-            return self.lists.limit(0).select(*kept, F.lit(0.0).alias("score"))
+            return self.lists(self.model["present"][:1]).limit(0).select(*kept, F.lit(0.0).alias("score"))
         unit = unit / size
         most = candidates or max(10 * k, 200)
-        here = self.lists.filter(F.col("list").isin(self.probed(query, probes)))
+        here = self.lists(self.probed(query, probes))
         if without:
             here = here.filter(~F.col("bucket").isin(*without))
         model = self.model
@@ -149,7 +170,7 @@ class VectorIndex:
                 top = np.argsort(-product, kind="stable")[:most]
                 yield pa.RecordBatch.from_arrays([batch.column("list").take(pa.array(top)), batch.column("id").take(pa.array(top)), pa.array(product[top].astype(np.float64))], names=["list", "id", "near"])
 
-        kind = self.lists.schema["id"].dataType.simpleString()
+        kind = self.model["schema"]["id"].dataType.simpleString()
         found = here.select("list", "id", "code").mapInArrow(best, f"list int, id {kind}, near double").orderBy(F.desc("near"), "id").limit(most)
         # At most as many candidates as asked for; their lists are the probed ones.
         ranked = here.join(F.broadcast(found.select("list", "id")), ["list", "id"])
