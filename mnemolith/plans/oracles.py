@@ -163,4 +163,36 @@ ORACLE_SQL = {
     "search_response": f"""WITH {HITS} SELECT '{QUERY}' AS query, 10::BIGINT AS count, row_number() OVER (ORDER BY score, memory_unit_id) - 1 AS place, memory_unit_id, raw_document_id, score
       FROM hits ORDER BY score, memory_unit_id LIMIT 10""",
     "conversation_records_kept": f"""WITH {MESSAGES} SELECT conversation_id, 'ChatGPT' AS source, title, title AS own_title, count(*) AS nodes FROM m GROUP BY 1, 3""",
+    "vector_topk_odd": """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
+      SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS distance FROM embeddings, q WHERE vec_id % 9 NOT IN (3, 4, 5) ORDER BY distance, vec_id LIMIT 10""",
+    "pruned_lookups": f"""WITH {UNITS} SELECT memory_unit_id, raw_document_id, md5(mu.content) AS content_md5, message_id AS external_id, 'term-counts' AS embedding_version, md5(body) AS raw_md5
+      FROM mu JOIN rd USING (raw_document_id) WHERE raw_document_id = (SELECT max(raw_document_id) FROM rd)""",
+    "archive_search": f"""WITH {HITS}, top AS (SELECT * FROM hits ORDER BY score, memory_unit_id LIMIT 50)
+      SELECT memory_unit_id, score, rd.title, rd.sender_type AS author, rd.ts AS created_at, rd.message_id AS external_id, md5(top.content) AS content_md5 FROM top JOIN rd USING (raw_document_id)""",
+    "filled_page": f"""WITH {HITS} SELECT memory_unit_id AS chunk_id, raw_document_id AS message_id, rd.ts AS timestamp, length(hits.content)::BIGINT AS char_count, score
+      FROM hits JOIN rd USING (raw_document_id) WHERE length(hits.content) >= 100 AND rd.ts[:10] >= '2024-01-03' AND rd.ts[:10] <= '2024-01-20' ORDER BY score, memory_unit_id LIMIT 20""",
+    "restored_message": f"""WITH {OLDER}, known AS (SELECT message_id, conversation_id, content, cv.title FROM m JOIN cv USING (conversation_id)),
+      e AS (SELECT message_id, conversation_id FROM known ORDER BY message_id DESC LIMIT 1),
+      n AS (SELECT message_id, count(*) AS chunks, min(chunk_id) AS chunk_id FROM chunk GROUP BY 1)
+      SELECT message_id, md5(CASE WHEN edited THEN new ELSE content END) AS content_md5, CASE WHEN conversation_id IN (SELECT conversation_id FROM e) THEN 'Edited too' ELSE title END AS title,
+        md5(CASE WHEN edited THEN new ELSE content END) AS document_md5, CASE WHEN edited THEN 'Edited too' ELSE title END AS document_title,
+        CASE WHEN edited THEN 1 ELSE coalesce(chunks, 0) END AS chunks, CASE WHEN edited THEN (SELECT max(chunk_id) FROM chunk) + 2 ELSE coalesce(chunk_id, -1) END AS chunk_id
+      FROM (SELECT *, message_id IN (SELECT message_id FROM e) AS edited, 'A new text of the last message, long enough to stay.' AS new FROM known) LEFT JOIN n USING (message_id)""",
+    "embedding_reuse": f"""WITH {UNITS} SELECT unnest(['import', 'import again', 'another version', 'vectors of one', 'vectors of two']) AS step, unnest([d, 0, d, 0, n]) AS n
+      FROM (SELECT count(DISTINCT content) AS d, count(*) AS n FROM mu)""",
+    "replayed_batch": f"""WITH {UNITS} SELECT step, CASE WHEN step % 2 = 0 THEN (SELECT count(*) FROM rd) ELSE 0 END AS raw_documents,
+      CASE WHEN step % 2 = 0 THEN (SELECT count(*) FROM mu) ELSE 0 END AS memory_units, step // 2 + 1 AS version FROM (SELECT unnest(range(4)) AS step)""",
+    "numbered_chunks": f"""WITH {OLDER} SELECT count(*) AS chunks, count(DISTINCT chunk_id) AS numbers, (SELECT count(*) FROM chunk) + 1 AS edited
+      FROM chunk WHERE message_id <> (SELECT min(message_id) FROM m)""",
+    "marked_units": f"""WITH {OLDER} SELECT chunk_id::VARCHAR AS memory_unit_id, (sender_type IN ('assistant', 'user'))::BIGINT AS is_embedded
+      FROM chunk JOIN m USING (message_id) JOIN cv USING (conversation_id)""",
+    "vectors_rolled_back": f"WITH {UNITS} SELECT memory_unit_id AS id, length(mu.content)::DOUBLE AS length, title, md5(mu.content) AS content_md5 FROM mu JOIN rd USING (raw_document_id)",
+    "edited_vectors": f"""WITH {OLDER} SELECT 'legacy:message:' || message_id AS raw_document_id, cv.title, 'editor' AS author, source, 'The thing and the rest of que de ch, long enough.' AS document,
+      '2,1,1,0,1,1,1,49' AS embedding FROM m JOIN cv USING (conversation_id) ORDER BY message_id LIMIT 1""",
+}
+ORACLE_SQL |= {
+    "vector_index_topk": ORACLE_SQL["vector_topk_cosine"],
+    "split_openai_export": ORACLE_SQL["openai_export"],
+    "split_grok_export": ORACLE_SQL["grok_export"],
+    "deepseek_export": ORACLE_SQL["openai_export"],
 }

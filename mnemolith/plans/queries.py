@@ -18,9 +18,12 @@ from ..functions.text import content_hash, preview, strip, summary
 from ..functions.timestamps import format_timestamp, normalize_timestamp
 from ..functions.vectors import l1_distance
 from ..operators import legacy, memory, recall, store
+from ..operators.archive_search import ArchiveSearch
 from ..operators.embedding import TermCountEmbedder, vectors
+from ..operators.vector_index import VectorIndex
 from ..scratch import shared_path
-from ..sources.chat_exports import blank_dropped, conversation_records, read_grok, read_openai
+from ..settings import Settings
+from ..sources.chat_exports import blank_dropped, conversation_records, read_deepseek, read_grok, read_openai
 from ..streaming.ingest import ingest_stream
 
 TERMS = ["the", "and", "ing", "tion", "de", "que", "ch"]
@@ -475,6 +478,182 @@ def conversation_records_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("conversation_id", "source", "title", F.get_json_object("raw_meta", "$.title").alias("own_title"), nodes.alias("nodes"))
 
 
+def vector_topk_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors where a third of them is null, of zeros, or one number short."""
+    kind = F.col("vec_id") % 9
+    odd = F.when(kind == 3, F.lit(None)).when(kind == 4, F.transform("embedding", lambda x: x * 0)).when(kind == 5, F.slice("embedding", 2, 10_000)).otherwise(F.col("embedding"))
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), odd.alias("embedding"))
+    one = F.broadcast(rows.filter("id = 0").select(F.col("embedding").alias("query")))  # one vector
+    found = recall.nearest(rows.crossJoin(one), F.col("query"), 10, digits=DIGITS)
+    return found.select(F.col("id").alias("vec_id"), F.col("score").alias("distance"))
+
+
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors from an index of all embeddings, through the codes of all its lists.
+
+    The vectors stand in no groups, so that fewer lists would miss some (tests measure that where they do).
+    """
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex.build(rows, shared_path(spark, "index"), lists=16)
+    query = rows.filter("id = 0").first()["embedding"]
+    return index.nearest(query, 10, probes=16).select(F.col("id").alias("vec_id"), F.round("score", DIGITS).alias("distance"))
+
+
+def pruned_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document, units and vectors of the archive's last document, each from one bucket."""
+    archive = _archive(spark, sf_dir)
+    last = archive.table("raw_documents").agg(F.max("raw_document_id")).first()[0]
+    search = ArchiveSearch(archive, TermCountEmbedder(TERMS))
+    units = search.units(last).select("memory_unit_id", "raw_document_id", F.md5("content").alias("content_md5"))
+    payload = search.unit(f"{last}:0").select(F.md5("raw_document.content").alias("raw_md5"))  # one row
+    found = archive.vectors_of([r["memory_unit_id"] for r in units.collect()]).select(F.col("id").alias("memory_unit_id"), "embedding_version")  # one document's
+    documents = search.document(last).select("raw_document_id", "external_id")
+    return units.join(documents, "raw_document_id").join(found, "memory_unit_id").crossJoin(F.broadcast(payload))
+
+
+def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a search in a store, from the buckets of their documents."""
+    hits = ArchiveSearch(_archive(spark, sf_dir), TermCountEmbedder(TERMS)).memory(QUERY, 50)
+    return hits.select("memory_unit_id", F.round("score", DIGITS).alias("score"), "title", "author", "created_at", "trace.external_id", F.md5("content").alias("content_md5"))
+
+
+def filled_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page under a selective filter, by a search that widens from ten vectors on."""
+    search = ArchiveSearch(_archive(spark, sf_dir), TermCountEmbedder(TERMS), Settings(default_search_k=10, max_results_display=20))
+    page = search.page(QUERY, recall.Filters.parse({"min_length": "100", "start_date": "2024-01-03", "end_date": "2024-01-20", "sort": "time_asc"}))
+    return page.select("chunk_id", "message_id", "timestamp", F.col("char_count").cast("long").alias("char_count"), F.round("score", DIGITS).alias("score"))
+
+
+def _older_archive(spark: SparkSession, sf_dir: str) -> store.MemoryStore:
+    messages, conversations, pieces = _older(spark, sf_dir)
+    archive = store.MemoryStore(spark, shared_path(spark, "archive"))
+    archive.commit({"messages": messages.drop("conv_id", "turn"), "conversations": conversations, "chunks": pieces})
+    archive.bootstrap()
+    return archive
+
+
+def restored_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, chunks and documents after edits of the first and last message and the restoring of the first."""
+    archive, embedder = _older_archive(spark, sf_dir), TermCountEmbedder(TERMS)
+    before = archive.state()["version"]
+    first, last = archive.table("messages").join(archive.table("conversations"), "conversation_id", "left_semi").agg(F.min("message_id"), F.max("message_id")).first()
+    archive.edit_message(first, "Edited", "A new text of the first message, long enough to stay.", embedder)
+    archive.edit_message(last, "Edited too", "A new text of the last message, long enough to stay.", embedder)
+    archive.restore_message(first, before)
+    chunks = archive.table("chunks").groupBy("message_id").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("chunk_id"))
+    documents = archive.table("raw_documents").select(F.col("external_id").alias("message_id"), F.md5("content").alias("document_md5"), F.col("title").alias("document_title"))
+    rows = archive.table("messages").join(archive.table("conversations").select("conversation_id", "title"), "conversation_id").join(chunks, "message_id", "left").join(documents, "message_id")
+    return rows.select("message_id", F.md5("content").alias("content_md5"), "title", "document_md5", "document_title", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"))
+
+
+class _Dear(TermCountEmbedder):
+    """Counts of terms, as if they were dear to compute."""
+
+    reuse = True
+
+
+def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts embedded by an import, by the same again, and by one after the embedder changed; vectors of each version in the end."""
+    archive = store.MemoryStore(spark, shared_path(spark, "archive"))
+    documents = _documents(spark, sf_dir)
+    counts = [archive.ingest(documents, _Dear(TERMS, version))["embedded"] for version in ("one", "one", "two")]
+    kept = {r["embedding_version"]: r["count"] for r in archive.table("vectors").groupBy("embedding_version").count().collect()}
+    return spark.createDataFrame([("import", counts[0]), ("import again", counts[1]), ("another version", counts[2]), ("vectors of one", kept.get("one", 0)), ("vectors of two", kept.get("two", 0))], "step string, n long")
+
+
+def replayed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions and counters when a stream's batches come twice."""
+    archive, embedder, documents = store.MemoryStore(spark, shared_path(spark, "archive")), TermCountEmbedder(TERMS), _documents(spark, sf_dir)
+    rows = []
+    for step, number in enumerate((0, 0, 1, 1)):
+        counters = archive.ingest(documents, embedder, batch=("stream", number))
+        rows.append((step, counters["raw_documents"], counters["memory_units"], archive.state()["version"]))
+    return spark.createDataFrame(rows, "step long, raw_documents long, memory_units long, version long")
+
+
+def numbered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that a store gives to chunks that have none, and to those of an edit."""
+    messages, conversations, pieces = _older(spark, sf_dir)
+    archive = store.MemoryStore(spark, shared_path(spark, "archive"))
+    archive.save_conversations(conversations, messages.drop("conv_id", "turn"))
+    archive.save_chunks(pieces.drop("chunk_id"))
+    least = archive.table("messages").agg(F.min("message_id")).first()[0]
+    edited = archive.edit_message(least, "", "A first sentence that is long enough to stand alone.", TermCountEmbedder(TERMS))["chunk_ids"]
+    own = archive.table("chunks").filter(~F.col("chunk_id").isin(*edited)).agg(F.count("*").alias("chunks"), F.countDistinct("chunk_id").alias("numbers"))
+    return own.select("chunks", "numbers", F.lit(edited[0]).cast("long").alias("edited"))
+
+
+def marked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units marked as embedded, of documents by the assistant, in an archive of the older layout."""
+    archive = _older_archive(spark, sf_dir)
+    units = archive.table("memory_units").join(archive.table("raw_documents").filter("author = 'user'").select("raw_document_id"), "raw_document_id", "left_semi")
+    archive.mark_embedded("memory_units", "memory_unit_id", units.select("memory_unit_id"))
+    return archive.table("memory_units").select("memory_unit_id", F.col("is_embedded").cast("long").alias("is_embedded"))
+
+
+def vectors_rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors after a message was edited and the edit rolled back."""
+    archive = _archive(spark, sf_dir)
+    archive.save_conversations(_older(spark, sf_dir)[1], _older(spark, sf_dir)[0].drop("conv_id", "turn"))
+    least = archive.table("messages").join(archive.table("conversations"), "conversation_id", "left_semi").agg(F.min("message_id")).first()[0]
+    archive.edit_message(least, "New", "A new text that is long enough to be a unit.", TermCountEmbedder(TERMS))
+    archive.rollback()
+    return archive.table("vectors").select("id", F.element_at("embedding", -1).alias("length"), "metadata.title", F.md5("document").alias("content_md5"))
+
+
+def edited_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of an edited message, embedded again, and their metadata."""
+    archive = _older_archive(spark, sf_dir)
+    least = archive.table("messages").join(archive.table("conversations"), "conversation_id", "left_semi").agg(F.min("message_id")).first()[0]
+    archive.edit_message(least, "", "The thing and the rest of que de ch, long enough.", TermCountEmbedder(TERMS), sender="editor")
+    found = archive.table("vectors").select("metadata.raw_document_id", "metadata.title", "metadata.author", "metadata.source", "document", "embedding")
+    return found.select("raw_document_id", "title", "author", "source", "document", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))
+
+
+def _one_file(spark: SparkSession, sf_dir: str, form: str) -> str:
+    """All conversations as one export file, written line by line by one task."""
+    parts = spark.read.text(_export(spark, sf_dir, form, form)).select("value")
+    kind = "array<string>" if form == "openai" else "struct<conversations:array<string>>"
+    talks = F.from_json("value", kind)
+    listed = parts.select(F.explode(talks if form == "openai" else talks["conversations"]).alias("talk"))
+    path = shared_path(spark, f"{form}-one")
+    start, end = ("[", "]") if form == "openai" else ('{"about": "an export", "conversations": [', '], "projects": [{"name": "p"}]}')
+    lines = listed.select(F.lit(1).alias("part"), F.col("talk")).unionByName(spark.createDataFrame([(0, start), (3, end)], "part int, talk string"))
+    first = F.row_number().over(Window.partitionBy("part").orderBy("talk")) == 1  # one file has one order
+    lines.select("part", F.when((F.col("part") != 1) | first, F.col("talk")).otherwise(F.concat(F.lit(","), "talk")).alias("value"), (~first).alias("later")).coalesce(1).sortWithinPartitions("part", "later").select("value").write.text(path)
+    return path
+
+
+def _by_ranges(spark: SparkSession, read) -> DataFrame:
+    """What ``read`` finds where files are cut every 64 KB."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, value in zip(names, ("64k", "1k"), strict=True):
+        spark.conf.set(n, value)
+    try:
+        path = shared_path(spark, "records")
+        read().write.parquet(path)
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+    return spark.read.parquet(path)
+
+
+def split_openai_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One large export, read by ranges in many tasks."""
+    path = _one_file(spark, sf_dir, "openai")
+    return _by_ranges(spark, lambda: _as_lines(spark, path, read_openai))
+
+
+def split_grok_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _one_file(spark, sf_dir, "grok")
+    return _by_ranges(spark, lambda: _as_lines(spark, path, read_grok))
+
+
+def deepseek_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_lines(spark, _export(spark, sf_dir, "deepseek", "openai"), read_deepseek)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -486,5 +665,7 @@ QUERIES = {
         normalize_timestamps, format_timestamps, count_rows_all, metadata_values, openai_export, grok_export, stream_ingest, edit_replace,
         raw_document_by_id, units_of_document, unit_payload_by_id, chunks_of_message, chunk_scan, edit_metadata_fields, rollback_state,
         mark_embedded, save_conversations, vectors_read_and_deleted, archive_counts, search_response, conversation_records_kept,
+        vector_topk_odd, vector_index_topk, pruned_lookups, archive_search, filled_page, restored_message, embedding_reuse, replayed_batch,
+        numbered_chunks, marked_units, vectors_rolled_back, edited_vectors, split_openai_export, split_grok_export, deepseek_export,
     )
 }
