@@ -3,7 +3,7 @@
 A text is contaminated by an item if some stretch of it turns into the item's
 words with at most ``max_edits`` of the item's number of words in edits (word
 insertions, deletions, replacements; A-Z in lower case). Items of fewer than
-``exact_below`` words must occur unchanged.
+``exact_below`` words must occur unchanged, as a fifth of fewer than five words is no edit.
 
 Method. The CGK random walk reads a window with a pointer that advances or stays
 after each step, by a random bit of the step and the word under it. Two windows
@@ -319,7 +319,7 @@ def _blocks(items: DataFrame, max_edits: float, recall: float, exact_below: int,
         yield spark.sparkContext.broadcast(_Items([(item, text) for _, item, text in rows], max_edits, recall, exact_below))
 
 
-def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.999, exact_below: int = 8, block: int = 10_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.999, exact_below: int = 5, block: int = 10_000) -> DataFrame:
     """Return ``doc_id, item_id, start_word, n_words, edits``: the best match of each text and item."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
@@ -329,7 +329,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, rec
     return found
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.999, exact_below: int = 8, block: int = 10_000) -> DataFrame:
+def uncontaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.999, exact_below: int = 5, block: int = 10_000) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
     for model in _blocks(items, max_edits, recall, exact_below, block):
         docs = docs.mapInArrow(_clean(model), docs.schema)
