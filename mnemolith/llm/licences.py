@@ -2,7 +2,10 @@
 
 Texts that mention licensing are cut into sentences, each sentence is
 normalised (lower case, letters and digits only, single spaces) and mapped to the
-identifier of a known licence sentence. The identifiers of a text, in order and
+identifier of a known licence sentence. A sentence that is not known as a whole, but says that
+something is licensed, released or distributed under a licence, has the identifiers
+of the references to licences in it, whatever stands around them; so has one that lists
+nothing but licences. The identifiers of a text, in order and
 without the unknown sentences, are matched against ordered licence rules: a rule
 is a sequence of identifiers that must stand together. All of it is column
 expressions over whole texts in one pass, without a shuffle; the tables of
@@ -150,10 +153,52 @@ RULES = [
     ("CC-BY-NC-SA-4.0", ["CCBYNCSA4_REF"]),
     ("CC-BY-NC-ND-4.0", ["CCBYNCND4_REF"]),
 ]
+# Titles of licence texts, alone on their line or before what follows them.
+TITLES = {
+    "MIT": ["mit license", "the mit license", "the mit license mit", "mit license copyright *", "the mit license copyright *", "the mit license mit copyright *"],
+    "Apache-2.0": ["version 2 0 january 2004", "apache license version 2 0 january 2004*"],
+    "GPL-3.0-only": ["gnu general public license version 3 29 june 2007*"],
+    "GPL-2.0-only": ["gnu general public license version 2 june 1991*"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3 29 june 2007*"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1 february 1999*"],
+    "AGPL-3.0-only": ["gnu affero general public license version 3 19 november 2007*"],
+    "MPL-2.0": ["mozilla public license version 2 0"],
+    "BSD-3-Clause": ["bsd 3 clause license"],
+    "BSD-2-Clause": ["bsd 2 clause license"],
+    "ISC": ["isc license"],
+}
+for _licence, _lines in TITLES.items():
+    _id = f"{_licence.upper().replace('.', '').replace('-', '')}_TITLE"
+    SENTENCES |= dict.fromkeys(_lines, _id)
+    RULES.append((_licence, [_id]))
+RULES += [("ISC", ["ISC_REF"]), ("LGPL-2.1-or-later", ["LGPL21_LATER"])]
+# How a sentence refers to a licence, and to its later versions, in normalised words.
+_version, _later = "(?: version)? ?v? ?", " or (?:at your option )?(?:any )?(?:later|newer)\\b"
+REFERENCES = {
+    "APACHE2": f"\\bapache(?: software)?(?: licen[cs]e)?{_version}2(?: 0)?\\b",
+    "MIT": "\\bmit(?: expat| x11)? licen[cs]e\\b",
+    "BSD3": "\\bbsd 3 clause\\b|\\b3 clause bsd\\b|\\b(?:new|modified|revised) bsd licen[cs]e\\b",
+    "BSD2": "\\bbsd 2 clause\\b|\\b2 clause bsd\\b|\\bsimplified bsd licen[cs]e\\b",
+    "ISC": "\\bisc licen[cs]e\\b",
+    "MPL2": f"\\b(?:mozilla public licen[cs]e|mpl){_version}2(?: 0)?\\b",
+    "EPL2": f"\\b(?:eclipse public licen[cs]e|epl){_version}2(?: 0)?\\b",
+    "AGPL3": f"\\b(?:gnu affero general public licen[cs]e|affero gpl|agpl){_version}3(?: 0)?\\b",
+    "LGPL3": f"\\b(?:gnu lesser general public licen[cs]e|lgpl){_version}3(?: 0)?\\b",
+    "LGPL21": f"\\b(?:gnu lesser general public licen[cs]e|lgpl){_version}2 1\\b",
+    "GPL3": f"\\b(?:gnu general public licen[cs]e|gpl){_version}3(?: 0)?\\b",
+    "GPL2": f"\\b(?:gnu general public licen[cs]e|gpl){_version}2(?: 0)?\\b",
+    "BOOST": "\\bboost software licen[cs]e\\b",
+    "UNLICENSE": "\\bunder the unlicense\\b",
+}
+HAVE_LATER = ("AGPL3", "LGPL3", "LGPL21", "GPL3", "GPL2")
+PHRASE = "\\b(?:licen[cs]ed|released|distributed|available|published|offered|provided) (?:[^ ]+ ){0,6}?under\\b"
+DENIED = "\\b(?:not|never|nor) (?:[^ ]+ )?(?:licen[cs]ed|released|distributed|available|published|offered|provided)\\b"
+_one = f"(?:the )?(?:gnu )?(?:mit|{'|'.join(x.replace(chr(92) + 'b', '') for x in REFERENCES.values())})(?: licen[cs]e)?"
+ONLY_NAMES = f"^{_one}(?: (?:and|or|and or) {_one})+$"
 _named = "[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
 SPDX = f"(?i)SPDX-License-Identifier:[ \\t]*([( ]*{_named}(?:[ )]+(?:AND|OR|WITH)[ (]+{_named})*)"
 #: Every sentence of the table has one of these, so other texts need no splitting.
-MENTIONS = "(?i)licen|copyright|rights reserved|warrant|permission|redistribut|public domain|cc0"
+MENTIONS = "(?i)licen|copyright|rights reserved|warrant|permission|redistribut|public domain|cc0|gpl|released under"
 
 
 def _sentences(text: Column, wrapped: bool) -> Column:
@@ -173,6 +218,26 @@ def _identifier(sentence: Column) -> Column:
     return out
 
 
+def _references(sentence: Column) -> Column:
+    """Identifiers of the licences that a sentence refers to, in the order of the table."""
+    listed = F.regexp_replace(sentence, "\\bmit\\b", "mit license")
+    said = F.when(sentence.rlike(PHRASE) & ~sentence.rlike(DENIED), sentence).when(sentence.rlike(ONLY_NAMES), listed)
+
+    def found(text: Column) -> Column:
+        out = []
+        for name, pattern in REFERENCES.items():
+            here = F.when(text.rlike(f"(?:{pattern}){_later}"), f"{name}_LATER") if name in HAVE_LATER else F
+            out.append(here.when(text.rlike(pattern), f"{name}_REF"))
+        return F.filter(F.array(*out), lambda i: i.isNotNull())
+
+    return let(said, lambda text: F.when(text.isNull(), F.array().cast("array<string>")).otherwise(found(text)))
+
+
+def _identifiers(sentence: Column) -> Column:
+    """The identifier of a known sentence, or those of the references in another."""
+    return let(_identifier(sentence), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(_references(sentence)))
+
+
 def _spdx(text: Column) -> Column:
     """Licences of SPDX lines; exceptions and operators of an expression are left out."""
     lines = F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))
@@ -194,7 +259,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
 
     def identifiers(wrapped: bool) -> Column:
-        found = F.filter(F.transform(_sentences(text, wrapped), _identifier), lambda i: i.isNotNull())
+        found = F.flatten(F.transform(_sentences(text, wrapped), _identifiers))
         return F.when(text.rlike(MENTIONS), found).otherwise(none)
 
     spdx = F.when(text.rlike("(?i)spdx-license"), _spdx(text)).otherwise(none)

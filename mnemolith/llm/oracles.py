@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licences import MENTIONS, RULES, SENTENCES
+from .licences import DENIED, HAVE_LATER, MENTIONS, ONLY_NAMES, PHRASE, REFERENCES, RULES, SENTENCES, _later
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -81,9 +81,20 @@ _whole = " ".join(f"WHEN '{s}' THEN '{i}'" for s, i in SENTENCES.items() if not
 _begun = " ".join(f"WHEN starts_with(s, '{s[:-1]}') THEN '{i}'" for s, i in SENTENCES.items() if s.endswith("*"))
 
 
+def _reference(name: str, pattern: str) -> str:
+    later = f"WHEN regexp_matches(t, '(?:{pattern}){_later}') THEN '{name}_LATER' " if name in HAVE_LATER else ""
+    return f"CASE {later}WHEN regexp_matches(t, '{pattern}') THEN '{name}_REF' END"
+
+
+_references = ", ".join(_reference(name, pattern) for name, pattern in REFERENCES.items())
+
+
 def _identifiers(sentences: str) -> str:
     plain = rf"list_transform({sentences}, lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
-    return f"list_filter(list_transform({plain}, lambda s: coalesce(CASE s {_whole} END, CASE {_begun} END)), lambda i: i IS NOT NULL)"
+    said = rf"""CASE WHEN regexp_matches(s, '{PHRASE}') AND NOT regexp_matches(s, '{DENIED}') THEN s WHEN regexp_matches(s, '{ONLY_NAMES}') THEN regexp_replace(s, '\bmit\b', 'mit license', 'g') END"""
+    known = f"list_transform({plain}, lambda s: {{'i': coalesce(CASE s {_whole} END, CASE {_begun} END), 't': {said}}})"
+    several = f"list_transform({known}, lambda k: CASE WHEN k.i IS NOT NULL THEN [k.i] WHEN k.t IS NULL THEN [] ELSE list_filter(list_transform([k.t], lambda t: [{_references}])[1], lambda i: i IS NOT NULL) END)"
+    return f"flatten({several})"
 
 
 _ends = r"regexp_replace({}, '([.!?;:])\s+', '\1' || chr(10), 'g')"

@@ -379,6 +379,18 @@ def test_licences_of_real_texts(spark):
         ("SPDX-License-Identifier: MIT. See the file.", ["MIT"]),
         ("This software is licensed under the Eclipse Public License, version 2.0.", ["EPL-2.0"]),
         ("This is not licensed under the MIT license.", []),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+        ("This file is licensed under the terms of the MIT license.", ["MIT"]),
+        ("Released under the GNU GPL v3.", ["GPL-3.0-only"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("This package is distributed under the GNU General Public License version 3 or later.", ["GPL-3.0-or-later"]),
+        ("You may use it, as it is available under the LGPLv2.1 or any later version.", ["LGPL-2.1-or-later"]),
+        ("This code is dual-licensed: MIT and Apache-2.0.", ["Apache-2.0", "MIT"]),
+        ("MIT License\n\nCopyright (c) 2020 Somebody", ["MIT"]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", ["Apache-2.0"]),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.", ["GPL-3.0-only"]),
+        ("The work was never released under the GPL version 2, whatever they say.", []),
+        ("Mit dem Text kam eine Lizenz, licence, und mit ihr viel.", []),
         ("Copyright law is a subject of its own, and so are licences.", []),
         ("Copyright (c) 2020 Somebody. All rights reserved.", ["UNMATCHED"]),
     ]
