@@ -484,6 +484,8 @@ class MemoryStore:
         # Units are restored as they were, also if they had no vectors yet.
         parents = archived["memory_units"][0]
         archived["memory_units"] = (parents, lambda old: children_replaced(old, units, parents, "raw_document_id"))
+        # Also where the message had no document then.
+        archived["external_ids"] = (one.select(F.col("message_id").alias("external_id")), archived["external_ids"][1])
         return self.apply(
             {
                 "messages": (one, lambda old: upserted(old, one, ["message_id"])),

@@ -150,6 +150,9 @@ def test_restoring_one_message_keeps_later_changes_of_others(spark, tmp_path):
     assert store.table("vectors").filter("metadata.raw_document_id = 'legacy:message:m1'").count() == 0  # had none then
     titles = {r.conversation_id: r.title for r in store.table("conversations").collect()}
     assert titles["c1"] == "t1" and titles["c2"] == "Other"
+    store.restore_message("m4", before - 1)  # before it had a document
+    assert store.table("raw_documents").filter("external_id = 'm4'").isEmpty() and store.rows_of("external_ids", ["m4"]).isEmpty()
+    assert store.table("memory_units").filter("raw_document_id = 'legacy:message:m4'").isEmpty() and store.count_rows("raw_documents") == 11
     with pytest.raises(KeyError):
         store.restore_message("nobody", before)
     assert store.edit_message("m3", "", "Yet another edit of a message, long enough.", EMBEDDER)["chunk_ids"] == [15]
