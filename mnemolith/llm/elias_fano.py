@@ -118,11 +118,12 @@ class EliasFano:
         return np.where(equal, at, -1)
 
 
-def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes of values, and the centres of the 256 equal steps that they name."""
-    low, high = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
-    step = (high - low) / 256  # 0 if all are equal, and then the table has nothing but them
-    return np.minimum(((values - low) / (step or 1.0)).astype(np.int64), 255).astype(np.uint8), low + (np.arange(256) + 0.5) * step
+STEPS = 1 << 12  # codes of logarithms to one unit; two bytes reach down to 1e-16
+
+
+def units(values: np.ndarray) -> np.ndarray:
+    """Two-byte codes of probabilities: negated base-10 logarithms in steps of ``1 / STEPS``."""
+    return np.clip(np.rint(np.log10(values) * -STEPS), 0, 0xFFFF).astype(np.uint16)
 
 
 WIDE = 32  # bits of a word's code
@@ -142,8 +143,7 @@ def build(lower: np.ndarray, pairs: np.ndarray, contexts: np.ndarray, triples: n
         arrays |= {f"{name}.{k}": v for k, v in encode(pointer, len(children) + 1).items()}
         arrays[f"{name}.words"] = (children & np.uint64((1 << WIDE) - 1)).astype(np.uint32)
     for name, values in (("p2", p2), ("p3", p3), ("back2", back2), ("back3", back3)):
-        codes, table = _quantised(np.log10(values))
-        arrays |= {f"{name}.codes": codes, f"{name}.table": table}
+        arrays[f"{name}.codes"] = units(values)
     return arrays
 
 
@@ -178,21 +178,19 @@ class _Level:
 class Trie:
     """An n-gram trie, queried by arrays of tokens.
 
-    Probabilities and backoff weights are one-byte codes into tables of base-10
-    logarithms.
+    Probabilities and backoff weights are the codes of :func:`units`.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.lower = EliasFano(arrays, "lower.")
         self.pairs, self.contexts, self.triples = (_Level(arrays, name) for name in ("pairs", "contexts", "triples"))
         self.codes = {name: arrays[f"{name}.codes"] for name in ("p2", "p3", "back2", "back3")}
-        self.tables = {name: arrays[f"{name}.table"] for name in ("p2", "p3", "back2", "back3")}
 
     def _value(self, name: str, at: np.ndarray) -> np.ndarray:
-        return self.tables[name][self.codes[name][at]]
+        return self.codes[name][at].astype(np.int64)
 
     def score(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """Base-10 logarithm of the smoothed probability of each ``w`` after ``v`` and, before that, ``u``."""
+        """Code of the smoothed probability of each ``w`` after ``v`` and, before that, ``u``; ``unigram`` are those of ``w`` alone."""
         out = unigram.copy()
         some, back = np.unique(v, return_inverse=True)
         node = self.lower.find(some.astype(np.int64))[back]
@@ -208,15 +206,19 @@ class Trie:
         known = context >= 0
         start[known], end[known] = self.triples.ranges(context[known])
         triple = self.triples.find(start[back], end[back], w)
-        value = np.empty(len(at))
+        value = np.empty(len(at), dtype=np.int64)
         full = triple >= 0
         value[full] = self._value("p3", triple[full])
         rest = np.flatnonzero(~full)
         if len(rest):
             pair = self.pairs.find(*self.pairs.ranges(node[rest]), w[rest])
-            lower = np.where(pair >= 0, self._value("p2", np.maximum(pair, 0)), self._value("back2", node[rest]) + unigram[at[rest]])
+            seen = pair >= 0
+            lower = self._value("back2", node[rest]) + unigram[at[rest]]
+            lower[seen] = self._value("p2", pair[seen])
             over = context[back[rest]]
             # Without any context there are no weights to look up.
-            value[rest] = lower + np.where(over >= 0, self._value("back3", np.maximum(over, 0)), 0.0)
+            after = over >= 0
+            lower[after] += self._value("back3", over[after])
+            value[rest] = lower
         out[at] = value
         return out

@@ -9,14 +9,17 @@ over all words, the text's end and one word for all unseen ones.
 
 Trie. The n-grams are dealt into buckets by their middle word, so that a
 trigram, its context, its bigram and the context of that lie in one bucket of
-about ``bucket`` tokens. A word with more occurrences than that has several
-lower contexts, told apart by a hash of the word before it, so its contexts
-spread over buckets. Each bucket builds its part of the trie in one task:
-contexts, bigrams and trigrams are Elias-Fano sequences in which a child is
-found by a successor search relative to its context, with pointers to the first
-child, and probabilities and backoff weights are one-byte codes. The part lies in
-one memory map, scores all tokens of the bucket, and is gone with the task;
-what is gathered grows with the corpus, and no task holds more than a bucket.
+about ``bucket`` tokens. A word with more occurrences than that is split: the
+word before it draws the bucket, and after a pair of words that alone fills two
+buckets the text and the place do. What a bucket cannot count alone, the bigrams
+of split words and the trigrams of such pairs, is summed over all buckets and
+given back to those that hold them, so that ``bucket`` changes no score. Each
+bucket builds its part of the trie in one task: contexts, bigrams and trigrams are
+Elias-Fano sequences in which a child is found by a successor search relative to
+its context, with pointers to the first child, and probabilities and backoff
+weights are two-byte codes of logarithms, the same everywhere, whose sums are whole
+numbers. The part scores all tokens of the bucket and is gone with the task; what
+is gathered grows with the corpus, and no task holds more than about a bucket.
 
 Texts are read once for their words' counts and once as slices. A slice sends
 each bucket the tokens that it has of it as arrays, and gets back one sum for
@@ -25,8 +28,8 @@ all others are rows of the text that join the full table of counts.
 
 Defined cases: null and empty texts score their end alone; a null ``doc_id``
 hashes as the empty string and so trains; rows repeated as a whole are scored
-one by one and count repeatedly; frequent words tie by their hash; a text of any
-length is read whole, in one slice; extra columns, whatever their names, are
+one by one and count repeatedly; frequent words, by all texts, tie by their hash; a
+text of any length is read whole, in one slice; extra columns, whatever their names, are
 ignored; an empty table gives no rows; without training texts all counts are
 zero and every token has the same probability.
 """
@@ -39,10 +42,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .elias_fano import Trie, build, mapped, pack
+from .elias_fano import STEPS, Trie, build, mapped, pack, units
 from .lookup import HashIndex
 from .storage import written
 from .tokens import Words, mix, text_slices
@@ -61,16 +64,19 @@ def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        learn = batch.column("learn").to_numpy(zero_copy_only=False)
         for row, end, data, offsets in text_slices(batch.column("text"), SLICE):
-            words, counts = np.unique(Words(data, offsets, lower=True).hashes().view(np.int64), return_counts=True)
-            words, counts = np.append(words, END_WORD), np.append(counts, end - row)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts.astype(np.int64))], names=["word", "n"])
+            words = Words(data, offsets, lower=True)
+            found, of, times = np.unique(words.hashes().view(np.int64), return_inverse=True, return_counts=True)
+            n = np.bincount(of, learn[row:end][words.text_of_word()], len(found)).astype(np.int64)
+            columns = (np.append(found, END_WORD), np.append(n, learn[row:end].sum()), np.append(times, end - row))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["word", "n", "seen"])
 
 
 def _bound(counts: DataFrame, most: int) -> int:
     """Least count such that at most ``most`` rows have a larger one."""
-    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    rows = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.max("n").alias("top")).orderBy(F.desc("level")).collect()
+    level = F.floor(F.log2(F.col("seen").cast("double")) * 16).cast("int")
+    rows = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.max("seen").alias("top")).orderBy(F.desc("level")).collect()
     total = 0
     for row in rows:  # at most 1,024 levels
         total += row["rows"]
@@ -80,24 +86,29 @@ def _bound(counts: DataFrame, most: int) -> int:
 
 
 def _vocabulary(counts: DataFrame, max_frequent: int, bucket: int) -> dict[str, np.ndarray]:
-    """Arrays of the most frequent words, and the totals of all."""
-    total = counts.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    tokens, distinct = total["tokens"], total["distinct"]
-    frequent = counts.filter(F.col("n") > _bound(counts, max_frequent)).toArrow()
-    word, n = frequent.column("word").to_numpy(), frequent.column("n").to_numpy()
+    """Arrays of the most frequent words, and the totals of all.
+
+    ``kinds`` and ``times``, by code, are the buckets that a word's occurrences
+    would fill and those in training texts; the last entry is the text's end.
+    """
+    sums = [F.coalesce(F.sum(x), F.lit(0)) for x in (F.when(F.col("n") > 0, 1), "n", "seen")]
+    distinct, tokens, seen = counts.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()
+    frequent = counts.filter(F.col("seen") > _bound(counts, max_frequent)).toArrow()
+    word, n, often = (frequent.column(x).to_numpy() for x in ("word", "n", "seen"))
     order = np.argsort(word.view(np.uint64))
-    word, n = word[order].view(np.uint64), n[order]
+    word, n, often = word[order].view(np.uint64), n[order], often[order]
     rank = np.empty(len(word), dtype=np.uint32)
-    rank[np.lexsort((word, -n))] = np.arange(len(word))
+    rank[np.lexsort((word, -often))] = np.arange(len(word))
     everything = tokens + distinct + 1
     share = np.empty(len(word))
     share[rank] = (n + 1) / everything
-    rare = max(1 - share.sum(), 1 / everything) / (distinct - len(word) + 1)
-    kinds = np.ones(len(word), dtype=np.uint64)
-    kinds[rank] = -(-n // bucket)
+    known = n > 0
+    rare = max(1 - share[rank[known]].sum(), 1 / everything) / (distinct - known.sum() + 1)
     end = np.flatnonzero(word.view(np.int64) == END_WORD)
-    end_kinds = kinds[rank[end]] if len(end) else np.ones(1, dtype=np.uint64)
-    return {"words": word, "n": n, "rank": rank, "share": share, "rare": np.array([rare]), "kinds": kinds, "end_kinds": end_kinds, "totals": np.array([tokens, distinct], dtype=np.int64)}
+    kinds, times = np.ones(len(word) + 1, dtype=np.uint64), np.zeros(len(word) + 1, dtype=np.int64)
+    kinds[rank], times[rank] = -(-often // bucket), n
+    kinds[-1], times[-1] = (kinds[rank[end[0]]], n[end[0]]) if len(end) else (1, 0)
+    return {"words": word, "n": n, "rank": rank, "share": share, "rare": np.array([rare]), "kinds": kinds, "times": times, "totals": np.array([tokens, distinct, seen], dtype=np.int64)}
 
 
 def _base(model):
@@ -106,7 +117,8 @@ def _base(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = model.value
         index, n = HashIndex(vocabulary["words"]), vocabulary["n"]
-        everything = int(vocabulary["totals"].sum()) + 1
+        everything = int(vocabulary["totals"][:2].sum()) + 1
+        learnt = np.append(n > 0, False)
         log_n = np.append(np.log10((n + 1.0) / everything), 0.0)  # the last for words that are not frequent
         end_at = index.find(np.array([END_WORD], dtype=np.int64).view(np.uint64))[0]
         end_n = int(n[end_at]) if end_at >= 0 else 0
@@ -118,7 +130,7 @@ def _base(model):
                 at = index.find(hashes)
                 keys = batch.column("key").slice(row, texts)
                 base = np.bincount(of, log_n[at], texts) + math.log10((end_n + 1) / everything)
-                known = np.bincount(of, at >= 0, texts).astype(np.int64) + int(end_n > 0)
+                known = np.bincount(of, (at >= 0) & learnt[at], texts).astype(np.int64) + int(end_n > 0)
                 columns = [keys, batch.column("doc_id").slice(row, texts), pa.array(words.count.astype(np.int64) + 1), pa.array(known), pa.array(base)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.int64())], names=names)
                 rare = np.flatnonzero(at < 0)
@@ -142,22 +154,11 @@ def _codes(hashes: np.ndarray, index: HashIndex, rank: np.ndarray) -> np.ndarray
     return np.where(at >= 0, rank[at] if len(rank) else 0, other).astype(np.uint32)
 
 
-def _told_apart(v: np.ndarray, which: np.ndarray, draw: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Codes of contexts, those at ``which`` replaced by one of ``parts`` others by ``draw``."""
-    v = v.copy()
-    kind = mix(draw) % parts
-    v[which] = COMMON + 1 + mix(v[which].astype(np.uint64) << np.uint64(32) | kind) % np.uint64(END - COMMON - 1)
-    return v
-
-
-def _slice_tokens(words: Words, codes: np.ndarray, keys: np.ndarray, vocabulary: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """``(v, u, w, text)`` of every token, ends included, and which ``v`` are a frequent word's.
+def _slice_tokens(words: Words, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(v, u, w, text, place)`` of every token, ends included.
 
-    ``v`` stands for the word before and ``u`` for the one before that. Contexts of a
-    frequent word are told apart by ``u``, and that of texts' first tokens by the
-    text's key.
+    ``v`` is the word before and ``u`` the one before that; ``place`` counts within the text.
     """
-    kinds = vocabulary["kinds"]
     ends = words.first[1:] + np.arange(len(words.count))
     w = np.empty(len(codes) + len(ends), dtype=np.uint32)
     w[np.arange(len(codes)) + words.text_of_word()] = codes
@@ -166,54 +167,62 @@ def _slice_tokens(words: Words, codes: np.ndarray, keys: np.ndarray, vocabulary:
     u = np.append(np.uint32(END), v[:-1])
     first = np.append(0, ends[:-1] + 1)
     u[first] = END
-    parts = np.ones(len(v), dtype=np.uint64)
-    common = v < len(kinds)
-    parts[common] = kinds[v[common]]
-    parts[v == END] = vocabulary["end_kinds"][0]
-    frequent = np.flatnonzero(parts > 1)
-    if len(frequent):
-        draw = u.astype(np.uint64)
-        draw[first] = keys
-        v = _told_apart(v, frequent, draw[frequent], parts[frequent])
-    return v, u, w, np.repeat(np.arange(len(ends)), words.count + 1), frequent
-
-
-def _by_text(v: np.ndarray, text: np.ndarray, keys: np.ndarray, crowded: dict[str, np.ndarray]) -> np.ndarray:
-    """Contexts with those in ``crowded`` told apart once more, by the text."""
-    if not len(crowded["context"]):
-        return v
-    at = np.minimum(np.searchsorted(crowded["context"], v), len(crowded["context"]) - 1)
-    which = np.flatnonzero(crowded["context"][at] == v)
-    return _told_apart(v, which, keys[text[which]], crowded["parts"][at[which]])
-
-
-def _frequent_contexts(model):
-    """Counts of the contexts of frequent words."""
+    text = np.repeat(np.arange(len(ends)), words.count + 1)
+    return v, u, w, text, np.arange(len(w)) - first[text]
+
+
+def _own(code: np.ndarray, by_code: np.ndarray, other: int) -> np.ndarray:
+    """Entries by word code; ``other`` for words that are not frequent."""
+    last = len(by_code) - 1
+    at = np.where(code == END, last, np.minimum(code, last))
+    return np.where((code < last) | (code == END), by_code[at], by_code.dtype.type(other))
+
+
+def _which(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Place of each key among the ascending ``some``, or -1."""
+    if not len(some):
+        return np.full(len(keys), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+    return np.where(some[at] == keys, at, -1)
+
+
+def _joint(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+
+
+def _split_pairs(model):
+    """Counts of pairs of neighbours that are both split words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = model.value
         index = HashIndex(vocabulary["words"])
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            learn = batch.column("learn").to_numpy(zero_copy_only=False)
             for row, end, data, offsets in text_slices(batch.column("text"), SLICE, SLICE_ROWS):
                 words = Words(data, offsets, lower=True)
-                v, *_, frequent = _slice_tokens(words, _codes(words.hashes(), index, vocabulary["rank"]), keys[row:end].view(np.uint64), vocabulary)
-                context, n = np.unique(v[frequent], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(context.astype(np.int64)), pa.array(n.astype(np.int64))], names=["context", "n"])
+                v, _, w, text, _ = _slice_tokens(words, _codes(words.hashes(), index, vocabulary["rank"]))
+                both = np.flatnonzero((_own(v, vocabulary["kinds"], 1) > 1) & (_own(w, vocabulary["kinds"], 1) > 1) & (w != END))
+                pair, of, times = np.unique(_joint(w[both], v[both]), return_inverse=True, return_counts=True)
+                n = np.bincount(of, learn[row:end][text[both]], len(pair))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (pair.view(np.int64), n, times)], names=["pair", "n", "seen"])
 
     return run
 
 
 def _crowded(texts: DataFrame, model, vocabulary: dict[str, np.ndarray], bucket: int) -> dict[str, np.ndarray]:
-    """Contexts that one pair of words fills beyond twice a bucket, and into how many parts they go.
+    """Contexts of two words that fill more than two buckets, and their training tokens.
 
-    There are at most half as many as buckets.
+    There are at most half as many as buckets, and the texts' starts.
     """
     rows = []
-    if max(vocabulary["kinds"].max(initial=1), vocabulary["end_kinds"][0]) > 1:
-        counts = texts.select("key", "text").mapInArrow(_frequent_contexts(model), "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
-        rows = counts.filter(F.col("n") > 2 * bucket).orderBy("context").collect()
-    return {"context": np.array([r["context"] for r in rows], dtype=np.uint32), "parts": np.array([-(-r["n"] // bucket) for r in rows], dtype=np.uint64)}
+    if vocabulary["kinds"].max() > 1:
+        counts = texts.select("learn", "text").mapInArrow(_split_pairs(model), "pair long, n long, seen long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+        rows = [(r["pair"], r["n"]) for r in counts.filter(F.col("seen") > 2 * bucket).collect()]
+    if vocabulary["kinds"][-1] > 1:
+        rows.append((-1, int(vocabulary["times"][-1])))  # the end and the end
+    context, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+    order = np.argsort(context.view(np.uint64))
+    return {"context": context.view(np.uint64)[order], "n": n[order]}
 
 
 def _dealt(model, crowded: dict[str, np.ndarray], buckets: int):
@@ -226,11 +235,16 @@ def _dealt(model, crowded: dict[str, np.ndarray], buckets: int):
             keys, learn = batch.column("key").to_numpy(), batch.column("learn").to_numpy(zero_copy_only=False)
             for row, end, data, offsets in text_slices(batch.column("text"), SLICE, SLICE_ROWS):
                 words, own = Words(data, offsets, lower=True), keys[row:end]
-                v, u, w, text, _ = _slice_tokens(words, _codes(words.hashes(), index, vocabulary["rank"]), own.view(np.uint64), vocabulary)
-                v = _by_text(v, text, own.view(np.uint64), crowded)
+                v, u, w, text, place = _slice_tokens(words, _codes(words.hashes(), index, vocabulary["rank"]))
                 name = int(np.bitwise_xor.reduce(mix(own.view(np.uint64) + np.arange(1, len(own) + 1, dtype=np.uint64))).view(np.int64))
-                where = mix(v.astype(np.uint64)) % np.uint64(buckets)
-                order = np.argsort(where << np.uint64(32) | v)
+                kinds = _own(v, vocabulary["kinds"], 1)
+                draw, kind = u.astype(np.uint64), np.zeros(len(v), dtype=np.uint64)
+                split = np.flatnonzero(kinds > 1)
+                apart = split[_which(_joint(v[split], u[split]), crowded["context"]) >= 0]
+                draw[apart] = own.view(np.uint64)[text[apart]] + (place[apart] >> 10).astype(np.uint64)
+                kind[split] = mix(draw[split]) % kinds[split]
+                where = mix(_joint(v, kind)) % np.uint64(buckets)
+                order = np.lexsort((w, u, v, where))
                 cut = np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
                 filled = np.flatnonzero(np.diff(cut))
                 ends = np.append(np.append(cut[filled], len(order)), len(order)).astype(np.int32)  # no tokens beside the keys
@@ -251,33 +265,109 @@ def _flat(rows: pa.Table, name: str) -> np.ndarray:
     return column.flatten().to_numpy()
 
 
-def _part(v: np.ndarray, u: np.ndarray, w: np.ndarray, share: np.ndarray, rare: float, discount: float) -> Trie:
-    """The trie of training tokens ``(v, u, w)`` of one bucket."""
-    wide = np.uint64(32)
-    lower, of_lower = np.unique(v, return_inverse=True)
-    of_lower = of_lower.astype(np.uint64)
+def _asked(model, crowded: dict[str, np.ndarray]):
+    """What a bucket has of the bigrams of split words, and of the trigrams after crowded contexts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        v, u, w = (_flat(rows, name).view(np.uint32) for name in ("v", "u", "w"))
+        split = np.flatnonzero(_own(v, model.value["kinds"], 1) > 1)
+        v, u, w, learn = v[split], u[split], w[split], _flat(rows, "mark")[split] & 1
+        pair, of = np.unique(_joint(v, w), return_inverse=True)
+        which = _which(_joint(v, u), crowded["context"])
+        apart = np.flatnonzero(which >= 0)
+        triple, of_triple = np.unique(_joint(which[apart], w[apart]), return_inverse=True)
+        context = (triple >> np.uint64(32)).astype(np.int64)
+        after = _joint(crowded["context"][context] >> np.uint64(32), triple & np.uint64(END))
+        n = np.append(np.bincount(of, learn, len(pair)), np.bincount(of_triple, learn[apart], len(triple)))
+        columns = [np.append(np.full(len(pair), -1), context), np.append(pair, after).view(np.int64), np.full(len(n), rows.column("bucket")[0].as_py()), n]
+        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["context", "pair", "bucket", "n"])
+
+    return run
+
+
+def _given(asked: DataFrame) -> DataFrame:
+    """For each bucket the sums of what it asked for, and how many different words follow its contexts.
+
+    A pair has a row for each bucket that holds it, and a context is counted before it is joined.
+    """
+    pair = Window.partitionBy("context", "pair")
+    v = F.shiftrightunsigned("pair", 32)
+    summed = asked.select("context", "pair", "bucket", v.alias("v"), F.sum("n").over(pair).alias("n"), (F.row_number().over(pair.orderBy("bucket")) == 1).alias("first"))
+    kinds = summed.filter("first AND n > 0").groupBy("context", "v").agg(F.count("*").alias("kinds"))
+    return summed.join(kinds, ["context", "v"], "left").select("bucket", "context", "pair", "n", F.coalesce("kinds", F.lit(0)).alias("kinds"))
+
+
+def _counted(keys: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and their counts, those of ``more`` given."""
+    own, times = np.unique(keys, return_counts=True)
+    every, count = np.append(own, more), np.append(times, n)
+    order = np.argsort(every)
+    return every[order], count[order]
+
+
+def _part(v: np.ndarray, u: np.ndarray, w: np.ndarray, share: np.ndarray, rare: float, discount: float, given: dict[str, np.ndarray] | None = None) -> Trie:
+    """The trie of training tokens ``(v, u, w)`` of one bucket.
+
+    ``given`` says which tokens are of split words and of crowded contexts, and has the
+    counts of those in all buckets.
+    """
+    none = np.zeros(0, dtype=np.uint64)
+    if given is None:
+        given = {"split": np.zeros(len(v), bool), "crowded": np.zeros(len(v), bool)} | {x: none for x in ("pairs", "pair_n", "triples", "triple_n", "v", "v_n", "v_kinds", "contexts", "context_n", "context_kinds")}
+        given["triple_contexts"] = none
+    wide, low32 = np.uint64(32), np.uint64(END)
     unigram = lambda word: np.where(word < len(share), share[np.minimum(word, len(share) - 1)] if len(share) else rare, rare)
 
-    pairs, pair_n = np.unique(of_lower << wide | w, return_counts=True)
-    low = (pairs >> wide).astype(np.int64)
+    one = ~given["split"]
+    pairs, pair_n = _counted(_joint(v[one], w[one]), given["pairs"], given["pair_n"])
+    lower = np.unique(np.append(v[one].astype(np.uint64), given["v"]))
+    low = np.searchsorted(lower, pairs >> wide)
     low_n, low_kinds = np.bincount(low, pair_n, len(lower)), np.bincount(low, minlength=len(lower))
+    at = np.searchsorted(lower, given["v"])
+    low_n[at], low_kinds[at] = given["v_n"], given["v_kinds"]
+    pairs = _joint(low, pairs & low32)
     back2 = discount * low_kinds / np.maximum(low_n, 1)
-    p2 = (pair_n - discount) / low_n[low] + back2[low] * unigram((pairs & np.uint64(END)).astype(np.int64))
+    p2 = (pair_n - discount) / low_n[low] + back2[low] * unigram((pairs & low32).astype(np.int64))
 
-    contexts, of_context = np.unique(of_lower << wide | u, return_inverse=True)
-    triples, triple_n = np.unique(of_context.astype(np.uint64) << wide | w, return_counts=True)
+    one = ~given["crowded"]
+    own = _joint(v[one], u[one])
+    contexts = np.unique(np.append(own, given["contexts"]))
+    triples, triple_n = _counted(_joint(np.searchsorted(contexts, own), w[one]), _joint(np.searchsorted(contexts, given["triple_contexts"]), given["triples"]), given["triple_n"])
     high = (triples >> wide).astype(np.int64)
     high_n, high_kinds = np.bincount(high, triple_n, len(contexts)), np.bincount(high, minlength=len(contexts))
+    at = np.searchsorted(contexts, given["contexts"])
+    high_n[at], high_kinds[at] = given["context_n"], given["context_kinds"]
+    contexts = _joint(np.searchsorted(lower, contexts >> wide), contexts & low32)
     back3 = discount * high_kinds / np.maximum(high_n, 1)
-    below = (contexts[high] >> wide << wide) | (triples & np.uint64(END))
+    below = (contexts[high] >> wide << wide) | (triples & low32)
     p3 = (triple_n - discount) / high_n[high] + back3[high] * p2[np.searchsorted(pairs, below)]
     return Trie(mapped(pack(build(lower, pairs, contexts, triples, p2, p3, back2, back3))))
 
 
-def _scored(model, discount: float):
-    """Scores of one bucket's tokens, summed by slice and text."""
-
-    def run(rows: pa.Table) -> pa.Table:
+def _of_all_buckets(rows: pa.Table, vocabulary: dict[str, np.ndarray], crowded: dict[str, np.ndarray], end: int) -> dict[str, np.ndarray]:
+    """The given counts as :func:`_part` takes them, the text's end under its code as a word."""
+    context, pair, n, kinds = (rows.column(x).to_numpy() for x in ("context", "pair", "n", "kinds"))
+    v, w = pair.view(np.uint64) >> np.uint64(32), pair.view(np.uint64) & np.uint64(END)
+    w = np.where(w == END, np.uint64(end), w)
+    of_pair, of_triple = np.flatnonzero(context < 0), np.flatnonzero(context >= 0)
+    words, at = np.unique(v[of_pair], return_index=True)
+    words_n, words_kinds = _own(words, vocabulary["times"], 0), kinds[of_pair[at]]
+    learnt = words_n > 0
+    some, at = np.unique(context[of_triple], return_index=True)
+    some_n, some_kinds = crowded["n"][some], kinds[of_triple[at]]
+    after = some_n > 0
+    of_pair, of_triple = of_pair[n[of_pair] > 0], of_triple[n[of_triple] > 0]
+    return {
+        "pairs": _joint(v[of_pair], w[of_pair]), "pair_n": n[of_pair], "v": words[learnt], "v_n": words_n[learnt], "v_kinds": words_kinds[learnt],
+        "triples": w[of_triple], "triple_contexts": crowded["context"][context[of_triple]], "triple_n": n[of_triple],
+        "contexts": crowded["context"][some[after]], "context_n": some_n[after], "context_kinds": some_kinds[after],
+    }
+
+
+def _scored(model, crowded: dict[str, np.ndarray], discount: float):
+    """Scores of one bucket's tokens, summed by slice and text, in steps of the codes."""
+
+    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
         vocabulary = model.value
         share, rare = vocabulary["share"], float(vocabulary["rare"][0])
         end = np.flatnonzero(vocabulary["words"].view(np.int64) == END_WORD)
@@ -286,21 +376,25 @@ def _scored(model, discount: float):
         v, u, w = (_flat(rows, name).view(np.uint32) for name in ("v", "u", "w"))
         w = np.where(w == END, len(share) - 1, w).astype(np.uint32)
         mark = _flat(rows, "mark")
-        learn = (mark & 1) == 1
-        trie = _part(v[learn], u[learn], w[learn], share, rare, discount)
+        learn = np.flatnonzero(mark & 1)
+        own = v[learn], u[learn], w[learn]
+        counts = _of_all_buckets(given, vocabulary, crowded, len(share) - 1)
+        counts["split"] = _own(own[0], vocabulary["kinds"], 1) > 1
+        counts["crowded"] = _which(_joint(own[0], own[1]), crowded["context"]) >= 0
+        trie = _part(*own, share, rare, discount, counts)
         unigram = np.where(w < len(share), share[np.minimum(w, len(share) - 1)], rare)
-        value = trie.score(v, u, w, np.log10(unigram))
-        del trie, unigram, learn, u, w
+        value = trie.score(v, u, w, units(unigram).astype(np.int64))
+        del trie, unigram, learn, own, counts, u, w
         sizes = pc.list_value_length(rows.column("v")).to_numpy()
         text = np.repeat(np.arange(len(rows)), sizes) << 16 | (mark >> 1)
         order = np.argsort(text, kind="stable")
-        heads = np.flatnonzero(np.append(True, np.diff(text[order]) > 0))[: len(order)]
+        # A sum of at most 2^13 tokens, of three codes each, has 31 bits.
+        heads = np.flatnonzero(np.append(True, np.diff(text[order]) > 0)[: len(order)] | (np.arange(len(order)) % (1 << 13) == 0))
         found = text[order][heads]
         first = pa.array(np.searchsorted(found, np.arange(len(rows) + 1) << 16).astype(np.int32))
         sums = np.add.reduceat(value[order], heads) if len(heads) else np.zeros(0)
-        numbers = (found & 0xFFFF).astype(np.int16), np.diff(np.append(heads, len(order))).astype(np.int32), sums.astype(np.float32)
-        lists = [pa.ListArray.from_arrays(first, pa.array(c)) for c in numbers]
-        return pa.table([rows.column("slice"), rows.column("keys"), *lists], names=["slice", "keys", "text", "tokens", "score"])
+        lists = [pa.ListArray.from_arrays(first, pa.array(c)) for c in ((found & 0xFFFF).astype(np.int16), sums.astype(np.int32))]
+        return pa.table([rows.column("slice"), rows.column("keys"), *lists], names=["slice", "keys", "text", "score"])
 
     return run
 
@@ -310,9 +404,8 @@ def _gathered(rows: pa.Table) -> pa.Table:
     named = rows.filter(pc.is_valid(rows.column("keys")))
     copies = len(named)
     keys = named.column("keys")[0].values.to_numpy()
-    text = _flat(rows, "text").astype(np.int64)
-    score, tokens = np.bincount(text, _flat(rows, "score"), len(keys)) / copies, np.bincount(text, _flat(rows, "tokens"), len(keys)).astype(np.int64) // copies
-    return pa.table({"key": np.tile(keys, copies), "score": np.tile(score, copies), "tokens": np.tile(tokens, copies)})
+    score = np.bincount(_flat(rows, "text").astype(np.int64), _flat(rows, "score"), len(keys)) / copies
+    return pa.table({"key": np.tile(keys, copies), "score": -np.tile(score, copies) / STEPS})
 
 
 def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bucket: int = 1 << 19, discount: float = 0.75) -> DataFrame:
@@ -327,11 +420,11 @@ def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bu
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     base = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
-    counts = base.filter("learn").select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = base.select("learn", "text").mapInArrow(_word_counts, "word long, n long, seen long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     counts = written(counts, "word-counts")
     vocabulary = _vocabulary(counts, max_frequent, bucket)
     tokens = int(vocabulary["totals"][0])
-    everything = float(vocabulary["totals"].sum() + 1)
+    everything = float(vocabulary["totals"][:2].sum() + 1)
     model = spark.sparkContext.broadcast(vocabulary)
 
     of_texts = base.drop("learn").mapInArrow(_base(model), "key long, doc_id long, n_tokens long, n_known long, base_score double, word long, n long")
@@ -347,16 +440,18 @@ def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bu
         F.when(rare, F.col("n") * F.log10((c + 1) / F.lit(everything))).otherwise(F.col("base_score")).alias("base_score"),
     )
 
-    buckets = max(1, -(-tokens // bucket))
-    dealt = base.drop("doc_id").mapInArrow(_dealt(model, _crowded(base, model, vocabulary, bucket), buckets), "bucket long, slice long, keys array<long>, v array<int>, u array<int>, w array<int>, mark array<smallint>")
-    sums = dealt.groupBy("bucket").applyInArrow(_scored(model, discount), "slice long, keys array<long>, text array<smallint>, tokens array<int>, score array<float>")
-    scores = sums.groupBy("slice").applyInArrow(_gathered, "key long, score double, tokens long")
+    buckets = max(1, -(-int(vocabulary["totals"][2]) // bucket))
+    crowded = _crowded(base, model, vocabulary, bucket)
+    dealt = base.drop("doc_id").mapInArrow(_dealt(model, crowded, buckets), "bucket long, slice long, keys array<long>, v array<int>, u array<int>, w array<int>, mark array<smallint>")
+    given = _given(dealt.groupBy("bucket").applyInArrow(_asked(model, crowded), "context long, pair long, bucket long, n long"))
+    sums = dealt.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_scored(model, crowded, discount), "slice long, keys array<long>, text array<smallint>, score array<int>")
+    scores = sums.groupBy("slice").applyInArrow(_gathered, "key long, score double")
 
     total = plain.unionByName(scores, allowMissingColumns=True).groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base_score", "score", "tokens")]
+        F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base_score", "score")]
     )
-    # Equal rows have one key and equal scores; both readings must have seen the same tokens.
+    # Equal rows have one key and equal scores; both readings must have seen the same texts.
     each = [(F.col(x) / F.col("copies")).cast("long").alias(x) for x in ("n_tokens", "n_known")] + [F.round(F.col(x) / F.col("copies"), 6).alias(x) for x in ("base_score", "score")]
-    same = F.assert_true(F.col("n_tokens") == F.col("tokens"), F.lit("the table changed between two readings"))
+    same = F.assert_true(F.col("copies").isNotNull() & F.col("score").isNotNull(), F.lit("the table changed between two readings"))
     rows = total.withColumn("same", same).filter("same IS NULL").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return rows.select("doc_id", *each).select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -292,13 +292,12 @@ def test_language_model(odd, odd_rows, empty):
         base = sum(math.log10((counts[(w,)] + 1) / (n + v + 1)) for w in tokens[2:])
         score = sum(math.log10(probability(tuple(tokens[k - 2 : k]), tokens[k])) for k in range(2, len(tokens)))
         expected.append((repr(i), len(tokens) - 2, sum(counts[(w,)] > 0 for w in tokens[2:]), n, base, score))
-    for most, bucket in ((lm.COMMON, 1 << 21), (lm.COMMON, 4_000), (200, 1_000)):
+    for most, bucket in ((lm.COMMON, 1 << 21), (lm.COMMON, 4_000), (lm.COMMON, 500), (200, 1_000)):
         found = [(repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_texts(odd, learn, most, bucket).collect()]
         assert [g[:4] for g in sorted(found)] == [e[:4] for e in sorted(expected)]
         assert all(abs(g[4] - e[4]) < 0.01 for g, e in zip(sorted(found), sorted(expected), strict=True))
-        if bucket > 2_000:  # no word is so frequent that its contexts are told apart; a code is off by half a step
-            assert all(abs(g[5] - e[5]) <= 0.02 * e[1] for g, e in zip(sorted(found), sorted(expected), strict=True))
-            assert abs(sum(g[5] - e[5] for g, e in zip(sorted(found), sorted(expected), strict=True))) <= 0.005 * sum(e[1] for e in expected)
+        if most > 200:  # three codes at most are off by half a step each
+            assert all(abs(g[5] - e[5]) <= 0.0004 * (e[1] + 1) for g, e in zip(sorted(found), sorted(expected), strict=True))
         assert sum(g[5] for g in found) > sum(g[4] for g in found)
     assert lm.score_texts(empty, learn).count() == 0
     blank = lm.score_texts(odd, F.lit(False)).collect()
@@ -313,13 +312,14 @@ def test_frequent_words_and_pairs_spread_over_buckets(spark, monkeypatch):
     grouped = type(docs).groupBy
 
     def watched(df, *columns):
-        if len(columns) == 1 and isinstance(columns[0], str) and columns[0] == "bucket":
+        if columns and isinstance(columns[0], str) and columns[0] == "bucket" and "mark" in df.columns and not seen:
             seen.extend(r.n for r in grouped(df, "bucket").agg(F.sum(F.size("v")).alias("n")).collect())
         return grouped(df, *columns)
 
+    whole = sorted(map(tuple, lm.score_texts(docs, ~lm.held_out(F.col("doc_id"), 7, 2)).collect()))
     monkeypatch.setattr(type(docs), "groupBy", watched)
-    rows = lm.score_texts(docs, F.lit(True), bucket=1_000).collect()
-    assert len(rows) == 300 and all(r.score > r.base_score for r in rows)
+    rows = lm.score_texts(docs, ~lm.held_out(F.col("doc_id"), 7, 2), bucket=1_000).collect()
+    assert sorted(map(tuple, rows)) == whole  # the size of buckets changes no score
     assert sum(seen) == sum(r.n_tokens for r in rows) and len(seen) > 20 and max(seen) <= 5_000
 
 
@@ -331,7 +331,7 @@ def test_probabilities_sum_to_one():
     everything = np.append(np.arange(64), lm.COMMON + 5).astype(np.uint32)
     for context in [*zip(v[:40].tolist(), u[:40].tolist(), strict=True), (3, 9_999), (9_999, 3)]:
         a, b = (np.full(65, x, dtype=np.uint32) for x in context)
-        assert 0.985 <= (10 ** trie.score(a, b, everything, np.full(65, math.log10(1 / 65)))).sum() <= 1.015
+        assert 0.998 <= (10 ** (-trie.score(a, b, everything, np.full(65, round(math.log10(65) * 4096))) / 4096)).sum() <= 1.002
 
 
 def test_licences(spark, empty):
