@@ -244,7 +244,7 @@ def _dealt(model, crowded: dict[str, np.ndarray], buckets: int):
                 draw[apart] = own.view(np.uint64)[text[apart]] + (place[apart] >> 10).astype(np.uint64)
                 kind[split] = mix(draw[split]) % kinds[split]
                 where = mix(_joint(v, kind)) % np.uint64(buckets)
-                order = np.lexsort((w, u, v, where))
+                order = np.lexsort((_joint(u, w), _joint(where, v)))
                 cut = np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
                 filled = np.flatnonzero(np.diff(cut))
                 ends = np.append(np.append(cut[filled], len(order)), len(order)).astype(np.int32)  # no tokens beside the keys
@@ -286,15 +286,17 @@ def _asked(model, crowded: dict[str, np.ndarray]):
 
 
 def _given(asked: DataFrame) -> DataFrame:
-    """For each bucket the sums of what it asked for, and how many different words follow its contexts.
+    """For each bucket the sums ``n`` of what it asked for, and rows of its contexts with the ``kinds`` of words that follow them.
 
-    A pair has a row for each bucket that holds it, and a context is counted before it is joined.
+    A pair has a row for each bucket that holds it, and so has a context.
     """
     pair = Window.partitionBy("context", "pair")
     v = F.shiftrightunsigned("pair", 32)
-    summed = asked.select("context", "pair", "bucket", v.alias("v"), F.sum("n").over(pair).alias("n"), (F.row_number().over(pair.orderBy("bucket")) == 1).alias("first"))
-    kinds = summed.filter("first AND n > 0").groupBy("context", "v").agg(F.count("*").alias("kinds"))
-    return summed.join(kinds, ["context", "v"], "left").select("bucket", "context", "pair", "n", F.coalesce("kinds", F.lit(0)).alias("kinds"))
+    summed = asked.select("bucket", "context", "pair", F.sum("n").over(pair).alias("n"), (F.row_number().over(pair.orderBy("bucket")) == 1).alias("first"))
+    # Each pair counts once, in its first bucket.
+    here = summed.groupBy("bucket", "context", v.alias("v")).agg(F.sum((F.col("first") & (F.col("n") > 0)).cast("long")).alias("kinds"))
+    kinds = here.select("bucket", "context", F.shiftleft("v", 32).alias("pair"), F.lit(None).cast("long").alias("n"), F.sum("kinds").over(Window.partitionBy("context", "v")).alias("kinds"))
+    return summed.select("bucket", "context", "pair", "n", F.lit(None).cast("long").alias("kinds")).unionByName(kinds)
 
 
 def _counted(keys: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,15 +348,19 @@ def _part(v: np.ndarray, u: np.ndarray, w: np.ndarray, share: np.ndarray, rare:
 
 def _of_all_buckets(rows: pa.Table, vocabulary: dict[str, np.ndarray], crowded: dict[str, np.ndarray], end: int) -> dict[str, np.ndarray]:
     """The given counts as :func:`_part` takes them, the text's end under its code as a word."""
-    context, pair, n, kinds = (rows.column(x).to_numpy() for x in ("context", "pair", "n", "kinds"))
+    of_context = pc.is_valid(rows.column("kinds"))
+    contexts, rows = rows.filter(of_context), rows.filter(pc.invert(of_context))
+    context, pair, n = (rows.column(x).to_numpy() for x in ("context", "pair", "n"))
     v, w = pair.view(np.uint64) >> np.uint64(32), pair.view(np.uint64) & np.uint64(END)
     w = np.where(w == END, np.uint64(end), w)
     of_pair, of_triple = np.flatnonzero(context < 0), np.flatnonzero(context >= 0)
-    words, at = np.unique(v[of_pair], return_index=True)
-    words_n, words_kinds = _own(words, vocabulary["times"], 0), kinds[of_pair[at]]
+    some, above, kinds = (contexts.column(x).to_numpy() for x in ("context", "pair", "kinds"))
+    lower = some < 0
+    words, words_kinds = above[lower].view(np.uint64) >> np.uint64(32), kinds[lower]
+    words_n = _own(words, vocabulary["times"], 0)
     learnt = words_n > 0
-    some, at = np.unique(context[of_triple], return_index=True)
-    some_n, some_kinds = crowded["n"][some], kinds[of_triple[at]]
+    some, some_kinds = some[~lower], kinds[~lower]
+    some_n = crowded["n"][some]
     after = some_n > 0
     of_pair, of_triple = of_pair[n[of_pair] > 0], of_triple[n[of_triple] > 0]
     return {
