@@ -2,8 +2,10 @@
 
 Vectors of length one are dealt to the nearest of some centres, one folder a list, and the
 rest that the centre leaves is kept as a code of ``parts`` bytes, each the nearest of 256 learnt
-pieces. A search goes through the codes of the lists nearest to the query only, takes the best
-candidates by them, reads these candidates' vectors and ranks them exactly. Centres and
+pieces, beside the length of what the code misses. A search goes through the lists nearest to the query
+only. A code and that length bound a vector's cosine from both sides: the first pass reads them and finds what
+the ``k`` nearest reach at least, the second ranks all vectors exactly that may reach it, however many
+they are, so that nothing in the lists searched is lost to the codes. Centres and
 pieces are learnt from an evenly hashed sample of at most ``max_sample`` vectors in
 expectation; every vector is indexed. How many lists a search must go through for a
 ``recall`` depends on the vectors (few where they stand in groups, most where they stand
@@ -30,8 +32,8 @@ from .recall import nearest
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     """Vectors of a column of lists of ``size`` numbers, of length one."""
-    rows = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, size)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, size)
+    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -126,12 +128,13 @@ class VectorIndex:
                 rest = unit - own["centres"][at]
                 cuts = own["cuts"]
                 codes = np.column_stack([_nearest(rest[:, a:b], book) for a, b, book in zip(cuts, cuts[1:], own["books"])]).astype(np.uint8)
+                missed = np.linalg.norm(rest - np.column_stack([book[c] for book, c in zip(own["books"], codes.T)]), axis=1)
                 fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())])
-                columns = [pa.array(at.astype(np.int32)), fixed.cast(pa.binary()), *batch.columns]
-                yield pa.RecordBatch.from_arrays(columns, names=["list", "code", *batch.schema.names])
+                columns = [pa.array(at.astype(np.int32)), fixed.cast(pa.binary()), pa.array(missed.astype(np.float32)), *batch.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "code", "missed", *batch.schema.names])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(run, f"list int, code binary, {kinds}")
+        return rows.mapInArrow(run, f"list int, code binary, missed float, {kinds}")
 
     def probed(self, query: Sequence[float], probes: int | None = None) -> list[int]:
         """The lists nearest to the query, as many as the sample showed to be enough if no number is given."""
@@ -140,38 +143,70 @@ class VectorIndex:
         present = np.array(self.model["present"])
         return sorted(present[np.argsort(-near[present])[: probes or self.model["probes"]]].tolist())
 
-    def nearest(self, query: Sequence[float], k: int, probes: int | None = None, candidates: int | None = None, without: Sequence[int] = ()) -> DataFrame:
-        """The ``k`` nearest rows that the probed lists hold, with their ``score``; rows of the buckets ``without`` are left out."""
-        unit = np.asarray(query, dtype=np.float32)
+    def nearest(self, query: Sequence[float], k: int, probes: int | None = None, without: Sequence[int] = (), digits: int | None = None) -> DataFrame:
+        """The ``k`` nearest rows that the probed lists hold, with their ``score``; rows of the buckets ``without`` are left out.
+
+        Exact for these lists; ties as in :func:`recall.nearest`.
+        """
+        unit = np.asarray(query, dtype=np.float64)
         if not self.model["size"]:
             return self.spark.createDataFrame([], "id string, raw_document_id string, score double")
-        kept = [c for c in self.model["schema"].names if c not in ("list", "code", "embedding", "bucket")]
+        names = self.model["schema"].names
+        kept = [c for c in names if c not in ("list", "code", "missed", "embedding", "bucket")]
         size = np.linalg.norm(unit)
         if len(unit) != self.model["size"] or not np.isfinite(size) or not size:
             return self.lists(self.model["present"][:1]).limit(0).select(*kept, F.lit(0.0).alias("score"))
         unit = unit / size
-        most = candidates or max(10 * k, 200)
         here = self.lists(self.probed(query, probes))
         if without:
             here = here.filter(~F.col("bucket").isin(*without))
+        if "missed" not in names:
+            here = here.withColumn("missed", F.lit(2.0).cast("float"))  # an older index does not say: no vector is too far
         model = self.model
         # What each byte of a code adds to the product with the query.
         gains = np.zeros((len(model["books"]), 256), dtype=np.float32)
         for i, (a, b, book) in enumerate(zip(model["cuts"], model["cuts"][1:], model["books"])):
             gains[i, : len(book)] = book @ unit[a:b]
         base = model["centres"] @ unit
+        rounded = 1e-5  # more than single precision loses in such a sum
+        within = 1e-9 if digits is None else 1e-9 + 10.0**-digits  # what may still be a tie
+
+        def by_code(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(-1, len(gains))
+            product = base[batch.column("list").to_numpy()] + gains[np.arange(len(gains)), codes].sum(axis=1)
+            return product, batch.column("missed").to_numpy().astype(np.float64) + rounded
+
+        most = max(k, 1)
+
+        def greatest(values: np.ndarray) -> np.ndarray:
+            return -np.partition(-values, most - 1)[:most] if len(values) > most else values
 
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = np.zeros(0)
             for batch in batches:
+                if batch.num_rows:
+                    product, missed = by_code(batch)
+                    best = greatest(np.append(best, product - missed))
+            yield pa.RecordBatch.from_arrays([pa.array(best)], names=["least"])
+
+        def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, bar = np.zeros(0), floor
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                product, missed = by_code(batch)
+                batch = batch.filter(pa.array(~(product + missed < bar - within)))
                 if not batch.num_rows:
                     continue
-                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(-1, len(gains))
-                product = base[batch.column("list").to_numpy()] + gains[np.arange(len(gains)), codes].sum(axis=1)
-                top = np.argsort(-product, kind="stable")[:most]
-                yield pa.RecordBatch.from_arrays([batch.column("list").take(pa.array(top)), batch.column("id").take(pa.array(top)), pa.array(product[top].astype(np.float64))], names=["list", "id", "near"])
-
-        kind = self.model["schema"]["id"].dataType.simpleString()
-        found = here.select("list", "id", "code").mapInArrow(best, f"list int, id {kind}, near double").orderBy(F.desc("near"), "id").limit(most)
-        # At most as many candidates as asked for; their lists are the probed ones.
-        ranked = here.join(F.broadcast(found.select("list", "id")), ["list", "id"])
-        return nearest(ranked, F.array(*[F.lit(float(x)) for x in query]), k).select(*kept, "score")
+                rows = pc.list_flatten(batch.column("embedding")).to_numpy(zero_copy_only=False).reshape(-1, len(unit))
+                cosine = rows @ unit / np.linalg.norm(rows, axis=1)
+                best = greatest(np.append(best, cosine))
+                bar = max(bar, best.min()) if len(best) == most else bar
+                yield batch.filter(pa.array(~(cosine < bar - within))).select([*kept, "embedding"])
+
+        # As many numbers of each task as are asked for, and as many in the end.
+        reached = [r["least"] for r in here.select("list", "code", "missed").mapInArrow(least, "least double").orderBy(F.desc("least")).limit(most).collect()]
+        floor = min(reached) if len(reached) == most else -np.inf
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in here.select(*kept, "embedding").schema)
+        ranked = here.select("list", "code", "missed", *kept, "embedding").mapInArrow(possible, kinds)
+        return nearest(ranked, F.array(*[F.lit(float(x)) for x in query]), k, digits=digits).select(*kept, "score")

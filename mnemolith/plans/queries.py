@@ -489,14 +489,14 @@ def vector_topk_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors from an index of all embeddings, through the codes of all its lists.
+    """Nearest vectors from an index of all embeddings, through all its lists.
 
-    The vectors stand in no groups, so that fewer lists would miss some (tests measure that where they do).
+    Distances that are equal to six decimals count as equal, as in SQL. The vectors stand in no groups, so that fewer lists would miss some (tests measure that where they do).
     """
     rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     index = VectorIndex.build(rows, shared_path(spark, "index"), lists=16)
     query = rows.filter("id = 0").first()["embedding"]
-    return index.nearest(query, 10, probes=16).select(F.col("id").alias("vec_id"), F.round("score", DIGITS).alias("distance"))
+    return index.nearest(query, 10, probes=16, digits=DIGITS).select(F.col("id").alias("vec_id"), F.col("score").alias("distance"))
 
 
 def pruned_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:

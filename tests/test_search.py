@@ -186,3 +186,23 @@ def test_a_batch_that_comes_again_is_skipped(spark, tmp_path):
     made = store.state()
     assert made["batches"][checkpoint] == 0
     assert store.ingest(raw_documents(rows), EMBEDDER, batch=(checkpoint, 0))["raw_documents"] == 0 and store.state() == made
+
+
+def test_index_loses_no_vector_to_its_codes(spark, tmp_path):
+    """Hundreds of near copies of the query have about one code; distances within 1e-6 are ties, which go by id."""
+    chance = np.random.default_rng(5)
+    rows = chance.standard_normal((4000, 32))
+    rows[1000:1600] = rows[0] + 1e-2 * chance.standard_normal((600, 32))
+    rows[2000:2600] = rows[1] + 1e-4 * chance.standard_normal((600, 32))
+    rows[3000:3600] = rows[2]
+    order = chance.permutation(4000)
+    vectors = spark.createDataFrame([(int(i), rows[i].tolist()) for i in order], "id long, embedding array<double>")
+    index = VectorIndex.build(vectors, f"file://{tmp_path}/index", lists=8)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for at in (0, 1, 2, 3):
+        distance = np.round(1 - unit @ unit[at], 6)
+        best = np.lexsort((np.arange(4000), distance))[:10]
+        got = index.nearest(rows[at].tolist(), 10, probes=8, digits=6).collect()
+        assert [r.id for r in got] == best.tolist()
+        assert np.abs(np.array([r.score for r in got]) - distance[best]).max() < 1.5e-6
+    assert index.nearest(rows[0].tolist(), 5000, probes=8).count() == 4000
