@@ -13,7 +13,9 @@ about ``bucket`` tokens. A word with more occurrences than that is split: the
 word before it draws the bucket, and after a pair of words that alone fills two
 buckets the text and the place do. What a bucket cannot count alone, the bigrams
 of split words and the trigrams of such pairs, is summed over all buckets and
-given back to those that hold them, so that ``bucket`` changes no score. Each
+given back to those that hold them, so that ``bucket`` changes no score: a word's pairs
+are dealt into as many pieces as its occurrences fill four buckets, and a bucket sends each
+piece that it has of them as arrays. Each
 bucket builds its part of the trie in one task: contexts, bigrams and trigrams are
 Elias-Fano sequences in which a child is found by a successor search relative to
 its context, with pointers to the first child, and probabilities and backoff
@@ -42,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import STEPS, Trie, build, mapped, pack, units
@@ -55,6 +57,7 @@ COMMON = 1 << 19  # codes below are ranks of frequent words
 END = (1 << 32) - 1  # code of a text's end, which also stands before its start
 SLICE = 1 << 20
 SLICE_ROWS = 1 << 14
+PIECE = 4  # buckets whose tokens' pairs are summed in one piece, at most
 
 
 def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
@@ -217,12 +220,12 @@ def _crowded(texts: DataFrame, model, vocabulary: dict[str, np.ndarray], bucket:
     rows = []
     if vocabulary["kinds"].max() > 1:
         counts = texts.select("learn", "text").mapInArrow(_split_pairs(model), "pair long, n long, seen long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
-        rows = [(r["pair"], r["n"]) for r in counts.filter(F.col("seen") > 2 * bucket).collect()]
+        rows = [(r["pair"], r["n"], r["seen"]) for r in counts.filter(F.col("seen") > 2 * bucket).collect()]
     if vocabulary["kinds"][-1] > 1:
-        rows.append((-1, int(vocabulary["times"][-1])))  # the end and the end
-    context, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+        rows.append((-1, int(vocabulary["times"][-1]), int(vocabulary["kinds"][-1]) * bucket))  # the end and the end
+    context, n, seen = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 2))
     order = np.argsort(context.view(np.uint64))
-    return {"context": context.view(np.uint64)[order], "n": n[order]}
+    return {"context": context.view(np.uint64)[order], "n": n[order], "pieces": -(-seen[order] // (PIECE * bucket))}
 
 
 def _dealt(model, crowded: dict[str, np.ndarray], buckets: int):
@@ -262,15 +265,19 @@ _DEALT = ["bucket", "slice", "keys", "v", "u", "w", "mark"]
 
 def _flat(rows: pa.Table, name: str) -> np.ndarray:
     column = rows.column(name).combine_chunks()
-    return column.flatten().to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _asked(model, crowded: dict[str, np.ndarray]):
-    """What a bucket has of the bigrams of split words, and of the trigrams after crowded contexts."""
+def _asked(model, crowded: dict[str, np.ndarray], parts: int):
+    """What a bucket has of the bigrams of split words, and of the trigrams after crowded contexts, a row for each part that sums them.
+
+    A negative ``n`` asks for how many words follow the word or context; all parts with pieces of it are asked.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
+        kinds = model.value["kinds"]
         v, u, w = (_flat(rows, name).view(np.uint32) for name in ("v", "u", "w"))
-        split = np.flatnonzero(_own(v, model.value["kinds"], 1) > 1)
+        split = np.flatnonzero(_own(v, kinds, 1) > 1)
         v, u, w, learn = v[split], u[split], w[split], _flat(rows, "mark")[split] & 1
         pair, of = np.unique(_joint(v, w), return_inverse=True)
         which = _which(_joint(v, u), crowded["context"])
@@ -278,25 +285,56 @@ def _asked(model, crowded: dict[str, np.ndarray]):
         triple, of_triple = np.unique(_joint(which[apart], w[apart]), return_inverse=True)
         context = (triple >> np.uint64(32)).astype(np.int64)
         after = _joint(crowded["context"][context] >> np.uint64(32), triple & np.uint64(END))
-        n = np.append(np.bincount(of, learn, len(pair)), np.bincount(of_triple, learn[apart], len(triple)))
-        columns = [np.append(np.full(len(pair), -1), context), np.append(pair, after).view(np.int64), np.full(len(n), rows.column("bucket")[0].as_py()), n]
-        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["context", "pair", "bucket", "n"])
+        n = np.append(np.bincount(of, learn, len(pair)), np.bincount(of_triple, learn[apart], len(triple))).astype(np.int64)
+        context, pair = np.append(np.full(len(pair), -1), context), np.append(pair, after)
+
+        def pieces(context: np.ndarray, v: np.ndarray) -> np.ndarray:
+            count = -(-_own(v, kinds, 1).astype(np.int64) // PIECE)
+            of_context = np.flatnonzero(context >= 0)
+            count[of_context] = crowded["pieces"][context[of_context]]
+            return count
+
+        def part_of(context: np.ndarray, v: np.ndarray, piece: np.ndarray) -> np.ndarray:
+            return mix(_joint(v, piece) ^ mix((context + 2).astype(np.uint64))) % np.uint64(parts)
+
+        v = pair >> np.uint64(32)
+        part = part_of(context, v, mix(pair & np.uint64(END)) % pieces(context, v).astype(np.uint64))
+        heads = np.unique(_joint(context + 1, v))
+        of_head, v = (heads >> np.uint64(32)).astype(np.int64) - 1, heads & np.uint64(END)
+        each = pieces(of_head, v)
+        at, piece = np.repeat(np.arange(len(heads)), each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        asks = np.unique(_joint(at, part_of(of_head[at], v[at], piece)))  # a part that has several pieces is asked once
+        at = (asks >> np.uint64(32)).astype(np.int64)
+        context, pair, n = np.append(context, of_head[at]), np.append(pair, v[at] << np.uint64(32)), np.append(n, np.full(len(asks), -1))
+        part = np.append(part, asks & np.uint64(END))
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        filled = np.flatnonzero(np.diff(cut))
+        ends = pa.array(np.append(cut[filled], len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in (context.astype(np.int32), pair.view(np.int64), n)]
+        bucket = np.full(len(filled), rows.column("bucket")[0].as_py())
+        return pa.table([pa.array(filled), pa.array(bucket), *lists], names=["part", "bucket", "context", "pair", "n"])
 
     return run
 
 
-def _given(asked: DataFrame) -> DataFrame:
-    """For each bucket the sums ``n`` of what it asked for, and rows of its contexts with the ``kinds`` of words that follow them.
-
-    A pair has a row for each bucket that holds it, and so has a context.
-    """
-    pair = Window.partitionBy("context", "pair")
-    v = F.shiftrightunsigned("pair", 32)
-    summed = asked.select("bucket", "context", "pair", F.sum("n").over(pair).alias("n"), (F.row_number().over(pair.orderBy("bucket")) == 1).alias("first"))
-    # Each pair counts once, in its first bucket.
-    here = summed.groupBy("bucket", "context", v.alias("v")).agg(F.sum((F.col("first") & (F.col("n") > 0)).cast("long")).alias("kinds"))
-    kinds = here.select("bucket", "context", F.shiftleft("v", 32).alias("pair"), F.lit(None).cast("long").alias("n"), F.sum("kinds").over(Window.partitionBy("context", "v")).alias("kinds"))
-    return summed.select("bucket", "context", "pair", "n", F.lit(None).cast("long").alias("kinds")).unionByName(kinds)
+def _summed(rows: pa.Table) -> pa.Table:
+    """What buckets asked of one part, in their order: sums over all buckets, and how many words that occur follow."""
+    context, pair, n = _flat(rows, "context").astype(np.int64), _flat(rows, "pair").view(np.uint64), _flat(rows, "n")
+    asks = n < 0
+    own = np.flatnonzero(~asks)
+    order = own[np.lexsort((pair[own], context[own]))]
+    heads = np.append(True, (np.diff(context[order]) != 0) | (pair[order][1:] != pair[order][:-1]))[: len(order)]
+    first = np.flatnonzero(heads)
+    total = np.add.reduceat(n[order], first) if len(first) else np.zeros(0, dtype=np.int64)
+    above = _joint(context + 1, pair >> np.uint64(32))
+    found, kinds = np.unique(above[order[first[total > 0]]], return_counts=True)
+    given = np.empty(len(n), dtype=np.int64)
+    given[order] = total[np.cumsum(heads) - 1]
+    given[asks] = np.append(kinds, 0)[_which(above[asks], found)]
+    ends = pa.array(np.append(0, np.cumsum(pc.list_value_length(rows.column("n")).to_numpy())).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in (context.astype(np.int32), pair.view(np.int64), given, asks)]
+    return pa.table([rows.column("bucket"), *lists], names=["bucket", "context", "pair", "n", "kinds"])
 
 
 def _counted(keys: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,15 +386,18 @@ def _part(v: np.ndarray, u: np.ndarray, w: np.ndarray, share: np.ndarray, rare:
 
 def _of_all_buckets(rows: pa.Table, vocabulary: dict[str, np.ndarray], crowded: dict[str, np.ndarray], end: int) -> dict[str, np.ndarray]:
     """The given counts as :func:`_part` takes them, the text's end under its code as a word."""
-    of_context = pc.is_valid(rows.column("kinds"))
-    contexts, rows = rows.filter(of_context), rows.filter(pc.invert(of_context))
-    context, pair, n = (rows.column(x).to_numpy() for x in ("context", "pair", "n"))
+    of_context = _flat(rows, "kinds")
+    context, pair, n = _flat(rows, "context").astype(np.int64), _flat(rows, "pair"), _flat(rows, "n")
+    # A word or context has a number of each part with pieces of it.
+    heads, piece = np.unique(_joint(context[of_context] + 1, pair.view(np.uint64)[of_context] >> np.uint64(32)), return_inverse=True)
+    some, words = (heads >> np.uint64(32)).astype(np.int64) - 1, heads & np.uint64(END)
+    kinds = np.bincount(piece, n[of_context], len(heads)).astype(np.int64)
+    context, pair, n = context[~of_context], pair[~of_context], n[~of_context]
     v, w = pair.view(np.uint64) >> np.uint64(32), pair.view(np.uint64) & np.uint64(END)
     w = np.where(w == END, np.uint64(end), w)
     of_pair, of_triple = np.flatnonzero(context < 0), np.flatnonzero(context >= 0)
-    some, above, kinds = (contexts.column(x).to_numpy() for x in ("context", "pair", "kinds"))
     lower = some < 0
-    words, words_kinds = above[lower].view(np.uint64) >> np.uint64(32), kinds[lower]
+    words, words_kinds = words[lower], kinds[lower]
     words_n = _own(words, vocabulary["times"], 0)
     learnt = words_n > 0
     some, some_kinds = some[~lower], kinds[~lower]
@@ -449,7 +490,9 @@ def score_texts(docs: DataFrame, learn: F.Column, max_frequent: int = COMMON, bu
     buckets = max(1, -(-int(vocabulary["totals"][2]) // bucket))
     crowded = _crowded(base, model, vocabulary, bucket)
     dealt = base.drop("doc_id").mapInArrow(_dealt(model, crowded, buckets), "bucket long, slice long, keys array<long>, v array<int>, u array<int>, w array<int>, mark array<smallint>")
-    given = _given(dealt.groupBy("bucket").applyInArrow(_asked(model, crowded), "context long, pair long, bucket long, n long"))
+    parts = max(1, -(-int(vocabulary["kinds"][vocabulary["kinds"] > 1].sum()) // PIECE))
+    asked = dealt.groupBy("bucket").applyInArrow(_asked(model, crowded, parts), "part long, bucket long, context array<int>, pair array<long>, n array<long>")
+    given = asked.groupBy("part").applyInArrow(_summed, "bucket long, context array<int>, pair array<long>, n array<long>, kinds array<boolean>")
     sums = dealt.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_scored(model, crowded, discount), "slice long, keys array<long>, text array<smallint>, score array<int>")
     scores = sums.groupBy("slice").applyInArrow(_gathered, "key long, score double")
 

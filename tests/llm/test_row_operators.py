@@ -7,6 +7,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from helpers import make, prose, remainder, words
 from pyspark.sql import functions as F
 
@@ -323,6 +325,40 @@ def test_frequent_words_and_pairs_spread_over_buckets(spark, monkeypatch):
     assert sum(seen) == sum(r.n_tokens for r in rows) and len(seen) > 20 and max(seen) <= 5_000
 
 
+def test_split_words_pairs_are_summed_in_arrays():
+    """A row for each bucket and part, not for each pair; sums and kinds over all buckets, also where parts have several pieces."""
+    chance = np.random.default_rng(23)
+    kinds = np.array([9, 3, 1, 30, 1, 2], dtype=np.uint64)  # of words 0 to 4 and the end
+    crowded = {"context": np.sort(lm._joint(np.array([0, 3]), np.array([1, 0]))), "n": np.array([1, 1]), "pieces": np.array([5, 1])}
+    model, parts, asked, occurs = type("Shared", (), {"value": {"kinds": kinds}}), 4, [], collections.Counter()
+    for bucket in range(6):
+        v, u = (chance.integers(0, 5, 3_000).astype(np.uint32) for _ in range(2))
+        w, mark = chance.integers(0, 400, 3_000).astype(np.uint32), chance.integers(0, 4, 3_000).astype(np.int16)
+        w[chance.random(3_000) < 0.1] = lm.END
+        lists = [pa.array([x.tolist()], pa.list_(kind)) for x, kind in ((v.view(np.int32), pa.int32()), (u.view(np.int32), pa.int32()), (w.view(np.int32), pa.int32()), (mark, pa.int16()))]
+        asked.append(lm._asked(model, crowded, parts)(pa.table([pa.array([bucket]), *lists], names=["bucket", "v", "u", "w", "mark"])))
+        for a, b, c, m in zip(v.tolist(), u.tolist(), w.tolist(), mark.tolist(), strict=True):
+            if a in (0, 1, 3):
+                occurs[-1, a, c] += m & 1
+                if (a, b) in ((0, 1), (3, 0)):
+                    occurs[0 if a == 0 else 1, a, c] += m & 1
+    rows = pa.concat_tables(asked)
+    assert len(rows) <= 6 * parts < 100 < len(occurs)
+    given, follow = [{} for _ in range(6)], [collections.Counter() for _ in range(6)]
+    for part in range(parts):
+        for r in lm._summed(rows.filter(pc.equal(rows["part"], part))).to_pylist():
+            for context, pair, n, is_kinds in zip(r["context"], r["pair"], r["n"], r["kinds"], strict=True):
+                word = (pair >> 32) & lm.END
+                if is_kinds:
+                    follow[r["bucket"]][context, word] += n
+                else:
+                    assert (context, word, pair & lm.END) not in given[r["bucket"]]
+                    given[r["bucket"]][context, word, pair & lm.END] = n
+    different = collections.Counter((context, a) for (context, a, _), n in occurs.items() if n)
+    assert all(f == different for f in follow)
+    assert all(occurs[key] == n for g in given for key, n in g.items()) and set().union(*given) == set(occurs)
+
+
 def test_probabilities_sum_to_one():
     chance = random.Random(4)
     v, u, w = (np.array([int(chance.paretovariate(0.8)) % 60 for _ in range(3_000)], dtype=np.uint32) for _ in range(3))
