@@ -59,6 +59,15 @@ def children_replaced(old: DataFrame, new: DataFrame, parents: DataFrame, key: s
     return _added(old.join(parents.select(key), key, "left_anti"), new)
 
 
+def kept_apart(old: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """``old`` without the rows of ``parents``, which are distinct; if all go, as in a repeated import, or none does, only keys move."""
+    gone = old.select(key).join(parents.select(key, F.lit(1).alias("_gone")), key, "left")
+    counts = gone.agg(F.count("*").alias("rows"), F.count("_gone").alias("gone")).first()
+    if counts["gone"] == counts["rows"]:
+        return old.limit(0)
+    return old.join(parents.select(key), key, "left_anti") if counts["gone"] else old
+
+
 def source_clashes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Documents of ``old`` whose source and external identifier a new one takes under another id."""
     fresh = new.select("source", "external_id", F.col("raw_document_id").alias("new_id"))
@@ -196,7 +205,7 @@ class MemoryStore:
             """The rows read back, and how many the write counted."""
             paths.append(f"staging/{name}-{uuid.uuid4().hex}")
             seen = Observation()
-            rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.root}/{paths[-1]}")
+            rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(f"{self.root}/{paths[-1]}")
             back = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{paths[-1]}")
             return back, observed(seen, "rows", back)
 
@@ -233,7 +242,7 @@ class MemoryStore:
         if name == "chunks":
             dealt = dealt.observe(seen, F.max("chunk_id").alias("last"))
         lookups = LOOKUPS.get(name, [])
-        writer = dealt.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *lookups).write.partitionBy("_bucket")
+        writer = dealt.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *lookups).write.option("compression", "zstd").partitionBy("_bucket")
         for column in lookups:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(f"{self.root}/{folder}")
@@ -276,8 +285,11 @@ class MemoryStore:
             raise ValueError(f"unknown table {name!r}")
         return self.table(name).count()
 
-    def _archived(self, documents: DataFrame, units: DataFrame, found: DataFrame, gone: DataFrame | None = None) -> dict[str, Change]:
-        """Changes that put documents, their units and vectors in place of those with equal identifiers, and drop ``gone``."""
+    def _archived(self, documents: DataFrame, units: DataFrame, found: DataFrame, gone: DataFrame | None = None, many: bool = False) -> dict[str, Change]:
+        """Changes that put documents, their units and vectors in place of those with equal identifiers, and drop ``gone``.
+
+        Of ``many`` documents the keys are looked at before any rows move.
+        """
         parents = documents.select("raw_document_id")
         parents = (parents if gone is None else parents.unionByName(gone)).distinct()
         # Vectors are written in the same version, so units count as embedded.
@@ -285,14 +297,17 @@ class MemoryStore:
 
         def vectors_replaced(old: DataFrame) -> DataFrame:
             of_document = old.withColumn("raw_document_id", F.col("metadata.raw_document_id"))
-            return of_document.join(parents, "raw_document_id", "left_anti").drop("raw_document_id").unionByName(found)
+            return others(of_document).drop("raw_document_id").unionByName(found)
+
+        def others(old: DataFrame) -> DataFrame:
+            return kept_apart(old, parents, "raw_document_id") if many else old.join(parents, "raw_document_id", "left_anti")
 
         return {
-            "raw_documents": (parents, lambda old: children_replaced(old, documents, parents, "raw_document_id")),
-            "memory_units": (parents, lambda old: children_replaced(old, embedded, parents, "raw_document_id")),
+            "raw_documents": (parents, lambda old: _added(others(old), documents)),
+            "memory_units": (parents, lambda old: _added(others(old), embedded)),
             "vectors": (parents, vectors_replaced),
             # A document that is superseded has the external identifier of the one that comes.
-            "external_ids": (documents, lambda old: children_replaced(old, documents, parents, "raw_document_id")),
+            "external_ids": (documents, lambda old: _added(others(old), documents)),
         }
 
     def _external(self, keys: DataFrame) -> DataFrame:
@@ -317,7 +332,9 @@ class MemoryStore:
         ordered = documents if "_order" in documents.columns else documents.withColumn("_order", F.monotonically_increasing_id())
         with self._staging() as staged:
             given, read = staged(ordered, "documents")
-            fresh, _ = staged(last_wins(given, ["raw_document_id"], "_order"), "fresh")
+            fresh = given.drop("_order")
+            if not given.groupBy("raw_document_id").count().filter("count > 1").isEmpty():
+                fresh, _ = staged(last_wins(given, ["raw_document_id"], "_order"), "fresh")
             clashes = source_clashes(self._external(fresh.select("external_id")), fresh)
             gone = None
             if supersede:
@@ -336,7 +353,7 @@ class MemoryStore:
                 reused = {"embeddings": (new, lambda old: upserted(old, new, ["text_hash", "embedding_version"]))}
             else:
                 found = vectors(units, embedder)
-            changes = self._archived(fresh, units, found, gone) | reused
+            changes = self._archived(fresh, units, found, gone, many=True) | reused
             if records is not None:
                 latest, _ = staged(last_wins(records, ["conversation_id"], "_order"), "records")
                 changes["conversation_records"] = (latest, lambda old: upserted(old, latest, ["conversation_id"]))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemolith.operators import recall
+from mnemolith.operators import store as stores
 from mnemolith.operators.archive_search import ArchiveSearch
 from mnemolith.operators.embedding import TermCountEmbedder
 from mnemolith.operators.memory import raw_documents
@@ -172,6 +173,27 @@ def test_vectors_are_reused_by_text_and_version(spark, tmp_path):
     assert {r.memory_unit_id.split(":")[2] for r in ArchiveSearch(store, embedder).memory("alpha", 50).collect()} == {f"m{k}" for k in range(20, 30)}
 
 
+def test_a_repeated_import_moves_keys_only(spark, tmp_path, monkeypatch):
+    """Documents that come once are not sorted out, and rows that all go, or all stay, are not joined."""
+    store = MemoryStore(spark, f"file://{tmp_path}/store", buckets=4)
+    rows = messages(spark, [(k, prose(k)) for k in range(12)])
+    once = raw_documents(rows)
+    store.ingest(raw_documents(rows.unionByName(messages(spark, [(3, "The later reading of it.")]))), EMBEDDER)
+    assert store.table("raw_documents").filter("external_id = 'm3'").first().content == "The later reading of it." and store.count_rows("raw_documents") == 12
+
+    def never(*_):
+        raise AssertionError("rows were sorted out")
+
+    monkeypatch.setattr(stores, "last_wins", never)
+    assert store.ingest(once, EMBEDDER)["raw_documents"] == 12
+    assert store.table("raw_documents").filter("external_id = 'm3'").first().content == prose(3) and store.count_rows("vectors") == 12
+    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, n int")
+    for parents, left, joined in (([], [1, 2, 3, 4], False), (["z"], [1, 2, 3, 4], False), (["a"], [3, 4], True), (["a", "b"], [4], True)):
+        kept = stores.kept_apart(old, spark.createDataFrame([(k,) for k in parents], "k string"), "k")
+        assert sorted(r.n for r in kept.collect()) == left and ("Join" in kept._jdf.queryExecution().optimizedPlan().toString()) == joined
+    assert stores.kept_apart(old.filter("k = 'a'"), spark.createDataFrame([("a",)], "k string"), "k").isEmpty()
+
+
 def test_a_batch_that_comes_again_is_skipped(spark, tmp_path):
     store = MemoryStore(spark, f"file://{tmp_path}/store")
     rows = messages(spark, [(k, prose(k)) for k in range(5)])
